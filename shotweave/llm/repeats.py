@@ -8,6 +8,7 @@ however often the key occurs.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,18 +18,18 @@ from pyspark.sql import DataFrame, SparkSession
 U = np.uint64
 RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i4"), ("at", "<i4"), ("to", "<i4")])
 PACKED = "part int, known boolean, docs binary, records binary"
-PLACES = "doc_key binary, at array<int>, to array<int>"
 
 
 def parts_of(spark: SparkSession) -> int:
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Key ranges: twice the shuffle partitions, so that hashing them to tasks comes out even."""
+    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 class Packer:
     """Collects the records of a task and turns them into packed rows, at most `limit` records at a time."""
 
-    def __init__(self, parts: int, limit: int = 1_500_000):
-        self.parts, self.limit = parts, limit
+    def __init__(self, parts: int, limit: int = 1_500_000, tell_keys: bool = False):
+        self.parts, self.limit, self.tell_keys = parts, limit, tell_keys
         self.keys: list[bytes] = []
         self.held: list[np.ndarray] = []
         self.size = 0
@@ -63,23 +64,27 @@ class Packer:
         self.keys, self.held, self.size = [], [], 0
 
     def _pack(self, rows: np.ndarray, part: np.ndarray, known: bool) -> Iterator[pa.RecordBatch]:
-        if not len(rows):
-            return
-        order = np.lexsort((rows["at"], rows["doc"], part))
-        rows, part = rows[order], part[order]
-        bounds = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(rows))
-        ids, docs, cells = [], [], []
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            own = rows[lo:hi].copy()
-            used, local = np.unique(own["doc"], return_inverse=True)
-            shift = int(used[0] == -1)
-            own["doc"] = local - shift
-            names = [self.keys[i] for i in used[shift:]]
-            ids.append(int(part[lo]))
-            docs.append(np.array([len(x) for x in names], dtype="<i4").tobytes() + b"".join(names))
-            columns = (own["doc"], own["at"], own["to"]) if known else (own["a"], own["b"], own["doc"], own["at"], own["to"])
-            cells.append(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([known] * len(ids)), pa.array(docs, pa.binary()), pa.array(cells, pa.binary())], names=["part", "known", "docs", "records"])
+        if len(rows):
+            yield _packed(rows, part, self.keys, ("a",) if known and self.tell_keys else () if known else ("a", "b"), known)
+
+
+def _packed(rows: np.ndarray, part: np.ndarray, keys: list[bytes], longs: tuple[str, ...], known: bool) -> pa.RecordBatch:
+    """One row per part: its documents' keys, and its records column by column, as small differences that compress."""
+    order = np.lexsort((rows["at"], rows["doc"], part))
+    rows, part = rows[order], part[order]
+    bounds = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(rows))
+    ids, docs, cells = [], [], []
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        own = rows[lo:hi].copy()
+        used, local = np.unique(own["doc"], return_inverse=True)
+        shift = int(used[0] == -1)
+        own["doc"] = local - shift
+        names = [keys[i] for i in used[shift:]]
+        ids.append(int(part[lo]))
+        docs.append(np.array([len(x) for x in names], dtype="<i4").tobytes() + b"".join(names))
+        steps = (np.diff(own["doc"], prepend=np.int32(0)), np.diff(own["at"], prepend=np.int32(0)), own["to"] - own["at"])
+        cells.append(b"".join(np.ascontiguousarray(c).tobytes() for c in (*(own[c] for c in longs), *steps)))
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array([known] * len(ids)), pa.array(docs, pa.binary()), pa.array(cells, pa.binary())], names=["part", "known", "docs", "records"])
 
 
 def _names(cell: bytes, n: int) -> list[bytes]:
@@ -95,45 +100,77 @@ def _columns(cell: bytes, kinds: str) -> list[np.ndarray]:
     for k in kinds:
         out.append(np.frombuffer(cell, dtype="<u8" if k == "q" else "<i4", count=n, offset=at))
         at += n * width[k]
-    return out
-
+    doc, place, span = out[-3:]
+    place = np.cumsum(place, dtype=np.int32)
+    return [*out[:-3], np.cumsum(doc, dtype=np.int32), place, place + span]
 
-def _group(doc: np.ndarray, at: np.ndarray, to: np.ndarray, names: list[bytes]) -> pa.Table:
-    order = np.lexsort((at, doc))
-    doc, at, to = doc[order], at[order], to[order]
-    bounds = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc)).astype(np.int32)
-    lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x)) for x in (at, to)]
-    return pa.table([pa.array([names[i] for i in doc[bounds[:-1]]], pa.binary()), *lists], names=["doc_key", "at", "to"])
 
-
-def _settle(table: pa.Table) -> pa.Table:
-    """The places of one key range whose keys occur more than once."""
+def _read(table: pa.Table, kinds: dict[bool, str]) -> tuple[list[bytes], dict[bool, list[np.ndarray]]]:
+    """All records of a table's cells, by `known`, with documents numbered through, and the documents' keys."""
     names: list[bytes] = []
-    asked, out = [], []
+    found: dict[bool, list[list[np.ndarray]]] = {k: [] for k in kinds}
     for known, docs, cell in zip(table["known"].to_pylist(), table["docs"].to_pylist(), table["records"].to_pylist(), strict=True):
-        cols = _columns(cell, "iii" if known else "qqiii")
+        cols = _columns(cell, kinds[known])
         doc = cols[-3]
         n = int(doc.max()) + 1 if len(doc) else 0
-        shifted = np.where(doc >= 0, doc + len(names), -1)
+        cols[-3] = np.where(doc >= 0, doc + len(names), -1)
         names += _names(docs, n)
-        (out if known else asked).append((*cols[:-3], shifted, *cols[-2:]))
-    docs, ats, tos = ([np.concatenate([o[i] for o in out])] if out else [] for i in range(3))
-    if asked:
-        a, b, doc, at, to = (np.concatenate([x[i] for x in asked]) for i in range(5))
-        order = np.lexsort((b, a))
-        new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
-        count = np.diff(np.append(np.flatnonzero(new), len(a)))
-        group = np.repeat(np.arange(len(count)), count)
-        marked = np.bincount(group, weights=doc[order] < 0, minlength=len(count)) > 0
-        keep = ((count > 1) | marked)[group] & (doc[order] >= 0)
-        docs.append(doc[order][keep])
-        ats.append(at[order][keep])
-        tos.append(to[order][keep])
-    if not docs or not sum(map(len, docs)):
-        return pa.table([pa.array([], pa.binary()), pa.array([], pa.list_(pa.int32())), pa.array([], pa.list_(pa.int32()))], names=["doc_key", "at", "to"])
-    return _group(np.concatenate(docs), np.concatenate(ats), np.concatenate(tos), names)
-
-
-def repeated_places(packed: DataFrame) -> DataFrame:
-    """(doc_key, at[], to[]) of every record whose (a, b) key occurs more than once among all packed records."""
-    return packed.groupBy("part").applyInArrow(_settle, PLACES)
+        found[known].append(cols)
+    return names, {k: [np.concatenate(c) for c in zip(*v, strict=True)] for k, v in found.items()}
+
+
+def _settle(parts: int, tell_keys: bool):
+    """The places of one key range whose keys occur more than once, packed anew by document."""
+    lead = "q" * tell_keys
+
+    def run(table: pa.Table) -> pa.Table:
+        names, found = _read(table, {True: lead + "iii", False: "qqiii"})
+        out = [found[True]] if found[True] else []
+        if found[False]:
+            a, b, doc, at, to = found[False]
+            order = np.lexsort((b, a))
+            new = np.append(True, (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1]))
+            count = np.diff(np.append(np.flatnonzero(new), len(a)))
+            group = np.repeat(np.arange(len(count)), count)
+            marked = np.bincount(group, weights=doc[order] < 0, minlength=len(count)) > 0
+            keep = order[((count > 1) | marked)[group] & (doc[order] >= 0)]
+            out.append([a[keep]] * tell_keys + [doc[keep], at[keep], to[keep]])
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        rows = np.zeros(len(columns[-1]) if columns else 0, dtype=RECORD)
+        if not len(rows):
+            return table.slice(0, 0)
+        for name, c in zip([*("a",) * tell_keys, "doc", "at", "to"], columns, strict=True):
+            rows[name] = c
+        home = np.array([zlib.crc32(x) % max(1, parts // 2) for x in names])
+        return pa.Table.from_batches([_packed(rows, home[rows["doc"]], names, ("a",) * tell_keys, True)])
+
+    return run
+
+
+def _gather(tell_keys: bool):
+    """One row per document: what all key ranges told of it."""
+    value = pa.int64() if tell_keys else pa.int32()
+
+    def run(table: pa.Table) -> pa.Table:
+        names, found = _read(table, {True: "q" * tell_keys + "iii"})
+        *keys, doc, at, to = found[True]
+        ids: dict[bytes, int] = {}
+        number = np.array([ids.setdefault(x, len(ids)) for x in names])
+        doc = number[doc]
+        order = np.lexsort((at, doc))
+        bounds = np.append(np.flatnonzero(np.append(True, doc[order][1:] != doc[order][:-1])), len(doc)).astype(np.int32)
+        told = [keys[0].view(np.int64)] if tell_keys else [at, to]
+        lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x[order], value)) for x in told]
+        unique = list(ids)
+        return pa.table([pa.array([unique[i] for i in doc[order][bounds[:-1]]], pa.binary()), *lists], names=["doc_key", *(["keys"] if tell_keys else ["at", "to"])])
+
+    return run
+
+
+def repeated_places(packed: DataFrame, parts: int, tell_keys: bool = False) -> DataFrame:
+    """Per document the places of its records whose (a, b) key occurs more than once among all packed records.
+
+    (doc_key, at[], to[]), or (doc_key, keys[]) with `tell_keys`. Bounded by the document's own records.
+    """
+    found = packed.groupBy("part").applyInArrow(_settle(parts, tell_keys), PACKED)
+    return found.groupBy("part").applyInArrow(_gather(tell_keys), "doc_key binary, " + ("keys array<bigint>" if tell_keys else "at array<int>, to array<int>"))

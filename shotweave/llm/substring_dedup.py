@@ -4,10 +4,10 @@ Texts become sequences of word fingerprints. In each round equal neighbours (run
 replaced by new symbols; a pair merges when a per-round bit of its left symbol is 0 and that of its right symbol is 1, so
 what merges depends on nothing but the two names, and equal substrings get equal interior symbols wherever they stand. A new
 symbol's name is a fingerprint of what it replaces, which makes names global without a dictionary shuffle. For each symbol
-the words are tracked on which its existence depends. Every window of `window` words is represented by the first symbol of
-the highest level whose words all lie inside it: a function of the window's own words, so equal windows have equal
-representatives. A first grouped job finds the symbols that occur twice anywhere; the windows that they represent are then
-verified by a 128-bit fingerprint of all their words in a second grouped job.
+the words are tracked on which its existence depends. Every window of `window` words is represented by the least-named
+symbol of the highest level whose words all lie inside it: a function of the window's own words, so equal windows have equal
+representatives, with equal words around them. A first grouped Spark job finds the symbols that occur twice anywhere, with
+those words; the windows that they represent are then verified by a 128-bit fingerprint of all their words in a second one.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,15 @@ def levels(h: np.ndarray, doc: np.ndarray, rounds: int) -> list[Level]:
     return out
 
 
+def range_hash(h: np.ndarray):
+    """A function of (lo, hi): polynomial fingerprints of h[lo:hi], by prefix sums."""
+    base, inverse = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    power = np.cumprod(np.append(U(1), np.full(len(h), base)))
+    back = np.cumprod(np.append(U(1), np.full(len(h), inverse)))
+    total = np.append(U(0), np.cumsum(mix64(h) * power[: len(h)]))
+    return lambda lo, hi: (total[hi] - total[lo]) * back[lo] + (hi - lo).astype(U)
+
+
 def _least(value: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Index of the first least value in each range [lo, hi): two overlapping power-of-two blocks per range."""
     out = lo.copy()
@@ -101,6 +111,7 @@ def representatives(h: np.ndarray, first: np.ndarray, window: int, rounds: int)
 
     A window is represented by the least-named (then leftmost) symbol of the highest level that has a symbol inside it.
     """
+    spans = range_hash(h)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     start = np.flatnonzero(np.arange(len(h)) + window <= np.repeat(first[1:], np.diff(first)))
     names, begins, ends = [], [], []
@@ -120,7 +131,8 @@ def representatives(h: np.ndarray, first: np.ndarray, window: int, rounds: int)
         if len(w):  # windows of one symbol are consecutive
             k = _least(name, k[fits], end[fits])
             cut = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (w[1:] != w[:-1] + 1)))
-            names.append(mix64(name[k[cut]] + U(depth)))
+            chosen = k[cut]
+            names.append(mix64(pair_hash(name[chosen], spans(lo[chosen], hi[chosen])) + U(depth)))
             begins.append(w[cut])
             ends.append(w[np.append(cut[1:], len(w)) - 1])
         start = start[~fits]
@@ -147,11 +159,14 @@ def _symbols(parts: int, window: int, rounds: int):
     return run
 
 
-def _spans(at: list[np.ndarray], to: list[np.ndarray]) -> np.ndarray:
-    """All integers covered by closed ranges."""
-    a, b = np.concatenate(at).astype(np.int64), np.concatenate(to).astype(np.int64)
+def _places(at: pa.Array, to: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place): all integers covered by the closed ranges of each row, once."""
+    row = np.repeat(np.arange(len(at)), pa.compute.list_value_length(at).fill_null(0).to_numpy(zero_copy_only=False))
+    a, b = at.flatten().to_numpy(zero_copy_only=False).astype(np.int64), to.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     n = b - a + 1
-    return np.unique(np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
+    place = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    key = np.unique(np.repeat(row, n) << 32 | place)
+    return key >> 32, key & 0xFFFFFFFF
 
 
 def _windows(parts: int, window: int):
@@ -159,15 +174,13 @@ def _windows(parts: int, window: int):
         pack = Packer(parts)
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            at, to = batch.column(2), batch.column(3)
+            row, place = _places(batch.column(2), batch.column(3))
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
+                a, b = np.searchsorted(row, [lo, hi])
                 w = find_words(data, offsets, NONSPACE, lower=False)
-                one, two = window_hash(w.hash, window, 21), window_hash(w.hash, window, 1_000_003)
-                for r in range(lo, hi):
-                    own = _spans([x.values.to_numpy() for x in at[r].values], [x.values.to_numpy() for x in to[r].values])
-                    if len(own):
-                        s = own + w.first[r - lo]
-                        pack.add(keys[r : r + 1], np.zeros(len(s), dtype=np.int64), one[s], two[s], own, own)
+                s = place[a:b] + w.first[row[a:b] - lo]
+                one, two = window_hash(w.hash, window, 21)[s], window_hash(w.hash, window, 1_000_003)[s]
+                pack.add(keys[lo:hi], row[a:b] - lo, one, two, place[a:b], place[a:b])
                 if pack.full():
                     yield from pack.flush()
         yield from pack.flush()
@@ -178,34 +191,25 @@ def _windows(parts: int, window: int):
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2)
+            row, place = _places(batch.column(2), batch.column(2))
             n_words, gone, kept = [], [], []
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 w = find_words(data, offsets, NONSPACE, lower=False)
-                raw, start, end = data.tobytes(), w.start.tolist(), (w.start + w.length).tolist()
-                for r in range(lo, hi):
-                    a, b = int(w.first[r - lo]), int(w.first[r - lo + 1])
-                    lists = at[r].values if at[r].is_valid else None
-                    drop = np.zeros(b - a + 1, dtype=np.int64)
-                    for x in lists if lists is not None else ():
-                        s = x.values.to_numpy()
-                        np.add.at(drop, s, 1)
-                        np.add.at(drop, s + window, -1)
-                    keep = np.cumsum(drop[:-1]) <= 0
-                    n_words.append(b - a)
-                    gone.append(int((~keep).sum()))
-                    kept.append(b" ".join([raw[start[i] : end[i]] for i in (np.flatnonzero(keep) + a).tolist()]))
+                a, b = np.searchsorted(row, [lo, hi])
+                s = place[a:b] + w.first[row[a:b] - lo]
+                drop = np.bincount(s, minlength=len(w.hash) + 1) - np.bincount(s + window, minlength=len(w.hash) + 1)
+                keep = np.cumsum(drop[:-1]) <= 0
+                left = np.concatenate(([0], np.cumsum(keep)))[w.first]
+                n_words += w.counts.tolist()
+                gone += (w.counts - np.diff(left)).tolist()
+                raw, begin, end = data.tobytes(), w.start[keep].tolist(), (w.start + w.length)[keep].tolist()
+                kept += [b" ".join([raw[i:j] for i, j in zip(begin[x:y], end[x:y], strict=True)]) for x, y in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["key", "n_words", "n_removed", "kept_text"])
 
     return run
 
 
-def _by_doc(places: DataFrame) -> DataFrame:
-    """All places of a document in one row: bounded by the document's own length."""
-    return places.groupBy("doc_key").agg(F.collect_list("at").alias("at"), F.collect_list("to").alias("to"))
-
-
-def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, rounds: int = 6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, rounds: int = 4, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): each text without the words of windows that also start elsewhere.
 
     Words are maximal runs outside space and \\x09-\\x0D. All windows are judged on the input. Null and empty texts have no
@@ -218,15 +222,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, round
     base = base.select("__id", "t", F.concat_ws(":", F.col("__id").cast("string"), F.hex(F.xxhash64("t"))).cast("binary").alias("key"))
     parts = parts_of(spark)
     symbols = base.select("key", "t").mapInArrow(_symbols(parts, window, rounds), PACKED)
-    shared = _by_doc(repeated_places(symbols)).withColumnRenamed("doc_key", "key")
-    # one shuffle of the texts: it parts documents with shared symbols from the rest
-    marked = stored(base.join(shared.hint("shuffle_hash"), "key", "left"))
+    shared = stored(repeated_places(symbols, parts).withColumnRenamed("doc_key", "key"))
+    # one shuffle of the texts: both joins read the same columns of it, so the exchange is reused
+    marked = base.join(shared.hint("shuffle_hash"), "key", "left")
     touched = marked.where(F.col("at").isNotNull())
-    repeats = touched.select("key", "t", "at", "to").mapInArrow(_windows(parts, window), PACKED)
-    found = _by_doc(repeated_places(repeats)).select(F.col("doc_key").alias("key"), F.col("at").alias("starts"))
+    repeats = touched.select("key", "t", "at", "to", "__id").mapInArrow(_windows(parts, window), PACKED)
+    found = repeated_places(repeats, parts).select(F.col("doc_key").alias("key"), F.col("at").alias("starts"))
     kind = base.schema["__id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string"
-    clean = marked.where(F.col("at").isNull()).select("__id", "t", F.lit(None).cast("array<array<int>>").alias("starts"))
-    cut_ = touched.select("__id", "t", "key").join(found.hint("shuffle_hash"), "key", "left").select("__id", "t", "starts")
-    renamed = lambda df: df.mapInArrow(_kept(window), schema.replace("doc_id", "key")).withColumnRenamed("key", "doc_id")
-    return renamed(clean).unionByName(renamed(cut_))
+    final = base.join(found.hint("shuffle_hash"), "key", "left").select("__id", "t", "starts")
+    return final.mapInArrow(_kept(window), schema.replace("doc_id", "key")).withColumnRenamed("key", "doc_id")
