@@ -2,14 +2,452 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def entry(spark):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from shotweave.functions import media
+from shotweave.functions.text import cover_rank, distinctive_tokens, fold_text, lexemes, trigram_similarity
+from shotweave.functions.vectors import cosine_distance, hamming, l2_normalize
+from shotweave.operators import browse as B
+from shotweave.operators import retrieve as R
+from shotweave.operators import sessions as S
+from shotweave.operators.querylog import parse_log
+from shotweave.operators.ranking import merge_signal_labels, page, rank_list, rrf_fuse
+from shotweave.operators.search import enrich, filmstrip, link_chains, link_rows, search
+from shotweave.plans.oracles import ORACLES
+from shotweave.sources import corpus as C
+from shotweave.streaming.jobs import event_windows, session_windows
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+WORDS = ["the", "der", "que"]
 
 
-def oracle_sql() -> dict:
-    return {}
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def request(t: dict[str, DataFrame]) -> DataFrame:
+    """The query table of the tests: every query vector, with the three words that all corpora hold."""
+    return t["query_vectors"].withColumn("tokens", F.array(*map(F.lit, WORDS))).withColumn("phrase", F.lit("der die das"))
+
+
+def flat(fused: DataFrame) -> DataFrame:
+    return fused.select("query_id", "keyframe_id", "scene_id", F.round("score", 6).alias("score"), "rank")
+
+
+def entry(spark: SparkSession) -> DataFrame:
+    t = C.read_corpus(spark, "/root/testdata/sf0.001")
+    q = request(t).where("query_id < 125")
+    return enrich(search(q, t, ["visual", "ocr", "caption", "transcript"]), t).select("query_id", "rank", "keyframe_id", "scene_id", "video_id", "shot_index", "kf_index", "ts_ms", "score", "damaged")
+
+
+@query
+def corpus_counts(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.content_counts(t, sorted(t))
+
+
+@query
+def corpus_violations(spark, d):
+    return C.violations(C.read_corpus(spark, d))
+
+
+@query
+def append_new(spark, d):
+    t = C.read_corpus(spark, d)
+    emb = C.read(spark, d, "embeddings").select(F.col("vec_id").alias("keyframe_id"), F.lit(1).alias("model_id"))
+    return C.append_new(t["keyframe_embedding"].select("keyframe_id", "model_id"), emb, ["keyframe_id", "model_id"])
+
+
+@query
+def upsert_videos(spark, d):
+    v = C.read_corpus(spark, d)["videos"]
+    return C.upsert(v, v.where("damaged").withColumn("duration_ms", F.col("duration_ms") + 1), ["video_id"]).select("video_id", "duration_ms", "damaged")
+
+
+@query
+def replace_scenes(spark, d):
+    t = C.read_corpus(spark, d)
+    new = t["scenes"].where("video_id = '00003' and shot_index < 2").withColumn("end_ms", F.col("end_ms") - 1)
+    return C.replace_for(t["scenes"], new, ["video_id"]).select("scene_id", "video_id", "end_ms")
+
+
+@query
+def collection_filter(spark, d):
+    t = C.read_corpus(spark, d)
+    gone = spark.range(1).select(F.lit(1).alias("query_id"), F.lit("00003").alias("video_id"))
+    return R.allowed(t["keyframes"].withColumn("query_id", F.lit(1)), t["videos"], " v3c1 ", gone).select("keyframe_id", "video_id")
+
+
+@query
+def scope_and_shard(spark, d):
+    return B.shard(C.read_corpus(spark, d)["keyframes"].where("kf_index = 0"), "keyframe_id", 0, 3).select("keyframe_id")
+
+
+@query
+def id_contains(spark, d):
+    return C.read_corpus(spark, d)["videos"].where(F.contains("video_id", F.lit("1"))).select("video_id")
+
+
+@query
+def media_paths(spark, d):
+    t = C.read_corpus(spark, d)
+    x = t["keyframes"].join(t["scenes"].select("scene_id", "shot_index"), "scene_id")
+    return x.select("keyframe_id", media.keyframe_path(F.col("video_id"), F.col("shot_index"), F.col("kf_index")).alias("path"), media.keyframe_path(F.col("video_id"), F.col("shot_index"), F.col("kf_index"), "thumbs").alias("thumb"))
+
+
+@query
+def segment_scenes(spark, d):
+    t = C.read_corpus(spark, d)
+    return R.segment_scenes(t["transcript_segment"], t["scenes"]).select("segment_id", "scene_id")
+
+
+@query
+def pending_vectors(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.pending(t["keyframes"], t["keyframe_embedding"], ["keyframe_id"]).select("keyframe_id", "video_id")
+
+
+@query
+def pending_text(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.pending(t["keyframes"], t["keyframe_text"], ["keyframe_id"]).select("keyframe_id")
+
+
+@query
+def pending_captions(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.pending(t["keyframes"].where("kf_index = 0"), t["keyframe_caption"], ["keyframe_id"]).select("keyframe_id")
+
+
+@query
+def pending_transcripts(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.pending(t["videos"].where("has_audio"), t["transcript_segment"], ["video_id"]).select("video_id")
+
+
+@query
+def pending_text_vectors(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.pending(t["keyframe_caption"].where("caption <> ''"), t["caption_embedding"], ["keyframe_id"]).select("keyframe_id")
+
+
+@query
+def videos_complete(spark, d):
+    t = C.read_corpus(spark, d)
+    done = t["keyframes"].join(t["keyframe_embedding"], "keyframe_id", "left_semi").where("keyframe_id % 20 <> 1")
+    return B.videos_complete(t["videos"], t["scenes"], done.where("scene_id % 7 <> 3"))
+
+
+@query
+def purge_eligible(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.purge_eligible(t["videos"], t["scenes"], t["keyframes"].where("scene_id % 7 <> 3"), t["transcript_segment"])
+
+
+@query
+def video_cover(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.video_cover(t["videos"], t["scenes"], t["keyframes"].where("keyframe_id % 20 > 4"))
+
+
+@query
+def scene_counts(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.scene_counts(t["videos"], t["scenes"].where("scene_id % 2 = 0"))
+
+
+@query
+def browse_videos(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.browse_videos(t["videos"], t["scenes"], t["keyframes"], 1, 10)
+
+
+@query
+def browse_scenes(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.browse_scenes(t["scenes"], t["keyframes"], "00002", 1)
+
+
+@query
+def filmstrips(spark, d):
+    x = filmstrip(C.read_corpus(spark, d)["keyframes"])
+    return x.select("scene_id", F.array_join(F.transform("keyframes", lambda k: k["keyframe_id"].cast("string")), ",").alias("strip"))
+
+
+@query
+def selection_report(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.selection_report(t["scenes"], t["keyframes"].where("keyframe_id % 3 = 0"))
+
+
+@query
+def keyframe_index(spark, d):
+    return B.keyframe_index(C.read_corpus(spark, d)["keyframes"].where("keyframe_id % 4 <> 1")).select("keyframe_id", "index")
+
+
+@query
+def overlapping_segments(spark, d):
+    x = C.read_corpus(spark, d)["transcript_segment"].withColumn("shot_index", F.col("segment_id"))
+    return B.overlap_warnings(x).select("segment_id")
+
+
+@query
+def knn_hamming(spark, d):
+    t = C.read_corpus(spark, d)
+    return R.ann_candidates(t["query_vectors"], R.encode(t["keyframe_embedding"], "keyframe_id"), "keyframe_id", 100).select("query_id", "keyframe_id", F.col("bits").cast("bigint").alias("bits"))
+
+
+@query
+def knn_rerank(spark, d):
+    t = C.read_corpus(spark, d)
+    return R.knn(t["query_vectors"], t["keyframe_embedding"], "keyframe_id", 100)
+
+
+@query
+def retrieve_visual(spark, d):
+    t = C.read_corpus(spark, d)
+    gone = t["query_vectors"].select("query_id", F.lit("00002").alias("video_id"))
+    return R.retrieve_visual(request(t), t, 50, 100, exclude=gone)
+
+
+@query
+def retrieve_caption(spark, d):
+    t = C.read_corpus(spark, d)
+    return R.retrieve_caption(request(t), t, 50, 100)
+
+
+@query
+def retrieve_transcript(spark, d):
+    t = C.read_corpus(spark, d)
+    return R.retrieve_transcript(request(t), t, 50, 60)
+
+
+@query
+def retrieve_ocr(spark, d):
+    t = C.read_corpus(spark, d)
+    return R.retrieve_ocr(request(t), t, 50)
+
+
+@query
+def retrieve_ocr_indexed(spark, d):
+    t = C.read_corpus(spark, d)
+    return R.lexical_hits_indexed(request(t), R.postings(t["keyframe_text"], "ocr_text", "keyframe_id"), "keyframe_id")
+
+
+@query
+def phrase_in_transcripts(spark, d):
+    t = C.read_corpus(spark, d)
+    q = request(t).withColumn("tokens", F.array(F.lit("of"), F.lit("the")))
+    return R.lexical_hits(q, t["transcript_segment"], "text", "segment_id", phrase=True, floor=0.0)
+
+
+@query
+def retrieve_asr_phrase(spark, d):
+    t = C.read_corpus(spark, d)
+    q = request(t).withColumn("tokens", F.array(F.lit("of"), F.lit("the")))
+    return R.retrieve_asr_phrase(q, t, 50)
+
+
+@query
+def retrieve_ocr_phrase(spark, d):
+    t = C.read_corpus(spark, d)
+    q = request(t).withColumn("tokens", F.array(F.lit("of"), F.lit("the"))).withColumn("phrase", F.lit("of the and in that this"))
+    return R.retrieve_ocr_phrase(q, t, 50, 0.02)
+
+
+@query
+def trigram_pairs(spark, d):
+    t = C.read_corpus(spark, d)["keyframe_text"]
+    return t.select("keyframe_id", F.round(trigram_similarity(F.substring("ocr_text", 1, 20), F.substring("ocr_text", 5, 20)), 6).alias("sim"))
+
+
+@query
+def similar_keyframes(spark, d):
+    t = C.read_corpus(spark, d)
+    return R.similar_to_keyframe(t["keyframes"].where("keyframe_id % 50 = 7").select("keyframe_id"), t, 10, 100)
+
+
+@query
+def search_two_signal(spark, d):
+    t = C.read_corpus(spark, d)
+    return flat(search(request(t), t, ["visual", "ocr"], depth=200))
+
+
+@query
+def search_full(spark, d):
+    t = C.read_corpus(spark, d)
+    return flat(search(request(t), t, ["visual", "ocr", "caption", "transcript"], depth=200))
+
+
+@query
+def search_enriched(spark, d):
+    t = C.read_corpus(spark, d)
+    x = enrich(search(request(t), t, ["visual", "ocr"], depth=200), t)
+    return x.select("query_id", "rank", "keyframe_id", "scene_id", "video_id", "shot_index", "start_ms", "ts_ms", "score", F.size("keyframes").alias("strip"))
+
+
+@query
+def search_page(spark, d):
+    t = C.read_corpus(spark, d)
+    return page(flat(search(request(t), t, ["visual", "ocr"], depth=200)), 2, 10).drop("scene_id")
+
+
+@query
+def signal_labels(spark, d):
+    t = C.read_corpus(spark, d)
+    x = merge_signal_labels(search(request(t), t, ["visual", "ocr", "caption", "transcript"], depth=200))
+    return x.withColumn("share", F.round("share", 6))
+
+
+def stage_hits(t: dict[str, DataFrame], n: int) -> DataFrame:
+    """Hits of n stages: stage s of a query searches with the query's vector, ranks weighted per stage."""
+    fused = search(request(t), t, ["visual", "ocr"], depth=500, limit=300)
+    out = link_rows(fused, t["keyframes"], 0)
+    for s in range(1, n):
+        out = out.unionByName(link_rows(fused.where(F.col("keyframe_id") % n == s), t["keyframes"], s))
+    return out
+
+
+@query
+def link_two_stages(spark, d):
+    t = C.read_corpus(spark, d)
+    x = link_chains(stage_hits(t, 2), [9000], per_video=3)
+    return x.select("query_id", "video_id", "keyframe_id", F.round("reached", 6).alias("score"), F.get("path.keyframe_id", F.lit(1)).alias("second"), F.get("gaps_ms", F.lit(0)).alias("gap"))
+
+
+@query
+def link_three_stages(spark, d):
+    t = C.read_corpus(spark, d)
+    x = link_chains(stage_hits(t, 3), [9000, 12000], limit=200, per_video=3)
+    return x.select("query_id", "video_id", "keyframe_id", "rank", F.round("reached", 6).alias("score"), F.array_join(F.transform("path", lambda p: p["keyframe_id"].cast("string")), ",").alias("path"))
+
+
+@query
+def farthest_points(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.farthest_point_select(t["keyframe_embedding"], t["keyframes"])
+
+
+@query
+def recall_at_20(spark, d):
+    t = C.read_corpus(spark, d)
+    exact = R.knn(t["query_vectors"], t["keyframe_embedding"], "keyframe_id", 1_000_000)
+    parts = [B.recall_at_k(R.knn(t["query_vectors"], t["keyframe_embedding"], "keyframe_id", n), exact, 20).withColumn("oversample", F.lit(n)) for n in (40, 100)]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def first_frame_share(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.first_frame_share(search(request(t), t, ["visual", "ocr"], depth=200), t["keyframes"])
+
+
+@query
+def score_range(spark, d):
+    t = C.read_corpus(spark, d)
+    ocr = R.lexical_hits(request(t), t["keyframe_text"], "ocr_text", "keyframe_id")
+    ocr = rank_list(ocr, ["query_id"], F.col("score").desc(), F.col("keyframe_id")).withColumn("retriever", F.lit("ocr"))
+    return B.score_range(ocr)
+
+
+@query
+def session_fold(spark, d):
+    return S.session_records(C.read_corpus(spark, d)["submissions"])
+
+
+@query
+def session_expiry(spark, d):
+    return S.sessions_by_idle(C.read_corpus(spark, d)["submissions"], 10)
+
+
+@query
+def session_snapshots(spark, d):
+    return S.session_snapshot(S.session_records(C.read_corpus(spark, d)["submissions"]))
+
+
+@query
+def hide_held(spark, d):
+    t = C.read_corpus(spark, d)
+    held = S.held_scenes(S.session_records(t["submissions"]))
+    return S.hide_held(R.retrieve_ocr(request(t), t, 50), held, 3).drop("rank")
+
+
+@query
+def job_state(spark, d):
+    return B.job_state(C.read_corpus(spark, d)["job_events"])
+
+
+@query
+def job_status(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.job_state(t["job_events"]).join(t["videos"], "video_id").groupBy("collection", "stage").agg(F.count("*").alias("n"))
+
+
+@query
+def queued_scenes(spark, d):
+    t = C.read_corpus(spark, d)
+    return B.restrict_to_queue(t["scenes"], B.job_state(t["job_events"])).select("scene_id")
+
+
+@query
+def event_hours(spark, d):
+    return event_windows(C.read(spark, d, "events"))
+
+
+@query
+def user_sessions(spark, d):
+    return session_windows(C.read(spark, d, "events"), "30 minutes")
+
+
+@query
+def query_history(spark, d):
+    log = C.read(spark, d, "events").select("user_id", F.col("event_type").alias("query"), "ts")
+    return B.query_history(log, 3).select("user_id", "query", "rank")
+
+
+@query
+def scalar_rules(spark, d):
+    t = C.read_corpus(spark, d)["transcript_segment"]
+    ms = F.col("start_ms") + F.col("segment_id") % 977
+    return t.select("segment_id", media.keyframe_count(ms).alias("keyframes"), media.format_timecode(ms).alias("code"), media.timecode_to_ms(media.format_timecode(ms)).alias("back"), media.snap_ms_to_frame(ms, F.lit(25.0)).alias("frame"), F.round(cover_rank(F.col("segment_id") % 5), 6).alias("cover"))
+
+
+@query
+def lexeme_counts(spark, d):
+    x = C.read_corpus(spark, d)["keyframe_text"].select(F.explode(lexemes(F.col("ocr_text"))).alias("token"))
+    return x.groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query
+def query_words(spark, d):
+    x = C.read_corpus(spark, d)["transcript_segment"].where("segment_id % 8 = 0")
+    return x.select("segment_id", F.array_join(distinctive_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query
+def query_stages(spark, d):
+    text = C.read_corpus(spark, d)["transcript_segment"].select("segment_id", F.trim(F.regexp_replace(F.substring("text", 1, 20), '[">]', "")).alias("w"))
+    log = text.select(F.col("segment_id").alias("query_id"), F.concat(F.col("w"), F.lit(' text:"shop" >> (30) '), F.col("w"), F.lit(" -video:00003 >> said:hello there")).alias("raw"))
+    return parse_log(log)[0].select("query_id", "stage", "free_text", "ocr_phrase", "asr_phrase", "gap_ms")
+
+
+@query
+def unit_vectors(spark, d):
+    x = C.read(spark, d, "embeddings").select("vec_id", l2_normalize(F.transform("embedding", lambda v: v * 3)).alias("u"), "embedding")
+    return x.select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(cosine_distance(F.col("u"), F.reverse("embedding")), 6).alias("mirror"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+__all__ = ["entry", "fold_text", "hamming", "oracle_sql", "queries", "rrf_fuse"]
