@@ -60,7 +60,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit:
 
 
 def collect_features(sample: DataFrame, features, bits: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, index, count) of the sample, for fitting on the driver: bounded by the sample's limit."""
+    """(label, index, count) of the sample as int32 and uint16, for fitting on the driver: bounded by the sample's limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,4 +71,4 @@ def collect_features(sample: DataFrame, features, bits: int) -> list[tuple[int,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["doc_id", "label", "i", "n"])
 
     rows = sample.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(run, "doc_id bigint, label int, i binary, n binary").toArrow().sort_by("doc_id")
-    return [(y, np.frombuffer(i, dtype="<i4").astype(np.int64), np.frombuffer(n, dtype="<u2").astype(np.float64)) for y, i, n in zip(*(rows[c].to_pylist() for c in ("label", "i", "n")), strict=True)]
+    return [(y, np.frombuffer(i, dtype="<i4"), np.frombuffer(n, dtype="<u2")) for y, i, n in zip(*(rows[c].to_pylist() for c in ("label", "i", "n")), strict=True)]

@@ -75,7 +75,7 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, grade
     return OrdinalModel(bits, w.astype(np.float32), theta())
 
 
-def fit_quality(documents: DataFrame, ratings: DataFrame, grade: str, grades: int, sample: int = 6000, rate: float = 0.1, l2: float = 1e-5, epochs: int = 3, seed: int = 7) -> OrdinalModel:
+def fit_quality(documents: DataFrame, ratings: DataFrame, grade: str, grades: int, sample: int = 4000, rate: float = 0.1, l2: float = 1e-5, epochs: int = 3, seed: int = 7) -> OrdinalModel:
     """Fit on at most `sample` rated rows outside the hold-out fold. `grade` holds 0 .. grades - 1; others are ignored."""
     own = ratings.where(F.col(grade).between(0, grades - 1))
     rows = collect_features(labelled_sample(documents, own, grade, sample), shape_features, BITS)

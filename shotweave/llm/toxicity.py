@@ -60,7 +60,7 @@ def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, alpha: f
     return ToxicityModel(bits, used, w[used].astype(np.float32), float(weigh(np.float64(bias_z), np.float64(bias_n), 0.0)))
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 8000, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 4, seed: int = 7) -> ToxicityModel:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 4000, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 4, seed: int = 7) -> ToxicityModel:
     """Fit on at most `sample` labelled rows (label `toxic`), never on the hold-out fold. No labels: a constant model."""
     rows = collect_features(labelled_sample(documents, labels, "toxic", sample), word_features, BITS)
     return fit_ftrl(rows, BITS, alpha, beta, l1, l2, epochs, seed)
