@@ -1 +1,70 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB statements for the registered queries: the corpus views, then one statement per query."""
+
+VIEWS = """with keyframes as (select vec_id keyframe_id, cast(floor(vec_id / 4) as bigint) scene_id, lpad(cast(cast(floor(vec_id / 20) as bigint) as varchar), 5, '0') video_id,
+    cast(vec_id % 4 as integer) kf_index, cast((cast(floor(vec_id / 4) as bigint) % 5) * 8000 + (vec_id % 4) * 2000 as integer) ts_ms from embeddings),
+scenes as (select *, shot_index * 8000 start_ms, shot_index * 8000 + 8000 end_ms from (select distinct scene_id, video_id, cast(scene_id % 5 as integer) shot_index from keyframes)),
+videos as (select video_id, case n % 3 when 0 then 'V3C1' when 1 then 'V3C2' else 'MVK' end collection, 40000 duration_ms, n % 4 <> 3 has_audio, n % 13 = 5 damaged
+    from (select distinct video_id, cast(video_id as integer) n from keyframes)),
+keyframe_embedding as (select vec_id keyframe_id, 1 model_id, embedding from embeddings where vec_id % 17 <> 3),
+keyframe_text as (select keyframe_id, substr(text, 1, 160) ocr_text from documents join keyframes on doc_id = keyframe_id),
+transcript_segment as (select conv_id * 8 + turn segment_id, lpad(cast(conv_id % 25 as varchar), 5, '0') video_id, cast(turn * 5000 as integer) start_ms, cast(turn * 5000 + 7000 as integer) end_ms, text from conversations),
+submissions as (select event_id, ts, cast(user_id % 12 as integer) code, cast(event_id % 125 as bigint) scene_id, lpad(cast(cast(floor(event_id % 125 / 5) as bigint) as varchar), 5, '0') video_id,
+    case event_type when 'purchase' then 'CORRECT' when 'error' then 'WRONG' when 'click' then 'INDETERMINATE' when 'view' then 'UNDECIDABLE' end status from events),
+job_events as (select lpad(cast(user_id % 25 as varchar), 5, '0') video_id, ts, event_id,
+    case event_type when 'signup' then 'PENDING' when 'view' then 'FETCHED' when 'click' then 'DECODED' when 'purchase' then 'LOADED' when 'error' then 'FAILED' end stage from events),
+query_vectors as (select cast(vec_id as integer) query_id, embedding from embeddings where vec_id % 25 = 7)
+"""
+
+NEAR = """, bits as (select q.query_id, k.keyframe_id, k.embedding e, q.embedding qe,
+    cast(list_sum(list_transform(range(1, 65), lambda i: case when (k.embedding[i] > 0) <> (q.embedding[i] > 0) then 1 else 0 end)) as bigint) bits from keyframe_embedding k, query_vectors q),
+cand as (select * from bits qualify row_number() over (partition by query_id order by bits, keyframe_id) <= {n}),
+dist as (select query_id, keyframe_id, round(1 - list_dot_product(cast(e as double[]), cast(qe as double[])) / sqrt(list_dot_product(cast(e as double[]), cast(e as double[])) * list_dot_product(cast(qe as double[]), cast(qe as double[]))), 6) distance from cand),
+knn as (select *, cast(row_number() over (partition by query_id order by distance, keyframe_id) as integer) rank from dist)
+"""
+LEX = r"regexp_extract_all(translate(lower(ocr_text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}]+')"
+OCR = f""", lex as (select keyframe_id, len(list_filter({LEX}, lambda w: w in ('the', 'der', 'que'))) n from keyframe_text),
+hits as (select keyframe_id, round(n * 0.1 / (n * 0.1 + 1), 6) score from lex where n > 0),
+ocr as (select query_id, keyframe_id, scene_id, cast(row_number() over (partition by query_id order by score desc, keyframe_id) as integer) rank from hits join keyframes using (keyframe_id), query_vectors qualify rank <= 200)
+"""
+VISUAL = NEAR.format(n=1000) + """, visual as (select query_id, keyframe_id, scene_id, cast(row_number() over (partition by query_id order by k.rank, keyframe_id) as integer) rank
+    from knn k join keyframes using (keyframe_id) qualify row_number() over (partition by query_id order by k.rank, keyframe_id) <= 200)
+"""
+FUSED = VISUAL + OCR + """, ranked as (select *, 1.0 w from visual union all select *, 4.0 from ocr),
+sums as (select query_id, keyframe_id, scene_id, sum(cast(w as double) / (60 + rank)) score from ranked group by all),
+fused as (select query_id, keyframe_id, scene_id, round(score, 6) score, cast(row_number() over (partition by query_id order by round(score, 9) desc, keyframe_id) as integer) rank from sums qualify rank <= 48)
+"""
+RECORDS = """, w as (select * replace (coalesce(status, 'INDETERMINATE') as status) from submissions),
+f as (select *, min(case when status in ('CORRECT', 'WRONG', 'UNDECIDABLE') then struct_pack(ts := ts, event_id := event_id) end) over (partition by code, scene_id) cut from w),
+g as (select * from f where cut is null or status in ('CORRECT', 'WRONG', 'UNDECIDABLE') or struct_pack(ts := ts, event_id := event_id) < cut),
+records as (select code, scene_id, arg_max(status, struct_pack(ts := ts, event_id := event_id)) status, any_value(video_id) video_id, max(event_id) last_event from g group by code, scene_id)
+"""
+
+_BODIES = {
+    "append_new": "select vec_id keyframe_id, 1 model_id from embeddings where vec_id % 17 = 3",
+    "upsert_videos": "select video_id, duration_ms + case when damaged then 1 else 0 end duration_ms, damaged from videos",
+    "replace_scenes": "select scene_id, video_id, end_ms from scenes where video_id <> '00003' union all select scene_id, video_id, end_ms - 1 from scenes where video_id = '00003' and shot_index < 2",
+    "collection_filter": "select keyframe_id, video_id from keyframes join videos using (video_id) where collection = 'V3C1' and video_id <> '00003'",
+    "scope_and_shard": "select keyframe_id from keyframes where kf_index = 0 and keyframe_id % 3 = 0",
+    "id_contains": "select video_id from videos where contains(video_id, '1')",
+    "media_paths": "select keyframe_id, p path, replace(p, 'kf/', 'thumbs/') thumb from (select keyframe_id, 'kf/' || substr(k.video_id, 1, 2) || '/' || k.video_id || '/' || lpad(cast(shot_index as varchar), 5, '0') || '_' || kf_index || '.webp' p from keyframes k join scenes using (scene_id))",
+    "segment_scenes": "select segment_id, scene_id from transcript_segment t join scenes s on t.video_id = s.video_id and s.start_ms < t.end_ms and s.end_ms > t.start_ms",
+    "pending_vectors": "select keyframe_id, video_id from keyframes where keyframe_id not in (select keyframe_id from keyframe_embedding)",
+    "scene_counts": "select video_id, count(scene_id) scenes from videos left join (select * from scenes where scene_id % 2 = 0) using (video_id) group by video_id",
+    "video_cover": "select v.video_id, c.keyframe_id from videos v left join (select s.video_id, k.keyframe_id from scenes s join keyframes k using (scene_id) where k.keyframe_id % 20 > 4 qualify row_number() over (partition by s.video_id order by shot_index, abs(ts_ms - floor((start_ms + end_ms) / 2)), keyframe_id) = 1) c using (video_id)",
+    "filmstrips": "select scene_id, string_agg(cast(keyframe_id as varchar), ',' order by ts_ms, keyframe_id) strip from keyframes group by scene_id",
+    "selection_report": "select count(distinct video_id) videos, count(*) scenes, cast(sum(n) as bigint) keyframes, count(*) filter (n < 2) short_scenes, count(*) filter (n = 0) empty_scenes from (select s.video_id, s.scene_id, count(k.keyframe_id) n from scenes s left join (select * from keyframes where keyframe_id % 3 = 0) k using (scene_id) group by all)",
+    "keyframe_index": "select keyframe_id, cast(row_number() over (partition by scene_id order by ts_ms, keyframe_id) - 1 as integer) index from keyframes where keyframe_id % 4 <> 1",
+    "purge_eligible": "select video_id, exists (select 1 from scenes s where s.video_id = v.video_id) and not exists (select 1 from scenes s where s.video_id = v.video_id and not exists (select 1 from keyframes k where k.scene_id = s.scene_id and k.scene_id % 7 <> 3)) candidates, not has_audio or exists (select 1 from transcript_segment t where t.video_id = v.video_id) audio from videos v",
+    "knn_hamming": NEAR.format(n=100) + "select query_id, keyframe_id, bits from cand",
+    "knn_rerank": NEAR.format(n=100) + "select * from knn",
+    "retrieve_ocr": OCR + "select query_id, rank, scene_id, keyframe_id from ocr where rank <= 50",
+    "search_two_signal": FUSED + "select * from fused",
+    "search_enriched": FUSED + "select query_id, rank, keyframe_id, f.scene_id, k.video_id, shot_index, start_ms, ts_ms, score, cast((select count(*) from keyframes x where x.scene_id = f.scene_id) as integer) strip from fused f join keyframes k using (keyframe_id) join scenes s on s.scene_id = f.scene_id",
+    "search_page": FUSED + "select query_id, keyframe_id, score, rank, total, total > 20 has_more from (select *, count(*) over (partition by query_id) total from fused) where rank between 11 and 20",
+    "session_fold": RECORDS + "select * from records",
+    "session_snapshots": RECORDS + "select code, count(*) instances, count(distinct video_id) distinct_videos, count(distinct case when status in ('CORRECT', 'INDETERMINATE') then video_id end) covered_videos from records group by code",
+    "hide_held": OCR + RECORDS + "select query_id, scene_id, keyframe_id from ocr where rank <= 50 and scene_id not in (select scene_id from records where code = 3 and status in ('CORRECT', 'INDETERMINATE'))",
+    "job_state": "select video_id, arg_max(stage, struct_pack(ts := ts, event_id := event_id)) stage, count(*) filter (stage = 'FAILED') failures, max(event_id) last_event from job_events group by video_id",
+    "query_history": "select user_id, query, cast(rank as integer) rank from (select user_id, event_type query, row_number() over (partition by user_id order by max(ts) desc, event_type) rank from events group by user_id, event_type) where rank <= 3",
+}
+ORACLES = {name: VIEWS + body for name, body in _BODIES.items()}
