@@ -40,7 +40,7 @@ def parse_log(log: DataFrame, gap_ms: int = 60_000, most_gap_ms: int = 600_000,
     x = x.withColumn("videos", F.regexp_extract_all("s", F.lit(EXCLUDE), F.lit(1))).withColumn("s", F.regexp_replace("s", EXCLUDE, " "))
     x = x.withColumn("legacy", F.regexp_extract_all("s", F.lit(LEGACY), F.lit(1))).withColumn("free_text", F.trim(F.regexp_replace(F.regexp_replace("s", LEGACY, " "), r"\s+", " ")))
     listed = F.concat("videos", F.flatten(F.transform("legacy", lambda v: F.split(v, ","))))
-    exclusions = x.select("query_id", F.explode(F.transform(listed, F.trim)).alias("video_id")).where("video_id <> ''").distinct()
+    exclusions = x.select("query_id", F.explode(F.transform(listed, lambda v: F.trim(v))).alias("video_id")).where("video_id <> ''").distinct()
     full = (F.col("free_text") != "") | F.col("ocr_phrase").isNotNull() | F.col("asr_phrase").isNotNull()
     x = x.withColumn("full", full).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("full").desc(), "at")))
     x = x.where("full or place = 1").where(F.col("place") <= most).withColumn("stage", F.col("place") - 1)
