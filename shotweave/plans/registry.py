@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from shotweave.functions import media
 from shotweave.functions.text import cover_rank, distinctive_tokens, fold_text, lexemes, trigram_similarity
-from shotweave.functions.vectors import cosine_distance, hamming, l2_normalize
+from shotweave.functions.vectors import cosine_distance, hamming, l2_normalize, parse_vector
 from shotweave.operators import browse as B
+from shotweave.operators import ingest as N
 from shotweave.operators import retrieve as R
+from shotweave.operators import routing as T
 from shotweave.operators import sessions as S
+from shotweave.operators.encode import embed_texts, hash_encoder
 from shotweave.operators.querylog import parse_log
 from shotweave.operators.ranking import merge_signal_labels, page, rank_list, rrf_fuse
 from shotweave.operators.search import enrich, filmstrip, link_chains, link_rows, search
@@ -442,6 +445,208 @@ def unit_vectors(spark, d):
     return x.select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(cosine_distance(F.col("u"), F.reverse("embedding")), 6).alias("mirror"))
 
 
+FOLDERS = ["work/raw", "data"]
+
+
+def files(t: dict[str, DataFrame]) -> DataFrame:
+    """A file listing: which videos have raw files, web copies and shot boundaries."""
+    n = F.col("video_id").cast("int")
+    rules = [("work/raw/", ".mp4", n % 3 == 0), ("work/raw/", ".mkv", n % 4 == 1), ("data/", ".webm", n % 5 < 3), ("data/", ".mp4", n % 7 == 2), ("web/", ".mp4", n % 6 < 4), ("shots/", ".scenes.txt", n % 2 == 0), ("shots/", ".tsv", n % 3 == 1), ("shots/9", ".csv", n % 11 == 0)]
+    paths = F.array(*[F.when(rule, F.concat(F.lit(a), F.col("video_id"), F.lit(b))) for a, b, rule in rules])
+    return t["videos"].select(F.explode(F.filter(paths, lambda p: p.isNotNull())).alias("path"))
+
+
+def boundary_files(t: dict[str, DataFrame]) -> DataFrame:
+    """The shots of each video as a text in one of three layouts."""
+    n = F.col("video_id").cast("int") % 3
+    start, end = F.col("start_ms"), F.col("end_ms")
+    seconds = lambda c: F.format_string("%d.%03d", F.floor(c / 1000), c % 1000)
+    named = F.concat_ws("\t", (start / 40).cast("int").cast("string"), seconds(start), (end / 40).cast("int").cast("string"), seconds(end))
+    line = F.when(n == 0, named).when(n == 1, F.concat_ws(",", seconds(start), seconds(end))).otherwise(F.concat_ws(" ", media.format_timecode(start), media.format_timecode(end)))
+    x = t["scenes"].groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct("shot_index", line.alias("line")))).alias("l"))  # a video's shots are few
+    head = F.when(n == 0, "# shots\nStart Frame\tstart\tEnd Frame\tend\n").otherwise("")
+    return x.select("video_id", F.concat(head, F.array_join("l.line", "\n")).alias("text"))
+
+
+def decode_log(t: dict[str, DataFrame]) -> DataFrame:
+    n = F.col("event_id") % 120
+    return t["job_events"].select("video_id", n.cast("bigint").alias("candidates"), media.decode_outcome(n, F.lit(80), F.col("stage") == "FAILED").alias("outcome"))
+
+
+@query
+def shot_boundaries(spark, d):
+    t = C.read_corpus(spark, d)
+    return N.parse_shot_boundaries(boundary_files(t), t["videos"])[0]
+
+
+@query
+def source_files(spark, d):
+    t = C.read_corpus(spark, d)
+    return N.source_file(t["videos"], files(t), FOLDERS)
+
+
+@query
+def paired_files(spark, d):
+    return N.pair_files(files(C.read_corpus(spark, d)), FOLDERS, "shots")
+
+
+@query
+def decode_worklist(spark, d):
+    t = C.read_corpus(spark, d)
+    return N.decode_worklist(t["videos"], t["keyframes"].where("video_id > '00004'"), files(t), FOLDERS, "web")
+
+
+@query
+def select_worklist(spark, d):
+    t = C.read_corpus(spark, d)
+    return N.select_worklist(t["videos"], t["scenes"].where("video_id <> '00001'"), t["keyframes"].where("video_id > '00007'"))
+
+
+@query
+def decode_report(spark, d):
+    return N.decode_report(decode_log(C.read_corpus(spark, d)))
+
+
+@query
+def caption_report(spark, d):
+    t = C.read_corpus(spark, d)
+    return N.stage_report(t["keyframes"].where("kf_index = 0"), t["keyframe_caption"], ["keyframe_id"], "caption")
+
+
+@query
+def keyframe_fallbacks(spark, d):
+    t = C.read_corpus(spark, d)
+    x = t["keyframes"].join(C.read(spark, d, "embeddings").select(F.col("vec_id").alias("keyframe_id"), "embedding"), "keyframe_id").where("keyframe_id % 20 > 3")
+    x = x.select("scene_id", (F.col("ts_ms") / 40).cast("int").alias("frame"), F.abs(F.get("embedding", F.lit(0))).alias("luma_std"), ((F.col("scene_id") % 3 == 1) | (F.col("kf_index") == 0)).alias("degenerate"))
+    frames = t["scenes"].withColumn("start_frame", (F.col("start_ms") / 40).cast("int")).withColumn("end_frame", (F.col("end_ms") / 40).cast("int"))
+    return N.keyframe_fallbacks(frames, x)
+
+
+@query
+def recognised_text(spark, d):
+    """Words of a text as recognised lines, the confidence by their length."""
+    x = C.read_corpus(spark, d)["keyframe_text"]
+    lines = F.transform(F.split("ocr_text", " "), lambda w: F.struct(w.alias("text"), (F.length(w) / 10).alias("confidence")))
+    return x.select("keyframe_id", N.ocr_lines(lines).alias("text"))
+
+
+@query
+def enqueue_manifest(spark, d):
+    t = C.read_corpus(spark, d)
+    manifest = files(t).where("path like 'work/%' or path like 'data/%'").select(N.leading_id(F.col("path")).alias("video_id"), F.lit("V3C1").alias("collection"), F.col("path").alias("source_uri"))
+    return N.enqueue(manifest, t["job_events"].where("video_id < '00010'"))
+
+
+def sourced(t: dict[str, DataFrame]) -> DataFrame:
+    """Queries with the sources and the collection that they ask for."""
+    q = F.col("query_id")
+    named = F.when(q % 4 == 0, F.array(F.lit(" ASR "), F.lit("nowhere"))).when(q % 4 == 1, F.array(F.lit("ocr"), F.lit("visual"))).when(q % 4 == 2, F.array(F.lit("sound"))).otherwise(F.array().cast("array<string>"))
+    return t["query_vectors"].select("query_id", named.alias("sources"), F.when(q % 3 == 0, "mvk").when(q % 3 == 1, "V3C2").alias("collection"))
+
+
+@query
+def permitted_retrievers(spark, d):
+    return T.gate_sources(sourced(C.read_corpus(spark, d)))
+
+
+@query
+def search_gated(spark, d):
+    t = C.read_corpus(spark, d)
+    q = request(t)
+    ranked = R.retrieve_visual(q, t).withColumn("retriever", F.lit("visual")).unionByName(R.retrieve_ocr(q, t).withColumn("retriever", F.lit("ocr")))
+    return flat(rrf_fuse(T.gate(ranked, T.gate_sources(sourced(t))), {"ocr": 4.0}, limit=48))
+
+
+@query
+def routed_models(spark, d):
+    t = C.read_corpus(spark, d)
+    models = t["keyframe_embedding"].select("model_id").unionByName(t["caption_embedding"].select("model_id")).distinct().withColumn("name", F.concat(F.lit("m"), F.col("model_id").cast("string")))
+    return T.route_model(sourced(t), models, "MVK:m10, v3c2:unknown,broken", "m1").select("query_id", "model_id")
+
+
+@query
+def models_with_rows(spark, d):
+    t = C.read_corpus(spark, d)
+    models = C.read(spark, d, "region").select((F.col("r_regionkey") * 5).cast("int").alias("model_id"))
+    return T.registered_models_with_rows(models, t["transcript_embedding"])
+
+
+@query
+def stage_summary(spark, d):
+    """Stages and exclusions of a query log, with hits and chains of the stages of a linked search."""
+    t = C.read_corpus(spark, d)
+    log = t["query_vectors"].select("query_id", F.lit('the text:"open" >> (9) der said:"no way"').alias("raw"))
+    hits = stage_hits(t, 2)
+    return T.temporal_summary(parse_log(log)[0], hits, link_chains(hits, [9000], per_video=3))
+
+
+@query
+def used_signals(spark, d):
+    t = C.read_corpus(spark, d)
+    q = request(t)
+    return T.signals_used(R.retrieve_visual(q, t, 50, 100).withColumn("retriever", F.lit("visual")).unionByName(R.retrieve_ocr(q, t, 50).withColumn("retriever", F.lit("ocr"))).withColumn("stage", F.col("query_id") % 2))
+
+
+@query
+def video_details(spark, d):
+    t = C.read_corpus(spark, d)
+    return T.video_details(t["videos"], t["videos"].where("video_id < '00009'").select("video_id")).select("video_id", "collection", "seconds")
+
+
+@query
+def scene_details(spark, d):
+    t = C.read_corpus(spark, d)
+    return T.scene_details(t["scenes"], t["keyframes"].where("keyframe_id % 9 <> 2"), t["query_vectors"].select(F.floor(F.col("query_id") / 4).alias("scene_id"))).select("scene_id", "shot_index", "keyframe_id")
+
+
+@query
+def session_list(spark, d):
+    w = C.read_corpus(spark, d)["submissions"]
+    return T.session_list(w, F.lit(1704070800000 + 6 * 3600 * 1000).cast("bigint")).select("code", "instances", (F.col("expires_in_ms") > 0).alias("alive"))
+
+
+@query
+def chains_enriched(spark, d):
+    t = C.read_corpus(spark, d)
+    gone = t | {"keyframes": t["keyframes"].where("keyframe_id % 10 <> 3")}
+    x = T.enrich_chains(link_chains(stage_hits(t, 2), [9000], limit=100, per_video=3), gone)
+    return x.select("query_id", "rank", F.round("score", 6).alias("score"), F.array_join(F.transform("scenes", lambda s: F.concat_ws("/", s["video_id"], s["shot_index"].cast("string"), s["keyframe_id"].cast("string"))), ",").alias("scenes"))
+
+
+@query
+def already_submitted(spark, d):
+    t = C.read_corpus(spark, d)
+    log = t["submissions"].where("status = 'CORRECT'").select("video_id", (F.col("scene_id") * 4 + F.col("event_id") % 4).alias("keyframe_id"))
+    found = R.retrieve_ocr(request(t), t, 50).join(t["keyframes"].select("keyframe_id", "video_id"), "keyframe_id")
+    return T.already_submitted(found, log).select("query_id", "keyframe_id", "submitted")
+
+
+@query
+def stability(spark, d):
+    t = C.read_corpus(spark, d)
+    run = lambda: flat(search(request(t), t, ["visual", "ocr"]))
+    return T.stability_check(run(), run())
+
+
+@query
+def caption_vectors(spark, d):
+    t = C.read_corpus(spark, d)
+    return embed_texts(t["keyframe_caption"].where("caption <> ''"), "caption", hash_encoder(), 10).select("keyframe_id", "model_id", F.size("embedding").alias("dims"))
+
+
+@query
+def loaded_vectors(spark, d):
+    x = C.read(spark, d, "embeddings").select("vec_id", F.to_json("embedding").alias("literal"))
+    v = parse_vector(F.col("literal"), 64)
+    return x.select("vec_id", F.round(F.get(v, F.lit(63)), 6).alias("last"), F.size(v).alias("dims"))
+
+
+@query
+def submission_checks(spark, d):
+    x = C.read(spark, d, "events").select((F.floor(F.col("event_id") / 3)).alias("answer_set"), (F.col("event_id") % 3).alias("answer"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("media_item"), F.when(F.col("user_id") % 2 == 0, "V3C1").otherwise(" ").alias("collection"), F.when(F.col("user_id") % 3 == 0, "said").when(F.col("user_id") % 3 == 1, " ").alias("text"))
+    return B.submission_check(x).select("answer_set", "valid", F.coalesce("reason", F.lit("")).alias("reason"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
