@@ -12,34 +12,154 @@ submissions as (select event_id, ts, cast(user_id % 12 as integer) code, cast(ev
     case event_type when 'purchase' then 'CORRECT' when 'error' then 'WRONG' when 'click' then 'INDETERMINATE' when 'view' then 'UNDECIDABLE' end status from events),
 job_events as (select lpad(cast(user_id % 25 as varchar), 5, '0') video_id, ts, event_id,
     case event_type when 'signup' then 'PENDING' when 'view' then 'FETCHED' when 'click' then 'DECODED' when 'purchase' then 'LOADED' when 'error' then 'FAILED' end stage from events),
+keyframe_caption as (select keyframe_id, substr(text, 161, 160) caption from documents join keyframes on doc_id = keyframe_id where kf_index = 0),
+caption_embedding as (select vec_id - 1 keyframe_id, 10 model_id, embedding from embeddings where vec_id % 4 = 1),
+transcript_embedding as (select segment_id, 10 model_id, embedding from (select segment_id, segment_id % (select count(*) from embeddings) vec_id from transcript_segment) join embeddings using (vec_id)),
+files as (select unnest(list_filter([case when n % 3 = 0 then 'work/raw/' || video_id || '.mp4' end, case when n % 4 = 1 then 'work/raw/' || video_id || '.mkv' end, case when n % 5 < 3 then 'data/' || video_id || '.webm' end,
+    case when n % 7 = 2 then 'data/' || video_id || '.mp4' end, case when n % 6 < 4 then 'web/' || video_id || '.mp4' end, case when n % 2 = 0 then 'shots/' || video_id || '.scenes.txt' end,
+    case when n % 3 = 1 then 'shots/' || video_id || '.tsv' end, case when n % 11 = 0 then 'shots/9' || video_id || '.csv' end], lambda p: p is not null)) path from (select video_id, cast(video_id as integer) n from videos)),
+named_files as (select path, regexp_extract(path, '([^/.]*)[^/]*$', 1) video_id, regexp_extract(path, '^(.*)/', 1) folder, regexp_extract(path, '[.]([^./]+)$', 1) kind from files),
+sources as (select video_id, arg_min(path, struct_pack(f := case folder when 'work/raw' then 1 else 2 end, k := list_position(['mp4', 'mkv', 'webm', 'avi', 'mov'], kind))) path from named_files where folder in ('work/raw', 'data') group by video_id),
 query_vectors as (select cast(vec_id as integer) query_id, embedding from embeddings where vec_id % 25 = 7)
 """
 
-NEAR = """, bits as (select q.query_id, k.keyframe_id, k.embedding e, q.embedding qe,
-    cast(list_sum(list_transform(range(1, 65), lambda i: case when (k.embedding[i] > 0) <> (q.embedding[i] > 0) then 1 else 0 end)) as bigint) bits from keyframe_embedding k, query_vectors q),
-cand as (select * from bits qualify row_number() over (partition by query_id order by bits, keyframe_id) <= {n}),
-dist as (select query_id, keyframe_id, round(1 - list_dot_product(cast(e as double[]), cast(qe as double[])) / sqrt(list_dot_product(cast(e as double[]), cast(e as double[])) * list_dot_product(cast(qe as double[]), cast(qe as double[]))), 6) distance from cand),
-knn as (select *, cast(row_number() over (partition by query_id order by distance, keyframe_id) as integer) rank from dist)
+def near(p: str, table: str, key: str, n: int) -> str:
+    """Two-phase search: the n nearest sign codes, ranked by cosine distance, as <p>knn."""
+    return f""", {p}bits as (select q.query_id, k.{key}, k.embedding e, q.embedding qe,
+    cast(list_sum(list_transform(range(1, 65), lambda i: case when (k.embedding[i] > 0) <> (q.embedding[i] > 0) then 1 else 0 end)) as bigint) bits from {table} k, query_vectors q),
+{p}cand as (select * from {p}bits qualify row_number() over (partition by query_id order by bits, {key}) <= {n}),
+{p}dist as (select query_id, {key}, round(1 - list_dot_product(cast(e as double[]), cast(qe as double[])) / sqrt(list_dot_product(cast(e as double[]), cast(e as double[])) * list_dot_product(cast(qe as double[]), cast(qe as double[]))), 6) distance from {p}cand),
+{p}knn as (select *, cast(row_number() over (partition by query_id order by distance, {key}) as integer) rank from {p}dist)
 """
+
+
+def expand(p: str, places: str, depth: int) -> str:
+    """All keyframes of placed scenes (query_id, place, scene_id), as <p>."""
+    return f""", {p} as (select query_id, scene_id, keyframe_id, cast(row_number() over (partition by query_id order by place, ts_ms, keyframe_id) as integer) rank from {places} join keyframes using (scene_id)
+    qualify row_number() over (partition by query_id order by place, ts_ms, keyframe_id) <= {depth})
+"""
+
+
+def caption(n: int, depth: int) -> str:
+    return near("c", "caption_embedding", "keyframe_id", n) + f""", cplace as (select query_id, scene_id, row_number() over (partition by query_id order by c.rank, keyframe_id) place from cknn c join keyframes using (keyframe_id)
+    qualify row_number() over (partition by query_id order by c.rank, keyframe_id) <= {depth})
+""" + expand("caption", "cplace", depth)
+
+
+def transcript(n: int, depth: int) -> str:
+    return near("t", "transcript_embedding", "segment_id", n) + f""", tfirst as (select query_id, scene_id, min(t.rank) hit from tknn t join transcript_segment x using (segment_id) join scenes s on s.video_id = x.video_id and s.start_ms < x.end_ms and s.end_ms > x.start_ms group by all),
+tplace as (select query_id, scene_id, row_number() over (partition by query_id order by hit, scene_id) place from tfirst qualify place <= {depth})
+""" + expand("transcript", "tplace", depth)
+
+
 LEX = r"regexp_extract_all(translate(lower(ocr_text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}]+')"
 OCR = f""", lex as (select keyframe_id, len(list_filter({LEX}, lambda w: w in ('the', 'der', 'que'))) n from keyframe_text),
 hits as (select keyframe_id, round(n * 0.1 / (n * 0.1 + 1), 6) score from lex where n > 0),
 ocr as (select query_id, keyframe_id, scene_id, cast(row_number() over (partition by query_id order by score desc, keyframe_id) as integer) rank from hits join keyframes using (keyframe_id), query_vectors qualify rank <= 200)
 """
-VISUAL = NEAR.format(n=1000) + """, visual as (select query_id, keyframe_id, scene_id, cast(row_number() over (partition by query_id order by k.rank, keyframe_id) as integer) rank
+VISUAL = near("", "keyframe_embedding", "keyframe_id", 1000) + """, visual as (select query_id, keyframe_id, scene_id, cast(row_number() over (partition by query_id order by k.rank, keyframe_id) as integer) rank
     from knn k join keyframes using (keyframe_id) qualify row_number() over (partition by query_id order by k.rank, keyframe_id) <= 200)
 """
 FUSED = VISUAL + OCR + """, ranked as (select *, 1.0 w from visual union all select *, 4.0 from ocr),
 sums as (select query_id, keyframe_id, scene_id, sum(cast(w as double) / (60 + rank)) score from ranked group by all),
 fused as (select query_id, keyframe_id, scene_id, round(score, 6) score, cast(row_number() over (partition by query_id order by round(score, 9) desc, keyframe_id) as integer) rank from sums qualify rank <= 48)
 """
+FULL = VISUAL + OCR + caption(1000, 200) + transcript(500, 200) + """, ranked as (select query_id, rank, scene_id, keyframe_id, 'visual' retriever, 1.0 w from visual union all select query_id, rank, scene_id, keyframe_id, 'text', 4.0 from ocr
+    union all select query_id, rank, scene_id, keyframe_id, 'caption', 1.0 from caption union all select query_id, rank, scene_id, keyframe_id, 'speech', 1.0 from transcript),
+parts as (select query_id, keyframe_id, scene_id, retriever, sum(cast(w as double) / (60 + rank)) part, min(rank) best from ranked group by all),
+sums as (select query_id, keyframe_id, min(scene_id) scene_id, sum(part) score from parts group by all),
+fused as (select query_id, keyframe_id, scene_id, round(score, 6) score, cast(row_number() over (partition by query_id order by round(score, 9) desc, keyframe_id) as integer) rank from sums qualify rank <= 48)
+"""
+WORDS = LEX.replace("ocr_text", "text")
+PHRASE = f""", plex as (select segment_id, video_id, start_ms, end_ms, {WORDS} w from transcript_segment),
+pn as (select *, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' and w[i + 1] = 'the')) n from plex),
+phrases as (select query_id, segment_id, round(n * 0.1 / (n * 0.1 + 1), 6) score, video_id, start_ms, end_ms from pn, query_vectors where n > 0)
+"""
+LINKED = VISUAL.replace("<= 200)", "<= 500)") + OCR.replace("<= 200)", "<= 500)") + """, ranked as (select *, 1.0 w from visual union all select *, 4.0 from ocr),
+sums as (select query_id, keyframe_id, scene_id, sum(cast(w as double) / (60 + rank)) score from ranked group by all),
+fused as (select query_id, keyframe_id, scene_id, score, row_number() over (partition by query_id order by round(score, 9) desc, keyframe_id) rank from sums qualify rank <= 300),
+stage_hits as (select f.query_id, k.video_id, f.scene_id, f.keyframe_id, k.ts_ms, f.score, f.keyframe_id % 2 = 1 later from fused f join keyframes k using (keyframe_id)),
+pairs as (select a.query_id, a.video_id, a.scene_id, a.keyframe_id, b.keyframe_id as second, b.ts_ms - a.ts_ms gap, a.score + b.score reached
+    from stage_hits a join stage_hits b on a.query_id = b.query_id and a.video_id = b.video_id and b.later and a.scene_id <> b.scene_id and b.ts_ms > a.ts_ms and b.ts_ms - a.ts_ms < 9000
+    qualify row_number() over (partition by a.query_id, a.video_id, a.keyframe_id order by round(b.score, 9) desc, b.ts_ms, b.keyframe_id) = 1),
+chains as (select * from pairs qualify row_number() over (partition by query_id, video_id order by round(reached, 9) desc, scene_id, keyframe_id) <= 3)
+"""
+GRAMS = lambda s: f"list_distinct(flatten(list_transform({LEX.replace('ocr_text', s)}, lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+SIMILAR = lambda a, b: f"coalesce(len(list_intersect({GRAMS(a)}, {GRAMS(b)})) / nullif(len(list_distinct(list_concat({GRAMS(a)}, {GRAMS(b)}))), 0), 0)"
 RECORDS = """, w as (select * replace (coalesce(status, 'INDETERMINATE') as status) from submissions),
 f as (select *, min(case when status in ('CORRECT', 'WRONG', 'UNDECIDABLE') then struct_pack(ts := ts, event_id := event_id) end) over (partition by code, scene_id) cut from w),
 g as (select * from f where cut is null or status in ('CORRECT', 'WRONG', 'UNDECIDABLE') or struct_pack(ts := ts, event_id := event_id) < cut),
 records as (select code, scene_id, arg_max(status, struct_pack(ts := ts, event_id := event_id)) status, any_value(video_id) video_id, max(event_id) last_event from g group by code, scene_id)
 """
 
+SOURCED = """, sourced as (select query_id, case query_id % 4 when 0 then [' ASR ', 'nowhere'] when 1 then ['ocr', 'visual'] when 2 then ['sound'] else [] end asked, case query_id % 3 when 0 then 'mvk' when 1 then 'V3C2' end collection from query_vectors),
+permitted as (select query_id, unnest(list_concat(case query_id % 4 when 0 then ['transcript'] when 1 then ['visual', 'ocr'] when 2 then [] else ['visual', 'ocr', 'transcript', 'caption'] end, ['ocr_phrase', 'asr_phrase'])) retriever from sourced)
+"""
+
 _BODIES = {
+    "corpus_counts": " union all ".join(f"select '{t}' \"table\", count(*) \"rows\" from {t}" for t in ("keyframes", "scenes", "videos", "keyframe_embedding", "keyframe_text", "keyframe_caption", "caption_embedding", "transcript_segment", "transcript_embedding", "submissions", "job_events", "query_vectors")),
+    "corpus_violations": "select 'segment_past_end' rule, cast(segment_id as varchar) key from transcript_segment join videos using (video_id) where end_ms > duration_ms union all select 'segment_video', cast(segment_id as varchar) from transcript_segment where video_id not in (select video_id from videos) union all select 'segment_order', cast(segment_id as varchar) from transcript_segment where end_ms < start_ms union all select 'scene_order', cast(scene_id as varchar) from scenes where end_ms < start_ms union all select 'scene_video', cast(scene_id as varchar) from scenes where video_id not in (select video_id from videos) union all select 'keyframe_scene', cast(keyframe_id as varchar) from keyframes where scene_id not in (select scene_id from scenes) union all select 'keyframe_unique', cast(min(keyframe_id) as varchar) from keyframes group by scene_id, kf_index having count(*) > 1",
+    "pending_text": "select keyframe_id from keyframes where keyframe_id not in (select keyframe_id from keyframe_text)",
+    "pending_captions": "select keyframe_id from keyframes where kf_index = 0 and keyframe_id not in (select keyframe_id from keyframe_caption)",
+    "pending_transcripts": "select video_id from videos where has_audio and video_id not in (select video_id from transcript_segment)",
+    "pending_text_vectors": "select keyframe_id from keyframe_caption where caption <> '' and keyframe_id not in (select keyframe_id from caption_embedding)",
+    "videos_complete": "select video_id from videos v where exists (select 1 from scenes s where s.video_id = v.video_id) and not exists (select 1 from scenes s where s.video_id = v.video_id and s.scene_id not in (select k.scene_id from keyframes k join keyframe_embedding using (keyframe_id) where keyframe_id % 20 <> 1 and k.scene_id % 7 <> 3))",
+    "browse_videos": "select v.video_id, v.collection, 40 as seconds, c.keyframe_id, (select count(*) from scenes s where s.video_id = v.video_id) scenes from (select * from videos order by video_id limit 10) v left join (select s.video_id, k.keyframe_id from scenes s join keyframes k using (scene_id) qualify row_number() over (partition by s.video_id order by shot_index, abs(ts_ms - floor((start_ms + end_ms) / 2)), keyframe_id) = 1) c using (video_id)",
+    "browse_scenes": "select scene_id, shot_index, start_ms, end_ms, cast(len(k) as integer) keyframes, k[cast(floor(len(k) / 2) as integer) + 1] thumbnail from (select s.scene_id, s.shot_index, s.start_ms, s.end_ms, list(keyframe_id order by ts_ms, keyframe_id) k from scenes s join keyframes k using (scene_id) where s.video_id = '00002' group by all)",
+    "overlapping_segments": "select segment_id from (select segment_id, start_ms, lag(end_ms) over (partition by video_id order by segment_id) before from transcript_segment) where start_ms < before",
+    "retrieve_visual": near("", "keyframe_embedding", "keyframe_id", 100) + "select query_id, cast(row_number() over (partition by query_id order by x.rank, keyframe_id) as integer) rank, scene_id, keyframe_id from knn x join keyframes using (keyframe_id) where video_id <> '00002' qualify row_number() over (partition by query_id order by x.rank, keyframe_id) <= 50",
+    "retrieve_caption": caption(100, 50) + "select query_id, rank, scene_id, keyframe_id from caption",
+    "retrieve_transcript": transcript(60, 50) + "select query_id, rank, scene_id, keyframe_id from transcript",
+    "retrieve_ocr_indexed": OCR + "select query_id, keyframe_id, score from hits, query_vectors",
+    "phrase_in_transcripts": PHRASE + "select query_id, segment_id, score from phrases",
+    "retrieve_asr_phrase": PHRASE + """, scored as (select query_id, scene_id, max(score) score from phrases p join scenes s on s.video_id = p.video_id and s.start_ms < p.end_ms and s.end_ms > p.start_ms group by all),
+places as (select query_id, scene_id, row_number() over (partition by query_id order by score desc, scene_id) place from scored qualify place <= 50)""" + expand("found", "places", 50) + "select query_id, rank, scene_id, keyframe_id from found",
+    "trigram_pairs": f"select keyframe_id, round({SIMILAR('substr(ocr_text, 1, 20)', 'substr(ocr_text, 5, 20)')}, 6) sim from keyframe_text",
+    "retrieve_ocr_phrase": f""", elex as (select keyframe_id, ocr_text, {LEX} w from keyframe_text),
+en as (select *, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' and w[i + 1] = 'the')) n from elex),
+exact as (select query_id, keyframe_id, scene_id, round(n * 0.1 / (n * 0.1 + 1), 6) score, 0 source from en join keyframes using (keyframe_id), query_vectors where n > 0 qualify row_number() over (partition by query_id order by score desc, keyframe_id) <= 50),
+sim as (select keyframe_id, round({SIMILAR('ocr_text', "'of the and in that this'")}, 6) score from keyframe_text),
+alike as (select query_id, keyframe_id, scene_id, score, 1 source from sim join keyframes using (keyframe_id), query_vectors q where score >= 0.02 and not exists (select 1 from exact e where e.query_id = q.query_id and e.scene_id = keyframes.scene_id)),
+found as (select *, cast(row_number() over (partition by query_id order by source, score desc, keyframe_id) as integer) rank from (select * from exact union all select * from alike))
+select query_id, rank, scene_id, keyframe_id from found where rank <= 50""",
+    "similar_keyframes": ", given as (select keyframe_id query_id, embedding from keyframe_embedding where keyframe_id % 50 = 7)" + near("", "keyframe_embedding", "keyframe_id", 100).replace("query_vectors q", "given q") + "select query_id, cast(x.rank as integer) rank, scene_id, keyframe_id, round(1.0 / x.rank, 6) score from knn x join keyframes using (keyframe_id) where x.rank <= 11 and query_id <> keyframe_id",
+    "search_full": FULL + "select * from fused",
+    "signal_labels": FULL + "select p.query_id, p.keyframe_id, retriever label, cast(best as integer) best, round(part, 6) share, cast(row_number() over (partition by p.query_id, p.keyframe_id order by round(part, 9) desc, best, retriever) as integer) place from parts p join fused f on f.query_id = p.query_id and f.keyframe_id = p.keyframe_id",
+    "link_two_stages": LINKED + "select query_id, video_id, keyframe_id, round(reached, 6) score, second, gap from chains",
+    "chains_enriched": LINKED + ", ranked_chains as (select *, cast(row_number() over (partition by query_id order by round(reached, 9) desc, scene_id, video_id, keyframe_id) as integer) rank from chains qualify rank <= 100) select query_id, rank, round(reached, 6) score, a.video_id || '/' || a.scene_id % 5 || '/' || a.keyframe_id || ',' || a.video_id || '/' || b.scene_id % 5 || '/' || second scenes from ranked_chains a join keyframes b on b.keyframe_id = second where a.keyframe_id % 10 <> 3 and second % 10 <> 3",
+    "recall_at_20": near("", "keyframe_embedding", "keyframe_id", 1000000) + near("a", "keyframe_embedding", "keyframe_id", 40) + near("b", "keyframe_embedding", "keyframe_id", 100) + "select query_id, round(count(*) filter (exists (select 1 from aknn a where a.query_id = k.query_id and a.keyframe_id = k.keyframe_id and a.rank <= 20)) / count(*), 6) recall, 40 oversample from knn k where rank <= 20 group by query_id union all select query_id, round(count(*) filter (exists (select 1 from bknn a where a.query_id = k.query_id and a.keyframe_id = k.keyframe_id and a.rank <= 20)) / count(*), 6), 100 from knn k where rank <= 20 group by query_id",
+    "first_frame_share": FUSED + "select query_id, round(avg(case when kf_index = 0 then 1 else 0 end), 6) share from fused join keyframes using (keyframe_id) where rank <= 15 group by query_id",
+    "score_range": OCR + "select 'ocr' retriever, min(score) low, max(score) high from (select score from hits order by score desc, keyframe_id limit 20)",
+    "session_expiry": "select code, instance, min(event_id) first_event, max(event_id) last_event, count(*) writes from (select *, cast(sum(case when gap > 600 then 1 else 0 end) over (partition by code order by ts, event_id) as bigint) instance from (select *, epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) over (partition by code order by ts, event_id))) gap from submissions)) group by code, instance",
+    "job_status": ", state as (select video_id, arg_max(stage, struct_pack(ts := ts, event_id := event_id)) stage from job_events group by video_id) select collection, stage, count(*) n from state join videos using (video_id) group by all",
+    "queued_scenes": ", state as (select video_id, arg_max(stage, struct_pack(ts := ts, event_id := event_id)) stage from job_events group by video_id), queue as (select video_id from state where stage <> 'FAILED') select scene_id from scenes where video_id in (select video_id from queue) or not exists (select 1 from queue)",
+    "lexeme_counts": f"select token, count(*) n from (select unnest({LEX}) token from keyframe_text) group by token",
+    "scalar_rules": "select segment_id, cast(greatest(2, least(32, ceil(ms / 4000))) as integer) keyframes, printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) code, ms back, cast(floor(ms / 1000 * 25 + 0.5) as bigint) frame, round(n * 0.1 / (n * 0.1 + 1), 6) cover from (select segment_id, cast(start_ms + segment_id % 977 as bigint) ms, cast(segment_id % 5 as integer) n from transcript_segment)",
+    "unit_vectors": "select vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) first, round(1 - list_dot_product(e, list_reverse(e)) / list_dot_product(e, e), 6) mirror from (select vec_id, cast(embedding as double[]) e from embeddings)",
+    "shot_boundaries": "select video_id, shot_index, cast(start_ms / 40 as bigint) start_frame, cast(end_ms / 40 as bigint) end_frame, cast(start_ms as bigint) start_ms, cast(end_ms as bigint) end_ms from scenes",
+    "source_files": "select video_id, path from videos left join sources using (video_id)",
+    "paired_files": ", b as (select video_id, arg_min(path, list_position(['txt', 'tsv', 'csv'], kind)) boundary from named_files where folder = 'shots' group by video_id) select video_id, path video, boundary, case when boundary is null then 'no_boundary' when path is null then 'no_video' else 'paired' end state from sources full join b using (video_id)",
+    "decode_worklist": "select video_id, path, case when path is null then 'missing' else 'ready' end state from videos left join sources using (video_id) where not (video_id > '00004' and video_id in (select video_id from named_files where folder = 'web'))",
+    "select_worklist": "select video_id from videos where video_id <> '00001' and video_id <= '00007'",
+    "decode_report": ", log as (select event_id % 120 n, stage = 'FAILED' bad from job_events), o as (select n, case when n >= 80 * 0.98 then 'ok' when n > 0 and bad then 'damaged' else 'failed' end outcome from log) select count(*) videos, count(*) filter (outcome <> 'failed') decoded, count(*) filter (outcome = 'damaged') damaged, count(*) filter (outcome = 'failed') failed, cast(sum(n) as bigint) candidates from o",
+    "caption_report": "select case when c.keyframe_id is null then 'pending' when trim(caption) = '' then 'silent' else 'with_text' end status, count(*) n from keyframes k left join keyframe_caption c using (keyframe_id) where kf_index = 0 group by all",
+    "keyframe_fallbacks": ", cand as (select scene_id, cast(ts_ms / 40 as bigint) frame, abs(embedding[1]) std, scene_id % 3 = 1 or kf_index = 0 bad from keyframes join embeddings on vec_id = keyframe_id where keyframe_id % 20 > 3), best as (select scene_id, bool_and(bad) blank, arg_max(frame, struct_pack(std := std, f := -frame)) frame from cand group by scene_id) select scene_id, case when blank is null then 'middle' else 'textured' end rule, coalesce(frame, cast((start_ms + end_ms) / 80 as bigint)) frame from scenes left join best using (scene_id) where blank is null or blank",
+    "recognised_text": "select keyframe_id, array_to_string(list_filter(list_transform(list_filter(string_split(ocr_text, ' '), lambda w: len(w) >= 5), lambda w: trim(w)), lambda w: w <> ''), ' ') \"text\" from keyframe_text",
+    "enqueue_manifest": "select video_id, 'V3C1' collection, min(path) source_uri from named_files where folder in ('work/raw', 'data') and video_id not in (select video_id from job_events where video_id < '00010') group by video_id",
+    "permitted_retrievers": SOURCED + "select * from permitted",
+    "search_gated": FUSED.replace(", ranked as (select *, 1.0 w from visual union all select *, 4.0 from ocr)", ", ranked as (select *, 1.0 w from visual where query_id % 4 in (1, 3) union all select *, 4.0 from ocr where query_id % 4 in (1, 3))") + "select * from fused",
+    "routed_models": "select query_id, case when query_id % 3 = 0 then 10 else 1 end model_id from query_vectors",
+    "models_with_rows": "select cast(r_regionkey * 5 as integer) model_id from region where r_regionkey * 5 in (select model_id from transcript_embedding)",
+    "stage_summary": LINKED + ", n as (select query_id, count(*) filter (true) zero, count(*) filter (later) one from stage_hits group by all), c as (select query_id, count(*) chains from chains group by all) select query_id, stage, case stage when 0 then 'text:\"open\" the' else 'said:\"no way\" der' end label, cast(case stage when 1 then 9000 end as bigint) gap_ms, coalesce(case stage when 0 then zero else one end, 0) hits, coalesce(chains, 0) chains from query_vectors cross join (values (0), (1)) v(stage) left join n using (query_id) left join c using (query_id)",
+    "used_signals": OCR + "select query_id, 's' || query_id % 2 || ':visual' signal from query_vectors union all select distinct query_id, 's' || query_id % 2 || ':ocr' from ocr",
+    "video_details": "select video_id, collection, 40 as seconds from videos where video_id < '00009'",
+    "scene_details": "select s.scene_id, s.shot_index, k[cast(floor(len(k) / 2) as integer) + 1] keyframe_id from scenes s join (select scene_id, list(keyframe_id order by ts_ms, keyframe_id) k from keyframes where keyframe_id % 9 <> 2 group by scene_id) x using (scene_id) where s.scene_id in (select cast(floor(query_id / 4) as bigint) from query_vectors)",
+    "session_list": "select code, count(distinct scene_id) instances, max(epoch_ms(ts)) > 1704070800000 + 4 * 3600 * 1000 alive from submissions group by code",
+    "already_submitted": OCR + "select query_id, keyframe_id, exists (select 1 from submissions s where s.status = 'CORRECT' and s.video_id = keyframes.video_id and s.scene_id * 4 + s.event_id % 4 = keyframe_id) submitted from ocr join keyframes using (keyframe_id) where ocr.rank <= 50",
+    "stability": FUSED + "select 1 run, query_id, keyframe_id, scene_id, score, rank from fused where false",
+    "caption_vectors": "select keyframe_id, 10 model_id, 64 dims from keyframe_caption where caption <> ''",
+    "loaded_vectors": "select vec_id, round(cast(cast(embedding[64] as varchar) as double), 6) last, cast(len(embedding) as integer) dims from embeddings",
+    "submission_checks": ", a as (select cast(floor(event_id / 3) as bigint) answer_set, event_id, case when event_type <> 'view' then event_type end media_item, user_id % 2 = 0 collected, case user_id % 3 when 0 then 'said' when 1 then ' ' end said from events qualify row_number() over (partition by cast(floor(event_id / 3) as bigint) order by event_id % 3) = 1), r as (select answer_set, case when media_item is null and said is null then 'no answer' when media_item is not null and not collected then 'no collection' when media_item is null and said = ' ' then 'empty text' else '' end reason from a) select answer_set, reason = '' valid, reason from r",
     "append_new": "select vec_id keyframe_id, 1 model_id from embeddings where vec_id % 17 = 3",
     "upsert_videos": "select video_id, duration_ms + case when damaged then 1 else 0 end duration_ms, damaged from videos",
     "replace_scenes": "select scene_id, video_id, end_ms from scenes where video_id <> '00003' union all select scene_id, video_id, end_ms - 1 from scenes where video_id = '00003' and shot_index < 2",
@@ -55,8 +175,8 @@ _BODIES = {
     "selection_report": "select count(distinct video_id) videos, count(*) scenes, cast(sum(n) as bigint) keyframes, count(*) filter (n < 2) short_scenes, count(*) filter (n = 0) empty_scenes from (select s.video_id, s.scene_id, count(k.keyframe_id) n from scenes s left join (select * from keyframes where keyframe_id % 3 = 0) k using (scene_id) group by all)",
     "keyframe_index": "select keyframe_id, cast(row_number() over (partition by scene_id order by ts_ms, keyframe_id) - 1 as integer) index from keyframes where keyframe_id % 4 <> 1",
     "purge_eligible": "select video_id, exists (select 1 from scenes s where s.video_id = v.video_id) and not exists (select 1 from scenes s where s.video_id = v.video_id and not exists (select 1 from keyframes k where k.scene_id = s.scene_id and k.scene_id % 7 <> 3)) candidates, not has_audio or exists (select 1 from transcript_segment t where t.video_id = v.video_id) audio from videos v",
-    "knn_hamming": NEAR.format(n=100) + "select query_id, keyframe_id, bits from cand",
-    "knn_rerank": NEAR.format(n=100) + "select * from knn",
+    "knn_hamming": near("", "keyframe_embedding", "keyframe_id", 100) + "select query_id, keyframe_id, bits from cand",
+    "knn_rerank": near("", "keyframe_embedding", "keyframe_id", 100) + "select * from knn",
     "retrieve_ocr": OCR + "select query_id, rank, scene_id, keyframe_id from ocr where rank <= 50",
     "search_two_signal": FUSED + "select * from fused",
     "search_enriched": FUSED + "select query_id, rank, keyframe_id, f.scene_id, k.video_id, shot_index, start_ms, ts_ms, score, cast((select count(*) from keyframes x where x.scene_id = f.scene_id) as integer) strip from fused f join keyframes k using (keyframe_id) join scenes s on s.scene_id = f.scene_id",
