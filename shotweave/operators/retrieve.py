@@ -90,13 +90,18 @@ def retrieve_transcript(queries: DataFrame, t: dict[str, DataFrame], depth: int
     return expand_to_keyframes(first_hit_per_scene(hits, depth), t["keyframes"], depth)
 
 
-def lexical_hits(queries: DataFrame, texts: DataFrame, text: str, key: str, phrase: bool = False, floor: float = 0.01) -> DataFrame:
-    """(query_id, key, score): OR of the query's tokens, or the adjacent phrase; texts are scanned once for all queries."""
-    q = small(queries.select("query_id", "tokens"))
+def token_hits(queries: DataFrame, texts: DataFrame, text: str, key: str, phrase: bool = False, floor: float = 0.01) -> DataFrame:
+    """(tokens, key, score): OR of each distinct token list, or the adjacent phrase; texts are scanned once for all lists."""
+    q = small(queries.select("tokens").distinct())
     t = texts.select(key, lexemes(F.col(text)).alias("lex"))
     n = (phrase_occurrences if phrase else occurrences)(F.col("lex"), F.col("tokens"))
     x = t.join(q, F.size(F.array_intersect("lex", "tokens")) > 0).withColumn("n", n).where("n > 0")
-    return x.select("query_id", key, F.round(cover_rank(F.col("n")), 6).alias("score")).where(F.col("score") >= floor)
+    return x.select("tokens", key, F.round(cover_rank(F.col("n")), 6).alias("score")).where(F.col("score") >= floor)
+
+
+def lexical_hits(queries: DataFrame, texts: DataFrame, text: str, key: str, phrase: bool = False, floor: float = 0.01) -> DataFrame:
+    """(query_id, key, score): the hits of each query's tokens."""
+    return token_hits(queries, texts, text, key, phrase, floor).join(small(queries.select("query_id", "tokens")), "tokens").select("query_id", key, "score")
 
 
 def postings(texts: DataFrame, text: str, key: str) -> DataFrame:
@@ -111,20 +116,26 @@ def lexical_hits_indexed(queries: DataFrame, index: DataFrame, key: str) -> Data
     return n.select("query_id", key, F.round(cover_rank(F.col("n")), 6).alias("score"))
 
 
+def _best_texts(queries: DataFrame, t: dict[str, DataFrame], depth: int, phrase: bool = False, floor: float = 0.01, **filters) -> DataFrame:
+    """The best `depth` texts of each query; queries with equal tokens and no exclusions of their own share one ranked list."""
+    shared = filters.get("exclude") is None
+    find, by = (token_hits, "tokens") if shared else (lexical_hits, "query_id")
+    hits = allowed(find(queries, t["keyframe_text"], "ocr_text", "keyframe_id", phrase=phrase, floor=floor).join(t["keyframes"], "keyframe_id"), t["videos"], **filters)
+    best = top_k(hits, [by], depth, F.col("score").desc(), F.col("keyframe_id"))
+    return best.join(small(queries.select("query_id", "tokens")), "tokens") if shared else best
+
+
 def retrieve_ocr(queries: DataFrame, t: dict[str, DataFrame], depth: int = 200, **filters) -> DataFrame:
     """Filters apply before the cut."""
-    hits = lexical_hits(queries, t["keyframe_text"], "ocr_text", "keyframe_id").join(t["keyframes"], "keyframe_id")
-    x = allowed(hits, t["videos"], **filters)
-    return top_k(x, ["query_id"], depth, F.col("score").desc(), F.col("keyframe_id")).select("query_id", "rank", "scene_id", "keyframe_id")
+    return _best_texts(queries, t, depth, **filters).select("query_id", "rank", "scene_id", "keyframe_id")
 
 
 def retrieve_ocr_phrase(queries: DataFrame, t: dict[str, DataFrame], depth: int = 200, least: float = 0.45, **filters) -> DataFrame:
     """Phrase matches first; then, up to `depth`, trigram-similar texts of scenes that the phrase did not find."""
     kf = t["keyframes"]
-    exact = allowed(lexical_hits(queries, t["keyframe_text"], "ocr_text", "keyframe_id", phrase=True, floor=0.0).join(kf, "keyframe_id"), t["videos"], **filters)
-    exact = top_k(exact, ["query_id"], depth, F.col("score").desc(), F.col("keyframe_id")).select("query_id", "scene_id", "keyframe_id", "score", F.lit(0).alias("source"))
-    q = small(queries.select("query_id", "phrase"))
-    near = t["keyframe_text"].join(q, F.lit(True)).withColumn("score", F.round(trigram_similarity(F.col("ocr_text"), F.col("phrase")), 6)).where(F.col("score") >= least)
+    exact = _best_texts(queries, t, depth, phrase=True, floor=0.0, **filters).select("query_id", "scene_id", "keyframe_id", "score", F.lit(0).alias("source"))
+    near = t["keyframe_text"].join(small(queries.select("phrase").distinct()), F.lit(True)).withColumn("score", F.round(trigram_similarity(F.col("ocr_text"), F.col("phrase")), 6)).where(F.col("score") >= least)
+    near = near.drop("ocr_text").join(small(queries.select("query_id", "phrase")), "phrase")
     near = allowed(near.join(kf, "keyframe_id"), t["videos"], **filters).join(exact.select("query_id", "scene_id").distinct(), ["query_id", "scene_id"], "left_anti")
     both = exact.unionByName(near.select("query_id", "scene_id", "keyframe_id", "score", F.lit(1).alias("source")))
     return top_k(both, ["query_id"], depth, F.col("source"), F.col("score").desc(), F.col("keyframe_id")).select("query_id", "rank", "scene_id", "keyframe_id")

@@ -648,11 +648,15 @@ def submission_checks(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from shotweave.plans import whole
+
+    return QUERIES | whole.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from shotweave.plans import whole
+
+    return ORACLES | whole.WHOLE_ORACLES
 
 
 __all__ = ["entry", "fold_text", "hamming", "oracle_sql", "queries", "rrf_fuse"]

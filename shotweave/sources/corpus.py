@@ -18,18 +18,28 @@ def _div(a, n: int):
     return F.floor(a / n).cast("bigint")
 
 
-def read_corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The corpus tables of one directory; every column is derived, nothing is inferred from data."""
+def read_corpus(spark: SparkSession, sf_dir: str, whole: bool = False) -> dict[str, DataFrame]:
+    """The corpus tables of one directory; every column is derived, nothing is inferred from data.
+
+    With `whole`, every vector and every document is a keyframe, and texts and captions are whole. Else the views are those of
+    the SQL twins, with gaps: texts cut at 160 characters, only of documents that have a vector, and without every 17th vector.
+    """
     emb, docs, conv, events = (read(spark, sf_dir, t) for t in ("embeddings", "documents", "conversations", "events"))
     v = F.col("vec_id")
-    kf = emb.select(v.alias("keyframe_id"), _div(v, 4).alias("scene_id"), _vid(_div(v, 20)).alias("video_id"), (v % 4).cast("int").alias("kf_index"), ((_div(v, 4) % 5) * 8000 + (v % 4) * 2000).cast("int").alias("ts_ms"))
+    ids = emb.select("vec_id").unionByName(docs.where("doc_id is not null").select(F.col("doc_id").alias("vec_id"))).distinct() if whole else emb
+    kf = ids.select(v.alias("keyframe_id"), _div(v, 4).alias("scene_id"), _vid(_div(v, 20)).alias("video_id"), (v % 4).cast("int").alias("kf_index"), ((_div(v, 4) % 5) * 8000 + (v % 4) * 2000).cast("int").alias("ts_ms"))
     scenes = kf.select("scene_id", "video_id").distinct().withColumn("shot_index", (F.col("scene_id") % 5).cast("int"))
     scenes = scenes.withColumn("start_ms", F.col("shot_index") * 8000).withColumn("end_ms", F.col("start_ms") + 8000)
     n = F.col("video_id").cast("int")
     videos = kf.select("video_id").distinct().select(
         "video_id", F.when(n % 3 == 0, "V3C1").when(n % 3 == 1, "V3C2").otherwise("MVK").alias("collection"), F.lit(25.0).alias("fps"), F.lit(40000).alias("duration_ms"), (n % 4 != 3).alias("has_audio"), (n % 13 == 5).alias("damaged")
     )
-    text = docs.join(kf.select("keyframe_id", "kf_index"), docs["doc_id"] == F.col("keyframe_id"))
+    if whole:
+        text = docs.where("doc_id is not null").select(F.col("doc_id").alias("keyframe_id"), (F.col("doc_id") % 4).alias("kf_index"), "text")
+        ocr, caption, kept = F.col("text"), F.col("text"), emb
+    else:
+        text = docs.join(kf.select("keyframe_id", "kf_index"), docs["doc_id"] == F.col("keyframe_id"))
+        ocr, caption, kept = F.substring("text", 1, 160), F.substring("text", 161, 160), emb.where(v % 17 != 3)
     segment = F.col("conv_id") * 8 + F.col("turn")
     count = F.lit(emb.agg(F.count("*")).first()[0])
     segments = conv.select(segment.alias("segment_id"), _vid(F.col("conv_id") % 25).alias("video_id"), (F.col("turn") * 5000).cast("int").alias("start_ms"), (F.col("turn") * 5000 + 7000).cast("int").alias("end_ms"), "text")
@@ -41,9 +51,9 @@ def read_corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "keyframes": kf,
         "scenes": scenes,
         "videos": videos,
-        "keyframe_embedding": emb.where(v % 17 != 3).select(v.alias("keyframe_id"), F.lit(1).alias("model_id"), "embedding"),
-        "keyframe_text": text.select("keyframe_id", F.substring("text", 1, 160).alias("ocr_text")),
-        "keyframe_caption": text.where("kf_index = 0").select("keyframe_id", F.substring("text", 161, 160).alias("caption")),
+        "keyframe_embedding": kept.select(v.alias("keyframe_id"), F.lit(1).alias("model_id"), "embedding"),
+        "keyframe_text": text.select("keyframe_id", ocr.alias("ocr_text")),
+        "keyframe_caption": text.where("kf_index = 0").select("keyframe_id", caption.alias("caption")),
         "caption_embedding": emb.where(v % 4 == 1).select((v - 1).alias("keyframe_id"), F.lit(10).alias("model_id"), "embedding"),
         "transcript_segment": segments,
         "transcript_embedding": segments.join(emb, F.col("segment_id") % count == v).select("segment_id", F.lit(10).alias("model_id"), "embedding"),
