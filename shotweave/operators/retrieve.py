@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +43,70 @@ def exact_rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame,
     return rank_list(x, ["query_id"], F.col("distance"), F.col(key))
 
 
+#: So many queries are compared with all vectors in one pass; a task holds their vectors and one block of distances.
+BLOCK_QUERIES, BLOCK_PAIRS = 4096, 2_000_000
+
+
+def exact_candidates(queries: DataFrame, vectors: DataFrame, key: str, k: int) -> DataFrame:
+    """(query_id, key, model_id): per query and model the k nearest of each batch of vectors, with all that are as near to 6 digits.
+
+    Nothing is left out: every vector is compared with every query of its model. Vectors of no length, and null ones, have no distance.
+    """
+    q = queries.select("query_id", "model_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).where("e is not null")
+    n = q.count()
+    blocks = max(1, -(-n // BLOCK_QUERIES))
+    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[key], dict(vectors.dtypes)["model_id"]
+    v = vectors.select(F.col(key).alias("k"), "model_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).where("e is not null")
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+    def run_for(rows: list) -> Callable:
+        by: dict[tuple, list] = {}
+        for r in rows:
+            by.setdefault((r["model_id"], len(r["e"])), []).append(r)
+        sets = {m: (np.array([r["query_id"] for r in rs]), unit(np.array([r["e"] for r in rs], dtype=float))) for m, rs in by.items()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                model, size = batch.column(1).to_numpy(zero_copy_only=False), pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+                for (m, dims), (ids, qv) in sets.items():
+                    at = np.flatnonzero((model == m) & (size == dims))
+                    if not len(at):
+                        continue
+                    x = unit(batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dims))
+                    at, x = at[~np.isnan(x).any(axis=1)], x[~np.isnan(x).any(axis=1)]
+                    step = max(1, BLOCK_PAIRS // max(1, len(at)))
+                    for lo in range(0, len(ids) if len(at) else 0, step):
+                        near = qv[lo : lo + step] @ x.T
+                        least = np.partition(near, -k, axis=1)[:, -k][:, None] - 2e-6 if k < len(at) else -2.0
+                        row, col = np.nonzero(near >= least)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]).cast(types[0]), batch.column(0).take(pa.array(at[col])), pa.array(np.full(len(row), m)).cast(types[1]), pa.array(1 - near[row, col])], names=["query_id", "k", "model_id", "d"])
+
+        return run
+
+    types = [{"int": pa.int32(), "bigint": pa.int64()}[x] for x in (kinds[0], kinds[2])]
+    schema = f"query_id {kinds[0]}, k {kinds[1]}, model_id {kinds[2]}, d double"
+    parts = [v.mapInArrow(run_for(q.where(F.col("block") == b).collect()), schema) for b in range(blocks)]  # a block is bounded by BLOCK_QUERIES
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.withColumnRenamed("k", key)
+
+
+def knn_exact(queries: DataFrame, vectors: DataFrame, key: str, k: int) -> DataFrame:
+    """(query_id, key, distance, rank): the k nearest of all vectors by cosine distance, then key; no candidate cut."""
+    near = top_k(exact_candidates(queries, vectors, key, k), ["query_id"], k, F.round("d", 6), F.col(key)).drop("rank", "d")
+    return exact_rerank(near, queries, vectors, key)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, oversample: int | None) -> DataFrame:
+    """The exact k nearest, or by sign codes what `oversample` candidates hold."""
+    return knn_exact(queries, vectors, key, k) if oversample is None else knn(queries, vectors, key, oversample)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, key: str, oversample: int) -> DataFrame:
     return exact_rerank(ann_candidates(queries, encode(vectors, key), key, oversample), queries, vectors, key)
 
@@ -73,19 +142,33 @@ def first_hit_per_scene(hits: DataFrame, limit: int) -> DataFrame:
     return top_k(x, ["query_id"], limit, F.col("first"), F.col("scene_id")).select("query_id", "rank", "scene_id")
 
 
-def retrieve_visual(queries: DataFrame, t: dict[str, DataFrame], depth: int = 200, oversample: int = 1000, **filters) -> DataFrame:
-    return resolve_scenes(knn(queries, t["keyframe_embedding"], "keyframe_id", oversample), t["keyframes"], t["videos"], depth, **filters)
+def _filtered(queries: DataFrame, vectors: DataFrame, t: dict[str, DataFrame], depth: int, oversample: int | None, collection: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """Keyframes by vector; an exact search takes as many more as a query excludes, of the allowed collection only."""
+    k = depth
+    if oversample is None:
+        own = t["keyframes"].select("keyframe_id", "video_id")
+        if collection and collection.strip():
+            vectors = vectors.join(allowed(own, t["videos"], collection).select("keyframe_id"), "keyframe_id", "left_semi")
+        if exclude is not None:
+            gone = exclude.select("query_id", "video_id").distinct().join(own.groupBy("video_id").agg(F.count("*").alias("n")), "video_id").groupBy("query_id").agg(F.sum("n").alias("n"))
+            k += gone.agg(F.max("n")).first()[0] or 0
+    return resolve_scenes(nearest(queries, vectors, "keyframe_id", k, oversample), t["keyframes"], t["videos"], depth, collection, exclude)
 
 
-def retrieve_caption(queries: DataFrame, t: dict[str, DataFrame], depth: int = 200, oversample: int = 1000, **filters) -> DataFrame:
-    q = queries.withColumn("model_id", F.lit(10))
-    found = resolve_scenes(knn(q, t["caption_embedding"], "keyframe_id", oversample), t["keyframes"], t["videos"], depth, **filters)
+def retrieve_visual(queries: DataFrame, t: dict[str, DataFrame], depth: int = 200, oversample: int | None = None, **filters) -> DataFrame:
+    """Exact unless `oversample` sets a number of sign-code candidates."""
+    return _filtered(queries, t["keyframe_embedding"], t, depth, oversample, **filters)
+
+
+def retrieve_caption(queries: DataFrame, t: dict[str, DataFrame], depth: int = 200, oversample: int | None = None, **filters) -> DataFrame:
+    found = _filtered(queries.withColumn("model_id", F.lit(10)), t["caption_embedding"], t, depth, oversample, **filters)
     return expand_to_keyframes(found, t["keyframes"], depth)
 
 
-def retrieve_transcript(queries: DataFrame, t: dict[str, DataFrame], depth: int = 200, segments: int = 500, **filters) -> DataFrame:
+def retrieve_transcript(queries: DataFrame, t: dict[str, DataFrame], depth: int = 200, segments: int = 500, exact: bool = True, **filters) -> DataFrame:
+    """Shots of the nearest `segments`; exact, or by as many sign-code candidates."""
     q = queries.withColumn("model_id", F.lit(10))
-    near = knn(q, t["transcript_embedding"], "segment_id", segments).join(t["transcript_segment"].drop("text"), "segment_id")
+    near = nearest(q, t["transcript_embedding"], "segment_id", segments, None if exact else segments).join(t["transcript_segment"].drop("text"), "segment_id")
     hits = allowed(segment_scenes(near, t["scenes"]), t["videos"], **filters)
     return expand_to_keyframes(first_hit_per_scene(hits, depth), t["keyframes"], depth)
 
@@ -153,8 +236,8 @@ def retrieve_asr_phrase(queries: DataFrame, t: dict[str, DataFrame], depth: int
     return expand_to_keyframes(best_segment_per_scene(hits, depth), t["keyframes"], depth)
 
 
-def similar_to_keyframe(sources: DataFrame, t: dict[str, DataFrame], k: int = 24, oversample: int = 1000) -> DataFrame:
+def similar_to_keyframe(sources: DataFrame, t: dict[str, DataFrame], k: int = 24, oversample: int | None = None) -> DataFrame:
     """Neighbours of given keyframes: k + 1 are asked for, the keyframe itself is dropped; score 1 / rank of what was asked."""
     q = sources.select(F.col("keyframe_id").alias("query_id")).join(t["keyframe_embedding"], F.col("query_id") == F.col("keyframe_id")).select("query_id", "model_id", "embedding")
-    found = resolve_scenes(knn(q, t["keyframe_embedding"], "keyframe_id", oversample), t["keyframes"], t["videos"], k + 1)
+    found = resolve_scenes(nearest(q, t["keyframe_embedding"], "keyframe_id", k + 1, oversample), t["keyframes"], t["videos"], k + 1)
     return found.where("query_id <> keyframe_id").withColumn("score", F.round(1.0 / F.col("rank"), 6))

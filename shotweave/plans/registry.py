@@ -227,7 +227,7 @@ def retrieve_caption(spark, d):
 @query
 def retrieve_transcript(spark, d):
     t = C.read_corpus(spark, d)
-    return R.retrieve_transcript(request(t), t, 50, 60)
+    return R.retrieve_transcript(request(t), t, 50, 60, exact=False)
 
 
 @query

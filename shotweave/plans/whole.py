@@ -50,6 +50,30 @@ def whole_retrieve_caption(spark, d):
     return R.retrieve_caption(request(t), t)
 
 
+@query
+def whole_knn(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    return R.knn_exact(t["query_vectors"], t["keyframe_embedding"], "keyframe_id", 200)
+
+
+@query
+def whole_retrieve_visual(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    return R.retrieve_visual(request(t), t, exclude=t["query_vectors"].select("query_id", F.lit("00002").alias("video_id")))
+
+
+@query
+def whole_retrieve_transcript(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    return R.retrieve_transcript(request(t), t)
+
+
+@query
+def whole_similar_keyframes(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    return R.similar_to_keyframe(t["keyframe_embedding"].where("keyframe_id % 20 = 0").select("keyframe_id"), t)
+
+
 @query
 def whole_search_two_signal(spark, d):
     t = C.read_corpus(spark, d, whole=True)
@@ -131,4 +155,7 @@ WHOLE_ORACLES = {f"whole_{n}": whole(n) for n in ("retrieve_ocr", "retrieve_ocr_
     "whole_retrieve_caption": whole("retrieve_caption", CANDIDATES, DEPTH),
     "whole_trigram_pairs": WHOLE_VIEWS + f""", g as (select keyframe_id, {GRAMS('ocr_text')} g from keyframe_text)
 select a.keyframe_id, round(coalesce(len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 0), 6) sim from g a join g b on b.keyframe_id = a.keyframe_id + 1""",
+    "whole_knn": whole("knn_rerank", CANDIDATES, ("select * from knn", "select * from knn where rank <= 200")),
+    "whole_retrieve_visual": whole("retrieve_visual", CANDIDATES, DEPTH),
+    "whole_similar_keyframes": whole("similar_keyframes", CANDIDATES, ("keyframe_id % 50 = 7", "keyframe_id % 20 = 0"), ("x.rank <= 11", "x.rank <= 25")),
 }

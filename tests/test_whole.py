@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,3 +35,20 @@ def test_whole_texts_and_vectors(spark, small):
     assert {(r.query_id, r.keyframe_id) for r in R.retrieve_ocr(q, t, exclude=gone).collect()} == got - {(1, 5)}
     assert t["keyframe_embedding"].count() == 40 and t["keyframes"].count() == 60
     assert t["keyframe_caption"].where("keyframe_id = 48 and caption like '%zebra%'").count() == 1
+
+
+def test_vector_search_holds_the_nearest_of_all(spark):
+    """Recall at 20 against a ranking in numpy, for the ids divisible by 20; 1000 sign codes do not hold all of them."""
+    d = "/root/testdata/sf0.1"
+    x = pq.read_table(f"{d}/embeddings.parquet").sort_by("vec_id")
+    ids, v = x["vec_id"].to_numpy(), np.stack(x["embedding"].to_numpy()).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    asked = np.flatnonzero(ids % 20 == 0)
+    far = np.round(1 - v[asked] @ v.T, 6)
+    want = {int(ids[a]): {int(ids[j]) for j in np.lexsort((ids, f))[:20]} for a, f in zip(asked, far, strict=True)}
+    t = C.read_corpus(spark, d, whole=True)
+    q = t["keyframe_embedding"].where("keyframe_id % 20 = 0").withColumnRenamed("keyframe_id", "query_id")
+    got = {}
+    for r in R.retrieve_visual(q, t, 20).collect():
+        got.setdefault(r.query_id, set()).add(r.keyframe_id)
+    assert len(want) == 100 and np.mean([len(want[a] & got[a]) / 20 for a in want]) > 0.999
