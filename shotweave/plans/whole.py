@@ -7,14 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shotweave.functions.text import lexemes, trigram_similarity
+from shotweave.functions.text import distinctive_tokens, lexemes, trigram_similarity
+from shotweave.operators import browse as B
 from shotweave.operators import ingest as N
 from shotweave.operators import retrieve as R
 from shotweave.operators.encode import embed_texts, hash_encoder
+from shotweave.operators.querylog import parse_log
 from shotweave.operators.ranking import page
 from shotweave.operators.search import enrich, search
 from shotweave.plans.oracles import GRAMS, ORACLES, VIEWS
-from shotweave.plans.registry import Query, flat, request
+from shotweave.plans.registry import FOLDERS, Query, files, flat, request
 from shotweave.sources import corpus as C
 
 QUERIES: dict[str, Query] = {}
@@ -126,6 +128,76 @@ def whole_caption_vectors(spark, d):
     return embed_texts(t["keyframe_caption"].where("caption <> ''"), "caption", hash_encoder(), 10).select("keyframe_id", "model_id", F.size("embedding").alias("dims"))
 
 
+@query
+def whole_query_words(spark, d):
+    x = C.read_corpus(spark, d, whole=True)["transcript_segment"]
+    return x.select("segment_id", F.array_join(distinctive_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query
+def whole_query_stages(spark, d):
+    text = C.read_corpus(spark, d, whole=True)["transcript_segment"].select("segment_id", F.trim(F.regexp_replace("text", '[">]', "")).alias("w"))
+    log = text.select(F.col("segment_id").alias("query_id"), F.concat(F.col("w"), F.lit(' text:"shop" >> (30) '), F.col("w"), F.lit(" -video:00003 >> said:hello there")).alias("raw"))
+    return parse_log(log)[0].select("query_id", "stage", "free_text", "ocr_phrase", "asr_phrase", "gap_ms")
+
+
+@query
+def whole_keyframe_index(spark, d):
+    return B.keyframe_index(C.read_corpus(spark, d, whole=True)["keyframes"]).select("keyframe_id", "index")
+
+
+@query
+def whole_selection_report(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    return B.selection_report(t["scenes"], t["keyframes"])
+
+
+@query
+def whole_scene_counts(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    return B.scene_counts(t["videos"], t["scenes"])
+
+
+@query
+def whole_video_cover(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    return B.video_cover(t["videos"], t["scenes"], t["keyframes"])
+
+
+@query
+def whole_videos_complete(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    return B.videos_complete(t["videos"], t["scenes"], t["keyframes"].join(t["keyframe_embedding"], "keyframe_id", "left_semi"))
+
+
+@query
+def whole_decode_worklist(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    return N.decode_worklist(t["videos"], t["keyframes"], files(t), FOLDERS, "web")
+
+
+@query
+def whole_select_worklist(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    return N.select_worklist(t["videos"], t["scenes"], t["keyframes"])
+
+
+@query
+def whole_keyframe_fallbacks(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    x = t["keyframes"].join(C.read(spark, d, "embeddings").select(F.col("vec_id").alias("keyframe_id"), "embedding"), "keyframe_id")
+    x = x.select("scene_id", (F.col("ts_ms") / 40).cast("int").alias("frame"), F.abs(F.get("embedding", F.lit(0))).alias("luma_std"), ((F.col("scene_id") % 3 == 1) | (F.col("kf_index") == 0)).alias("degenerate"))
+    frames = t["scenes"].withColumn("start_frame", (F.col("start_ms") / 40).cast("int")).withColumn("end_frame", (F.col("end_ms") / 40).cast("int"))
+    return N.keyframe_fallbacks(frames, x)
+
+
+@query
+def whole_enqueue_manifest(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    manifest = files(t).where("path like 'work/%' or path like 'data/%'").select(N.leading_id(F.col("path")).alias("video_id"), F.lit("V3C1").alias("collection"), F.col("path").alias("source_uri"))
+    return N.enqueue(manifest, t["job_events"])
+
+
 def _with(sql: str, *changes: tuple[str, str]) -> str:
     for old, new in changes:
         assert old in sql, old
@@ -158,4 +230,12 @@ select a.keyframe_id, round(coalesce(len(list_intersect(a.g, b.g)) / nullif(len(
     "whole_knn": whole("knn_rerank", CANDIDATES, ("select * from knn", "select * from knn where rank <= 200")),
     "whole_retrieve_visual": whole("retrieve_visual", CANDIDATES, DEPTH),
     "whole_similar_keyframes": whole("similar_keyframes", CANDIDATES, ("keyframe_id % 50 = 7", "keyframe_id % 20 = 0"), ("x.rank <= 11", "x.rank <= 25")),
+    "whole_keyframe_index": whole("keyframe_index", (" where keyframe_id % 4 <> 1", "")),
+    "whole_selection_report": whole("selection_report", (" where keyframe_id % 3 = 0", "")),
+    "whole_scene_counts": whole("scene_counts", (" where scene_id % 2 = 0", "")),
+    "whole_video_cover": whole("video_cover", (" where k.keyframe_id % 20 > 4", "")),
+    "whole_videos_complete": whole("videos_complete", (" where keyframe_id % 20 <> 1 and k.scene_id % 7 <> 3", "")),
+    "whole_decode_worklist": whole("decode_worklist", ("video_id > '00004' and ", "")),
+    "whole_keyframe_fallbacks": whole("keyframe_fallbacks", (" where keyframe_id % 20 > 3", "")),
+    "whole_enqueue_manifest": whole("enqueue_manifest", (" where video_id < '00010'", "")),
 }

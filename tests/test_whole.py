@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotweave.operators import retrieve as R
+from shotweave.operators.querylog import parse_log
+from shotweave.plans import whole
 from shotweave.sources import corpus as C
 
 
@@ -52,3 +54,18 @@ def test_vector_search_holds_the_nearest_of_all(spark):
     for r in R.retrieve_visual(q, t, 20).collect():
         got.setdefault(r.query_id, set()).add(r.keyframe_id)
     assert len(want) == 100 and np.mean([len(want[a] & got[a]) / 20 for a in want]) > 0.999
+
+
+def test_query_log_takes_long_strings(spark):
+    raw = "word " * 20_000 + '>> (9) next text:"a >> b"'
+    stages = parse_log(spark.createDataFrame([(1, raw)], "query_id int, raw string"))[0].orderBy("stage").collect()
+    assert [len(s.free_text) for s in stages] == [99_999, 4] and (stages[1].ocr_phrase, stages[1].gap_ms) == ("a >> b", 9000)
+
+
+def test_whole_queries_read_every_row(spark):
+    d, q = "/root/testdata/sf0.001", whole.QUERIES
+    t = C.read_corpus(spark, d, whole=True)
+    assert q["whole_query_words"](spark, d).count() == t["transcript_segment"].count()
+    assert q["whole_keyframe_index"](spark, d).count() == t["keyframes"].count()
+    assert q["whole_query_stages"](spark, d).select("query_id").distinct().count() == t["transcript_segment"].count()
+    assert q["whole_scene_counts"](spark, d).agg(F.sum("scenes")).first()[0] == t["scenes"].count()
