@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shotweave.functions.text import distinctive_tokens
 
+MOST_STAGES = 4
 #: A run of anything but an unquoted >>, or the separator itself; an open quote runs to the end. Plain text is taken in one
 #: step: one for each character would overflow the stack on long strings.
 TOKEN = r'(?:[^">]++|"[^"]*"|"[^"]*$|>(?!>))+|>>'
@@ -24,7 +25,7 @@ def _found(s: Column, pattern: str) -> Column:
     return F.when(text != "", text)
 
 
-def parse_log(log: DataFrame, gap_ms: int = 60_000, most_gap_ms: int = 600_000, most: int = 4) -> tuple[DataFrame, DataFrame]:
+def parse_log(log: DataFrame, gap_ms: int = 60_000, most_gap_ms: int = 600_000, most: int = MOST_STAGES) -> tuple[DataFrame, DataFrame]:
     """(query_id, raw) to stages (query_id, stage, free_text, ocr_phrase, asr_phrase, tokens, gap_ms) and exclusions.
 
     Empty stages go with their window; one stage stays if all are empty; the first stage has no gap.

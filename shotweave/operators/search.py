@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotweave.functions.text import lexemes
 from shotweave.operators import retrieve as R
+from shotweave.operators.querylog import MOST_STAGES
 from shotweave.operators.ranking import rank_list, rrf_fuse, top_k
 
 # Default fusion weights.
@@ -33,7 +37,7 @@ def enrich(fused: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return x.withColumn("score", F.round("score", 6))
 
 
-def link_chains(hits: DataFrame, gaps: list[int], limit: int | None = None, per_video: int = 3) -> DataFrame:
+def link_chains(hits: DataFrame, gaps: list[int | Column], limit: int | None = None, per_video: int = 3) -> DataFrame:
     """The best chain from each first-stage hit through all later stages, inside one video.
 
     hits: query_id, stage, video_id, scene_id, keyframe_id, ts_ms, score. A successor lies in another scene, after the hit and
@@ -56,6 +60,49 @@ def link_chains(hits: DataFrame, gaps: list[int], limit: int | None = None, per_
     return out.where(F.col("rank") <= limit) if limit else out
 
 
+#: A stage of a query is a query of its own: query_id * STAGES + stage. A query log holds fewer stages.
+STAGES = 16
+
+
+def stage_results(stages: DataFrame, t: dict[str, DataFrame], depth: int = 500, limit: int = 1000, weights: dict[str, float] | None = None, exclude: DataFrame | None = None, **filters) -> DataFrame:
+    """Hits (query_id, stage, video_id, scene_id, keyframe_id, ts_ms, score) of a full search per stage.
+
+    stages: as parse_log gives them, with the vectors `embedding` (model_id) and `text_embedding`, null where a stage has none.
+    Free text asks the visual, ocr, caption and transcript retrievers, a phrase its own one.
+    """
+    q = stages.withColumn("owner", F.col("query_id")).withColumn("query_id", F.col("query_id").cast("bigint") * STAGES + F.col("stage"))
+    if exclude is not None:
+        filters["exclude"] = q.select("owner", "query_id").join(exclude.select(F.col("query_id").alias("owner"), "video_id"), "owner").drop("owner")
+    free = q.where("free_text <> ''")
+    text = free.withColumn("embedding", F.col("text_embedding"))
+    ocr = q.where("ocr_phrase is not null").withColumn("tokens", lexemes(F.col("ocr_phrase"))).withColumn("phrase", F.col("ocr_phrase"))
+    asr = q.where("asr_phrase is not null").withColumn("tokens", lexemes(F.col("asr_phrase")))
+    asked = {"visual": free.where("embedding is not null"), "ocr": free, "caption": text, "transcript": text, "ocr_phrase": ocr, "asr_phrase": asr}
+    ranked = reduce(DataFrame.unionByName, [RETRIEVERS[name](x, t, depth, **filters).withColumn("retriever", F.lit(name)) for name, x in asked.items()])
+    hits = link_rows(rrf_fuse(ranked, WEIGHTS | (weights or {}), limit=limit), t["keyframes"], 0)
+    return hits.withColumn("stage", (F.col("query_id") % STAGES).cast("int")).withColumn("query_id", F.floor(F.col("query_id") / STAGES).cast(stages.schema["query_id"].dataType))
+
+
+def link_stages(hits: DataFrame, stages: DataFrame, limit: int | None = None, per_video: int = 3) -> DataFrame:
+    """Chains through all stages of each query, with the query's own gaps; queries of one stage have no chain."""
+    gap = stages.select("query_id", (F.col("stage") - 1).alias("stage"), F.col("gap_ms").alias("reach"))
+    count = stages.groupBy("query_id").agg(F.count("*").alias("stages"))
+    x = hits.join(gap, ["query_id", "stage"], "left").join(count, "query_id")
+    parts = [link_chains(x.where(F.col("stages") == n).drop("stages"), [F.col("reach")] * (n - 1), limit, per_video) for n in range(2, MOST_STAGES + 1)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def search_sequence(stages: DataFrame, t: dict[str, DataFrame], limit: int | None = None, per_video: int = 3, **kwargs) -> DataFrame:
+    """Ordered chains of queries that have a search for each stage, 500 deep and 1000 fused; the anchor's score is the chain's.
+
+    Stages and hits are used often, so they are stored once in the shared scratch folder.
+    """
+    from shotweave.llm.graph import stored
+
+    stages = stored(stages)
+    return link_stages(stored(stage_results(stages, t, **kwargs)), stages, limit, per_video)
+
+
 def link_rows(fused: DataFrame, keyframes: DataFrame, stage: int) -> DataFrame:
     """The hits of one stage, with video and time and the unrounded score."""
     return fused.join(keyframes.select("keyframe_id", "video_id", "ts_ms"), "keyframe_id").select("query_id", F.lit(stage).alias("stage"), "video_id", "scene_id", "keyframe_id", "ts_ms", "score")

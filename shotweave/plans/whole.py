@@ -14,9 +14,10 @@ from shotweave.operators import retrieve as R
 from shotweave.operators.encode import embed_texts, hash_encoder
 from shotweave.operators.querylog import parse_log
 from shotweave.operators.ranking import page
-from shotweave.operators.search import enrich, search
+from shotweave.operators.search import enrich, search, search_sequence
+from shotweave.operators.routing import enrich_chains
 from shotweave.plans.oracles import GRAMS, ORACLES, VIEWS
-from shotweave.plans.registry import FOLDERS, Query, files, flat, request
+from shotweave.plans.registry import FOLDERS, WORDS, Query, files, flat, request
 from shotweave.sources import corpus as C
 
 QUERIES: dict[str, Query] = {}
@@ -198,6 +199,30 @@ def whole_enqueue_manifest(spark, d):
     return N.enqueue(manifest, t["job_events"])
 
 
+def sequences(t):
+    """Stages of a log in which every query has two or three stages with texts of their own."""
+    first, second = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("query_id") % 3 + 1).cast("int")), F.element_at(F.array(*map(F.lit, WORDS)), (F.col("query_id") % 2 + 1).cast("int"))
+    third = F.when(F.col("query_id") % 2 == 0, F.lit(' >> (12) said:"of the"')).otherwise("")
+    log = t["query_vectors"].select("query_id", F.concat(first, F.lit(' text:"of the" >> (9) '), second, third).alias("raw"))
+    stages = parse_log(log)[0]
+    text = embed_texts(stages.select("query_id", "stage", "free_text"), "free_text", hash_encoder(), 10).select("query_id", "stage", F.col("embedding").alias("text_embedding"))
+    return embed_texts(stages, "free_text", hash_encoder(), 1).join(text, ["query_id", "stage"]).withColumn("tokens", lexemes(F.col("free_text")))
+
+
+@query
+def whole_link_sequences(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    x = search_sequence(sequences(t), t, limit=200)
+    return x.select("query_id", "video_id", "keyframe_id", "rank", F.round("reached", 6).alias("score"), F.array_join(F.transform("path", lambda p: p["keyframe_id"].cast("string")), ",").alias("path"))
+
+
+@query
+def whole_chains_enriched(spark, d):
+    t = C.read_corpus(spark, d, whole=True)
+    x = enrich_chains(search_sequence(sequences(t), t, limit=100), t)
+    return x.select("query_id", "rank", F.round("score", 6).alias("score"), F.array_join(F.transform("scenes", lambda s: F.concat_ws("/", s["video_id"], s["shot_index"].cast("string"), s["keyframe_id"].cast("string"))), ",").alias("scenes"))
+
+
 def _with(sql: str, *changes: tuple[str, str]) -> str:
     for old, new in changes:
         assert old in sql, old

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotweave.operators import retrieve as R
+from shotweave.operators.encode import embed_texts, hash_encoder
 from shotweave.operators.querylog import parse_log
+from shotweave.operators.search import search_sequence, stage_results
 from shotweave.plans import whole
 from shotweave.sources import corpus as C
 
@@ -69,3 +71,25 @@ def test_whole_queries_read_every_row(spark):
     assert q["whole_keyframe_index"](spark, d).count() == t["keyframes"].count()
     assert q["whole_query_stages"](spark, d).select("query_id").distinct().count() == t["transcript_segment"].count()
     assert q["whole_scene_counts"](spark, d).agg(F.sum("scenes")).first()[0] == t["scenes"].count()
+
+
+def test_each_stage_searches_its_own_text(spark):
+    """Scenes 0, 1, 2 of one video say alpha, beta, gamma; gaps and numbers of stages differ by query."""
+    kf = spark.createDataFrame([(i * 4, i, "00000", 0, i * 8000) for i in range(3)], "keyframe_id long, scene_id long, video_id string, kf_index int, ts_ms int")
+    t = {
+        "keyframes": kf,
+        "keyframe_text": spark.createDataFrame([(0, "alpha"), (4, "beta"), (8, "gamma ray")], "keyframe_id long, ocr_text string"),
+        "scenes": kf.select("scene_id", "video_id", F.col("ts_ms").alias("start_ms"), (F.col("ts_ms") + 8000).alias("end_ms")),
+        "videos": spark.createDataFrame([("00000", "V3C1")], "video_id string, collection string"),
+        "keyframe_embedding": spark.createDataFrame([], "keyframe_id long, model_id int, embedding array<float>"),
+        "caption_embedding": spark.createDataFrame([], "keyframe_id long, model_id int, embedding array<float>"),
+        "transcript_embedding": spark.createDataFrame([], "segment_id long, model_id int, embedding array<float>"),
+        "transcript_segment": spark.createDataFrame([(9, "00000", 17000, 20000, "hello there")], "segment_id long, video_id string, start_ms int, end_ms int, text string"),
+    }
+    raw = [(1, "alpha >> (9) beta"), (2, "alpha >> (7) beta"), (3, 'alpha >> (9) beta >> (9) text:"gamma ray"'), (4, "beta >> (9) said:hello there"), (5, "alpha"), (6, "alpha >> (9) beta -video:00000")]
+    stages, gone = parse_log(spark.createDataFrame(raw, "query_id int, raw string"))
+    stages = embed_texts(stages, "free_text", hash_encoder(), 1).withColumn("text_embedding", F.col("embedding"))
+    hits = {(r.query_id, r.stage, r.keyframe_id) for r in stage_results(stages, t).collect()}
+    assert {(1, 0, 0), (1, 1, 4), (3, 2, 8), (4, 1, 8), (5, 0, 0)} <= hits and (1, 1, 0) not in hits
+    chains = {(r.query_id, tuple(p.keyframe_id for p in r.path)) for r in search_sequence(stages, t, exclude=gone).collect()}
+    assert chains == {(1, (0, 4)), (3, (0, 4, 8)), (4, (4, 8))}
