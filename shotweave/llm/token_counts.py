@@ -2,13 +2,16 @@
 
 Every task normalises and splits its texts into pre-tokens, then counts the symbols of the distinct new pre-tokens of a
 batch at once: all of them sit in one flat array of symbol ids with offsets, and in each round every sequence merges all
-places of its own lowest-ranked pair. A pre-token's count is the number of symbols that survive. There is no shuffle; the
-work is linear in the text.
+places of its own lowest-ranked pair. A pre-token's count is the number of symbols that survive. Pre-tokens of thousands of
+bytes would make every round long; theirs keep their places by rank, so a round touches only the places that it merges.
+There is no shuffle; the work is linear in the text.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,6 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NO_PAIR = np.int64(1 << 60)
+LONG = 4096  # bytes from which a pre-token is merged by places
+# Lower-case letters that the vocabulary's library knows and Python's tables do not.
+NEWER_LOWER = {0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {c: c + 32 for c in range(0x10D50, 0x10D66)}
+# Characters that the pattern module takes for letters and the vocabulary's library for symbols, and a symbol.
+ODD, PLAIN = [hi << 12 | lo for hi in (0x32, 0x3D, 0x3E, 0x3F) for lo in (0x808, 0x85C, 0x988)], 0x50000
+IS_ODD, STAND_IN = re.compile(f"[{''.join(map(chr, ODD))}]"), dict.fromkeys(ODD, PLAIN)
 
 
 def byte_symbols() -> list[str]:
@@ -52,8 +61,79 @@ class MergeTable:
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.hints = tuple(special)
 
+    def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (NO_PAIR without one), and the symbol that it makes."""
+        key = left << 32 | right
+        spot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        known = self.key[spot] == key
+        return np.where(known, self.rank[spot], NO_PAIR), self.made[spot]
+
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a normalised text."""
+        if text.isascii() or not IS_ODD.search(text):
+            return self.split.findall(text)
+        return [text[m.start() : m.end()] for m in self.split.finditer(text.translate(STAND_IN))]
+
     def count(self, words: list[bytes]) -> np.ndarray:
-        """Symbols that survive in each pre-token; all of a round's merges happen at once."""
+        """Symbols that survive in each pre-token."""
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        total = np.zeros(len(words), dtype=np.int64)
+        short = np.flatnonzero(size < LONG)
+        total[short] = self._count_short([words[i] for i in short])
+        for i in np.flatnonzero(size >= LONG):
+            total[i] = self._count_long(words[i])
+        return total
+
+    def _count_long(self, word: bytes) -> int:
+        """One long sequence: its places wait under their pair's rank; a round takes the lowest rank's, and only their
+        neighbours get new pairs."""
+        flat = np.frombuffer(word, dtype=np.uint8)
+        ids = self.inner[flat]
+        ids[-1] = self.last[flat[-1]]
+        ids = ids[ids >= 0]
+        n = len(ids)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # of the symbols that live; n and -1 are outside
+        live, left = np.ones(n, dtype=bool), n
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[(places >= 0) & (after[places] < n)]
+            rank, _ = self.lookup(ids[places], ids[after[places]])
+            places, rank = places[rank != NO_PAIR], rank[rank != NO_PAIR]
+            order = np.argsort(rank, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(rank[order])) + 1) if len(order) else ():
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(places[part])
+
+        wait(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[live[at]]
+            at = at[after[at] < n]
+            rank, made = self.lookup(ids[at], ids[after[at]])
+            at, made = at[rank == r], made[rank == r]  # others have changed since
+            if not len(at):
+                continue
+            fresh = np.append(True, after[at[:-1]] != at[1:])  # in a run such as a a a, every second place merges
+            place = np.arange(len(at)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+            at, made = at[place % 2 == 0], made[place % 2 == 0]
+            gone = after[at]
+            ids[at] = made
+            live[gone] = False
+            after[at] = after[gone]
+            inside = after[at] < n
+            before[after[at[inside]]] = at[inside]
+            left -= len(at)
+            wait(np.unique(np.concatenate([at, before[at]])))
+        return left
+
+    def _count_short(self, words: list[bytes]) -> np.ndarray:
+        """All sequences at once; all of a round's merges happen together."""
         size = np.array([len(w) for w in words], dtype=np.int64)
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
         ids = self.inner[flat]
@@ -65,11 +145,10 @@ class MergeTable:
         while len(ids):
             at = np.full(len(ids), NO_PAIR)
             new = np.zeros(len(ids), dtype=np.int64)
-            key = ids[:-1] << 32 | ids[1:]
-            spot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            known = (self.key[spot] == key) & (owner[:-1] == owner[1:])
-            at[:-1][known] = self.rank[spot[known]]
-            new[:-1][known] = self.made[spot[known]]
+            rank, made = self.lookup(ids[:-1], ids[1:])
+            known = (rank != NO_PAIR) & (owner[:-1] == owner[1:])
+            at[:-1][known] = rank[known]
+            new[:-1][known] = made[known]
             head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             best = np.minimum.reduceat(at, head)
             count = np.diff(np.append(head, len(ids)))
@@ -103,8 +182,9 @@ class Counter:
         found: list[str] = []
         for part in parts:
             if not part.isascii():
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # no final-sigma rule: letters fold one by one
-            found += self.table.split.findall(part.lower())
+                # no final-sigma rule: letters fold one by one
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(NEWER_LOWER)
+            found += self.table.pieces(part.lower())
         return found, extra
 
     def count(self, texts: list[str | None]) -> list[int]:
@@ -132,7 +212,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", limit:
 
     Null and empty texts count 0 bytes and 0 tokens. Special strings of the vocabulary inside a text count as one token
     each, as the vocabulary's library does by default. Rows are neither merged nor dropped; other columns pass through,
-    except such as carry one of the three names, which are replaced. `tokenizer_path` must be readable on executors.
+    except such as carry one of the three names, which are replaced. Very long texts and pre-tokens are counted whole; memory
+    follows the longest text. `tokenizer_path` must be readable on executors.
     """
     rest = [c for c in df.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
     base = df.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"), F.col(f"`{text}`").alias("__text"))
