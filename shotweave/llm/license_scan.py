@@ -1,16 +1,14 @@
 """License scans: ordered signature rules behind a keyword prefilter, with priority and containment suppression.
 
-A text becomes its lower-case words joined by single blanks, so a rule is a pattern over words. Families of licenses are
-written by hand; versions, jurisdictions and notice verbs expand them into several hundred rules. A rule runs only where its
-keyword occurs. Of overlapping detections, one whose interval lies inside that of a rule of better priority is dropped, and
-of equal intervals the better priority stays.
+A text becomes its lower-case words joined by single blanks, so a rule is a pattern over words (`license_rules`). A rule
+runs only where its keyword occurs. Where one detection's interval contains another's, the one of better priority stays.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -19,105 +17,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotweave.llm.arrays import ALNUM, find_words, text_chunks
+from shotweave.llm.license_rules import BASE, Rule, rules
 
-# Fixed phrases and labels of the base scan.
-BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-
-
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    keyword: str
-    pattern: str
-    priority: int  # less is better
-    weight: float
-
-
-#: Family, keyword, pattern with V for a version, versions, weight. Names as they stand in license texts.
-FAMILIES = [
-    ("gpl", "general public", r"(?:gnu )?general public license(?: as published by the free software foundation)?(?: version| v)? ?V", "1 2 3", 1.0),
-    ("gpl", "gpl", r"gpl ?v?V(?: only| or later)?", "1 2 3", 0.9),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public license(?: version| v)? ?V", "2 2.1 3", 1.0),
-    ("lgpl", "library general", r"(?:gnu )?library general public license(?: version| v)? ?V", "2", 1.0),
-    ("agpl", "affero", r"(?:gnu )?affero general public license(?: version| v)? ?V", "1 3", 1.0),
-    ("gfdl", "documentation license", r"(?:gnu )?free documentation license(?: version| v)? ?V", "1.1 1.2 1.3", 1.0),
-    ("apache", "apache", r"apache(?: software)? license(?: version| v)? ?V", "1.0 1.1 2.0", 1.0),
-    ("mpl", "mozilla", r"mozilla public license(?: version| v)? ?V", "1.0 1.1 2.0", 1.0),
-    ("epl", "eclipse", r"eclipse public license(?: version| v)? ?V", "1.0 2.0", 1.0),
-    ("eupl", "european union", r"european union public licence(?: version| v)? ?V", "1.0 1.1 1.2", 1.0),
-    ("cddl", "common development", r"common development and distribution license(?: version| v)? ?V", "1.0 1.1", 1.0),
-    ("cpl", "common public", r"common public license(?: version| v)? ?V", "1.0", 1.0),
-    ("artistic", "artistic", r"artistic license(?: version| v)? ?V", "1.0 2.0", 0.9),
-    ("boost", "boost", r"boost software license(?: version| v)? ?V", "1.0", 1.0),
-    ("osl", "open software", r"open software license(?: version| v)? ?V", "1.0 2.0 2.1 3.0", 1.0),
-    ("afl", "academic free", r"academic free license(?: version| v)? ?V", "1.1 1.2 2.0 2.1 3.0", 1.0),
-    ("odbl", "open database", r"open database license(?: version| v)? ?V", "1.0", 1.0),
-    ("ofl", "open font", r"(?:sil )?open font license(?: version| v)? ?V", "1.0 1.1", 1.0),
-    ("lppl", "latex", r"latex project public license(?: version| v)? ?V", "1.0 1.1 1.2 1.3", 1.0),
-    ("zpl", "zope", r"zope public license(?: version| v)? ?V", "1.1 2.0 2.1", 1.0),
-    ("psf", "python software", r"python software foundation license(?: version| v)? ?V", "2", 1.0),
-    ("php", "php license", r"php license(?: version| v)? ?V", "3.0 3.01", 1.0),
-    ("bsd", "bsd", r"V clause bsd license|bsd V clause(?: license)?", "0 1 2 3 4", 1.0),
-]
-#: Label, keyword, pattern, weight.
-SINGLE = [
-    ("mit", "mit license", r"(?:the )?mit license", 1.0),
-    ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy", 1.0),
-    ("isc", "isc license", r"isc license", 1.0),
-    ("isc", "permission to use copy", r"permission to use copy modify and or distribute this software for any purpose", 1.0),
-    ("bsd", "redistribution and use", r"redistribution and use in source and binary forms with or without modification", 1.0),
-    ("zlib", "zlib", r"zlib(?: libpng)? license", 0.9),
-    ("unlicense", "unlicense", r"(?:the )?unlicense|released into the public domain", 0.9),
-    ("public-domain", "public domain", r"(?:dedicated to|placed in|released into|in) the public domain", 0.8),
-    ("wtfpl", "do what", r"do what the fuck you want to public license", 1.0),
-    ("beerware", "beer", r"beer ?ware license", 0.8),
-    ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?", 1.0),
-    ("vim", "vim license", r"vim license", 0.8),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa open source license", 1.0),
-    ("proprietary", "proprietary", r"proprietary and confidential|confidential and proprietary", 0.8),
-    ("proprietary", "unauthorized", r"unauthorized (?:copying|use|reproduction|distribution)(?: of this (?:file|work|document))?(?: is)? (?:strictly )?prohibited", 0.8),
-    ("no-warranty", "without warrant", r"without warrant(?:y|ies) (?:or conditions )?of any kind", 0.4),
-    ("no-warranty", "provided as is", r"(?:is )?provided as is", 0.3),
-    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?", 0.4),
-    ("gpl", "general public license", r"(?:gnu )?general public license", 0.7),
-    ("lgpl", "lesser general", r"(?:gnu )?lesser general public license", 0.8),
-    ("agpl", "affero", r"(?:gnu )?affero general public license", 0.8),
-    ("apache", "apache", r"apache(?: software)? license", 0.8),
-    ("mpl", "mozilla", r"mozilla public license", 0.8),
-    ("bsd", "bsd", r"bsd(?: style)? license", 0.7),
-    ("reserved", "all rights", r"all rights reserved", 0.5),
-    ("no-rights", "no rights", r"no rights reserved", 0.6),
-    ("spdx", "spdx", r"spdx license identifier(?: [a-z0-9]+){1,4}", 1.0),
-    ("notice", "licensed under", r"licensed under(?: the)?(?: terms of)?(?: the)?", 0.2),
-    ("notice", "released under", r"(?:released|distributed|available|published) under(?: the)?(?: terms of)?(?: the)?", 0.2),
-    ("notice", "permission", r"used (?:with|by) permission", 0.2),
-]
-CC_PARTS = ["by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd"]
-CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
-CC_NAMES = {"by": "attribution", "sa": "share ?alike", "nd": "no ?deriv(?:ative)?s(?: works)?", "nc": "non ?commercial"}
-
-
-def rules() -> list[Rule]:
-    """All rules, in order of priority: exact versions first, then families, then notices."""
-    spaced = lambda v: v.replace(".", " ")
-    out: list[tuple[str, str, str, float]] = []
-    for label, keyword, pattern, versions, weight in FAMILIES:
-        out += [(f"{label}-{v}", keyword, pattern.replace("V", spaced(v)), weight) for v in versions.split()]
-    for part in CC_PARTS:
-        words = part.split()
-        for v in CC_VERSIONS:
-            out.append((f"cc-{'-'.join(words)}-{v}", "cc by", rf"cc {part} {spaced(v)}", 1.0))
-            name = " ".join(CC_NAMES[w] for w in words)
-            out.append((f"cc-{'-'.join(words)}-{v}", "creative commons", rf"creative commons {name} {spaced(v)}(?: international| unported| generic)?(?: license)?", 1.0))
-    for part in CC_PARTS[::-1]:
-        out.append((f"cc-{'-'.join(part.split())}", "cc by", f"cc {part}", 0.9))
-        out.append((f"cc-{'-'.join(part.split())}", "creative commons", "creative commons " + " ".join(CC_NAMES[w] for w in part.split()), 0.9))
-    for label, _, _, versions, _ in FAMILIES:
-        out += [(f"{label}-{v}", "spdx", rf"spdx license identifier {label} {spaced(v)}(?: clause)?(?: only| or later)?", 1.0) for v in versions.split()]
-    for part in CC_PARTS:
-        out += [(f"cc-{'-'.join(part.split())}-{v}", "spdx", rf"spdx license identifier cc {part} {spaced(v)}", 1.0) for v in CC_VERSIONS]
-    out += SINGLE
-    return [Rule(label, keyword, rf"(?<![^ ])(?:{pattern})(?![^ ])", k, weight) for k, (label, keyword, pattern, weight) in enumerate(out)]
+Found = tuple[int, int, Rule]
+
+
+def suppress(found: list[Found]) -> list[Found]:
+    """The detections that stay, by place.
+
+    In order of priority, then length, then place, a detection is dropped if its interval lies inside that of a kept one or
+    holds one inside. So the better rule wins both ways, whichever is longer; detections that only overlap both stay.
+    """
+    starts: list[int] = []  # of kept detections; none holds another, so their ends are in the same order
+    ends: list[int] = []
+    kept: list[Found] = []
+    for f in sorted(found, key=lambda f: (f[2].priority, f[0] - f[1], f[0])):
+        left, right = bisect_right(starts, f[0]) - 1, bisect_left(starts, f[0])
+        inside = left >= 0 and ends[left] >= f[1]
+        around = right < len(starts) and ends[right] <= f[1]
+        if not inside and not around:
+            starts.insert(left + 1, f[0])
+            ends.insert(left + 1, f[1])
+            kept.append(f)
+    return sorted(kept, key=lambda f: (f[0], -f[1], f[2].priority))
 
 
 class Scanner:
@@ -127,25 +49,21 @@ class Scanner:
         self.by_keyword: dict[str, list[tuple[Rule, re.Pattern]]] = {}
         for rule in rules():
             self.by_keyword.setdefault(rule.keyword, []).append((rule, re.compile(rule.pattern)))
-        self.gate = re.compile("|".join(map(re.escape, sorted({*self.by_keyword, *BASE}, key=len, reverse=True))))
+        # a keyword's longest word is looked for first, among the fingerprints of a text's words
+        anchors = sorted({max(k.split(), key=len) for k in {*self.by_keyword, *BASE}})
+        data = np.frombuffer(" ".join(anchors).encode(), dtype=np.uint8)
+        self.anchors = np.sort(find_words(data, np.array([0, len(data)]), ALNUM, lower=True).hash)
         self.base = {label: re.compile(rf"(?<![^ ])(?={re.escape(phrase)}(?![^ ]))") for phrase, label in BASE.items()}
 
-    def detections(self, words: str) -> list[tuple[int, int, Rule]]:
+    def detections(self, words: str) -> list[Found]:
         """(start, end, rule) by place, after suppression."""
-        found: list[tuple[int, int, Rule]] = []
+        found: list[Found] = []
+        padded = f" {words} "
         for keyword, group in self.by_keyword.items():
-            if keyword in words:
-                found += [(m.start(), m.end(), rule) for rule, p in group for m in p.finditer(words) if m.end() > m.start()]
-        found.sort(key=lambda f: (f[0], -f[1], f[2].priority))
-        kept: list[tuple[int, int, Rule]] = []
-        open_: list[tuple[int, int, Rule]] = []  # kept detections that can still contain later ones
-        for f in found:
-            open_ = [k for k in open_ if k[1] > f[0]]
-            if any(k[0] <= f[0] and f[1] <= k[1] and (k[2].priority < f[2].priority or (k[0], k[1]) != (f[0], f[1])) for k in open_):
-                continue
-            kept.append(f)
-            open_.append(f)
-        return kept
+            if f" {keyword} " in padded:
+                for rule, p in group:
+                    found += [(*m.span(m.lastindex or 0), rule) for m in p.finditer(words)]
+        return suppress(found)
 
     def scan(self, words: str) -> tuple[list[tuple[str, int]], list[tuple[int, int, Rule]]]:
         """Base hits as (label, start word), and the method's detections."""
@@ -170,27 +88,30 @@ def scan_licenses(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the kept detections.
 
     Detections give character places in the normalised words. The score is 1 - product of (1 - weight / 2) over the labels
-    found, 0 without any. Null and empty texts have no words and no labels; repeated rows are scanned as often.
+    found, 0 without any. Null and empty texts have no words and no labels; repeated rows are scanned as often. Texts are
+    scanned whole, however long; of two rules that find the same interval the one that stands first in the rules wins. Other
+    columns of `df` are not read.
     """
     base = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t"))
     kind = base.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = scanner()
-        gate = re.compile(rb"licen|public|reserv|copyright|cc|gpl|bsd|zlib|spdx|proprietary|permission|warrant|provided|released|under|beer|do what|redistribution|unauthorized|no rights", re.I)
         for batch in batches:
             out: list[tuple] = []
             for _, _, data, offsets in text_chunks(batch.column(1)):
                 w = find_words(data, offsets, ALNUM, lower=True)
                 raw = w.data.tobytes()
                 start, end = w.start, w.start + w.length
+                spot = np.minimum(np.searchsorted(tool.anchors, w.hash), len(tool.anchors) - 1)
+                held = np.concatenate(([0], np.cumsum(tool.anchors[spot] == w.hash)))[w.first]
+                may = (held[1:] > held[:-1]).tolist()
                 for k, n in enumerate(w.counts.tolist()):
                     hits, found = [], []
-                    if gate.search(raw, int(offsets[k]), int(offsets[k + 1])):
-                        a, b = int(w.first[k]), int(w.first[k + 1])
+                    a, b = int(w.first[k]), int(w.first[k + 1])
+                    if may[k]:
                         words = b" ".join([raw[s:e] for s, e in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]).decode("utf-8", "replace")
-                        if tool.gate.search(words):
-                            hits, found = tool.scan(words)
+                        hits, found = tool.scan(words)
                     own = sorted({label for label, _ in hits})
                     weight = {**dict.fromkeys(own, 0.5)}
                     for _, _, rule in found:
