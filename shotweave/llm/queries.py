@@ -23,7 +23,8 @@ LEVELS = ["domain", "lang", "source"]
 WEIGHTS = {"domain": {"web": 5.0, "books": 3.0, "forum": 2.0}, "lang": {"en": 4.0, "de": 2.0}}
 PART, EPOCHS, SEED = 0.5, 4, 13
 WORD = r"[^\x20\x09-\x0D]+"
-KEY = "corpus-2024"
+#: The setting that holds the secret of the pseudonyms, and what stands in where none is set, as in tests.
+KEY_SETTING, NO_KEY = "spark.shotweave.pseudonyms.key", "not a secret"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,10 @@ def domain() -> Column:
     return F.when(n < 2, "web").when(n == 2, "books").otherwise("forum")
 
 
+def secret(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, NO_KEY)
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
 
@@ -77,7 +82,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY, count="n_items")
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), secret(spark), count="n_items")
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
