@@ -46,11 +46,11 @@ def folded(index: np.ndarray, text: np.ndarray, bits: int, texts: int) -> tuple[
     return np.searchsorted(key, np.arange(texts + 1, dtype=np.int64) << bits), key & (1 << bits) - 1, count
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit: int, holdout: tuple[int, int] | None = (4, 2)) -> DataFrame:
-    """(doc_id, text, label): at most `limit` labelled rows, in the order of a hash of their id.
+def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, limit: int, holdout: tuple[int, int] | None = (4, 2)) -> DataFrame:
+    """(doc_id, text, label): the documents of at most `limit` labels, in the order of a hash of their id.
 
-    Rows whose crc32(id as text) mod holdout[0] equals holdout[1] are never taken. The labels are cut first, so the join
-    moves no more than `limit` rows to the documents.
+    Rows whose crc32(id as text) mod holdout[0] equals holdout[1] are never taken. The labels are cut first, so no more
+    than `limit` rows travel to the documents; documents that repeat an id all get its labels.
     """
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("label"))
     if holdout:
@@ -59,16 +59,21 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, limit:
     return documents.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # bounded by `limit`
 
 
-def collect_features(sample: DataFrame, features, bits: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, index, count) of the sample as int32 and uint16, for fitting on the driver: bounded by the sample's limit."""
+def collect_features(rows: DataFrame, features, bits: int, limit: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(label, index, count) of at most `limit` rows as int32 and uint32, for fitting on the driver.
+
+    The rows are cut by the same hash of the id again, then by their features, so repeated ids can't exceed the bound. A
+    row has no more than 2**bits features, however long its text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = []
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 first, index, count = folded(*features(data, offsets, bits), bits, hi - lo)
-                cells += [(index[a:b].astype("<i4").tobytes(), np.minimum(count[a:b], 65535).astype("<u2").tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
+                cells += [(index[a:b].astype("<i4").tobytes(), count[a:b].astype("<u4").tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["doc_id", "label", "i", "n"])
 
-    rows = sample.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(run, "doc_id bigint, label int, i binary, n binary").toArrow().sort_by("doc_id")
-    return [(y, np.frombuffer(i, dtype="<i4"), np.frombuffer(n, dtype="<u2")) for y, i, n in zip(*(rows[c].to_pylist() for c in ("label", "i", "n")), strict=True)]
+    found = rows.select(F.xxhash64("doc_id", F.lit(11)).alias("doc_id"), "text", F.col("label").cast("int")).mapInArrow(run, "doc_id bigint, label int, i binary, n binary")
+    table = found.orderBy("doc_id", "label", F.crc32("i"), F.crc32("n")).limit(limit).toArrow()
+    return [(y, np.frombuffer(i, dtype="<i4"), np.frombuffer(n, dtype="<u4")) for y, i, n in zip(*(table[c].to_pylist() for c in ("label", "i", "n")), strict=True)]

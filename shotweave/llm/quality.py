@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotweave.llm.arrays import text_chunks
-from shotweave.llm.hashing import collect_features, folded, labelled_sample, shape_features
+from shotweave.llm.hashing import collect_features, folded, labelled_rows, shape_features
 
 BITS = 18
 
@@ -76,16 +76,20 @@ def fit_ordinal(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, grade
 
 
 def fit_quality(documents: DataFrame, ratings: DataFrame, grade: str, grades: int, sample: int = 4000, rate: float = 0.1, l2: float = 1e-5, epochs: int = 3, seed: int = 7) -> OrdinalModel:
-    """Fit on at most `sample` rated rows outside the hold-out fold. `grade` holds 0 .. grades - 1; others are ignored."""
+    """Fit on at most `sample` rated rows outside the hold-out fold. `grade` holds 0 .. grades - 1; others are ignored.
+
+    Null ids, and ratings without a document, are left out; a repeated id counts as often as it occurs, within the bound.
+    Without ratings all weights are 0 and the thresholds keep their start.
+    """
     own = ratings.where(F.col(grade).between(0, grades - 1))
-    rows = collect_features(labelled_sample(documents, own, grade, sample), shape_features, BITS)
+    rows = collect_features(labelled_rows(documents, own, grade, sample), shape_features, BITS, sample)
     return fit_ordinal(rows, BITS, grades, rate, l2, epochs, seed)
 
 
 def score_quality(df: DataFrame, model: OrdinalModel, text: str = "text", tail: int = 1, keep_from: float = 0.5) -> DataFrame:
     """`df` with expected_grade, tail_probability (P(grade >= tail)) and kept (tail_probability >= keep_from).
 
-    Null and empty texts are scored by the thresholds alone. Columns of `df` with one of the three names are replaced.
+    Null and empty texts are scored by the thresholds alone, long ones whole; repeated rows stay. Columns of `df` with one of the three names are replaced.
     """
     rest = [c for c in df.columns if c not in ("expected_grade", "tail_probability", "kept")]
     at = rest.index(text)

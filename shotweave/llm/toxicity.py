@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotweave.llm.arrays import text_chunks
-from shotweave.llm.hashing import collect_features, labelled_sample, word_features
+from shotweave.llm.hashing import collect_features, labelled_rows, word_features
 
 BITS = 20
 
@@ -38,7 +38,7 @@ class ToxicityModel:
         used = np.flatnonzero(table[index])
         key = np.unique(text[used] << self.bits | index[used])
         z = np.bincount(key >> self.bits, weights=table[key & (1 << self.bits) - 1], minlength=len(offsets) - 1) + self.bias
-        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+        return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
 def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, alpha: float, beta: float, l1: float, l2: float, epochs: int, seed: int) -> ToxicityModel:
@@ -61,13 +61,23 @@ def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int, alpha: f
 
 
 def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 4000, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 4, seed: int = 7) -> ToxicityModel:
-    """Fit on at most `sample` labelled rows (label `toxic`), never on the hold-out fold. No labels: a constant model."""
-    rows = collect_features(labelled_sample(documents, labels, "toxic", sample), word_features, BITS)
+    """Fit on at most `sample` labelled rows (label `toxic`), never on the hold-out fold.
+
+    Null labels and ids, and labels without a document, are left out; a repeated id counts as often as it occurs, within the
+    bound. Without a single toxic row nothing can be learnt, and the model scores every text 0, so that nothing is rejected.
+    """
+    rows = collect_features(labelled_rows(documents, labels, "toxic", sample), word_features, BITS, sample)
+    if not any(y for y, _, _ in rows):
+        return ToxicityModel(BITS, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), -np.inf)
     return fit_ftrl(rows, BITS, alpha, beta, l1, l2, epochs, seed)
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
-    """`df` with a double column `out`. Null and empty texts get the model's base rate; rows and other columns stay."""
+    """`df` with a double column `out`, which replaces one of that name.
+
+    Null and empty texts get the model's base rate. Rows stay, repeated ones and such without an id included, and so do
+    other columns. Long texts are scored whole.
+    """
     rest = [c for c in df.columns if c != out]
     at = rest.index(text)
 
