@@ -10,7 +10,7 @@ from shotweave.llm.graph import stored
 from shotweave.llm.jaccard_join import keep_one
 from shotweave.llm.mixing import mix
 from shotweave.llm.pseudonyms import pseudonymize
-from shotweave.llm.queries import EPOCHS, KEY, LEVELS, PART, SEED, WEIGHTS, WORD, domain, table
+from shotweave.llm.queries import EPOCHS, LEVELS, PART, SEED, WEIGHTS, WORD, domain, secret, table
 from shotweave.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -34,7 +34,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal items by format-preserving pseudonyms."""
-    return pseudonymize(docs, KEY)
+    return pseudonymize(docs, secret(spark))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
