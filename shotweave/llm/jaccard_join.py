@@ -1,19 +1,20 @@
-"""Exact n-gram Jaccard join in the Jaccard metric space, with pivots, triangle-inequality windows and recursion.
-
-Random texts are all at distance 1 from each other, so pivots cannot be picked blindly. A prefix token finds them: with
-shingles in one global order, two linked sets share one of their first |x| - ceil(s |x|) + 1 shingles. Each shared prefix
-shingle has one pivot (the least document that holds it), and a document enters the regions of its shingles' pivots, so any
-linked pair meets in a region. The order is by hash, but the most frequent shingles come last, so a passage that many
-unrelated documents quote does not open regions.
-
-Prefixes are n / 20 shingles longer than needed, so a linked pair shares that many more; a document stays out of the regions
-that hold only a few of its shingles, which shared phrases of unrelated texts produce.
-
-In a region, d(x, pivot) is exact. Documents within the radius are linked to the pivot and need no comparison with each
-other; a far document is compared only with those x for which |d(x, p) - d(y, p)| <= radius for all pivots p so far, and
-becomes the next pivot: the region is joined recursively. A region of more than `block` documents is dealt over several
-tasks, each with the pivot; what is still open between blocks, far documents and their window of boundary documents, meets
-in a grid of block pairs.
+"""Exact n-gram Jaccard join in the Jaccard metric space: pivots, Voronoi cells, triangle-inequality windows, recursion.
+
+Texts that share no shingle are all at distance 1 from each other, so blind pivots give no cells. A first step therefore
+divides the space into neighbourhoods without losing a link: with shingles in one global order, two linked sets share one
+of their first |x| - ceil(s |x|) + 1 shingles. Each shared prefix shingle has one leader (the least document that holds it),
+and a document enters the neighbourhoods of its shingles' leaders, so any linked pair meets in one. The order is by hash,
+but the most frequent shingles come last, so a passage that many unrelated documents quote does not open neighbourhoods.
+Prefixes are n / 20 shingles longer than needed, so a linked pair shares that many more; a document stays out of the
+neighbourhoods that hold only a few of its shingles, which shared phrases of unrelated texts produce.
+
+In a neighbourhood, pivots create Voronoi cells: a document is at home in the cell of its nearest pivot. If x at home with p
+links to y at home with q, then d(y, p) <= d(y, q) + 2 r, so documents in that window of a border are replicated into the
+cell with the lesser number, and every linked pair meets in a cell. Documents linked to a cell's pivot are connected already;
+they stay only if their distance to it is within r of a document that is not. A cell is then divided anew, by pivots of its
+own, until it is small enough to compare what is not connected yet. Neighbourhoods and cells of more than `block` documents
+are dealt over several tasks, each with the pivots, and every level of their recursion is a Spark job; smaller ones recurse
+inside a task.
 """
 
 from __future__ import annotations
@@ -22,17 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shotweave.llm.arrays import NONSPACE, Words, find_words, pair_hash, text_chunks, window_hash, window_ok
+from shotweave.llm.arrays import NONSPACE, Words, find_words, pair_hash, slices, text_chunks, window_hash, window_ok
 from shotweave.llm.graph import components, stored
 from shotweave.llm.repeats import PACKED, Packer, parts_of, repeated_places
 
 U = np.uint64
 QUARTER = U(1 << 62)
-#: Open rows between the blocks of split regions are broadcast up to this many (about 8 MB).
-BROADCAST_ROWS = 200_000
+#: Pivots of a cell that is dealt over tasks, and the size from which a cell inside a task is divided.
+PIVOTS, LEAF = 32, 24
+#: Keys that can hold a large part of all rows are joined with so many salts.
+SALTS = 64
 
 
 def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,10 +141,11 @@ def _prefixes(size: int, percent: int, frequent: np.ndarray, parts: int):
 
 
 class Links:
-    """Union-find over the local indices of one region."""
+    """Union-find over the local indices of one cell; `label` tells what is connected from the start."""
 
-    def __init__(self, n: int):
-        self.up = list(range(n))
+    def __init__(self, label: list):
+        at: dict = {}
+        self.up = [at.setdefault(x, i) for i, x in enumerate(label)]
 
     def root(self, i: int) -> int:
         while self.up[i] != i:
@@ -149,97 +153,207 @@ class Links:
             i = self.up[i]
         return i
 
-    def join(self, i: int, j: int) -> None:
+    def roots(self) -> np.ndarray:
+        return np.array([self.root(i) for i in range(len(self.up))])
+
+    def join(self, i: int, j: int) -> bool:
         a, b = self.root(i), self.root(j)
         self.up[max(a, b)] = min(a, b)
+        return a != b
 
 
-def overlap(one: np.ndarray, grams: np.ndarray, first: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """|one & set| for the chosen sets of a ragged array."""
-    counts = first[which + 1] - first[which]
-    step = np.cumsum(counts)
-    index = np.arange(int(step[-1]) if len(step) else 0) + np.repeat(first[which] - step + counts, counts)
-    own = grams[index]
-    spot = np.minimum(np.searchsorted(one, own), len(one) - 1)
-    total = np.concatenate(([0], np.cumsum(one[spot] == own)))
-    return total[step] - total[step - counts]
+def overlaps(grams: np.ndarray, first: np.ndarray, p_grams: np.ndarray, p_first: np.ndarray) -> np.ndarray:
+    """|set & pivot| for all sets and pivots, from the pivots' inverted index."""
+    p = len(p_first) - 1
+    order = np.argsort(p_grams, kind="stable")
+    token, who = p_grams[order], np.repeat(np.arange(p), np.diff(p_first))[order]
+    lo = np.searchsorted(token, grams)
+    n = np.searchsorted(token, grams, side="right") - lo
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    used = np.flatnonzero(n)
+    lo, n, row = lo[used], n[used], row[used]
+    index = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    return np.bincount(np.repeat(row, n) * p + who[index], minlength=(len(first) - 1) * p).reshape(-1, p)
 
 
-def join_region(grams: np.ndarray, first: np.ndarray, percent: int, pair_ok=None) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links that connect what is linked in a region, and the distance of each member to the first one, the pivot."""
-    n = len(first) - 1
-    size = np.diff(first)
-    radius = (100 - percent) / 100 + 1e-9
-    links, edges = Links(n), []
-    far = np.arange(1, n)  # not yet near any pivot
-    low = np.zeros(n)  # lower bound on the distance to the current pivot
+def take(grams: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen sets of a ragged array."""
+    return grams[slices(first, rows)], np.concatenate(([0], np.cumsum(first[rows + 1] - first[rows])))
+
+
+def measure(grams: np.ndarray, first: np.ndarray, pivots: tuple[np.ndarray, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distance, linked) of all sets to all pivots."""
+    both = overlaps(grams, first, *pivots)
+    union = np.maximum(np.diff(first)[:, None] + np.diff(pivots[1])[None, :] - both, 1)
+    return 1 - both / union, (100 * both >= percent * union) & (both > 0)
+
+
+def seats_of(d: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(set, cell): each set's own Voronoi cell, and the lesser cells in whose window it stands."""
+    home = d.argmin(axis=1)
+    window = d <= d.min(axis=1)[:, None] + 2 * radius
+    return np.nonzero(window & (np.arange(d.shape[1])[None, :] <= home[:, None]))
+
+
+def compare(grams: np.ndarray, first: np.ndarray, percent: int, links: Links, names: np.ndarray) -> list[tuple[int, int]]:
+    """Links between all sets that are not connected yet; earlier pivots' distances bound those to the next ones."""
+    size, radius = np.diff(first), (100 - percent) / 100 + 1e-9
     table: list[np.ndarray] = []
-    pivot, to_first = 0, np.ones(n)
-    while True:
-        low[:] = 0
-        for d in table:  # triangle inequality: |d(x, p) - d(y, p)| <= d(x, y)
-            gap = np.abs(d - d[pivot])
-            low = np.maximum(low, np.where(np.isnan(gap), 0, gap))
-        may = (low <= radius) & (100 * np.minimum(size, size[pivot]) >= percent * np.maximum(size, size[pivot]))
-        may[pivot] = False
-        if pivot == 0:
-            may[1:] = True  # all distances to the region's pivot are wanted
+    edges = []
+    for pivot in range(len(names) - 1):
+        may = 100 * np.minimum(size, size[pivot]) >= percent * np.maximum(size, size[pivot])
+        may[: pivot + 1] = False
+        for d in table:  # triangle inequality: |d(x, p) - d(y, p)| <= d(x, y); nan says nothing
+            may &= ~(np.abs(d - d[pivot]) > radius)
         which = np.flatnonzero(may)
-        d = np.full(n, np.nan)
-        d[pivot] = 0
-        if len(which):
-            both = overlap(grams[first[pivot] : first[pivot + 1]], grams, first, which)
-            union = size[which] + size[pivot] - both
-            d[which] = 1 - both / np.maximum(union, 1)
-            near = which[(100 * both >= percent * union) & (both > 0)]
-            for j in near.tolist():
-                if links.root(pivot) != links.root(j):
-                    links.join(pivot, j)
-                    edges.append((pivot, j))
-            far = far[~np.isin(far, near)]
-        if pivot == 0:
-            to_first = np.nan_to_num(d, nan=1.0)
-        if len(table) < 32:
-            table.append(d)
-        if not len(far):
-            return edges, to_first
-        pivot, far = int(far[0]), far[1:]
-
-
-def _regions(percent: int):
-    """Joins the regions of a partition; rows arrive sorted by (region, slot), the pivot first in each."""
-
-    def close(rows: list[tuple]) -> tuple[list, list, list, list, list]:
-        sets = [np.frombuffer(r[4], dtype="<u8") for r in rows]
+        mine = links.root(int(names[pivot]))
+        which = which[[links.root(int(names[j])) != mine for j in which]] if len(which) else which
+        if not len(which):
+            continue
+        d, linked = measure(*take(grams, first, which), take(grams, first, np.array([pivot])), percent)
+        if len(table) < 16:
+            table.append(np.full(len(names), np.nan))
+            table[-1][which], table[-1][pivot] = d[:, 0], 0
+        edges += [(int(names[pivot]), int(names[j])) for j in which[linked[:, 0]] if links.join(int(names[pivot]), int(names[j]))]
+    return edges
+
+
+def join_cell(grams: np.ndarray, first: np.ndarray, percent: int, links: Links, names: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is linked in a cell, by Voronoi cells of its own; the first set is the first pivot."""
+    n, radius = len(first) - 1, (100 - percent) / 100 + 1e-9
+    names = np.arange(n) if names is None else names
+    if n <= LEAF:
+        return compare(grams, first, percent, links, names)
+    chosen = np.unique(np.linspace(0, n - 1, min(PIVOTS, int(n**0.5) + 1)).astype(np.int64))
+    d, linked = measure(grams, first, take(grams, first, chosen), percent)
+    edges = [(int(names[chosen[p]]), int(names[i])) for i, p in zip(*np.nonzero(linked), strict=True) if links.join(int(names[chosen[p]]), int(names[i]))]
+    row, cell = seats_of(d, radius)
+    root = links.roots()
+    for k in range(len(chosen)):
+        mine = row[cell == k]
+        far = root[names[mine]] != root[names[chosen[k]]]
+        if not far.any():
+            continue
+        mine = mine[far | (d[mine, k] >= d[mine[far], k].min() - radius)]
+        if len(mine) > 0.7 * n:
+            edges += compare(*take(grams, first, mine), percent, links, names[mine])
+        elif len(mine) > 1:
+            edges += join_cell(*take(grams, first, mine), percent, links, names[mine])
+    return edges
+
+
+SEATS = "a bigint, b bigint, doc bigint, grams binary, seats array<struct<cell:bigint,d:double>>"
+SEAT = pa.list_(pa.struct([("cell", pa.int64()), ("d", pa.float64())]))
+
+
+def _batch(edges: list[tuple[int, int]], docs: list[tuple[int, bytes, list[dict]]]) -> pa.RecordBatch:
+    n, m = len(edges), len(docs)
+    a, b = zip(*edges, strict=True) if n else ((), ())
+    doc, grams, seats = zip(*docs, strict=True) if m else ((), (), ())
+    columns = [pa.array([*a, *[None] * m], pa.int64()), pa.array([*b, *[None] * m], pa.int64()), pa.array([*[None] * n, *doc], pa.int64()), pa.array([*[None] * n, *grams], pa.binary()), pa.array([*[None] * n, *seats], SEAT)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc", "grams", "seats"])
+
+
+def _cells(percent: int):
+    """Joins whole cells, and measures slots of dealt ones against their pivots; rows arrive sorted by (cell, slot, role).
+
+    A dealt cell's documents come back with their sets and the next cells in which they have a seat. A cell is named by a
+    hash of its parent and its pivot, so slots name alike.
+    """
+    radius = (100 - percent) / 100 + 1e-9
+
+    def close(rows: list[tuple]) -> tuple[list, list]:
+        ids = [r[3] for r in rows]
+        sets = [np.frombuffer(r[5], dtype="<u8") for r in rows]
         first = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
-        edges, d = join_region(np.concatenate(sets), first, percent)
-        region = [r[0] for r in rows]
-        a = [rows[i][3] for i, _ in edges]
-        b = [rows[j][3] for _, j in edges]
-        more = [(region[i], rows[i][3], float(d[i])) for i in range(1, len(rows))] if rows[0][5] > 1 else []
-        return a, b, [m[0] for m in more], [m[1] for m in more], [m[2] for m in more]
+        grams = np.concatenate(sets)
+        if rows[0][6] <= 1:
+            edges = join_cell(grams, first, percent, Links([r[4] for r in rows]))
+            return [(ids[i], ids[j]) for i, j in edges], []
+        p = sum(r[2] == 0 for r in rows)  # pivots first
+        pivots = take(grams, first, np.arange(p))
+        mine = np.arange(p, len(rows))
+        d, linked = measure(*take(grams, first, mine), pivots, percent)
+        edges = [(ids[k], ids[p + i]) for i, k in zip(*np.nonzero(linked), strict=True) if ids[k] != ids[p + i]]
+        name = pair_hash(np.full(p, rows[0][0], dtype=np.int64).view(U), np.array(ids[:p], dtype=np.int64).view(U), 3).view(np.int64)
+        row, cell = seats_of(d, radius)
+        bounds = np.searchsorted(row, np.arange(len(mine) + 1))
+        out = [(ids[p + i], rows[p + i][5], [{"cell": int(name[k]), "d": float(d[i, k])} for k in cell[bounds[i] : bounds[i + 1]]]) for i in range(len(mine))]
+        return edges, out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
-            done = [[], [], [], [], []]
+            edges, docs = [], []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:2] != held[0][:2]:
-                    for x, y in zip(done, close(held), strict=True):
-                        x += y
-                    held = []
+                    e, o = close(held)
+                    edges, docs, held = edges + e, docs + o, []
                 held.append(row)
-            yield _links(done)
+            yield _batch(edges, docs)
         if held:
-            yield _links(list(close(held)))
+            yield _batch(*close(held))
 
     return run
 
 
-def _links(done: list[list]) -> pa.RecordBatch:
-    a, b, region, doc, d = done
-    n, m = len(a), len(doc)
-    return pa.RecordBatch.from_arrays([pa.array([*a, *[None] * m], pa.int64()), pa.array([*b, *[None] * m], pa.int64()), pa.array([*[None] * n, *region], pa.int64()), pa.array([*[None] * n, *doc], pa.int64()), pa.array([*[None] * n, *d], pa.float64())], names=["a", "b", "region", "doc", "d"])
+def join_by_hot_key(rows: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Joins a table with one row per key; a key's rows are dealt over `SALTS` values, so none is bound to one task."""
+    salted = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, [key, "salt"], how).drop("salt")
+
+
+def dealt(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """(cell, slot, role, doc, ...) of documents with their cells: role 0 for a pivot, once per slot, and 1 for a document.
+
+    `sizes` holds (cell, n) of the cells with more than `block` documents; all others have one slot and no pivots. About
+    `PIVOTS` documents of a large cell are its pivots, chosen by a hash.
+    """
+    large = sizes.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("every", F.ceil(F.col("n") / F.lit(PIVOTS)))
+    own = join_by_hot_key(rows, large, "cell", "doc", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    chosen = (F.col("blocks") > 1) & ((F.pmod(F.xxhash64("doc", "cell"), F.col("every")) == 0) | (F.col("doc") == F.col("cell")))
+    here = F.array(F.struct(F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("slot"), F.lit(1).alias("role")))
+    also = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("slot"), F.lit(0).alias("role")))
+    return own.withColumn("at", F.explode(F.when(chosen, F.concat(also, here)).otherwise(here))).drop("every", "n").withColumns({"slot": F.col("at.slot"), "role": F.col("at.role")}).drop("at")
+
+
+def in_cells(rows: DataFrame, percent: int) -> DataFrame:
+    ordered = rows.select("cell", "slot", "role", "doc", "label", "grams", "blocks").repartition("cell", "slot").sortWithinPartitions("cell", "slot", "role", F.col("doc") != F.col("cell"), "doc")
+    return ordered.mapInArrow(_cells(percent), SEATS)
+
+
+def next_cells(spark: SparkSession, measured: DataFrame, edges: DataFrame, percent: int) -> DataFrame | None:
+    """(cell, doc, label, grams): who still has to meet in the cells of dealt ones; None if nobody has.
+
+    A document's label is the least one that links reach so far. Where all of a cell have one label nothing is left to do.
+    Otherwise those without the label of the cell's nearest document stay, and those within the radius of them.
+    """
+    radius = (100 - percent) / 100 + 1e-9
+    seats = measured.where("doc is not null")
+    if seats.isEmpty():
+        return None
+    label = components(spark, edges).select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    told = stored(seats.select("doc", F.explode("seats").alias("s")).select("doc", "s.cell", "s.d").join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc")))
+    cells = told.groupBy("cell").agg(F.min_by("label", F.struct("d", "label")).alias("own"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cell", "own")
+    open_ = join_by_hot_key(told, cells, "cell", "doc")
+    least = open_.where("label <> own").groupBy("cell").agg(F.min("d").alias("least"))
+    stay = join_by_hot_key(open_, least, "cell", "doc").where((F.col("label") != F.col("own")) | (F.col("d") >= F.col("least") - radius))
+    stay = stored(stay.groupBy("doc").agg(F.first("label").alias("label"), F.collect_set("cell").alias("cells")))
+    if stay.isEmpty():
+        return None
+    # a document of several cells of the parent level is stored once in each; one copy of its set is enough
+    sets = seats.select("doc", "grams").join(stay, "doc").dropDuplicates(["doc"])
+    return stored(sets.select(F.explode("cells").alias("cell"), "doc", "label", "grams"))
+
+
+def between_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
+    """Cells that pivots do not divide, as a grid of block pairs: every pair of documents meets in one."""
+    half = max(1, block // 2)
+    k = sizes.select("cell", F.ceil(F.col("n") / F.lit(half)).cast("int").alias("k"))
+    placed = join_by_hot_key(rows, k, "cell", "doc").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("k")).cast("int"))
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    pair = F.greatest("own", "other") * F.col("k") + F.least("own", "other")
+    return other.select("cell", pair.cast("int").alias("slot"), F.lit(1).alias("role"), "doc", "label", "grams", F.lit(1).alias("blocks"))
 
 
 def _with_sets(size: int):
@@ -263,10 +377,37 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, size: int = 4, percent:
     """(a, b): links that connect exactly the documents that J(x, y) >= percent / 100 connects.
 
     Every returned pair is itself linked or has equal sets; links inside a connected group that others imply are left out.
-    Rows with a null id, and texts without words, link with nothing. Rows that share an id are one node with
-    the links of all of them.
+    Ids must be whole numbers or their texts. Rows with a null id, and texts without words, link with nothing. Rows that
+    share an id are one node with the links of all of them. Very long texts are taken whole; other columns are not read.
     """
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("t")).where("doc is not null and t is not null")
+    member, twins = neighbourhoods(spark, base, size, percent, frequent_least, frequent_most)
+    met = member.where("cell <> doc").groupBy("cell").agg((F.count("*") + 1).alias("n"))  # without others a leader meets nobody
+    leaders = met.select("cell", F.col("cell").alias("doc"))
+    rows = dealt(member.where("cell <> doc").unionByName(leaders), met.where(F.col("n") > block), block)
+    # the texts of members, each shuffled once with the list of its seats (no longer than its prefix, or the blocks of a pivot)
+    by_doc = rows.groupBy("doc").agg(F.collect_list(F.struct("cell", "slot", "role", "blocks")).alias("s"))
+    sets = base.join(by_doc, "doc").mapInArrow(_with_sets(size), "doc bigint, grams binary, s array<struct<cell:bigint,slot:int,role:int,blocks:int>>")
+    level = sets.select(F.explode("s").alias("s"), "doc", F.col("doc").alias("label"), "grams").select("s.*", "doc", "label", "grams")
+    found, before = twins, None
+    while True:
+        measured = stored(in_cells(level, percent))
+        found = found.unionByName(measured.where("a is not null").select("a", "b"))
+        rows = next_cells(spark, measured, found, percent)
+        if rows is None:
+            return found
+        sizes = stored(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block))
+        left = sizes.agg(F.sum("n")).first()[0] or 0
+        if before is not None and left > 0.8 * before:  # the level before did not divide them
+            whole = join_by_hot_key(rows, sizes, "cell", "doc", "left").where("n is null").drop("n")
+            level = dealt(whole, sizes.limit(0), block).unionByName(between_blocks(rows, sizes, block))
+        else:
+            level = dealt(rows, sizes, block)
+        before = left
+
+
+def neighbourhoods(spark: SparkSession, base: DataFrame, size: int, percent: int, frequent_least: int, frequent_most: int) -> tuple[DataFrame, DataFrame]:
+    """(cell, doc): the leaders in whose neighbourhoods each document stands; (a, b): equal sets that a task saw."""
     frequent = frequent_shingles(base.select("t"), size, frequent_least, frequent_most)
     parts = parts_of(spark)
     packed = base.mapInArrow(_prefixes(size, percent, frequent, parts), PACKED)
@@ -274,49 +415,14 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, size: int = 4, percent:
     told = stored(repeated_places(packed, parts, tell_keys=True).select(part[0].cast("bigint").alias("doc"), part[1].cast("bigint").alias("n"), F.when(part[2] != "", part[2]).cast("bigint").alias("twin"), "keys"))
     twins = told.where("twin is not null").select(F.col("doc").alias("a"), F.col("twin").alias("b"))
     tokens = told.where("twin is null").select("doc", "n", F.explode(F.array_distinct("keys")).alias("token"))
-    pivots = tokens.groupBy("token").agg(F.min("doc").alias("region"), F.max("doc").alias("last")).where("last > region").select("token", "region")
-    shared = tokens.join(pivots, "token").groupBy("doc", "n", "region").agg(F.count("*").alias("k"))
-    # A linked pair shares spare + 1 prefix shingles. A document leaves its weakest regions while they hold spare / 2 shingles
-    # of it at most: both ends together can't leave all regions in which they would meet. Its own region costs nothing.
-    weakest = Window.partitionBy("doc").orderBy("own", "k", "region")
+    leaders = tokens.groupBy("token").agg(F.min("doc").alias("cell"), F.max("doc").alias("last")).where("last > cell").select("token", "cell")
+    shared = tokens.join(leaders, "token").groupBy("doc", "n", "cell").agg(F.count("*").alias("k"))
+    # A linked pair shares spare + 1 prefix shingles. A document leaves its weakest neighbourhoods while they hold spare / 2
+    # shingles of it at most: both ends together can't leave all in which they would meet. Its own costs nothing.
+    weakest = Window.partitionBy("doc").orderBy("own", "k", "cell")
     left = F.sum(F.when(F.col("own") == 0, F.col("k")).otherwise(0)).over(weakest)
-    ranked = shared.withColumn("own", (F.col("doc") == F.col("region")).cast("int")).withColumn("left", left)
-    member = ranked.where((F.col("own") == 1) | (F.col("left") > F.floor(F.floor(F.col("n") / 20) / 2))).select("region", "doc")
-    member = stored(member)
-    inhabited = member.where("region <> doc").select("region").distinct()
-    member = member.join(inhabited, "region")
-    sizes = member.groupBy("region").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(block))).cast("int").alias("blocks"))
-    # one row per member, the pivot once per block
-    slots = member.where("region <> doc").join(sizes, "region").withColumn("slot", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    seats = slots.unionByName(sizes.select("region", F.col("region").alias("doc"), "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("slot")))
-    # the texts of members, each shuffled once with the list of its seats (no longer than its prefix)
-    by_doc = seats.groupBy("doc").agg(F.collect_list(F.struct("region", "slot", "blocks")).alias("seats"))
-    sets = base.join(by_doc.hint("shuffle_hash"), "doc").mapInArrow(_with_sets(size), "doc bigint, grams binary, seats array<struct<region:bigint,slot:int,blocks:int>>")
-    rows = sets.select(F.explode("seats").alias("s"), "doc", "grams").select("s.region", "s.slot", (F.col("doc") != F.col("s.region")).cast("int").alias("rest"), "doc", "grams", "s.blocks")
-    kind = "a bigint, b bigint, region bigint, doc bigint, d double"
-    first = stored(rows.repartition("region", "slot").sortWithinPartitions("region", "slot", "rest", "doc").mapInArrow(_regions(percent), kind))
-    found = first.where("a is not null").select("a", "b")
-    open_ = stored(_between_blocks(first.where("doc is not null").select("region", "doc", "d"), percent, block))
-    few = open_.count() <= BROADCAST_ROWS  # four small numbers each; beyond that the texts are shuffled once more
-    cross = base.join(F.broadcast(open_) if few else open_, "doc").select("doc", "region", "one", "two", "t").mapInArrow(_with_sets(size), "doc bigint, region bigint, one int, two int, grams binary")
-    grid = cross.select("region", F.concat_ws("-", "one", "two").alias("slot"), F.lit(1).alias("rest"), "doc", "grams", F.lit(1).alias("blocks"))
-    second = grid.repartition("region", "slot").sortWithinPartitions("region", "slot", "doc").mapInArrow(_regions(percent), kind)
-    return found.unionByName(second.where("a is not null").select("a", "b")).unionByName(twins)
-
-
-def _between_blocks(seen: DataFrame, percent: int, block: int) -> DataFrame:
-    """(doc, region, one, two): members of split regions that may link across blocks, once per pair of blocks.
-
-    Documents within the radius of the pivot are connected already. Far ones, and those in the window of a far one, remain.
-    """
-    radius = (100 - percent) / 100 + 1e-9
-    least = seen.where(F.col("d") > radius).groupBy("region").agg(F.min("d").alias("least"))
-    rest = seen.join(least, "region").where((F.col("d") > radius) | (F.col("d") >= F.col("least") - radius)).select("region", "doc")
-    half = max(1, block // 2)
-    count = rest.groupBy("region").agg(F.ceil(F.count("*") / F.lit(half)).cast("int").alias("k"))
-    placed = rest.join(count, "region").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("k")).cast("int"))
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return other.select("doc", "region", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    ranked = shared.withColumn("own", (F.col("doc") == F.col("cell")).cast("int")).withColumn("left", left)
+    return stored(ranked.where((F.col("own") == 1) | (F.col("left") > F.floor(F.floor(F.col("n") / 20) / 2))).select("cell", "doc")), twins
 
 
 def shingle_counts(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
@@ -336,8 +442,22 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, perc
     return shingle_counts(docs, size, doc_id, text).join(groups, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells rows apart: a 64-bit hash of id and text. Rows that agree in both are one."""
+    return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), doc_id.isNull(), text)
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the least of its group; rows with a null id stay, repeated rows are kept once."""
-    groups = components(spark, jaccard_links(spark, docs, size, percent, doc_id, text)).where("node <> component").select(F.col("node").alias("__node"))
-    kept = docs.join(groups, F.col(doc_id) == F.col("__node"), "left_anti")
-    return kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]).unionByName(kept.where(F.col(doc_id).isNull()))
+    """The rows of `docs` without those whose text is, or links through others to, that of a row that stays.
+
+    A row is judged by its id and text together, so rows that share an id are told apart, and so are rows with a null id.
+    One row of each group of linked texts stays (the one with the least hash of id and text), and one of rows that agree in
+    id and text. Null texts and such without words link with nothing. Long texts are taken whole; other columns may have
+    any name.
+    """
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    own = docs.withColumn(key, row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    groups = components(spark, jaccard_links(spark, own, size, percent, key, text)).where("node <> component").select(F.col("node").alias(key))
+    return own.join(groups, key, "left_anti").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
