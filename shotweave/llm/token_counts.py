@@ -28,6 +28,7 @@ NEWER_LOWER = {0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B} | {
 # Characters that the pattern module takes for letters and the vocabulary's library for symbols, and a symbol.
 ODD, PLAIN = [hi << 12 | lo for hi in (0x32, 0x3D, 0x3E, 0x3F) for lo in (0x808, 0x85C, 0x988)], 0x50000
 IS_ODD, STAND_IN = re.compile(f"[{''.join(map(chr, ODD))}]"), dict.fromkeys(ODD, PLAIN)
+IS_NEWER = re.compile(f"[{''.join(map(chr, NEWER_LOWER))}]")
 
 
 def byte_symbols() -> list[str]:
@@ -66,7 +67,9 @@ class MergeTable:
         key = left << 32 | right
         spot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         known = self.key[spot] == key
-        return np.where(known, self.rank[spot], NO_PAIR), self.made[spot]
+        rank = self.rank[spot]
+        rank[~known] = NO_PAIR
+        return rank, self.made[spot]
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of a normalised text."""
@@ -183,7 +186,9 @@ class Counter:
         for part in parts:
             if not part.isascii():
                 # no final-sigma rule: letters fold one by one
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(NEWER_LOWER)
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                if IS_NEWER.search(part):
+                    part = part.translate(NEWER_LOWER)
             found += self.table.pieces(part.lower())
         return found, extra
 
