@@ -33,7 +33,9 @@ from shotweave.llm.repeats import PACKED, Packer, parts_of, repeated_places
 U = np.uint64
 QUARTER = U(1 << 62)
 #: Pivots of a cell that is dealt over tasks, and the size from which a cell inside a task is divided.
-PIVOTS, LEAF = 32, 24
+PIVOTS, LEAF = 32, 96
+#: Cells that together hold this many times the documents of their parents do not divide them, nor do cells of many levels.
+GROWTH, LEVELS = 1.5, 6
 #: Keys that can hold a large part of all rows are joined with so many salts.
 SALTS = 64
 
@@ -195,27 +197,30 @@ def seats_of(d: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(window & (np.arange(d.shape[1])[None, :] <= home[:, None]))
 
 
+def all_overlaps(grams: np.ndarray, first: np.ndarray, width: int = 4096) -> np.ndarray:
+    """|x & y| for all pairs of sets, by products of their incidence matrix, `width` shared shingles at a time."""
+    n = len(first) - 1
+    row = np.repeat(np.arange(n), np.diff(first))
+    _, column, held = np.unique(grams, return_inverse=True, return_counts=True)
+    shared = held[column] > 1
+    row, column = row[shared], (np.cumsum(held > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((n, n), dtype=np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        block = np.zeros((n, int(column[b - 1]) - lo + 1), dtype=np.float32)
+        block[row[a:b], column[a:b] - lo] = 1
+        total += block @ block.T
+    return total.astype(np.int64)
+
+
 def compare(grams: np.ndarray, first: np.ndarray, percent: int, links: Links, names: np.ndarray) -> list[tuple[int, int]]:
-    """Links between all sets that are not connected yet; earlier pivots' distances bound those to the next ones."""
-    size, radius = np.diff(first), (100 - percent) / 100 + 1e-9
-    table: list[np.ndarray] = []
-    edges = []
-    for pivot in range(len(names) - 1):
-        may = 100 * np.minimum(size, size[pivot]) >= percent * np.maximum(size, size[pivot])
-        may[: pivot + 1] = False
-        for d in table:  # triangle inequality: |d(x, p) - d(y, p)| <= d(x, y); nan says nothing
-            may &= ~(np.abs(d - d[pivot]) > radius)
-        which = np.flatnonzero(may)
-        mine = links.root(int(names[pivot]))
-        which = which[[links.root(int(names[j])) != mine for j in which]] if len(which) else which
-        if not len(which):
-            continue
-        d, linked = measure(*take(grams, first, which), take(grams, first, np.array([pivot])), percent)
-        if len(table) < 16:
-            table.append(np.full(len(names), np.nan))
-            table[-1][which], table[-1][pivot] = d[:, 0], 0
-        edges += [(int(names[pivot]), int(names[j])) for j in which[linked[:, 0]] if links.join(int(names[pivot]), int(names[j]))]
-    return edges
+    """Links between all sets that are not connected yet."""
+    size = np.diff(first)
+    both = all_overlaps(grams, first)
+    linked = np.triu((100 * both >= percent * (size[:, None] + size[None, :] - both)) & (both > 0), 1)
+    return [(int(names[i]), int(names[j])) for i, j in zip(*np.nonzero(linked), strict=True) if links.join(int(names[i]), int(names[j]))]
 
 
 def join_cell(grams: np.ndarray, first: np.ndarray, percent: int, links: Links, names: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -242,16 +247,16 @@ def join_cell(grams: np.ndarray, first: np.ndarray, percent: int, links: Links,
     return edges
 
 
-SEATS = "a bigint, b bigint, doc bigint, grams binary, seats array<struct<cell:bigint,d:double>>"
+SEATS = "a bigint, b bigint, doc bigint, parent bigint, grams binary, seats array<struct<cell:bigint,d:double>>"
 SEAT = pa.list_(pa.struct([("cell", pa.int64()), ("d", pa.float64())]))
 
 
-def _batch(edges: list[tuple[int, int]], docs: list[tuple[int, bytes, list[dict]]]) -> pa.RecordBatch:
+def _batch(edges: list[tuple[int, int]], docs: list[tuple[int, int, bytes, list[dict]]]) -> pa.RecordBatch:
     n, m = len(edges), len(docs)
     a, b = zip(*edges, strict=True) if n else ((), ())
-    doc, grams, seats = zip(*docs, strict=True) if m else ((), (), ())
-    columns = [pa.array([*a, *[None] * m], pa.int64()), pa.array([*b, *[None] * m], pa.int64()), pa.array([*[None] * n, *doc], pa.int64()), pa.array([*[None] * n, *grams], pa.binary()), pa.array([*[None] * n, *seats], SEAT)]
-    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc", "grams", "seats"])
+    doc, parent, grams, seats = zip(*docs, strict=True) if m else ((), (), (), ())
+    columns = [pa.array([*a, *[None] * m], pa.int64()), pa.array([*b, *[None] * m], pa.int64()), pa.array([*[None] * n, *doc], pa.int64()), pa.array([*[None] * n, *parent], pa.int64()), pa.array([*[None] * n, *grams], pa.binary()), pa.array([*[None] * n, *seats], SEAT)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "doc", "parent", "grams", "seats"])
 
 
 def _cells(percent: int):
@@ -278,7 +283,7 @@ def _cells(percent: int):
         name = pair_hash(np.full(p, rows[0][0], dtype=np.int64).view(U), np.array(ids[:p], dtype=np.int64).view(U), 3).view(np.int64)
         row, cell = seats_of(d, radius)
         bounds = np.searchsorted(row, np.arange(len(mine) + 1))
-        out = [(ids[p + i], rows[p + i][5], [{"cell": int(name[k]), "d": float(d[i, k])} for k in cell[bounds[i] : bounds[i + 1]]]) for i in range(len(mine))]
+        out = [(ids[p + i], rows[0][0], rows[p + i][5], [{"cell": int(name[k]), "d": float(d[i, k])} for k in cell[bounds[i] : bounds[i + 1]]]) for i in range(len(mine))]
         return edges, out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,38 +327,55 @@ def in_cells(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(_cells(percent), SEATS)
 
 
-def next_cells(spark: SparkSession, measured: DataFrame, edges: DataFrame, percent: int) -> DataFrame | None:
-    """(cell, doc, label, grams): who still has to meet in the cells of dealt ones; None if nobody has.
+def next_cells(spark: SparkSession, measured: DataFrame, edges: DataFrame, percent: int, level: int) -> tuple[DataFrame, bool] | None:
+    """((cell, doc, label, grams), divided): who still has to meet in the cells of dealt ones; None if nobody has.
 
     A document's label is the least one that links reach so far. Where all of a cell have one label nothing is left to do.
-    Otherwise those without the label of the cell's nearest document stay, and those within the radius of them.
+    Otherwise those without the label of the cell's pivot stay, and those within the radius of them. If the windows hold so
+    many that the cells do not divide their parents, the parents are returned, not divided.
     """
     radius = (100 - percent) / 100 + 1e-9
     seats = measured.where("doc is not null")
-    if seats.isEmpty():
+    docs = seats.count()
+    if not docs:
         return None
     label = components(spark, edges).select(F.col("node").alias("doc"), F.col("component").alias("label"))
-    told = stored(seats.select("doc", F.explode("seats").alias("s")).select("doc", "s.cell", "s.d").join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc")))
-    cells = told.groupBy("cell").agg(F.min_by("label", F.struct("d", "label")).alias("own"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cell", "own")
-    open_ = join_by_hot_key(told, cells, "cell", "doc")
+    told = stored(seats.select("doc", "parent", "seats").join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc")))
+    places = told.select("doc", "label", F.explode("seats").alias("s")).select("doc", "label", "s.cell", "s.d")
+    cells = places.groupBy("cell").agg(F.min_by("label", F.struct("d", "label")).alias("own"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cell", "own")
+    open_ = join_by_hot_key(places, cells, "cell", "doc")
     least = open_.where("label <> own").groupBy("cell").agg(F.min("d").alias("least"))
     stay = join_by_hot_key(open_, least, "cell", "doc").where((F.col("label") != F.col("own")) | (F.col("d") >= F.col("least") - radius))
     stay = stored(stay.groupBy("doc").agg(F.first("label").alias("label"), F.collect_set("cell").alias("cells")))
-    if stay.isEmpty():
+    total = stay.agg(F.sum(F.size("cells"))).first()[0] or 0
+    if not total:
         return None
-    # a document of several cells of the parent level is stored once in each; one copy of its set is enough
+    if total > GROWTH * docs or level == LEVELS:
+        mixed = told.groupBy("parent").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("parent")
+        whole = join_by_hot_key(told.select("doc", "label", "parent"), mixed, "parent", "doc").select("doc", "parent", "label")
+        return stored(seats.select("doc", "parent", "grams").join(whole, ["doc", "parent"]).select(F.col("parent").alias("cell"), "doc", "label", "grams")), False
+    # a document of several parents is stored once in each; one copy of its set is enough
     sets = seats.select("doc", "grams").join(stay, "doc").dropDuplicates(["doc"])
-    return stored(sets.select(F.explode("cells").alias("cell"), "doc", "label", "grams"))
+    return stored(sets.select(F.explode("cells").alias("cell"), "doc", "label", "grams")), True
+
 
+def between_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """Cells that pivots do not divide, as pairs of blocks.
 
-def between_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
-    """Cells that pivots do not divide, as a grid of block pairs: every pair of documents meets in one."""
+    Documents of a cell's most frequent label are connected to each other. All others, in blocks of half the size, meet all
+    documents of the cell, in such blocks too.
+    """
     half = max(1, block // 2)
-    k = sizes.select("cell", F.ceil(F.col("n") / F.lit(half)).cast("int").alias("k"))
-    placed = join_by_hot_key(rows, k, "cell", "doc").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("k")).cast("int"))
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    pair = F.greatest("own", "other") * F.col("k") + F.least("own", "other")
-    return other.select("cell", pair.cast("int").alias("slot"), F.lit(1).alias("role"), "doc", "label", "grams", F.lit(1).alias("blocks"))
+    often = rows.groupBy("cell", "label").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("own"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    blocks = often.select("cell", "own", F.ceil(F.col("n") / half).cast("int").alias("k"), F.ceil((F.col("n") - F.col("most")) / half).cast("int").alias("k_open"))
+    placed = join_by_hot_key(rows, blocks, "cell", "doc").withColumn("h", F.xxhash64("doc", F.lit(7)))
+    one = F.pmod("h", F.col("k_open")).cast("int")
+    every = F.pmod("h", F.col("k")).cast("int")
+    slot = lambda i, j: (i * F.col("k") + j).cast("int")
+    as_one = F.when(F.col("label") != F.col("own"), F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: slot(one, j))).otherwise(F.array().cast("array<int>"))
+    as_any = F.transform(F.sequence(F.lit(0), F.col("k_open") - 1), lambda i: slot(i, every))
+    met = placed.withColumn("slot", F.explode(F.array_distinct(F.concat(as_one, as_any))))
+    return met.select("cell", "slot", F.lit(1).alias("role"), "doc", "label", "grams", F.lit(1).alias("blocks"))
 
 
 def _with_sets(size: int):
@@ -373,7 +395,7 @@ def _with_sets(size: int):
     return run
 
 
-def jaccard_links(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", block: int = 400, frequent_least: int = 24, frequent_most: int = 200_000) -> DataFrame:
+def jaccard_links(spark: SparkSession, docs: DataFrame, size: int = 4, percent: int = 85, doc_id: str = "doc_id", text: str = "text", block: int = 512, frequent_least: int = 24, frequent_most: int = 200_000) -> DataFrame:
     """(a, b): links that connect exactly the documents that J(x, y) >= percent / 100 connects.
 
     Every returned pair is itself linked or has equal sets; links inside a connected group that others imply are left out.
@@ -389,21 +411,17 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, size: int = 4, percent:
     by_doc = rows.groupBy("doc").agg(F.collect_list(F.struct("cell", "slot", "role", "blocks")).alias("s"))
     sets = base.join(by_doc, "doc").mapInArrow(_with_sets(size), "doc bigint, grams binary, s array<struct<cell:bigint,slot:int,role:int,blocks:int>>")
     level = sets.select(F.explode("s").alias("s"), "doc", F.col("doc").alias("label"), "grams").select("s.*", "doc", "label", "grams")
-    found, before = twins, None
-    while True:
+    found = twins
+    for depth in range(1, LEVELS + 2):
         measured = stored(in_cells(level, percent))
         found = found.unionByName(measured.where("a is not null").select("a", "b"))
-        rows = next_cells(spark, measured, found, percent)
-        if rows is None:
+        left = next_cells(spark, measured, found, percent, depth)
+        if left is None:
             return found
-        sizes = stored(rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block))
-        left = sizes.agg(F.sum("n")).first()[0] or 0
-        if before is not None and left > 0.8 * before:  # the level before did not divide them
-            whole = join_by_hot_key(rows, sizes, "cell", "doc", "left").where("n is null").drop("n")
-            level = dealt(whole, sizes.limit(0), block).unionByName(between_blocks(rows, sizes, block))
-        else:
-            level = dealt(rows, sizes, block)
-        before = left
+        rows, divided = left
+        sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block)
+        level = dealt(rows, sizes, block) if divided else between_blocks(rows, block)
+    raise RuntimeError("cells did not close")
 
 
 def neighbourhoods(spark: SparkSession, base: DataFrame, size: int, percent: int, frequent_least: int, frequent_most: int) -> tuple[DataFrame, DataFrame]:
