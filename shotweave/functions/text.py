@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented Latin letters and their base letters.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+def _plain_letters() -> dict[str, str]:
+    """Lower-case Latin letters with marks and the letter below the marks, by canonical decomposition."""
+    ranges = [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]
+    parts = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in ranges}
+    return {c: p for c, p in parts.items() if p.isascii() and p.isalpha() and c == c.lower()}
+
+
+# Letters that have no decomposition, and those that fold to two letters.
+STROKED, PAIRS = {"ø": "o", "ł": "l", "đ": "d", "ħ": "h", "ŧ": "t", "ı": "i"}, {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
+_LETTERS = _plain_letters() | STROKED
+ACCENTED, PLAIN = "".join(_LETTERS), "".join(_LETTERS.values())
+MARKS = "[\u0300-\u036f]"
 # Query words without content.
 STOP_WORDS = """
 a an the and or of in on at to for with by from
@@ -21,8 +33,11 @@ MIN_TOKEN = 3
 
 
 def fold_text(s: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(s), ACCENTED, PLAIN)
+    """Lower case without accents: marks go, letters with marks and ligatures become plain ones."""
+    out = F.translate(F.regexp_replace(F.lower(s), MARKS, ""), ACCENTED, PLAIN)
+    for letter, two in PAIRS.items():
+        out = F.replace(out, F.lit(letter), F.lit(two))
+    return out
 
 
 def lexemes(s: Column) -> Column:
@@ -30,11 +45,6 @@ def lexemes(s: Column) -> Column:
     return F.regexp_extract_all(fold_text(s), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def occurrences(tokens: Column, words: Column) -> Column:
-    """How many tokens are among the words."""
-    return F.size(F.filter(tokens, lambda t: F.array_contains(words, t)))
-
-
 def phrase_occurrences(tokens: Column, phrase: Column) -> Column:
     """How often the words of a phrase stand next to each other in order."""
     n = F.size(phrase)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotweave.operators.ranking import rank_list, top_k
+from shotweave.sources.corpus import STAGES
 
 
 def pending(entities: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
@@ -15,8 +18,57 @@ def pending(entities: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return entities.join(done.select(keys), keys, "left_anti")
 
 
+def in_scope(keyframes: DataFrame, scope: str) -> DataFrame:
+    """Every keyframe (`all`), or the first of each shot (`shot`)."""
+    if scope not in ("all", "shot"):
+        raise ValueError(f"scope must be all or shot: {scope}")
+    return keyframes.where("kf_index = 0") if scope == "shot" else keyframes
+
+
 def shard(df: DataFrame, key: str, i: int, n: int) -> DataFrame:
-    return df.where(F.pmod(F.col(key), F.lit(n)) == i)
+    """The i-th of n parts: numbers by remainder, text ids by a hash."""
+    number = F.col(key) if dict(df.dtypes)[key] in ("int", "bigint", "smallint") else F.xxhash64(key)
+    return df.where(F.pmod(number, F.lit(n)) == i)
+
+
+# Stage, entities, key, the table that tells what is done, and whether the scope applies.
+WORK = {
+    "vectors": ("keyframes", "keyframe_id", "keyframe_embedding", False),
+    "text": ("keyframes", "keyframe_id", "keyframe_text", True),
+    "captions": ("keyframes", "keyframe_id", "keyframe_caption", True),
+    "transcripts": ("videos", "video_id", "transcript_segment", False),
+    "caption_vectors": ("keyframe_caption", "keyframe_id", "caption_embedding", False),
+    "transcript_vectors": ("transcript_segment", "segment_id", "transcript_embedding", False),
+}
+
+
+def pending_work(t: dict[str, DataFrame], stage: str, collection: str | None = None, part: tuple[int, int] | None = None, scope: str = "all", model_id: int | None = None) -> DataFrame:
+    """What a stage still has to do, in one collection (null or blank: all) and one of n parts.
+
+    Videos need sound to be transcribed and texts need content to be embedded; vectors are pending per model.
+    """
+    entities, key, done, scoped = WORK[stage]
+    x = t[entities]
+    if stage == "transcripts":
+        x = x.where("has_audio")
+    if entities == "keyframe_caption":
+        x = x.where("trim(caption) <> ''")
+    if entities == "transcript_segment":
+        x = x.where("trim(text) <> ''")
+    if collection and collection.strip():
+        if "video_id" not in x.columns:
+            x = x.join(t["keyframes"].select("keyframe_id", "video_id"), "keyframe_id")
+        x = x.join(t["videos"].where(F.col("collection") == collection.strip().upper()).select("video_id"), "video_id", "left_semi")
+    x = in_scope(x, scope) if scoped else x
+    x = shard(x, key, *part) if part else x
+    finished = t[done].where(F.col("model_id") == model_id) if model_id is not None else t[done]
+    return pending(x, finished, [key]).select(key)
+
+
+def pending_counts(t: dict[str, DataFrame], stages: list[str] | None = None, **kwargs) -> DataFrame:
+    """(stage, n): how much each stage still has to do."""
+    parts = [pending_work(t, s, **kwargs).agg(F.count("*").alias("n")).select(F.lit(s).alias("stage"), "n") for s in stages or WORK]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def scene_counts(videos: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -63,10 +115,33 @@ def purge_eligible(videos: DataFrame, scenes: DataFrame, keyframes: DataFrame, s
     return videos.select("video_id").join(c, "video_id", "left").join(a, "video_id", "left").select("video_id", F.coalesce("candidates", F.lit(False)).alias("candidates"), F.coalesce("audio", F.lit(False)).alias("audio"))
 
 
-def selection_report(scenes: DataFrame, keyframes: DataFrame) -> DataFrame:
+def purge_files(t: dict[str, DataFrame], files: DataFrame, web: str = "web", raw: str = "work/raw", candidates: str = "work/candidates", audio: str = "work/audio") -> DataFrame:
+    """(kind, video_id, path, bytes): transient files that no later stage needs.
+
+    files: path, bytes. A raw file goes once its video has a web copy and candidate frames, candidates once all shots have
+    keyframes, sound once there is a transcript or nothing to transcribe.
+    """
+    folder, name = F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.regexp_extract("path", r"([^/.]*)[^/]*$", 1)
+    f = files.withColumn("folder", folder).withColumn("video_id", F.when(F.startswith(folder, F.lit(candidates + "/")), F.regexp_extract(folder, r"([^/]*)$", 1)).otherwise(name))
+    kind = F.when(F.col("folder") == raw, "raw").when(F.startswith("folder", F.lit(candidates)), "candidates").when(F.col("folder") == audio, "audio").when(F.col("folder") == web, "web")
+    f = f.withColumn("kind", kind)
+    has = lambda k: f.where(F.col("kind") == k).select("video_id")
+    done = purge_eligible(t["videos"], t["scenes"], t["keyframes"], t["transcript_segment"])
+    gone = {"raw": has("web").intersect(has("candidates")), "candidates": done.where("candidates").select("video_id"), "audio": done.where("audio").select("video_id")}
+    parts = [f.where(F.col("kind") == k).join(ids, "video_id", "left_semi").select("kind", "video_id", "path", "bytes") for k, ids in gone.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def selection_report(scenes: DataFrame, keyframes: DataFrame, blank: DataFrame | None = None) -> DataFrame:
+    """Totals of keyframe selection; `blank` (scene_id) lists shots whose candidates were all blank."""
     n = keyframes.groupBy("scene_id").agg(F.count("*").alias("n"))
-    x = scenes.join(n, "scene_id", "left").select("video_id", F.coalesce("n", F.lit(0)).alias("n"))
-    return x.agg(F.count_distinct("video_id").alias("videos"), F.count("*").alias("scenes"), F.sum("n").alias("keyframes"), F.count_if(F.col("n") < 2).alias("short_scenes"), F.count_if(F.col("n") == 0).alias("empty_scenes"))
+    x = scenes.join(n, "scene_id", "left").select("scene_id", "video_id", F.coalesce("n", F.lit(0)).alias("n"))
+    if blank is not None:
+        x = x.join(blank.select("scene_id").distinct().withColumn("blank", F.lit(True)), "scene_id", "left")
+    return x.agg(
+        F.count_distinct("video_id").alias("videos"), F.count("*").alias("scenes"), F.sum("n").alias("keyframes"), F.count_if(F.col("n") < 2).alias("short_scenes"), F.count_if(F.col("n") == 0).alias("empty_scenes"),
+        (F.count_if("blank") if blank is not None else F.lit(0).cast("bigint")).alias("blank_scenes"), F.round(F.avg("n"), 6).alias("per_scene"),
+    )
 
 
 def content_counts(t: dict[str, DataFrame], names: list[str]) -> DataFrame:
@@ -78,14 +153,15 @@ def content_counts(t: dict[str, DataFrame], names: list[str]) -> DataFrame:
 
 
 def job_state(events: DataFrame) -> DataFrame:
-    """Latest stage per video, with the number of failures."""
-    return events.groupBy("video_id").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("stage"), F.count_if(F.col("stage") == "FAILED").alias("failures"), F.max("event_id").alias("last_event"))
+    """Latest stage per video, with the number of failures; unknown stages are no events."""
+    return events.where(F.col("stage").isin(STAGES)).groupBy("video_id").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("stage"), F.count_if(F.col("stage") == "FAILED").alias("failures"), F.max("event_id").alias("last_event"))
 
 
 def restrict_to_queue(df: DataFrame, jobs: DataFrame) -> DataFrame:
     """Only queued videos; an empty queue restricts nothing."""
-    queue = jobs.where("stage <> 'FAILED'").select("video_id")
-    return df if queue.isEmpty() else df.join(queue, "video_id", "left_semi")
+    queue = jobs.where("stage <> 'FAILED'").select("video_id").distinct().withColumn("queued", F.lit(True))
+    empty = queue.agg((F.count("*") == 0).alias("empty"))  # one row
+    return df.join(queue, "video_id", "left").crossJoin(F.broadcast(empty)).where("queued or empty").select(df.columns)
 
 
 def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:

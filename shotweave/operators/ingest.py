@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,6 +142,22 @@ def stage_report(entities: DataFrame, done: DataFrame, keys: list[str], text: st
     return x.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
+def stage_reports(t: dict[str, DataFrame], frames: DataFrame | None = None) -> DataFrame:
+    """(stage, status, n) of recognition, captions, speech and vectors: with text, silent, pending, and skipped without sound."""
+    kf, videos = t["keyframes"], t["videos"]
+    spoken = t["transcript_segment"].groupBy("video_id").agg(F.concat_ws(" ", F.max("text")).alias("text"))
+    made = lambda name: t[name].select("keyframe_id", F.lit("vector").alias("made")).distinct()
+    parts = {
+        "text": stage_report(frames or kf, t["keyframe_text"], ["keyframe_id"], "ocr_text"),
+        "captions": stage_report((frames or kf).where("kf_index = 0"), t["keyframe_caption"], ["keyframe_id"], "caption"),
+        "transcripts": stage_report(videos.where("has_audio"), spoken, ["video_id"], "text").unionByName(videos.where("not has_audio").agg(F.count("*").alias("n")).select(F.lit("skipped").alias("status"), "n").where("n > 0")),
+        "vectors": stage_report(kf, made("keyframe_embedding"), ["keyframe_id"], "made"),
+        "caption_vectors": stage_report(t["keyframe_caption"], made("caption_embedding"), ["keyframe_id"], "made"),
+    }
+    named = [df.select(F.lit(stage).alias("stage"), "status", "n") for stage, df in parts.items()]
+    return reduce(DataFrame.unionByName, named)
+
+
 def decode_worklist(videos: DataFrame, keyframes: DataFrame, files: DataFrame, folders: list[str], web_folder: str) -> DataFrame:
     """(video_id, path, state): videos without keyframes or without a web copy; state ready, or missing where no source exists."""
     finished = keyframes.select("video_id").join(source_file(videos, files, [web_folder]).where("path is not null"), "video_id", "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,34 +11,28 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.functions.text import cover_rank, lexemes, occurrences, phrase_occurrences, trigram_similarity
-from shotweave.functions.vectors import binary_quantize, cosine_distance, hamming
+from shotweave.functions.text import cover_rank, lexemes, phrase_occurrences, trigrams
+from shotweave.functions.vectors import binary_quantize, cosine_distance
 from shotweave.operators.ranking import rank_list, top_k
 
-#: A table of queries is broadcast up to this many rows; larger ones are joined by shuffle on the model.
-BROADCAST_QUERIES = 10_000
-
-
-def small(queries: DataFrame) -> DataFrame:
-    """`queries` with a broadcast hint if a bounded look shows that it is small."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
-
-
 def encode(vectors: DataFrame, key: str) -> DataFrame:
     """(key, model_id, code): the narrow table of phase one."""
     return vectors.select(key, "model_id", binary_quantize(F.col("embedding")).alias("code"))
 
 
 def ann_candidates(queries: DataFrame, codes: DataFrame, key: str, oversample: int) -> DataFrame:
-    """The `oversample` nearest codes of each query by Hamming distance, per model, before any filter."""
-    q = small(queries.select("query_id", "model_id", binary_quantize(F.col("embedding")).alias("qcode")))
-    near = codes.join(q, "model_id").select("query_id", "model_id", key, hamming(F.col("code"), F.col("qcode")).alias("bits"))
-    return top_k(near, ["query_id"], oversample, F.col("bits"), F.col(key)).drop("rank")
+    """(query_id, model_id, key, bits): the `oversample` nearest codes of each query by Hamming distance, before any filter.
+
+    The cut loses neighbours as the table grows; `knn` lets it grow with the table, and `knn_exact` has no cut.
+    """
+    q = queries.select("query_id", "model_id", binary_quantize(F.col("embedding")).alias("e"))
+    near = _scan(q, codes.select(F.col(key).alias("k"), "model_id", F.col("code").alias("e")), oversample, "bits").withColumnRenamed("k", key)
+    return top_k(near.withColumn("bits", F.col("d").cast("int")).drop("d"), ["query_id"], oversample, F.col("bits"), F.col(key)).drop("rank")
 
 
 def exact_rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
     """(query_id, key, distance, rank): candidates by cosine distance, then key."""
-    q = small(queries.select("query_id", F.col("embedding").alias("qv")))
+    q = queries.select("query_id", F.col("embedding").alias("qv"))
     x = candidates.join(vectors.select(key, "model_id", "embedding"), [key, "model_id"]).join(q, "query_id")
     x = x.select("query_id", key, F.round(cosine_distance(F.col("embedding"), F.col("qv")), 6).alias("distance"))
     return rank_list(x, ["query_id"], F.col("distance"), F.col(key))
@@ -47,27 +42,37 @@ def exact_rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame,
 BLOCK_QUERIES, BLOCK_PAIRS = 4096, 2_000_000
 
 
-def exact_candidates(queries: DataFrame, vectors: DataFrame, key: str, k: int) -> DataFrame:
-    """(query_id, key, model_id): per query and model the k nearest of each batch of vectors, with all that are as near to 6 digits.
+def _unit(x: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
 
-    Nothing is left out: every vector is compared with every query of its model. Vectors of no length, and null ones, have no distance.
+def _distances(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
+    """Differing bits of codes, or 1 - cosine of unit vectors."""
+    if kind == "cosine":
+        return 1 - q @ x.T
+    return sum(np.bitwise_count(q[:, None, i] ^ x[None, :, i]).astype(np.float64) for i in range(q.shape[1]))
+
+
+def _scan(q: DataFrame, v: DataFrame, k: int, kind: str) -> DataFrame:
+    """(query_id, k, model_id, d): per query and model the k nearest of each batch of rows, with all that are as near.
+
+    q: query_id, model_id, e; v: k, model_id, e. Nothing is left out: every row is compared with every query of its model,
+    the queries in blocks, so there is no shuffle of vectors and no join on the few model ids.
     """
-    q = queries.select("query_id", "model_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).where("e is not null")
     n = q.count()
     blocks = max(1, -(-n // BLOCK_QUERIES))
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    kinds = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[key], dict(vectors.dtypes)["model_id"]
-    v = vectors.select(F.col(key).alias("k"), "model_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).where("e is not null")
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    kinds = dict(q.dtypes)["query_id"], dict(v.dtypes)["k"], dict(v.dtypes)["model_id"]
+    types = [{"int": pa.int32(), "bigint": pa.int64()}[x] for x in (kinds[0], kinds[2])]
+    slack = 2e-6 if kind == "cosine" else 0.0
 
     def run_for(rows: list) -> Callable:
         by: dict[tuple, list] = {}
         for r in rows:
             by.setdefault((r["model_id"], len(r["e"])), []).append(r)
-        sets = {m: (np.array([r["query_id"] for r in rs]), unit(np.array([r["e"] for r in rs], dtype=float))) for m, rs in by.items()}
+        read = (lambda x: _unit(x.astype(np.float64))) if kind == "cosine" else (lambda x: x.astype(np.int64))
+        sets = {m: (np.array([r["query_id"] for r in rs]), read(np.array([r["e"] for r in rs]))) for m, rs in by.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -76,24 +81,30 @@ def exact_candidates(queries: DataFrame, vectors: DataFrame, key: str, k: int) -
                     at = np.flatnonzero((model == m) & (size == dims))
                     if not len(at):
                         continue
-                    x = unit(batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dims))
-                    at, x = at[~np.isnan(x).any(axis=1)], x[~np.isnan(x).any(axis=1)]
+                    x = read(batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dims))
+                    good = ~np.isnan(x).any(axis=1)
+                    at, x = at[good], x[good]
                     step = max(1, BLOCK_PAIRS // max(1, len(at)))
                     for lo in range(0, len(ids) if len(at) else 0, step):
-                        near = qv[lo : lo + step] @ x.T
-                        least = np.partition(near, -k, axis=1)[:, -k][:, None] - 2e-6 if k < len(at) else -2.0
-                        row, col = np.nonzero(near >= least)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]).cast(types[0]), batch.column(0).take(pa.array(at[col])), pa.array(np.full(len(row), m)).cast(types[1]), pa.array(1 - near[row, col])], names=["query_id", "k", "model_id", "d"])
+                        d = _distances(qv[lo : lo + step], x, kind)
+                        most = np.partition(d, k - 1, axis=1)[:, k - 1][:, None] + slack if k < len(at) else np.inf
+                        row, col = np.nonzero(d <= most)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]).cast(types[0]), batch.column(0).take(pa.array(at[col])), pa.array(np.full(len(row), m)).cast(types[1]), pa.array(d[row, col])], names=["query_id", "k", "model_id", "d"])
 
         return run
 
-    types = [{"int": pa.int32(), "bigint": pa.int64()}[x] for x in (kinds[0], kinds[2])]
     schema = f"query_id {kinds[0]}, k {kinds[1]}, model_id {kinds[2]}, d double"
     parts = [v.mapInArrow(run_for(q.where(F.col("block") == b).collect()), schema) for b in range(blocks)]  # a block is bounded by BLOCK_QUERIES
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    return found.withColumnRenamed("k", key)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def exact_candidates(queries: DataFrame, vectors: DataFrame, key: str, k: int) -> DataFrame:
+    """(query_id, key, model_id, d): the k nearest of each batch of vectors, with all that are as near to 6 digits.
+
+    Vectors of no length, and null ones, have no distance.
+    """
+    wide = lambda df, name: df.select(name, "model_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).where("e is not null")
+    return _scan(wide(queries, "query_id"), wide(vectors, key).withColumnRenamed(key, "k"), k, "cosine").withColumnRenamed("k", key)
 
 
 def knn_exact(queries: DataFrame, vectors: DataFrame, key: str, k: int) -> DataFrame:
@@ -108,19 +119,27 @@ def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, oversample
 
 
 def knn(queries: DataFrame, vectors: DataFrame, key: str, oversample: int) -> DataFrame:
+    """Two-phase search: the nearest `oversample` codes, ranked by cosine distance."""
     return exact_rerank(ann_candidates(queries, encode(vectors, key), key, oversample), queries, vectors, key)
 
 
-def allowed(df: DataFrame, videos: DataFrame, collection: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
-    """Rows of an allowed collection whose video the query does not exclude."""
+def allowed(df: DataFrame, videos: DataFrame, collection: str | None = None, exclude: DataFrame | None = None, wanted: DataFrame | None = None) -> DataFrame:
+    """Rows of an allowed collection whose video the query does not exclude.
+
+    `wanted` (query_id, collection) holds queries that ask for a collection of their own; blank ones ask for all.
+    """
     if collection and collection.strip():
         df = df.join(videos.where(F.col("collection") == collection.strip().upper()).select("video_id"), "video_id", "left_semi")
+    if wanted is not None:
+        own = videos.select("video_id", F.col("collection").alias("own"))
+        asked = wanted.select("query_id", F.upper(F.trim("collection")).alias("asked")).where("asked <> ''")
+        df = df.join(own, "video_id").join(asked, "query_id", "left").where("asked is null or asked = own").drop("own", "asked")
     return df.join(exclude.select("query_id", "video_id"), ["query_id", "video_id"], "left_anti") if exclude is not None else df
 
 
-def resolve_scenes(ranked: DataFrame, keyframes: DataFrame, videos: DataFrame, limit: int, collection: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
+def resolve_scenes(ranked: DataFrame, keyframes: DataFrame, videos: DataFrame, limit: int, **filters) -> DataFrame:
     """(query_id, rank, scene_id, keyframe_id): filters an already ranked list, keeps its order and cuts it."""
-    x = allowed(ranked.join(keyframes.select("keyframe_id", "scene_id", "video_id"), "keyframe_id"), videos, collection, exclude)
+    x = allowed(ranked.join(keyframes.select("keyframe_id", "scene_id", "video_id"), "keyframe_id"), videos, **filters)
     return top_k(x.withColumnRenamed("rank", "r"), ["query_id"], limit, F.col("r"), F.col("keyframe_id")).select("query_id", "rank", "scene_id", "keyframe_id")
 
 
@@ -142,17 +161,31 @@ def first_hit_per_scene(hits: DataFrame, limit: int) -> DataFrame:
     return top_k(x, ["query_id"], limit, F.col("first"), F.col("scene_id")).select("query_id", "rank", "scene_id")
 
 
-def _filtered(queries: DataFrame, vectors: DataFrame, t: dict[str, DataFrame], depth: int, oversample: int | None, collection: str | None = None, exclude: DataFrame | None = None) -> DataFrame:
-    """Keyframes by vector; an exact search takes as many more as a query excludes, of the allowed collection only."""
+def _filtered(queries: DataFrame, vectors: DataFrame, t: dict[str, DataFrame], depth: int, oversample: int | None, **filters) -> DataFrame:
+    """Keyframes by vector; an exact search takes as many more as a query's filters can remove."""
     k = depth
     if oversample is None:
         own = t["keyframes"].select("keyframe_id", "video_id")
-        if collection and collection.strip():
-            vectors = vectors.join(allowed(own, t["videos"], collection).select("keyframe_id"), "keyframe_id", "left_semi")
-        if exclude is not None:
-            gone = exclude.select("query_id", "video_id").distinct().join(own.groupBy("video_id").agg(F.count("*").alias("n")), "video_id").groupBy("query_id").agg(F.sum("n").alias("n"))
+        if (filters.get("collection") or "").strip():
+            vectors = vectors.join(allowed(own, t["videos"], filters["collection"]).select("keyframe_id"), "keyframe_id", "left_semi")
+        if filters.get("exclude") is not None:
+            gone = filters["exclude"].select("query_id", "video_id").distinct().join(own.groupBy("video_id").agg(F.count("*").alias("n")), "video_id").groupBy("query_id").agg(F.sum("n").alias("n"))
             k += gone.agg(F.max("n")).first()[0] or 0
-    return resolve_scenes(nearest(queries, vectors, "keyframe_id", k, oversample), t["keyframes"], t["videos"], depth, collection, exclude)
+        if filters.get("wanted") is not None:  # a query of one collection searches that collection's vectors only
+            return _by_collection(queries, vectors, t, depth, k, **filters)
+    return resolve_scenes(nearest(queries, vectors, "keyframe_id", k, oversample), t["keyframes"], t["videos"], depth, **filters)
+
+
+def _by_collection(queries: DataFrame, vectors: DataFrame, t: dict[str, DataFrame], depth: int, k: int, wanted: DataFrame, **filters) -> DataFrame:
+    """The exact search with model and collection as the scan's key, once for all videos and once for single collections."""
+    asked = queries.join(wanted.select("query_id", F.upper(F.trim("collection")).alias("asked")).where("asked <> ''"), "query_id", "left")
+    every = knn_exact(asked.where("asked is null"), vectors, "keyframe_id", k)
+    number = lambda model, name: F.hash(model, name)  # noqa: E731  equal for equal pairs; a rare clash is removed by `allowed`
+    held = vectors.join(t["keyframes"].select("keyframe_id", "video_id"), "keyframe_id").join(t["videos"].select("video_id", "collection"), "video_id")
+    held = held.select("keyframe_id", number(F.col("model_id"), F.col("collection")).alias("model_id"), "embedding")
+    own = asked.where("asked is not null").withColumn("model_id", number(F.col("model_id"), F.col("asked")))
+    ranked = every.unionByName(knn_exact(own, held, "keyframe_id", k))
+    return resolve_scenes(ranked, t["keyframes"], t["videos"], depth, wanted=wanted, **filters)
 
 
 def retrieve_visual(queries: DataFrame, t: dict[str, DataFrame], depth: int = 200, oversample: int | None = None, **filters) -> DataFrame:
@@ -174,17 +207,38 @@ def retrieve_transcript(queries: DataFrame, t: dict[str, DataFrame], depth: int
 
 
 def token_hits(queries: DataFrame, texts: DataFrame, text: str, key: str, phrase: bool = False, floor: float = 0.01) -> DataFrame:
-    """(tokens, key, score): OR of each distinct token list, or the adjacent phrase; texts are scanned once for all lists."""
-    q = small(queries.select("tokens").distinct())
+    """(tokens, key, score): OR of each distinct token list, or the adjacent phrase.
+
+    Texts meet queries by equal tokens only: a text's tokens are its postings, and a phrase is looked for in the texts that
+    hold its first word. Spark picks the join by the measured size of the queries.
+    """
+    q = queries.select("tokens").distinct()
     t = texts.select(key, lexemes(F.col(text)).alias("lex"))
-    n = (phrase_occurrences if phrase else occurrences)(F.col("lex"), F.col("tokens"))
-    x = t.join(q, F.size(F.array_intersect("lex", "tokens")) > 0).withColumn("n", n).where("n > 0")
-    return x.select("tokens", key, F.round(cover_rank(F.col("n")), 6).alias("score")).where(F.col("score") >= floor)
+    if phrase:
+        x = t.select(key, "lex", F.explode(F.array_distinct("lex")).alias("token")).join(q.withColumn("token", F.get("tokens", F.lit(0))), "token")
+        n = x.select("tokens", key, phrase_occurrences(F.col("lex"), F.col("tokens")).alias("n")).where("n > 0")
+    else:
+        words = q.select("tokens", F.explode(F.array_distinct("tokens")).alias("token"))
+        n = t.select(key, F.explode("lex").alias("token")).join(words, "token").groupBy("tokens", key).agg(F.count("*").alias("n"))
+    return n.select("tokens", key, F.round(cover_rank(F.col("n")), 6).alias("score")).where(F.col("score") >= floor)
+
+
+def similar_texts(queries: DataFrame, texts: DataFrame, text: str, key: str, least: float) -> DataFrame:
+    """(phrase, key, score): texts whose trigrams are similar to those of each distinct phrase, by trigram postings.
+
+    Sets of n and m trigrams can only reach `least` if each is at least that share of the other, so all longer texts end at
+    the join, before anything is counted.
+    """
+    p = queries.select("phrase").distinct().select("phrase", trigrams(F.col("phrase")).alias("g")).select("phrase", F.size("g").alias("m"), F.explode("g").alias("gram"))
+    t = texts.select(key, trigrams(F.col(text)).alias("g")).select(key, F.size("g").alias("n"), F.explode("g").alias("gram"))
+    near = (F.col("n") >= F.col("m") * least - 1e-6) & (F.col("m") >= F.col("n") * least - 1e-6)
+    both = t.join(p, "gram").where(near).groupBy("phrase", key, "n", "m").agg(F.count("*").alias("both"))
+    return both.select("phrase", key, F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("score")).where(F.col("score") >= least)
 
 
 def lexical_hits(queries: DataFrame, texts: DataFrame, text: str, key: str, phrase: bool = False, floor: float = 0.01) -> DataFrame:
     """(query_id, key, score): the hits of each query's tokens."""
-    return token_hits(queries, texts, text, key, phrase, floor).join(small(queries.select("query_id", "tokens")), "tokens").select("query_id", key, "score")
+    return token_hits(queries, texts, text, key, phrase, floor).join(queries.select("query_id", "tokens"), "tokens").select("query_id", key, "score")
 
 
 def postings(texts: DataFrame, text: str, key: str) -> DataFrame:
@@ -205,7 +259,7 @@ def _best_texts(queries: DataFrame, t: dict[str, DataFrame], depth: int, phrase:
     find, by = (token_hits, "tokens") if shared else (lexical_hits, "query_id")
     hits = allowed(find(queries, t["keyframe_text"], "ocr_text", "keyframe_id", phrase=phrase, floor=floor).join(t["keyframes"], "keyframe_id"), t["videos"], **filters)
     best = top_k(hits, [by], depth, F.col("score").desc(), F.col("keyframe_id"))
-    return best.join(small(queries.select("query_id", "tokens")), "tokens") if shared else best
+    return best.join(queries.select("query_id", "tokens"), "tokens") if shared else best
 
 
 def retrieve_ocr(queries: DataFrame, t: dict[str, DataFrame], depth: int = 200, **filters) -> DataFrame:
@@ -217,8 +271,7 @@ def retrieve_ocr_phrase(queries: DataFrame, t: dict[str, DataFrame], depth: int
     """Phrase matches first; then, up to `depth`, trigram-similar texts of scenes that the phrase did not find."""
     kf = t["keyframes"]
     exact = _best_texts(queries, t, depth, phrase=True, floor=0.0, **filters).select("query_id", "scene_id", "keyframe_id", "score", F.lit(0).alias("source"))
-    near = t["keyframe_text"].join(small(queries.select("phrase").distinct()), F.lit(True)).withColumn("score", F.round(trigram_similarity(F.col("ocr_text"), F.col("phrase")), 6)).where(F.col("score") >= least)
-    near = near.drop("ocr_text").join(small(queries.select("query_id", "phrase")), "phrase")
+    near = similar_texts(queries, t["keyframe_text"], "ocr_text", "keyframe_id", least).join(queries.select("query_id", "phrase"), "phrase")
     near = allowed(near.join(kf, "keyframe_id"), t["videos"], **filters).join(exact.select("query_id", "scene_id").distinct(), ["query_id", "scene_id"], "left_anti")
     both = exact.unionByName(near.select("query_id", "scene_id", "keyframe_id", "score", F.lit(1).alias("source")))
     return top_k(both, ["query_id"], depth, F.col("source"), F.col("score").desc(), F.col("keyframe_id")).select("query_id", "rank", "scene_id", "keyframe_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,14 +11,30 @@ from pyspark.sql import functions as F
 
 from shotweave.functions.text import lexemes
 from shotweave.operators import retrieve as R
-from shotweave.operators.querylog import MOST_STAGES
+from shotweave.operators.querylog import MOST_STAGES, merged_exclusions, parse_log
 from shotweave.operators.ranking import rank_list, rrf_fuse, top_k
+from shotweave.operators.rules import gate_sources, route_model
+from shotweave.sources.scratch import stored
 
 # Default fusion weights.
 WEIGHTS = {"visual": 1.0, "ocr": 4.0, "transcript": 1.0, "caption": 1.0, "ocr_phrase": 8.0, "asr_phrase": 8.0}
 RETRIEVERS = {"visual": R.retrieve_visual, "ocr": R.retrieve_ocr, "caption": R.retrieve_caption, "transcript": R.retrieve_transcript, "ocr_phrase": R.retrieve_ocr_phrase, "asr_phrase": R.retrieve_asr_phrase}
 
 
+@dataclass(frozen=True)
+class SearchConfig:
+    """Depths and cuts of a search; a chained one goes deeper."""
+
+    depth: int = 200
+    segments: int = 500
+    limit: int = 48
+    chain_depth: int = 500
+    chain_limit: int = 1000
+    per_video: int = 3
+    gap_ms: int = 60_000
+    most_gap_ms: int = 600_000
+
+
 def search(queries: DataFrame, t: dict[str, DataFrame], retrievers: list[str], limit: int = 48, depth: int = 200, weights: dict[str, float] | None = None, **filters) -> DataFrame:
     """Fused results of several retrievers for a table of queries (query_id, model_id, embedding, tokens, phrase)."""
     parts = [RETRIEVERS[name](queries, t, depth, **filters).withColumn("retriever", F.lit(name)) for name in retrievers]
@@ -32,8 +50,13 @@ def filmstrip(keyframes: DataFrame) -> DataFrame:
 
 
 def enrich(fused: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
-    """Adds video, shot and filmstrip; rows whose keyframe is gone drop out; the score is rounded for output."""
-    x = fused.drop("scene_id").join(t["keyframes"], "keyframe_id").join(t["scenes"].drop("video_id"), "scene_id").join(t["videos"], "video_id").join(filmstrip(t["keyframes"]), "scene_id")
+    """Adds video, shot and filmstrip; rows whose keyframe is gone drop out; the score is rounded for output.
+
+    Filmstrips are built for the shots of the results only.
+    """
+    found = fused.drop("scene_id").join(t["keyframes"], "keyframe_id")
+    strips = filmstrip(t["keyframes"].join(found.select("scene_id").distinct(), "scene_id", "left_semi"))
+    x = found.join(t["scenes"].drop("video_id"), "scene_id").join(t["videos"], "video_id").join(strips, "scene_id")
     return x.withColumn("score", F.round("score", 6))
 
 
@@ -64,25 +87,58 @@ def link_chains(hits: DataFrame, gaps: list[int | Column], limit: int | None = N
 STAGES = 16
 
 
-def stage_results(stages: DataFrame, t: dict[str, DataFrame], depth: int = 500, limit: int = 1000, weights: dict[str, float] | None = None, exclude: DataFrame | None = None, **filters) -> DataFrame:
+def stage_results(stages: DataFrame, t: dict[str, DataFrame], depth: int = 500, limit: int = 1000, weights: dict[str, float] | None = None, exclude: DataFrame | None = None, permitted: DataFrame | None = None, wanted: DataFrame | None = None, **filters) -> DataFrame:
     """Hits (query_id, stage, video_id, scene_id, keyframe_id, ts_ms, score) of a full search per stage.
 
     stages: as parse_log gives them, with the vectors `embedding` (model_id) and `text_embedding`, null where a stage has none.
-    Free text asks the visual, ocr, caption and transcript retrievers, a phrase its own one.
+    Free text asks the visual, ocr, caption and transcript retrievers, a phrase its own one; `permitted` (query_id, retriever)
+    holds what a query may ask, `wanted` (query_id, collection) where, `exclude` (query_id, video_id) what it does not want.
     """
     q = stages.withColumn("owner", F.col("query_id")).withColumn("query_id", F.col("query_id").cast("bigint") * STAGES + F.col("stage"))
+    per_stage = lambda df, c: q.select("owner", "query_id").join(df.select(F.col("query_id").alias("owner"), c), "owner").drop("owner")
     if exclude is not None:
-        filters["exclude"] = q.select("owner", "query_id").join(exclude.select(F.col("query_id").alias("owner"), "video_id"), "owner").drop("owner")
+        filters["exclude"] = per_stage(exclude, "video_id")
+    if wanted is not None:
+        filters["wanted"] = per_stage(wanted, "collection")
     free = q.where("free_text <> ''")
     text = free.withColumn("embedding", F.col("text_embedding"))
     ocr = q.where("ocr_phrase is not null").withColumn("tokens", lexemes(F.col("ocr_phrase"))).withColumn("phrase", F.col("ocr_phrase"))
     asr = q.where("asr_phrase is not null").withColumn("tokens", lexemes(F.col("asr_phrase")))
     asked = {"visual": free.where("embedding is not null"), "ocr": free, "caption": text, "transcript": text, "ocr_phrase": ocr, "asr_phrase": asr}
+    if permitted is not None:
+        asked = {name: x.join(permitted.where(F.col("retriever") == name).select(F.col("query_id").alias("owner")), "owner", "left_semi") for name, x in asked.items()}
     ranked = reduce(DataFrame.unionByName, [RETRIEVERS[name](x, t, depth, **filters).withColumn("retriever", F.lit(name)) for name, x in asked.items()])
     hits = link_rows(rrf_fuse(ranked, WEIGHTS | (weights or {}), limit=limit), t["keyframes"], 0)
     return hits.withColumn("stage", (F.col("query_id") % STAGES).cast("int")).withColumn("query_id", F.floor(F.col("query_id") / STAGES).cast(stages.schema["query_id"].dataType))
 
 
+def prepared_stages(log: DataFrame, embed: Callable[[DataFrame], DataFrame], models: DataFrame, routes: str, default: str, config: SearchConfig = SearchConfig()) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Stages of a query log with their vectors, and the filters of `stage_results` that its requests ask for.
+
+    log: query_id, raw, sources (array<string>), collection, and optionally exclude (array<string>). `embed` adds the columns
+    `embedding` and `text_embedding` to stages with a model_id; the model is that of the request's collection.
+    """
+    stages, parsed = parse_log(log.select("query_id", "raw"), config.gap_ms, config.most_gap_ms)
+    requested = log.select("query_id", F.explode("exclude").alias("video_id")) if "exclude" in log.columns else None
+    model = route_model(log.select("query_id", "collection"), models, routes, default).select("query_id", "model_id")
+    ready = stored(embed(stages.join(model, "query_id").withColumn("tokens", lexemes(F.col("free_text")))))
+    return ready, {"exclude": stored(merged_exclusions(parsed, requested)), "permitted": stored(gate_sources(log)), "wanted": log.select("query_id", "collection")}
+
+
+def search_log(log: DataFrame, t: dict[str, DataFrame], embed: Callable[[DataFrame], DataFrame], models: DataFrame, routes: str, default: str, config: SearchConfig = SearchConfig()) -> tuple[DataFrame, DataFrame]:
+    """(results, chains) of a query log as requests ask for them: parse, gate, route, retrieve, fuse, link.
+
+    Queries of one stage give fused results (query_id, rank, keyframe_id, scene_id, video_id, ts_ms, score); queries of
+    several stages give chains. Both can be enriched.
+    """
+    stages, filters = prepared_stages(log, embed, models, routes, default, config)
+    count = stages.groupBy("query_id").agg(F.count("*").alias("n"))
+    single, several = (stages.join(count.where(c).select("query_id"), "query_id", "left_semi") for c in ("n = 1", "n > 1"))
+    hits = stage_results(single, t, config.depth, config.limit, **filters)
+    results = rank_list(hits.drop("stage"), ["query_id"], F.round("score", 9).desc(), F.col("keyframe_id"))
+    return results, search_sequence(several, t, config.limit, config.per_video, depth=config.chain_depth, limit=config.chain_limit, **filters)
+
+
 def link_stages(hits: DataFrame, stages: DataFrame, limit: int | None = None, per_video: int = 3) -> DataFrame:
     """Chains through all stages of each query, with the query's own gaps; queries of one stage have no chain."""
     gap = stages.select("query_id", (F.col("stage") - 1).alias("stage"), F.col("gap_ms").alias("reach"))
@@ -92,15 +148,13 @@ def link_stages(hits: DataFrame, stages: DataFrame, limit: int | None = None, pe
     return reduce(DataFrame.unionByName, parts)
 
 
-def search_sequence(stages: DataFrame, t: dict[str, DataFrame], limit: int | None = None, per_video: int = 3, **kwargs) -> DataFrame:
+def search_sequence(stages: DataFrame, t: dict[str, DataFrame], chains: int | None = None, per_video: int = 3, **kwargs) -> DataFrame:
     """Ordered chains of queries that have a search for each stage, 500 deep and 1000 fused; the anchor's score is the chain's.
 
     Stages and hits are used often, so they are stored once in the shared scratch folder.
     """
-    from shotweave.llm.graph import stored
-
     stages = stored(stages)
-    return link_stages(stored(stage_results(stages, t, **kwargs)), stages, limit, per_video)
+    return link_stages(stored(stage_results(stages, t, **kwargs)), stages, chains, per_video)
 
 
 def link_rows(fused: DataFrame, keyframes: DataFrame, stage: int) -> DataFrame:

@@ -30,6 +30,17 @@ def sessions_by_idle(writes: DataFrame, minutes: int = 120) -> DataFrame:
     return x.groupBy("code", "instance").agg(F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"), F.count("*").alias("writes"))
 
 
+def live_sessions(activity: DataFrame, now, minutes: int = 120) -> DataFrame:
+    """(code, last_activity, expires_in_ms) of sessions that live at `now`.
+
+    activity: code, ts, kind. Recording, reading and joining keep a session alive; listing and peeking do not. A session ends
+    after more than `minutes` without them.
+    """
+    seen = activity.where(~F.lower("kind").isin("list", "peek")).groupBy("code").agg(F.max("ts").alias("last_activity"))
+    left = F.lit(minutes * 60_000) - (F.unix_millis(now) - F.unix_millis(F.col("last_activity").cast("timestamp_ltz")))
+    return seen.withColumn("expires_in_ms", left.cast("bigint")).where("expires_in_ms >= 0")
+
+
 def held_scenes(records: DataFrame) -> DataFrame:
     return records.where(F.col("status").isin(*HOLDS)).select("code", "scene_id", "video_id")
 

@@ -1,26 +1,30 @@
-"""Registered queries over the whole corpus: no shortened texts, no gaps; with SQL twins of their own.
+"""Searches of a query log as requests ask for them, and the names under which whole-corpus queries were registered before.
 
-The queries of `registry` keep the cut views of their SQL twins; `whole_X` is X on everything.
+All queries run on the whole corpus; `whole_X` is X.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.functions.text import distinctive_tokens, lexemes, trigram_similarity
-from shotweave.operators import browse as B
-from shotweave.operators import ingest as N
-from shotweave.operators import retrieve as R
+from shotweave.functions.text import trigram_similarity
 from shotweave.operators.encode import embed_texts, hash_encoder
-from shotweave.operators.querylog import parse_log
-from shotweave.operators.ranking import page
-from shotweave.operators.search import enrich, search, search_sequence
+from shotweave.operators.retrieve import knn_exact
 from shotweave.operators.routing import enrich_chains
-from shotweave.plans.oracles import GRAMS, ORACLES, VIEWS
-from shotweave.plans.registry import FOLDERS, WORDS, Query, files, flat, request
-from shotweave.sources import corpus as C
+from shotweave.operators.search import prepared_stages, search_log, search_sequence
+from shotweave.plans import registry
+from shotweave.plans.fixtures import derived_corpus
+from shotweave.plans.oracles import ALL, GRAMS, ORACLES, VIEWS, near
+from shotweave.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
+NAMES = """
+retrieve_ocr retrieve_ocr_indexed retrieve_ocr_phrase retrieve_caption retrieve_visual retrieve_transcript similar_keyframes
+search_two_signal search_full search_enriched search_page lexeme_counts recognised_text caption_vectors query_words query_stages
+keyframe_index selection_report scene_counts video_cover videos_complete decode_worklist select_worklist keyframe_fallbacks
+enqueue_manifest
+""".split()
 
 
 def query(f: Query) -> Query:
@@ -28,239 +32,96 @@ def query(f: Query) -> Query:
     return f
 
 
-@query
-def whole_retrieve_ocr(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return R.retrieve_ocr(request(t), t, 50)
-
-
-@query
-def whole_retrieve_ocr_indexed(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return R.lexical_hits_indexed(request(t), R.postings(t["keyframe_text"], "ocr_text", "keyframe_id"), "keyframe_id")
-
-
-@query
-def whole_retrieve_ocr_phrase(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    q = request(t).withColumn("tokens", F.array(F.lit("of"), F.lit("the"))).withColumn("phrase", F.lit("of the and in that this"))
-    return R.retrieve_ocr_phrase(q, t)
-
-
-@query
-def whole_retrieve_caption(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return R.retrieve_caption(request(t), t)
-
-
 @query
 def whole_knn(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return R.knn_exact(t["query_vectors"], t["keyframe_embedding"], "keyframe_id", 200)
-
-
-@query
-def whole_retrieve_visual(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return R.retrieve_visual(request(t), t, exclude=t["query_vectors"].select("query_id", F.lit("00002").alias("video_id")))
-
-
-@query
-def whole_retrieve_transcript(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return R.retrieve_transcript(request(t), t)
-
-
-@query
-def whole_similar_keyframes(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return R.similar_to_keyframe(t["keyframe_embedding"].where("keyframe_id % 20 = 0").select("keyframe_id"), t)
-
-
-@query
-def whole_search_two_signal(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return flat(search(request(t), t, ["visual", "ocr"]))
-
-
-@query
-def whole_search_full(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return flat(search(request(t), t, ["visual", "ocr", "caption", "transcript"]))
-
-
-@query
-def whole_search_enriched(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    x = enrich(search(request(t), t, ["visual", "ocr"]), t)
-    return x.select("query_id", "rank", "keyframe_id", "scene_id", "video_id", "shot_index", "start_ms", "ts_ms", "score", F.size("keyframes").alias("strip"))
-
-
-@query
-def whole_search_page(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return page(flat(search(request(t), t, ["visual", "ocr"])), 2, 10).drop("scene_id")
-
-
-@query
-def whole_lexeme_counts(spark, d):
-    x = C.read_corpus(spark, d, whole=True)["keyframe_text"].select(F.explode(lexemes(F.col("ocr_text"))).alias("token"))
-    return x.groupBy("token").agg(F.count("*").alias("n"))
-
-
-@query
-def whole_recognised_text(spark, d):
-    x = C.read_corpus(spark, d, whole=True)["keyframe_text"]
-    lines = F.transform(F.split("ocr_text", " "), lambda w: F.struct(w.alias("text"), (F.length(w) / 10).alias("confidence")))
-    return x.select("keyframe_id", N.ocr_lines(lines).alias("text"))
+    t = derived_corpus(spark, d)
+    return knn_exact(t["query_vectors"], t["keyframe_embedding"], "keyframe_id", 200)
 
 
 @query
 def whole_trigram_pairs(spark, d):
     """The whole text of each keyframe against that of the next one."""
-    x = C.read_corpus(spark, d, whole=True)["keyframe_text"]
+    x = derived_corpus(spark, d)["keyframe_text"]
     after = x.select((F.col("keyframe_id") - 1).alias("keyframe_id"), F.col("ocr_text").alias("after"))
     return x.join(after, "keyframe_id").select("keyframe_id", F.round(trigram_similarity(F.col("ocr_text"), F.col("after")), 6).alias("sim"))
 
 
-@query
-def whole_caption_vectors(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return embed_texts(t["keyframe_caption"].where("caption <> ''"), "caption", hash_encoder(), 10).select("keyframe_id", "model_id", F.size("embedding").alias("dims"))
-
-
-@query
-def whole_query_words(spark, d):
-    x = C.read_corpus(spark, d, whole=True)["transcript_segment"]
-    return x.select("segment_id", F.array_join(distinctive_tokens(F.col("text")), " ").alias("tokens"))
-
-
-@query
-def whole_query_stages(spark, d):
-    text = C.read_corpus(spark, d, whole=True)["transcript_segment"].select("segment_id", F.trim(F.regexp_replace("text", '[">]', "")).alias("w"))
-    log = text.select(F.col("segment_id").alias("query_id"), F.concat(F.col("w"), F.lit(' text:"shop" >> (30) '), F.col("w"), F.lit(" -video:00003 >> said:hello there")).alias("raw"))
-    return parse_log(log)[0].select("query_id", "stage", "free_text", "ocr_phrase", "asr_phrase", "gap_ms")
-
-
-@query
-def whole_keyframe_index(spark, d):
-    return B.keyframe_index(C.read_corpus(spark, d, whole=True)["keyframes"]).select("keyframe_id", "index")
-
-
-@query
-def whole_selection_report(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return B.selection_report(t["scenes"], t["keyframes"])
-
-
-@query
-def whole_scene_counts(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return B.scene_counts(t["videos"], t["scenes"])
-
-
-@query
-def whole_video_cover(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return B.video_cover(t["videos"], t["scenes"], t["keyframes"])
+def embed(stages: DataFrame) -> DataFrame:
+    """The vectors of a stage's text, for the routed model and for that of the text tables."""
+    text = embed_texts(stages.select("query_id", "stage", "free_text"), "free_text", hash_encoder(), 10).select("query_id", "stage", F.col("embedding").alias("text_embedding"))
+    return embed_texts(stages.drop("model_id"), "free_text", hash_encoder(), 1).join(text, ["query_id", "stage"])
 
 
-@query
-def whole_videos_complete(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return B.videos_complete(t["videos"], t["scenes"], t["keyframes"].join(t["keyframe_embedding"], "keyframe_id", "left_semi"))
+def log_of(t: dict[str, DataFrame]) -> DataFrame:
+    """A log of requests: one to three stages with words of their own, phrases, exclusions, sources and collections."""
+    q = F.col("query_id")
+    words = F.array(*[F.lit(" ".join(w)) for w in registry.WORDS])
+    first, second = F.get(words, q % 3), F.get(words, (q + 1) % 3)
+    then = F.concat(F.lit(" >> (9) "), second, F.when(q % 2 == 0, F.lit(' >> (12) said:"of the"')).otherwise(""))
+    raw = F.concat(first, F.when(q % 7 == 0, F.lit(' text:"of the"')).otherwise(""), F.when(q % 9 == 0, F.lit(" -video:00003")).otherwise(""), F.when(q % 40 == 0, then).otherwise(""))
+    exclude = F.when(q % 60 == 0, F.array(F.lit("00001"), F.lit("00003"))).otherwise(F.array().cast("array<string>"))
+    return registry.sourced(t).select("query_id", raw.alias("raw"), "sources", "collection", exclude.alias("exclude"))
 
 
-@query
-def whole_decode_worklist(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return N.decode_worklist(t["videos"], t["keyframes"], files(t), FOLDERS, "web")
+def searched(spark, d):
+    t = derived_corpus(spark, d)
+    models = spark.read.parquet(f"{d}/region.parquet").where("r_regionkey = 1").select(F.col("r_regionkey").cast("int").alias("model_id"), F.lit("base").alias("name"))
+    return t, (log_of(t), t, embed, models, "MVK:base", "base")
 
 
 @query
-def whole_select_worklist(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    return N.select_worklist(t["videos"], t["scenes"], t["keyframes"])
+def log_stages(spark, d):
+    """What the requests of a log search for, with the merged exclusions of each."""
+    _, (log, _, add, *models) = searched(spark, d)
+    stages, filters = prepared_stages(log, add, *models)
+    gone = filters["exclude"].groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("video_id")), ",").alias("excluded"))
+    return stages.join(gone, "query_id", "left").select("query_id", "stage", "free_text", "ocr_phrase", "asr_phrase", "gap_ms", "model_id", F.coalesce("excluded", F.lit("")).alias("excluded"))
 
 
 @query
-def whole_keyframe_fallbacks(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    x = t["keyframes"].join(C.read(spark, d, "embeddings").select(F.col("vec_id").alias("keyframe_id"), "embedding"), "keyframe_id")
-    x = x.select("scene_id", (F.col("ts_ms") / 40).cast("int").alias("frame"), F.abs(F.get("embedding", F.lit(0))).alias("luma_std"), ((F.col("scene_id") % 3 == 1) | (F.col("kf_index") == 0)).alias("degenerate"))
-    frames = t["scenes"].withColumn("start_frame", (F.col("start_ms") / 40).cast("int")).withColumn("end_frame", (F.col("end_ms") / 40).cast("int"))
-    return N.keyframe_fallbacks(frames, x)
+def log_results(spark, d):
+    """Fused results of the requests with one stage, each gated and filtered as it asks."""
+    _, args = searched(spark, d)
+    return search_log(*args)[0].select("query_id", "rank", "keyframe_id", "scene_id", "video_id", F.round("score", 6).alias("score"))
 
 
 @query
-def whole_enqueue_manifest(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    manifest = files(t).where("path like 'work/%' or path like 'data/%'").select(N.leading_id(F.col("path")).alias("video_id"), F.lit("V3C1").alias("collection"), F.col("path").alias("source_uri"))
-    return N.enqueue(manifest, t["job_events"])
+def log_chains(spark, d):
+    """Chains of the requests with several stages."""
+    _, args = searched(spark, d)
+    return search_log(*args)[1].select("query_id", "rank", "video_id", F.round("reached", 6).alias("score"), F.array_join(F.transform("path", lambda p: p["keyframe_id"].cast("string")), ",").alias("path"))
 
 
-def sequences(t):
+def sequences(t: dict[str, DataFrame]) -> DataFrame:
     """Stages of a log in which every query has two or three stages with texts of their own."""
-    first, second = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("query_id") % 3 + 1).cast("int")), F.element_at(F.array(*map(F.lit, WORDS)), (F.col("query_id") % 2 + 1).cast("int"))
-    third = F.when(F.col("query_id") % 2 == 0, F.lit(' >> (12) said:"of the"')).otherwise("")
-    log = t["query_vectors"].select("query_id", F.concat(first, F.lit(' text:"of the" >> (9) '), second, third).alias("raw"))
-    stages = parse_log(log)[0]
-    text = embed_texts(stages.select("query_id", "stage", "free_text"), "free_text", hash_encoder(), 10).select("query_id", "stage", F.col("embedding").alias("text_embedding"))
-    return embed_texts(stages, "free_text", hash_encoder(), 1).join(text, ["query_id", "stage"]).withColumn("tokens", lexemes(F.col("free_text")))
+    from shotweave.functions.text import lexemes
+    from shotweave.operators.querylog import parse_log
+
+    q = F.col("query_id")
+    words = F.array(*[F.lit(w[0]) for w in registry.WORDS])
+    third = F.when(q % 40 == 0, F.lit(' >> (12) said:"of the"')).otherwise("")
+    log = t["query_vectors"].select("query_id", F.concat(F.get(words, q % 3), F.lit(' text:"of the" >> (9) '), F.get(words, (q + 1) % 3), third).alias("raw"))
+    return embed(parse_log(log)[0]).withColumn("tokens", lexemes(F.col("free_text")))
 
 
 @query
 def whole_link_sequences(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    x = search_sequence(sequences(t), t, limit=200)
+    t = derived_corpus(spark, d)
+    x = search_sequence(sequences(t), t, chains=200)
     return x.select("query_id", "video_id", "keyframe_id", "rank", F.round("reached", 6).alias("score"), F.array_join(F.transform("path", lambda p: p["keyframe_id"].cast("string")), ",").alias("path"))
 
 
 @query
 def whole_chains_enriched(spark, d):
-    t = C.read_corpus(spark, d, whole=True)
-    x = enrich_chains(search_sequence(sequences(t), t, limit=100), t)
+    t = derived_corpus(spark, d)
+    x = enrich_chains(search_sequence(sequences(t), t, chains=100), t)
     return x.select("query_id", "rank", F.round("score", 6).alias("score"), F.array_join(F.transform("scenes", lambda s: F.concat_ws("/", s["video_id"], s["shot_index"].cast("string"), s["keyframe_id"].cast("string"))), ",").alias("scenes"))
 
 
-def _with(sql: str, *changes: tuple[str, str]) -> str:
-    for old, new in changes:
-        assert old in sql, old
-        sql = sql.replace(old, new)
-    return sql
-
-
-WHOLE_VIEWS = _with(
-    VIEWS,
-    ("ts_ms from embeddings),", "ts_ms from (select vec_id from embeddings union select doc_id from documents)),"),
-    (" where vec_id % 17 <> 3", ""),
-    ("select keyframe_id, substr(text, 1, 160) ocr_text from documents join keyframes on doc_id = keyframe_id", "select doc_id keyframe_id, text ocr_text from documents"),
-    ("select keyframe_id, substr(text, 161, 160) caption from documents join keyframes on doc_id = keyframe_id where kf_index = 0", "select doc_id keyframe_id, text caption from documents where doc_id % 4 = 0"),
-)
-
-
-def whole(name: str, *changes: tuple[str, str]) -> str:
-    """The twin of `name` on the whole views, with given further changes."""
-    return _with(ORACLES[name], (VIEWS, WHOLE_VIEWS), *changes)
-
-
-#: Depth of the operators' defaults where the twin of the cut query has another one.
-CANDIDATES, DEPTH = ("<= 100)", "<= 1000000)"), ("<= 50", "<= 200")
+QUERIES |= {f"whole_{n}": registry.QUERIES[n] for n in NAMES}
 
-WHOLE_ORACLES = {f"whole_{n}": whole(n) for n in ("retrieve_ocr", "retrieve_ocr_indexed", "search_two_signal", "search_full", "search_enriched", "search_page", "lexeme_counts", "recognised_text", "caption_vectors")} | {
-    "whole_retrieve_ocr_phrase": whole("retrieve_ocr_phrase", ("0.02", "0.45"), DEPTH),
-    "whole_retrieve_caption": whole("retrieve_caption", CANDIDATES, DEPTH),
-    "whole_trigram_pairs": WHOLE_VIEWS + f""", g as (select keyframe_id, {GRAMS('ocr_text')} g from keyframe_text)
+WHOLE_ORACLES = {f"whole_{n}": ORACLES[n] for n in NAMES if n in ORACLES} | {
+    "whole_knn": VIEWS + near("", "keyframe_embedding", "keyframe_id", ALL) + "select * from knn where rank <= 200",
+    "whole_trigram_pairs": VIEWS + f""", g as (select keyframe_id, {GRAMS('ocr_text')} g from keyframe_text)
 select a.keyframe_id, round(coalesce(len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 0), 6) sim from g a join g b on b.keyframe_id = a.keyframe_id + 1""",
-    "whole_knn": whole("knn_rerank", CANDIDATES, ("select * from knn", "select * from knn where rank <= 200")),
-    "whole_retrieve_visual": whole("retrieve_visual", CANDIDATES, DEPTH),
-    "whole_similar_keyframes": whole("similar_keyframes", CANDIDATES, ("keyframe_id % 50 = 7", "keyframe_id % 20 = 0"), ("x.rank <= 11", "x.rank <= 25")),
-    "whole_keyframe_index": whole("keyframe_index", (" where keyframe_id % 4 <> 1", "")),
-    "whole_selection_report": whole("selection_report", (" where keyframe_id % 3 = 0", "")),
-    "whole_scene_counts": whole("scene_counts", (" where scene_id % 2 = 0", "")),
-    "whole_video_cover": whole("video_cover", (" where k.keyframe_id % 20 > 4", "")),
-    "whole_videos_complete": whole("videos_complete", (" where keyframe_id % 20 <> 1 and k.scene_id % 7 <> 3", "")),
-    "whole_decode_worklist": whole("decode_worklist", ("video_id > '00004' and ", "")),
-    "whole_keyframe_fallbacks": whole("keyframe_fallbacks", (" where keyframe_id % 20 > 3", "")),
-    "whole_enqueue_manifest": whole("enqueue_manifest", (" where video_id < '00010'", "")),
 }

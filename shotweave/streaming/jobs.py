@@ -5,50 +5,113 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shotweave.operators.sessions import FINAL
-from shotweave.sources.corpus import append_new
+from shotweave.operators.sessions import FINAL, HOLDS
+from shotweave.sources.corpus import STAGES, append_new
+
+
+IDLE_MS = 2 * 60 * 60 * 1000
+RECORD = "status string, video_id string, ts timestamp, event_id bigint"
 
 
 class SessionFold(StatefulProcessor):
-    """Keeps the merged record of every scene of a session; an idle session's state ends by its time-to-live."""
+    """Keeps the merged record of every scene of a session, by the writes' own times, and its last activity.
+
+    A write is merged by (ts, event_id), not by arrival: a record's status is that of the last final write, or of the last
+    write while none is final; a field keeps its last value that is not null. An event-time timer ends an idle session;
+    `kind` tells what a row is: only list and peek do not keep the session alive, and only writes have a scene.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.scenes = handle.getMapState("scenes", "scene_id bigint", "status string, video_id string, event_id bigint", 2 * 60 * 60 * 1000)
+        self.handle = handle
+        self.final = handle.getMapState("final", "scene_id bigint", RECORD)
+        self.open = handle.getMapState("open", "scene_id bigint", RECORD)
+        self.video = handle.getMapState("video", "scene_id bigint", RECORD)
+        self.active = handle.getValueState("active", "ts timestamp")
+
+    def _later(self, state, scene: int, row: tuple) -> None:
+        old = state.getValue((scene,)) if state.containsKey((scene,)) else None
+        if old is None or (pd.Timestamp(old[2]), old[3]) < (pd.Timestamp(row[2]), row[3]):
+            state.updateValue((scene,), row)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last = self.active.get()[0] if self.active.exists() else None
         for batch in rows:
-            for r in batch.sort_values(["ts", "event_id"]).itertuples():
-                status = r.status or "INDETERMINATE"
-                if pd.isna(r.scene_id):
-                    continue
-                old = self.scenes.getValue((int(r.scene_id),)) if self.scenes.containsKey((int(r.scene_id),)) else (None, None, None)
-                if old[0] in FINAL and status not in FINAL:
+            for r in batch.itertuples():
+                if str(r.kind).lower() not in ("list", "peek") and (last is None or pd.Timestamp(r.ts) > pd.Timestamp(last)):
+                    last = r.ts
+                if pd.isna(r.scene_id) or str(r.kind).lower() != "write":
                     continue
-                self.scenes.updateValue((int(r.scene_id),), (status, r.video_id or old[1], int(r.event_id)))
-        found = [(key[0], k[0], v[0], v[1]) for k, v in self.scenes.iterator()]
-        yield pd.DataFrame(found, columns=["code", "scene_id", "status", "video_id"])
+                scene, status = int(r.scene_id), r.status or "INDETERMINATE"
+                row = (status, r.video_id, r.ts.to_pydatetime(), int(r.event_id))
+                self._later(self.final if status in FINAL else self.open, scene, row)
+                if r.video_id:
+                    self._later(self.video, scene, row)
+        if last is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.active.update((pd.Timestamp(last).to_pydatetime(),))
+            self.handle.registerTimer(int(pd.Timestamp(last).timestamp() * 1000) + IDLE_MS + 1)
+        yield self._records(key)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.final, self.open, self.video, self.active):
+            state.clear()
+        yield self._records(key)
+
+    def _records(self, key) -> pd.DataFrame:
+        held = {k[0]: v for k, v in self.open.iterator()} | {k[0]: v for k, v in self.final.iterator()}
+        video = {k[0]: v[1] for k, v in self.video.iterator()}
+        found = [(key[0], scene, v[0], video.get(scene)) for scene, v in held.items()]
+        return pd.DataFrame(found, columns=["code", "scene_id", "status", "video_id"])
 
     def close(self) -> None:
         pass
 
 
-def session_stream(writes: DataFrame) -> DataFrame:
-    """Merged records of the sessions that a micro-batch touches."""
-    return writes.groupBy("code").transformWithStateInPandas(statefulProcessor=SessionFold(), outputStructType="code int, scene_id bigint, status string, video_id string", outputMode="Update", timeMode="ProcessingTime")
+def session_stream(writes: DataFrame, late: str = "2 hours") -> DataFrame:
+    """Merged records of the sessions that a micro-batch touches. writes: event_id, ts, code, scene_id, video_id, status and
+    optionally kind (write, get, join, list, peek); the watermark is as late as the idle timeout."""
+    own = writes if "kind" in writes.columns else writes.withColumn("kind", F.lit("write"))
+    return own.withWatermark("ts", late).groupBy("code").transformWithStateInPandas(statefulProcessor=SessionFold(), outputStructType="code int, scene_id bigint, status string, video_id string", outputMode="Update", timeMode="EventTime")
+
+
+def live_snapshot(writes: DataFrame) -> DataFrame:
+    """(code, instances, distinct_videos, covered_videos) of every session that has scenes, kept up to date on a stream of writes.
+
+    Update mode gives the sessions that a batch changed. Sets of a session's scenes are its state, so they are as large as
+    what its members recorded. A scene counts with its last final status, else its last one.
+    """
+    x = writes.where("scene_id is not null").withColumn("status", F.coalesce("status", F.lit("INDETERMINATE")))
+    order = F.struct("ts", "event_id")
+    row = F.struct(F.col("status").isin(*FINAL).alias("final"), order.alias("o"), "status", "video_id")
+    held = F.collect_list(F.struct("scene_id", row.alias("r")))
+
+    def last(rows: Column, scene: Column) -> Column:
+        return F.array_max(F.transform(F.filter(rows, lambda e: e["scene_id"] == scene), lambda e: e["r"]))
+
+    s = x.groupBy("code").agg(held.alias("rows")).withColumn("scenes", F.transform(F.array_distinct(F.transform("rows", lambda e: e["scene_id"])), lambda scene: last(F.col("rows"), scene)))
+    videos = lambda rows: F.size(F.array_distinct(F.filter(F.transform(rows, lambda e: e["video_id"]), lambda v: v.isNotNull()))).cast("bigint")
+    return s.select("code", F.size("scenes").cast("bigint").alias("instances"), videos(F.col("scenes")).alias("distinct_videos"), videos(F.filter("scenes", lambda e: e["status"].isin(*HOLDS))).alias("covered_videos"))
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:
-    return events.groupBy("video_id").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("stage"), F.count_if(F.col("stage") == "FAILED").alias("failures"))
+    """The current stage of each video and its failures; unknown stages are no events."""
+    return events.where(F.col("stage").isin(STAGES)).groupBy("video_id").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("stage"), F.count_if(F.col("stage") == "FAILED").alias("failures"))
+
 
+def event_windows(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes", once: list[str] | None = None) -> DataFrame:
+    """Counts per window and type, on a stream (late rows drop after the watermark) or a table.
 
-def event_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Counts per window and type; works on a stream (late rows drop after the watermark) and on a table."""
+    With `slide` windows overlap; `once` names the key by which repeated events count once within the watermark.
+    """
     x = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return x.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    if once:
+        x = x.dropDuplicatesWithinWatermark(once) if events.isStreaming else x.dropDuplicates(once)
+    return x.groupBy(F.window("ts", size, slide), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 def session_windows(events: DataFrame, gap: str = "2 hours", late: str = "2 hours") -> DataFrame:
