@@ -113,11 +113,6 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
         row = end
 
 
-def ngrams(words: Words, size: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprint, text) of all runs of `size` words, by doubling; runs never cross texts."""
-    return window_hash(words.hash, size, salt), window_ok(words.first, size)
-
-
 def window_hash(h: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     """Fingerprint of h[i : i + size] for each i; the last size - 1 entries are meaningless."""
     n = len(h)
@@ -150,8 +145,3 @@ def slices(first: np.ndarray, rows: np.ndarray) -> np.ndarray:
     counts = first[rows + 1] - first[rows]
     skip = np.repeat(first[rows] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) if len(rows) else np.zeros(0, dtype=np.int64)
     return np.arange(int(counts.sum())) + skip
-
-
-def binary_rows(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """A binary column whose row i holds values[bounds[i]:bounds[i + 1]]."""
-    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())

@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotweave.llm.arrays import ALNUM, find_words, slices, text_chunks, window_hash, window_ok
+from shotweave.llm.arrays import ALNUM, find_words, text_chunks, window_hash, window_ok
+from shotweave.llm.graph import stored
 
 U = np.uint64
 SHINGLE = 3
@@ -53,6 +54,12 @@ class Block:
         self.words = [np.array(w, dtype=np.int64).view(U) for w in words]
         self.sizes = sorted({min(SHINGLE, len(w)) for w in self.words})
         self.tokens = [_shingles(w, min(SHINGLE, len(w))) for w in self.words]
+        self.length = np.array([len(w) for w in self.words], dtype=np.int64)
+        # one matrix per length, and each window's row in it
+        self.matrix = {int(n): np.stack([w for w in self.words if len(w) == n]) for n in np.unique(self.length)}
+        self.row = np.zeros(len(words), dtype=np.int64)
+        for n in self.matrix:
+            self.row[self.length == n] = np.arange(int((self.length == n).sum()))
 
     def all_tokens(self, size: int) -> np.ndarray:
         own = [t for t, w in zip(self.tokens, self.words, strict=True) if min(SHINGLE, len(w)) == size]
@@ -115,14 +122,13 @@ def probe(block: Block, prefix: dict[int, tuple[np.ndarray, ...]], h: np.ndarray
         where = np.repeat(at, n)
         start, win = where - place[which], window[which]
         row = np.searchsorted(first, where, side="right") - 1
-        length = np.array([len(block.words[k]) for k in range(len(block.words))])[win] if len(win) else win
+        length = block.length[win]
         fits = (start >= first[row]) & (start + length <= first[row + 1])  # positional and length bounds
         start, win, length = start[fits], win[fits], length[fits]
         for L in np.unique(length):
             mine = length == L
             s, k = start[mine], win[mine]
-            matrix = np.stack([w if len(w) == L else np.zeros(L, dtype=U) for w in block.words]) if len(k) else None
-            same = (h[s[:, None] + np.arange(L)] == matrix[k]).all(axis=1)
+            same = (h[s[:, None] + np.arange(L)] == block.matrix[int(L)][block.row[k]]).all(axis=1)
             starts.append(s[same])
             wins.append(k[same])
     if not starts:
@@ -134,16 +140,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     """Per row of `docs`: its id, n_words, n_hit (words inside an occurring window) and items (sorted item ids as strings).
 
     Null or empty texts have no words, items without words have no window, and a repeated row is reported as often as it
-    occurs. Items with equal texts are all reported. The benchmark is taken in blocks of at most `block_windows` distinct
-    windows (about 16 MB), so what a task holds is bounded; each block is one more pass over the corpus, and there is one
-    block up to that size. No block: every document has zero hits.
+    occurs. Items with equal texts are all reported; the windows of items without an id count as hits but name no item. Long
+    texts are searched whole, and other columns are not read. The benchmark is taken in blocks of at most `block_windows`
+    distinct windows (about 16 MB), so what a task holds is bounded. With one block, nothing is shuffled but counts; beyond
+    that the numbered input is stored once, each block is one more pass, and hits are merged by number. No windows: no hits.
     """
-    own = item_windows(items.where(F.col(item_id).isNotNull()), window, item_id, item_text)
+    own = item_windows(items, window, item_id, item_text)
     windows = own.groupBy("words").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
     n = windows.count()
     blocks = max(1, -(-n // block_windows))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t")).withColumn("row", F.monotonically_increasing_id() if blocks > 1 else F.lit(0).cast("bigint"))
+    base = stored(base) if blocks > 1 else base  # so that every pass sees the same numbers
     kind = base.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, row bigint, hits array<int>"
     parts = []
@@ -176,7 +184,7 @@ def _hits(base: DataFrame, block: Block, prefix: dict, names: list[list[str]], s
                 if not len(start):
                     continue
                 mark = np.zeros(len(w.hash) + 1, dtype=np.int64)
-                length = np.array([len(block.words[k]) for k in win])
+                length = block.length[win]
                 np.add.at(mark, start, 1)
                 np.add.at(mark, start + length, -1)
                 hit = np.cumsum(mark[:-1]) > 0
@@ -192,4 +200,4 @@ def _hits(base: DataFrame, block: Block, prefix: dict, names: list[list[str]], s
             row_id = batch.column(2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), row_id, pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "n_words", "n_hit", "items", "row", "hits"])
 
-    return base.select("doc_id", "__t", F.monotonically_increasing_id().alias("row")).mapInArrow(run, schema)
+    return base.select("doc_id", "__t", "row").mapInArrow(run, schema)

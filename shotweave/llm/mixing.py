@@ -68,24 +68,28 @@ def place(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
-def mix(df: DataFrame, levels: list[str], weights: dict[str, dict[str, float]], tokens: Column, part_of_all: float = 0.5, epochs: int = 4, seed: int = 13, doc_id: str = "doc_id") -> DataFrame:
+def mix(df: DataFrame, levels: list[str], weights: dict[str, dict[str, float]], tokens: Column, part_of_all: float = 0.5, epochs: int = 4, seed: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, the levels, epoch, n_tokens, take_tokens): what each leaf gives in each epoch.
 
     Within an epoch a leaf's documents stand in the order of md5(seed:epoch:doc_id); the last epoch stops where the leaf's
     budget is met, with the last document cut to take_tokens. Null level values form the node ''. Texts without tokens, null
-    ones included, are never taken; rows that share an id share their place and are taken in the order of their tokens.
+    ones included, are never taken; a row without an id is placed by the digest of its text. Rows that share an id share their
+    place and are taken in the order of their tokens, each row once; which of rows with equal tokens comes first does not show. Long texts count
+    whole. An empty table gives an empty result. Columns that are not levels are not read, whatever their names; levels may
+    not be called name, key, range, rest, whole or ranges.
 
     No leaf is ordered in one task: it is cut into about sqrt(documents) ranges of the order, whose sums tell which ranges
     are taken; only the one range that the budget cuts is ordered, per leaf.
     """
-    rows = df.select(F.col(doc_id).alias("doc_id"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels], tokens.cast("bigint").alias("n_tokens"))
+    name = F.coalesce(F.col(doc_id).cast("string"), F.md5(F.col(text).cast("string"))) if text in df.columns else F.col(doc_id).cast("string")
+    rows = df.select(F.col(doc_id).alias("doc_id"), name.alias("name"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels], tokens.cast("bigint").alias("n_tokens"))
     rows = stored(rows.where("n_tokens > 0"))
     leaves = rows.groupBy(*levels).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens"))
     plan = leaf_budgets(leaves, levels, weights, part_of_all, epochs)
     plan = plan.withColumn("whole", F.floor(F.col("budget") / F.col("tokens")).cast("int")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")).withColumn("ranges", F.ceil(F.sqrt("docs")))
     plan = stored(plan.select(*levels, "whole", "rest", "ranges").where("whole > 0 or rest > 0"))
     dealt = rows.join(plan, levels)
-    key = place(seed, F.col("whole"), F.col("doc_id"))
+    key = place(seed, F.col("whole"), F.col("name"))
     dealt = dealt.withColumn("key", key).withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / float(1 << 32) * F.col("ranges")).cast("bigint"))
     sums = dealt.where("rest > 0").groupBy(*levels, "range").agg(F.sum("n_tokens").alias("sum"))
     ordered = Window.partitionBy(*levels).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

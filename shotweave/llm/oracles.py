@@ -6,14 +6,14 @@ SPACED = r"[^\x20\x09-\x0D]+"
 
 OP2 = f"""
 with d as (select doc_id, regexp_extract_all({LOWER}, '{ALNUM}') w from documents),
-b as (select item_id, regexp_extract_all({LOWER}, '{ALNUM}') w from benchmark where item_id is not null),
+b as (select item_id, regexp_extract_all({LOWER}, '{ALNUM}') w from benchmark),
 win as (select distinct cast(item_id as varchar) item, w[i : i + least(10, len(w)) - 1] g
   from b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(i) where len(w) > 0),
 sizes as (select distinct len(g) n from win),
 p as (select doc_id, s.n, t.i, w[t.i : t.i + s.n - 1] g from d, sizes s, unnest(range(1, len(w) - s.n + 2)) t(i)),
 h as (select p.doc_id, p.i, p.n, win.item from p join win on p.g = win.g),
 words as (select doc_id, count(distinct k) n_hit from h, unnest(range(i, i + n)) t(k) group by doc_id),
-items as (select doc_id, list_sort(list(distinct item)) items from h group by doc_id)
+items as (select doc_id, coalesce(list_sort(list(distinct item) filter (item is not null)), []) items from h group by doc_id)
 select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, cast(coalesce(len(items), 0) as bigint) n_items,
   sha256(coalesce(array_to_string(items, ','), '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
 from d left join words using (doc_id) left join items using (doc_id)
@@ -70,7 +70,7 @@ def _share(name: str, base: str, level: str, parent: list[str], weight: str) ->
 
 
 OP9 = f"""
-with r as (select doc_id, case when n < 2 then 'web' when n = 2 then 'books' else 'forum' end as domain, coalesce(lang, '') lang, coalesce(source, '') source,
+with r as (select doc_id, coalesce(cast(doc_id as varchar), md5(text), '') as name, case when n < 2 then 'web' when n = 2 then 'books' else 'forum' end as domain, coalesce(lang, '') lang, coalesce(source, '') source,
     cast(len(regexp_extract_all(text, '{SPACED}')) as bigint) n_tokens
   from (select *, try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)', 1) as integer) % 4 n from documents)),
 rows_ as (select * from r where n_tokens > 0),
@@ -81,7 +81,7 @@ l0 as (select *, least(sum(tokens) over () * 0.5, sum(cap) over ()) budget from
 {_share("l3", "l2", "source", ["domain", "lang"], "1.0")},
 plan as (select domain, lang, source, cast(tokens as bigint) tokens, cast(floor(budget + 1e-6) as bigint) budget from l3),
 p as (select *, cast(floor(budget / tokens) as integer) as whole, budget - cast(floor(budget / tokens) as bigint) * tokens rest from plan),
-x as (select rows_.*, whole, rest, md5(concat_ws(':', '13', whole, coalesce(cast(doc_id as varchar), ''))) key from rows_ join p using (domain, lang, source)),
+x as (select rows_.*, whole, rest, md5(concat_ws(':', '13', whole, name)) key from rows_ join p using (domain, lang, source)),
 y as (select *, coalesce(sum(n_tokens) over (partition by domain, lang, source order by key, n_tokens rows between unbounded preceding and 1 preceding), 0) as start_ from x)
 select doc_id, domain, lang, source, whole epoch, n_tokens, cast(least(n_tokens, rest - start_) as bigint) take_tokens from y where start_ < rest
 union all
