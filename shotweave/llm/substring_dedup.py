@@ -111,6 +111,9 @@ def representatives(h: np.ndarray, first: np.ndarray, window: int, rounds: int)
 
     A window is represented by the least-named (then leftmost) symbol of the highest level that has a symbol inside it.
     """
+    none = np.zeros(0, dtype=np.int64)
+    if not len(h):
+        return np.zeros(0, dtype=U), none, none
     spans = range_hash(h)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     start = np.flatnonzero(np.arange(len(h)) + window <= np.repeat(first[1:], np.diff(first)))
@@ -137,7 +140,6 @@ def representatives(h: np.ndarray, first: np.ndarray, window: int, rounds: int)
             ends.append(w[np.append(cut[1:], len(w)) - 1])
         start = start[~fits]
     if not names:
-        none = np.zeros(0, dtype=np.int64)
         return np.zeros(0, dtype=U), none, none
     return np.concatenate(names), np.concatenate(begins), np.concatenate(ends)
 

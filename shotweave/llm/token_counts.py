@@ -221,7 +221,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", limit:
     follows the longest text. `tokenizer_path` must be readable on executors.
     """
     rest = [c for c in df.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
-    base = df.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"), F.col(f"`{text}`").alias("__text"))
+    base = df.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"), F.col(f"`{text}`").alias(text))
     schema = T.StructType([*base.schema.fields[:-1], T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
