@@ -226,11 +226,13 @@ def token_hits(queries: DataFrame, texts: DataFrame, text: str, key: str, phrase
 def similar_texts(queries: DataFrame, texts: DataFrame, text: str, key: str, least: float) -> DataFrame:
     """(phrase, key, score): texts whose trigrams are similar to those of each distinct phrase, by trigram postings.
 
-    Sets of n and m trigrams can only reach `least` if each is at least that share of the other, so all longer texts end at
-    the join, before anything is counted.
+    Sets of n and m trigrams can only reach `least` if each is at least that share of the other, so texts that are too long
+    or short for all phrases end before their trigrams become rows.
     """
     p = queries.select("phrase").distinct().select("phrase", trigrams(F.col("phrase")).alias("g")).select("phrase", F.size("g").alias("m"), F.explode("g").alias("gram"))
-    t = texts.select(key, trigrams(F.col(text)).alias("g")).select(key, F.size("g").alias("n"), F.explode("g").alias("gram"))
+    low, high = p.agg(F.min("m"), F.max("m")).first()  # two numbers
+    sized = texts.select(key, trigrams(F.col(text)).alias("g")).where(F.size("g").between((low or 0) * least - 1e-6, (high or 0) / least + 1e-6))
+    t = sized.select(key, F.size("g").alias("n"), F.explode("g").alias("gram"))
     near = (F.col("n") >= F.col("m") * least - 1e-6) & (F.col("m") >= F.col("n") * least - 1e-6)
     both = t.join(p, "gram").where(near).groupBy("phrase", key, "n", "m").agg(F.count("*").alias("both"))
     return both.select("phrase", key, F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("score")).where(F.col("score") >= least)

@@ -94,8 +94,9 @@ fused as (select query_id, keyframe_id, scene_id, round(score, 6) score, cast(ro
 """
 WORDS = LEX.replace("ocr_text", "text")
 PHRASE = f""", plex as (select segment_id, video_id, start_ms, end_ms, {WORDS} w from transcript_segment),
-pn as (select *, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' and w[i + 1] = 'the')) n from plex),
-phrases as (select query_id, segment_id, round(n * 0.1 / (n * 0.1 + 1), 6) score, video_id, start_ms, end_ms from pn, query_vectors where n > 0)
+said(k, a) as (values (0, 'of'), (1, 'in'), (2, 'in')),
+pn as (select *, len(list_filter(range(1, len(w)), lambda i: w[i] = a and w[i + 1] = 'the')) n from plex, said),
+phrases as (select query_id, segment_id, round(n * 0.1 / (n * 0.1 + 1), 6) score, video_id, start_ms, end_ms from pn join query_vectors on query_id % 3 = k where n > 0)
 """
 
 
@@ -197,10 +198,11 @@ places as (select query_id, scene_id, row_number() over (partition by query_id o
     "trigram_pairs": f"select keyframe_id, round({SIMILAR('ocr_text', "'of the and in that this'")}, 6) sim from keyframe_text",
     "similar_transcripts": ASKED + f", said as (select segment_id, {GRAMS('text')} g from transcript_segment), p as (select query_id, {GRAMS("'can you explain ' || words[1]")} h from query_vectors join asked on query_id % 3 = k), both_ as (select distinct h from p), m as (select segment_id, h, round(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) score from said, both_) select distinct 'can you explain ' || words[1] phrase, segment_id, score from m join p using (h) join asked on query_id % 3 = k where score >= 0.2",
     "retrieve_ocr_phrase": f""", elex as (select keyframe_id, ocr_text, {LEX} w from keyframe_text),
-en as (select *, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' and w[i + 1] = 'the')) n from elex),
-exact as (select query_id, keyframe_id, scene_id, round(n * 0.1 / (n * 0.1 + 1), 6) score, 0 source from en join keyframes using (keyframe_id), query_vectors where n > 0 qualify row_number() over (partition by query_id order by score desc, keyframe_id) <= 50),
-sim as (select keyframe_id, round({SIMILAR('ocr_text', "'of the and in that this'")}, 6) score from keyframe_text),
-alike as (select query_id, keyframe_id, scene_id, score, 1 source from sim join keyframes using (keyframe_id), query_vectors q where score >= 0.45 and not exists (select 1 from exact e where e.query_id = q.query_id and e.scene_id = keyframes.scene_id)),
+said(k, a) as (values (0, 'of'), (1, 'in'), (2, 'in')),
+en as (select *, len(list_filter(range(1, len(w)), lambda i: w[i] = a and w[i + 1] = 'the')) n from elex, said),
+exact as (select query_id, keyframe_id, scene_id, round(n * 0.1 / (n * 0.1 + 1), 6) score, 0 source from en join keyframes using (keyframe_id) join query_vectors on query_id % 3 = k where n > 0 qualify row_number() over (partition by query_id order by score desc, keyframe_id) <= 50),
+sim as (select keyframe_id, k, round({SIMILAR('ocr_text', "a || ' the and in that this'")}, 6) score from keyframe_text, said),
+alike as (select query_id, keyframe_id, scene_id, score, 1 source from sim join keyframes using (keyframe_id) join query_vectors q on query_id % 3 = k where score >= 0.45 and not exists (select 1 from exact e where e.query_id = q.query_id and e.scene_id = keyframes.scene_id)),
 found as (select *, cast(row_number() over (partition by query_id order by source, score desc, keyframe_id) as integer) rank from (select * from exact union all select * from alike))
 select query_id, rank, scene_id, keyframe_id from found where rank <= 50""",
     "similar_keyframes": ", given as (select keyframe_id query_id, embedding from keyframe_embedding where keyframe_id % 20 = 0)" + near("", "keyframe_embedding", "keyframe_id", ALL).replace("query_vectors q", "given q") + "select query_id, cast(x.rank as integer) rank, scene_id, keyframe_id, round(1.0 / x.rank, 6) score from knn x join keyframes using (keyframe_id) where x.rank <= 11 and query_id <> keyframe_id",

@@ -44,6 +44,12 @@ def request(t: dict[str, DataFrame], stage: int = 0) -> DataFrame:
     return t["query_vectors"].withColumn("tokens", F.get(lists, (F.col("query_id") + stage) % len(WORDS))).withColumn("phrase", F.array_join("tokens", " "))
 
 
+def phrased(t: dict[str, DataFrame]) -> DataFrame:
+    """Queries for a phrase of two words: every third one for another phrase."""
+    first = F.when(F.col("query_id") % 3 == 0, "of").otherwise("in")
+    return request(t).withColumn("tokens", F.array(first, F.lit("the")))
+
+
 def flat(fused: DataFrame) -> DataFrame:
     return fused.select("query_id", "keyframe_id", "scene_id", F.round("score", 6).alias("score"), "rank")
 
@@ -277,21 +283,21 @@ def retrieve_ocr_indexed(spark, d):
 @query
 def phrase_in_transcripts(spark, d):
     t = derived_corpus(spark, d)
-    q = request(t).withColumn("tokens", F.array(F.lit("of"), F.lit("the")))
+    q = phrased(t)
     return R.lexical_hits(q, t["transcript_segment"], "text", "segment_id", phrase=True, floor=0.0)
 
 
 @query
 def retrieve_asr_phrase(spark, d):
     t = derived_corpus(spark, d)
-    q = request(t).withColumn("tokens", F.array(F.lit("of"), F.lit("the")))
+    q = phrased(t)
     return R.retrieve_asr_phrase(q, t, 50)
 
 
 @query
 def retrieve_ocr_phrase(spark, d):
     t = derived_corpus(spark, d)
-    q = request(t).withColumn("tokens", F.array(F.lit("of"), F.lit("the"))).withColumn("phrase", F.lit("of the and in that this"))
+    q = phrased(t).withColumn("phrase", F.concat(F.get("tokens", F.lit(0)), F.lit(" the and in that this")))
     return R.retrieve_ocr_phrase(q, t, 50)
 
 

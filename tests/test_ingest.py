@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shotweave.operators import ingest as N
 from shotweave.operators import routing as T
+from shotweave.operators import rules as U
 from shotweave.operators.encode import embed_texts, hash_encoder
 
 
@@ -37,12 +38,12 @@ def test_shot_boundaries(spark, tmp_path):
 def test_sources_models_and_labels(spark):
     asked = spark.createDataFrame([(1, None, "a"), (2, [], " B "), (3, [" OCR", "zzz"], None), (4, ["zzz"], "c")], "query_id int, sources array<string>, collection string")
     got = {}
-    for r in T.gate_sources(asked).collect():
+    for r in U.gate_sources(asked).collect():
         got.setdefault(r.query_id, set()).add(r.retriever)
-    every, phrases = {*T.GATED, *T.PHRASES}, {*T.PHRASES}
+    every, phrases = {*U.GATED, *U.PHRASES}, {*U.PHRASES}
     assert got == {1: every, 2: every, 3: {"ocr"} | phrases, 4: phrases}
     models = spark.createDataFrame([(1, "base"), (2, "m2")], "model_id int, name string")
-    assert {r.query_id: r.model_id for r in T.route_model(asked, models, "A:m2,b: m2 ,c:none,junk", "base").collect()} == {1: 2, 2: 2, 3: 1, 4: 1}
+    assert {r.query_id: r.model_id for r in U.route_model(asked, models, "A:m2,b: m2 ,c:none,junk", "base").collect()} == {1: 2, 2: 2, 3: 1, 4: 1}
     stages = spark.createDataFrame([(1, 0, "a man", "x", None), (1, 1, "", None, "hi")], "query_id int, stage int, free_text string, ocr_phrase string, asr_phrase string")
     assert [r.label for r in T.stage_label(stages).orderBy("stage").collect()] == ['text:"x" a man', 'said:"hi"']
 

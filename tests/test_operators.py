@@ -49,6 +49,22 @@ def test_query_log(spark):
     assert [tuple(r) for r in gone.collect()] == [(1, "00003")]
 
 
+@pytest.mark.parametrize(
+    "raw, free, ocr, asr, gone",
+    [
+        ('context: foo text:bare phrase said:"Q A" end -video:1 --exclude: 2, 3,4 tail', "context: foo end tail", "bare phrase", "Q A", {"1", "2", "3", "4"}),
+        ('TEXT: "One" text:two', "", "One", None, set()),
+        ("said: -video:7x foo", "foo", None, None, {"7x"}),
+        ('text:"" said:""', "", None, None, set()),
+        ("foo-video:3 bar -video:3", "foo bar", None, None, {"3"}),
+        ('"a >> b" c', '"a >> b" c', None, None, set()),
+    ],
+)
+def test_pieces_of_a_stage(spark, raw, free, ocr, asr, gone):
+    stages, out = parse_log(spark.createDataFrame([(1, raw)], "query_id int, raw string"))
+    assert [(r.free_text, r.ocr_phrase, r.asr_phrase) for r in stages.collect()] == [(free, ocr, asr)] and {r.video_id for r in out.collect()} == gone
+
+
 def test_text_and_media_rules(spark):
     assert one(spark, F.round(trigram_similarity(F.lit("B0ULANGERIE DUPONT"), F.lit("BOULANGERIE DUPONT")), 3)) == 0.727
     assert [one(spark, F.round(cover_rank(F.lit(n)), 4)) for n in (1, 2)] == [0.0909, 0.1667]
@@ -79,7 +95,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n in registry.oracle_sql() if n[6:] not in registry.QUERIES or not n.startswith("whole_")))
 def test_query_equals_sql(spark, duck, name):
     df = registry.queries()[name](spark, DATA)
     found = duck.execute(registry.oracle_sql()[name])

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from shotweave.operators.sessions import session_records
-from shotweave.streaming.jobs import incremental_enrich, job_state_stream, session_stream
+from shotweave.streaming.jobs import incremental_enrich, job_state_stream, live_snapshot, session_stream
 
 SCHEMA = "event_id long, ts timestamp, code int, scene_id long, video_id string, status string"
 
@@ -48,3 +48,27 @@ def test_session_stream_equals_the_batch_fold(spark, tmp_path):
     seen = {tuple(r) for r in spark.table("sessions").collect()}
     batch = {(r.code, r.scene_id, r.status, r.video_id) for r in session_records(writes(spark, first + later)).collect()}
     assert batch == {(1, 7, "WRONG", "v"), (2, 8, "CORRECT", "w")} and batch <= seen
+
+
+def test_session_stream_keeps_the_order_of_the_writes(spark, tmp_path):
+    """A final write that arrives late, with an earlier time, does not replace a later one; an idle session's state ends."""
+    first = [(5, 1, 7, "v", "WRONG"), (6, 2, 8, "w", None)]
+    later = [(2, 1, 7, "u", "CORRECT"), (3, 1, 7, None, "INDETERMINATE")]
+    last = [(20_000, 3, 9, "x", None)]
+    stream = source(spark, tmp_path, [writes(spark, b) for b in (first, later, last)], SCHEMA)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        q = session_stream(stream, "0 seconds").writeStream.outputMode("update").format("memory").queryName("ordered").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    seen = {tuple(r) for r in spark.table("ordered").collect()}
+    assert (1, 7, "WRONG", "v") in seen and (1, 7, "CORRECT", "u") not in seen and (3, 9, "INDETERMINATE", "x") in seen
+
+
+def test_live_snapshot_of_a_stream(spark, tmp_path):
+    rows = [(1, 1, 7, "v", "CORRECT"), (2, 1, 8, "v", "WRONG"), (3, 1, 7, None, None)]
+    stream = source(spark, tmp_path, [writes(spark, rows[:2]), writes(spark, rows[2:])], SCHEMA)
+    q = live_snapshot(stream).writeStream.outputMode("update").format("memory").queryName("snapshots").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert tuple(spark.table("snapshots").collect()[-1]) == (1, 2, 1, 1)
