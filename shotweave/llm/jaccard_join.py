@@ -427,7 +427,7 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, size: int = 4, percent:
 def neighbourhoods(spark: SparkSession, base: DataFrame, size: int, percent: int, frequent_least: int, frequent_most: int) -> tuple[DataFrame, DataFrame]:
     """(cell, doc): the leaders in whose neighbourhoods each document stands; (a, b): equal sets that a task saw."""
     frequent = frequent_shingles(base.select("t"), size, frequent_least, frequent_most)
-    parts = parts_of(spark)
+    parts = parts_of(spark, base.select("t"))
     packed = base.mapInArrow(_prefixes(size, percent, frequent, parts), PACKED)
     part = F.split(F.col("doc_key").cast("string"), ",")
     told = stored(repeated_places(packed, parts, tell_keys=True).select(part[0].cast("bigint").alias("doc"), part[1].cast("bigint").alias("n"), F.when(part[2] != "", part[2]).cast("bigint").alias("twin"), "keys"))

@@ -14,15 +14,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U = np.uint64
 RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i4"), ("at", "<i4"), ("to", "<i4")])
 PACKED = "part int, known boolean, docs binary, records binary"
 
 
-def parts_of(spark: SparkSession) -> int:
-    """Key ranges: twice the shuffle partitions, so that hashing them to tasks comes out even."""
-    return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of text whose records make a key range: what one group of a task holds does not grow with the input.
+RANGE_BYTES = 32 << 20
+
+
+def parts_of(spark: SparkSession, texts: DataFrame) -> int:
+    """Key ranges by the bytes of the one text column of `texts`; twice the shuffle partitions at least, so that hashing
+    them to tasks comes out even."""
+    size = texts.agg(F.sum(F.octet_length(F.col(texts.columns[0])))).first()[0] or 0
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
 
 
 class Packer:

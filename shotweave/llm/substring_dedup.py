@@ -222,7 +222,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 35, round
 
     base = docs.select(F.col(doc_id).alias("__id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     base = base.select("__id", "t", F.concat_ws(":", F.col("__id").cast("string"), F.hex(F.xxhash64("t"))).cast("binary").alias("key"))
-    parts = parts_of(spark)
+    parts = parts_of(spark, base.select("t"))
     symbols = base.select("key", "t").mapInArrow(_symbols(parts, window, rounds), PACKED)
     shared = stored(repeated_places(symbols, parts).withColumnRenamed("doc_key", "key"))
     # one shuffle of the texts: both joins read the same columns of it, so the exchange is reused
