@@ -19,6 +19,7 @@ inside a task.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,7 +101,8 @@ def spare(n: int, part: int = 20) -> int:
 def _prefixes(size: int, percent: int, frequent: np.ndarray, parts: int):
     """Packed (shingle, document) records of the prefixes; a text equal to an earlier one of the task is its twin instead.
 
-    A document's key is its id, its set's size, and for a twin the id of the earlier text, which the record repeats twice.
+    A document's key is its id, its set's size, and for a twin the id of the earlier text, which the record repeats twice;
+    big-endian numbers of 8, 4 and 8 bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +121,10 @@ def _prefixes(size: int, percent: int, frequent: np.ndarray, parts: int):
                     me = int(ids[lo + i])
                     twin = seen.setdefault(b"%d,%d,%d" % (n[i], one[i], two[i]), me)
                     if twin != me:
-                        keys.append(b"%d,%d,%d" % (me, n[i], twin))
+                        keys.append(struct.pack(">qiq", me, n[i], twin))
                         own = np.full(2, U(me & 0xFFFFFFFFFFFFFFFF))
                     else:
-                        keys.append(b"%d,%d," % (me, n[i]))
+                        keys.append(struct.pack(">qi", me, n[i]))
                         own = grams[first[i] : first[i + 1]]
                         if len(frequent):
                             spot = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
@@ -429,8 +431,9 @@ def neighbourhoods(spark: SparkSession, base: DataFrame, size: int, percent: int
     frequent = frequent_shingles(base.select("t"), size, frequent_least, frequent_most)
     parts = parts_of(spark, base.select("t"))
     packed = base.mapInArrow(_prefixes(size, percent, frequent, parts), PACKED)
-    part = F.split(F.col("doc_key").cast("string"), ",")
-    told = stored(repeated_places(packed, parts, tell_keys=True).select(part[0].cast("bigint").alias("doc"), part[1].cast("bigint").alias("n"), F.when(part[2] != "", part[2]).cast("bigint").alias("twin"), "keys"))
+    number = lambda at, size: F.conv(F.hex(F.substring("doc_key", at, size)), 16, -10).cast("bigint")
+    twin = F.when(F.octet_length("doc_key") > 12, number(13, 8))
+    told = stored(repeated_places(packed, parts, tell_keys=True).select(number(1, 8).alias("doc"), number(9, 4).alias("n"), twin.alias("twin"), "keys"))
     twins = told.where("twin is not null").select(F.col("doc").alias("a"), F.col("twin").alias("b"))
     tokens = told.where("twin is null").select("doc", "n", F.explode(F.array_distinct("keys")).alias("token"))
     leaders = tokens.groupBy("token").agg(F.min("doc").alias("cell"), F.max("doc").alias("last")).where("last > cell").select("token", "cell")
