@@ -147,7 +147,7 @@ def _verify(cosine: float, tables: int, bits: int, seed: int):
     return run
 
 
-def near_vectors(spark: SparkSession, df: DataFrame, cosine: float = 0.98, missed: float = 1e-5, block: int = 1024, seed: int = 17, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+def near_vectors(spark: SparkSession, df: DataFrame, cosine: float = 0.98, missed: float = 1e-5, block: int = 400, seed: int = 17, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of `df`.
 
     Two rows link when their labels are equal and not null and their cosine is at least `cosine`; the chance to miss a link
