@@ -12,7 +12,6 @@ those words; the windows that they represent are then verified by a 128-bit fing
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
