@@ -47,3 +47,8 @@ def embed_texts(df: DataFrame, text: str, encoder: Encoder, model_id: int, prefi
 
     vectors = once.mapInPandas(encode, "__digest string, embedding array<float>")
     return df.withColumn("__digest", digest).join(vectors, "__digest", "left").drop("__digest").withColumn("model_id", F.lit(model_id))
+
+
+def embed_queries(df: DataFrame, text: str, encoder: Encoder, model_id: int, batch: int = 256) -> DataFrame:
+    """`embed_texts` for what users ask, with the prefix that the model expects before a query."""
+    return embed_texts(df, text, encoder, model_id, QUERY, batch)

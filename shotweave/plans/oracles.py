@@ -220,6 +220,9 @@ select query_id, rank, scene_id, keyframe_id from found where rank <= 50""",
     "purge_files": ", listed as (select unnest(list_filter([case when n % 3 = 0 then {'kind': 'raw', 'path': 'work/raw/' || video_id || '.mp4', 'bytes': n * 1000} end, case when n % 2 = 0 then {'kind': 'candidates', 'path': 'work/candidates/' || video_id || '/00001.jpg', 'bytes': n * 1000 + 2} end, case when n % 5 < 3 then {'kind': 'audio', 'path': 'work/audio/' || video_id || '.wav', 'bytes': n * 1000 + 3} end], lambda f: f is not null)) f, video_id, n from (select video_id, cast(video_id as bigint) n from videos)), complete as (select video_id from videos v where not exists (select 1 from scenes s where s.video_id = v.video_id and s.scene_id not in (select scene_id from embedded))), heard as (select video_id from videos where not has_audio or video_id in (select video_id from transcript_segment)) select f.kind as kind, video_id, f.path as path, f.bytes as bytes from listed where (f.kind = 'raw' and n % 6 < 4 and n % 2 = 0) or (f.kind = 'candidates' and video_id in (select video_id from complete)) or (f.kind = 'audio' and video_id in (select video_id from heard))",
     "stage_reports": STAGE_REPORTS,
     "cascaded_rows": CASCADED,
+    "query_stages": r""", w as (select segment_id query_id, array_to_string(regexp_extract_all(trim(regexp_replace(text, '[">]', '', 'g')), '\S+'), ' ') w from transcript_segment)
+select query_id, 0 stage, w free_text, 'shop' ocr_phrase, cast(null as varchar) asr_phrase, cast(null as bigint) gap_ms from w union all select query_id, 1, w, null, null, 30000 from w where w <> ''
+union all select query_id, case when w = '' then 1 else 2 end, '', null, 'hello there', 60000 from w""",
     "query_words": QUERY_WORDS,
     "recall_at_20": near("", "keyframe_embedding", "keyframe_id", ALL) + near("a", "keyframe_embedding", "keyframe_id", 40) + near("b", "keyframe_embedding", "keyframe_id", 1000) + "select query_id, round(count(*) filter (exists (select 1 from aknn a where a.query_id = k.query_id and a.keyframe_id = k.keyframe_id and a.rank <= 20)) / count(*), 6) recall, 40 oversample from knn k where rank <= 20 group by query_id union all select query_id, round(count(*) filter (exists (select 1 from bknn a where a.query_id = k.query_id and a.keyframe_id = k.keyframe_id and a.rank <= 20)) / count(*), 6), 1000 from knn k where rank <= 20 group by query_id",
     "first_frame_share": FUSED + "select query_id, round(avg(case when kf_index = 0 then 1 else 0 end), 6) share from fused join keyframes using (keyframe_id) where rank <= 15 group by query_id",
@@ -229,7 +232,7 @@ select query_id, rank, scene_id, keyframe_id from found where rank <= 50""",
     "queued_scenes": ", state as (select video_id, arg_max(stage, struct_pack(ts := ts, event_id := event_id)) stage from job_events group by video_id), queue as (select video_id from state where stage <> 'FAILED') select scene_id from scenes where video_id in (select video_id from queue) or not exists (select 1 from queue)",
     "lexeme_counts": f"select token, count(*) n from (select unnest({LEX}) token from keyframe_text) group by token",
     "scalar_rules": SCALARS,
-    "unit_vectors": "select vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) first, round(1 - list_dot_product(e, list_reverse(e)) / list_dot_product(e, e), 6) mirror from (select vec_id, cast(embedding as double[]) e from embeddings)",
+    "unit_vectors": "select vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) first, round(1 - list_dot_product(e, list_reverse(e)) / list_dot_product(e, e), 6) mirror, cast(list_sum(list_transform(range(1, 65), lambda i: case when (e[i] > 0) <> (e[65 - i] > 0) then 1 else 0 end)) as integer) bits from (select vec_id, cast(embedding as double[]) e from embeddings)",
     "shot_boundaries": "select video_id, shot_index, cast(start_ms / 40 as bigint) start_frame, cast(end_ms / 40 as bigint) end_frame, cast(start_ms as bigint) start_ms, cast(end_ms as bigint) end_ms from scenes",
     "source_files": "select video_id, path from videos left join sources using (video_id)",
     "paired_files": ", b as (select video_id, arg_min(path, list_position(['txt', 'tsv', 'csv'], kind)) boundary from named_files where folder = 'shots' group by video_id) select video_id, path video, boundary, case when boundary is null then 'no_boundary' when path is null then 'no_video' else 'paired' end state from sources full join b using (video_id)",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shotweave.functions import media
 from shotweave.functions.text import cover_rank, distinctive_tokens, lexemes, trigram_similarity
-from shotweave.functions.vectors import cosine_distance, l2_normalize, parse_vector
+from shotweave.functions.vectors import binary_quantize, cosine_distance, hamming, l2_normalize, parse_vector
 from shotweave.operators import browse as B
 from shotweave.operators import ingest as N
 from shotweave.operators import retrieve as R
@@ -485,7 +485,7 @@ def query_stages(spark, d):
 @query
 def unit_vectors(spark, d):
     x = C.read(spark, d, "embeddings").select("vec_id", l2_normalize(F.transform("embedding", lambda v: v * 3)).alias("u"), "embedding")
-    return x.select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(cosine_distance(F.col("u"), F.reverse("embedding")), 6).alias("mirror"))
+    return x.select("vec_id", F.round(F.get("u", F.lit(0)), 6).alias("first"), F.round(cosine_distance(F.col("u"), F.reverse("embedding")), 6).alias("mirror"), hamming(binary_quantize(F.col("u")), binary_quantize(F.reverse("embedding"))).alias("bits"))
 
 
 FOLDERS = ["work/raw", "data"]

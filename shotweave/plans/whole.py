@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotweave.functions.text import trigram_similarity
-from shotweave.operators.encode import embed_texts, hash_encoder
+from shotweave.operators.encode import embed_queries, hash_encoder
 from shotweave.operators.retrieve import knn_exact
 from shotweave.operators.routing import enrich_chains
 from shotweave.operators.search import prepared_stages, search_log, search_sequence
@@ -48,8 +48,8 @@ def whole_trigram_pairs(spark, d):
 
 def embed(stages: DataFrame) -> DataFrame:
     """The vectors of a stage's text, for the routed model and for that of the text tables."""
-    text = embed_texts(stages.select("query_id", "stage", "free_text"), "free_text", hash_encoder(), 10).select("query_id", "stage", F.col("embedding").alias("text_embedding"))
-    return embed_texts(stages.drop("model_id"), "free_text", hash_encoder(), 1).join(text, ["query_id", "stage"])
+    text = embed_queries(stages.select("query_id", "stage", "free_text"), "free_text", hash_encoder(), 10).select("query_id", "stage", F.col("embedding").alias("text_embedding"))
+    return embed_queries(stages.drop("model_id"), "free_text", hash_encoder(), 1).join(text, ["query_id", "stage"])
 
 
 def log_of(t: dict[str, DataFrame]) -> DataFrame:
