@@ -215,7 +215,7 @@ select query_id, rank, scene_id, keyframe_id from found where rank <= 50""",
     "event_hours": "select date_trunc('hour', ts) as start, event_type, count(*) n from events group by all",
     "sliding_hours": "select time_bucket(interval '30 minutes', ts) - to_minutes(30 * k) as start, event_type, count(*) n from (select distinct on (event_id) * from events), unnest(range(0, 4)) t(k) group by all",
     "user_sessions": "select min(ts) as start, user_id, count(*) n from (select *, sum(new) over (partition by user_id order by ts, event_id) s from (select *, case when epoch_us(ts) - epoch_us(lag(ts) over (partition by user_id order by ts, event_id)) <= 1800000000 then 0 else 1 end new from events)) group by user_id, s",
-    "live_sessions": ", a as (select user_id code, max(ts) last from events where event_type not in ('view', 'click') group by user_id) select cast(code as bigint) code, 180 * 60000 - (epoch_ms(timestamp '2024-01-01 08:00:00') - cast(floor(epoch_us(last) / 1000) as bigint)) expires_in_ms from a where epoch_ms(timestamp '2024-01-01 08:00:00') - cast(floor(epoch_us(last) / 1000) as bigint) <= 180 * 60000",
+    "live_sessions": ", a as (select user_id code, max(ts) last from events where event_type not in ('view', 'click') group by user_id) select cast(code as bigint) code, 180 * 60000 - (epoch_ms(timestamp '2024-01-31 00:00:00') - cast(floor(epoch_us(last) / 1000) as bigint)) expires_in_ms from a where epoch_ms(timestamp '2024-01-31 00:00:00') - cast(floor(epoch_us(last) / 1000) as bigint) <= 180 * 60000",
     "live_snapshots": RECORDS + "select code, count(*) instances, count(distinct video_id) distinct_videos, count(distinct case when status in ('CORRECT', 'INDETERMINATE') then video_id end) covered_videos from records group by code",
     "purge_files": ", listed as (select unnest(list_filter([case when n % 3 = 0 then {'kind': 'raw', 'path': 'work/raw/' || video_id || '.mp4', 'bytes': n * 1000} end, case when n % 2 = 0 then {'kind': 'candidates', 'path': 'work/candidates/' || video_id || '/00001.jpg', 'bytes': n * 1000 + 2} end, case when n % 5 < 3 then {'kind': 'audio', 'path': 'work/audio/' || video_id || '.wav', 'bytes': n * 1000 + 3} end], lambda f: f is not null)) f, video_id, n from (select video_id, cast(video_id as bigint) n from videos)), complete as (select video_id from videos v where not exists (select 1 from scenes s where s.video_id = v.video_id and s.scene_id not in (select scene_id from embedded))), heard as (select video_id from videos where not has_audio or video_id in (select video_id from transcript_segment)) select f.kind as kind, video_id, f.path as path, f.bytes as bytes from listed where (f.kind = 'raw' and n % 6 < 4 and n % 2 = 0) or (f.kind = 'candidates' and video_id in (select video_id from complete)) or (f.kind = 'audio' and video_id in (select video_id from heard))",
     "stage_reports": STAGE_REPORTS,
@@ -252,7 +252,7 @@ select query_id, stage, case stage when 0 then 'text:"open" the' else 'said:"no
     "used_signals": OCR + "select query_id, 's' || query_id % 2 || ':visual' signal from query_vectors union all select distinct query_id, 's' || query_id % 2 || ':ocr' from ocr",
     "video_details": "select video_id, collection, 40 as seconds from videos where video_id in (select video_id from keyframes where keyframe_id in (select query_id from query_vectors))",
     "scene_details": "select s.scene_id, s.shot_index, k[cast(floor(len(k) / 2) as integer) + 1] keyframe_id from scenes s join (select scene_id, list(keyframe_id order by ts_ms, keyframe_id) k from keyframes group by scene_id) x using (scene_id) where s.scene_id in (select cast(floor(query_id / 4) as bigint) from query_vectors)",
-    "session_list": "select code, count(distinct scene_id) instances, max(epoch_ms(ts)) > 1704070800000 + 4 * 3600 * 1000 alive from submissions group by code",
+    "session_list": "select code, count(distinct scene_id) instances, cast(greatest(0, 7200000 - (1706659200000 - cast(floor(epoch_us(max(ts)) / 1000) as bigint))) as bigint) expires_in_ms from submissions group by code",
     "already_submitted": OCR + "select query_id, keyframe_id, exists (select 1 from submissions s where s.status = 'CORRECT' and s.video_id = keyframes.video_id and s.scene_id * 4 + s.event_id % 4 = keyframe_id) submitted from ocr join keyframes using (keyframe_id) where ocr.rank <= 50",
     "stability": FUSED + ", ranked_v as (select *, 1.0 w from visual), sums_v as (select query_id, keyframe_id, scene_id, sum(cast(w as double) / (60 + rank)) score from ranked_v group by all), fused_v as (select query_id, keyframe_id, scene_id, round(score, 6) score, cast(row_number() over (partition by query_id order by round(score, 9) desc, keyframe_id) as integer) rank from sums_v qualify rank <= 48) select 1 run, * from (select * from fused except all select * from fused_v) union all select 2, * from (select * from fused_v except all select * from fused)",
     "caption_vectors": "select keyframe_id, 10 model_id, 64 dims from keyframe_caption where caption <> ''",

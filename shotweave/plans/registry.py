@@ -557,11 +557,11 @@ def sliding_hours(spark, d):
 
 @query
 def live_sessions(spark, d):
-    """Sessions that live two hours after the last event of the first user."""
+    """Sessions that live at the end of the month."""
     e = C.read(spark, d, "events")
     kind = F.when(F.col("event_type") == "view", "list").when(F.col("event_type") == "click", "peek").otherwise("write")
     x = e.select(F.col("user_id").alias("code"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"))
-    return S.live_sessions(x, F.lit("2024-01-01 08:00:00").cast("timestamp_ltz"), 180).select("code", "expires_in_ms")
+    return S.live_sessions(x, F.lit("2024-01-31 00:00:00").cast("timestamp_ltz"), 180).select("code", "expires_in_ms")
 
 
 @query
@@ -677,7 +677,7 @@ def scene_details(spark, d):
 @query
 def session_list(spark, d):
     w = derived_corpus(spark, d)["submissions"]
-    return T.session_list(w, F.lit(1704070800000 + 6 * 3600 * 1000).cast("bigint")).select("code", "instances", (F.col("expires_in_ms") > 0).alias("alive"))
+    return T.session_list(w, F.lit(1706659200000).cast("bigint"))
 
 
 @query
