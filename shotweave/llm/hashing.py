@@ -59,11 +59,11 @@ def labelled_rows(documents: DataFrame, labels: DataFrame, label: str, limit: in
     return documents.select("doc_id", "text").join(F.broadcast(own), "doc_id")  # bounded by `limit`
 
 
-def collect_features(rows: DataFrame, features, bits: int, limit: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, index, count) of at most `limit` rows as int32 and uint32, for fitting on the driver.
+def collect_features(rows: DataFrame, features, bits: int, limit: int, counts: bool = True) -> list[tuple[int, np.ndarray, np.ndarray | None]]:
+    """(label, index, count) of at most `limit` rows as int32 and uint32, for fitting on the driver; without `counts`, no counts.
 
     The rows are cut by the same hash of the id again, then by their features, so repeated ids can't exceed the bound. A
-    row has no more than 2**bits features, however long its text.
+    row has no more than 2**bits features, however long its text. The arrays are views of the collected Arrow table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,9 +71,10 @@ def collect_features(rows: DataFrame, features, bits: int, limit: int) -> list[t
             cells = []
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 first, index, count = folded(*features(data, offsets, bits), bits, hi - lo)
-                cells += [(index[a:b].astype("<i4").tobytes(), count[a:b].astype("<u4").tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
+                cells += [(index[a:b].astype("<i4").tobytes(), count[a:b].astype("<u4").tobytes() if counts else b"") for a, b in zip(first[:-1], first[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([c[0] for c in cells], pa.binary()), pa.array([c[1] for c in cells], pa.binary())], names=["doc_id", "label", "i", "n"])
 
     found = rows.select(F.xxhash64("doc_id", F.lit(11)).alias("doc_id"), "text", F.col("label").cast("int")).mapInArrow(run, "doc_id bigint, label int, i binary, n binary")
-    table = found.orderBy("doc_id", "label", F.crc32("i"), F.crc32("n")).limit(limit).toArrow()
-    return [(y, np.frombuffer(i, dtype="<i4"), np.frombuffer(n, dtype="<u4")) for y, i, n in zip(*(table[c].to_pylist() for c in ("label", "i", "n")), strict=True)]
+    table = found.orderBy("doc_id", "label", F.crc32("i"), F.crc32("n")).limit(limit).select("label", "i", "n").toArrow()
+    view = lambda x, kind: np.frombuffer(x.as_buffer(), dtype=kind)
+    return [(y.as_py(), view(i, "<i4"), view(n, "<u4") if counts else None) for batch in table.to_batches() for y, i, n in zip(*batch.columns, strict=True)]

@@ -66,7 +66,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, sample: int = 4000, al
     Null labels and ids, and labels without a document, are left out; a repeated id counts as often as it occurs, within the
     bound. Without a single toxic row nothing can be learnt, and the model scores every text 0, so that nothing is rejected.
     """
-    rows = collect_features(labelled_rows(documents, labels, "toxic", sample), word_features, BITS, sample)
+    rows = collect_features(labelled_rows(documents, labels, "toxic", sample), word_features, BITS, sample, counts=False)
     if not any(y for y, _, _ in rows):
         return ToxicityModel(BITS, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), -np.inf)
     return fit_ftrl(rows, BITS, alpha, beta, l1, l2, epochs, seed)
