@@ -24,20 +24,33 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table as Parquet in the shared folder and read it back: short lineage, columnar, on disk only."""
+def stored(df: DataFrame, by: str | None = None, instead: DataFrame | None = None) -> DataFrame:
+    """Write a table as Parquet in the shared folder and read it back: short lineage, columnar, on disk only.
+
+    `by` names a column whose values get a folder each. `instead` is a stored table that nothing reads any more: it is deleted
+    once the new one is complete.
+    """
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _STORED.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if instead is not None:
+        _STORED.remove(instead.stored_at)
+        _delete(df.sparkSession, instead.stored_at)
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_stored(spark: SparkSession) -> int:
     """Deletes all tables that this process has stored, once no result that reads them is needed; returns their number."""
     n = len(_STORED)
     while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _STORED.pop())
     return n
 
 
