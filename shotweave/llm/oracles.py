@@ -88,4 +88,48 @@ union all
 select doc_id, domain, lang, source, cast(e as integer), n_tokens, n_tokens from x, unnest(range(0, whole)) t(e)
 """
 
-ORACLES = {"op2_decontamination": OP2, "op3_embedding_dedup": OP3, "op5_substring_dedup": OP5, "op6_jaccard_join": OP6, "op9_mixing": OP9}
+OP11 = f"""
+with d as (select doc_id, coalesce(text, '') t, coalesce(lang, '') part, regexp_extract_all(coalesce(text, ''), '{SPACED}') w from documents),
+m as (select part,
+    case when len(w) < 100 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 80 * len(w) then 2 else 0 end
+    + case when 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) then 4 else 0 end + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+    + case when doc_id > min(doc_id) over (partition by t) then 16 else 0 end fails,
+    exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = 1) good, exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 1) toxic
+  from d),
+c as (select part, fails, count(*) n, count(*) filter (good) good, count(*) filter (toxic) toxic from m group by all),
+f(name, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o as (select a.name || b.name || c.name || d.name || e.name filter_order from f a, f b, f c, f d, f e where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s as (select filter_order, cast(i as integer) step, f.bit own, coalesce((select sum(g.bit) from f g where strpos(substr(filter_order, 1, i - 1), g.name) > 0), 0)::int before
+  from o, unnest(range(1, 6)) t(i), f where f.name = substr(filter_order, i, 1)),
+x as (select part, filter_order, step, own,
+    sum(case when fails & (before | own) = 0 then n else 0 end) kept, sum(case when fails & own > 0 and fails & before = 0 then n else 0 end) removed,
+    sum(case when fails & own > 0 and fails & before > 0 then n else 0 end) redundant, sum(case when fails = own then n else 0 end) unique_fails,
+    sum(case when fails & own > 0 and fails & before = 0 then good else 0 end) good_lost, sum(case when fails & own > 0 and fails & before = 0 then toxic else 0 end) toxic_lost
+  from c, s group by part, filter_order, step, own)
+select part, filter_order, step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails,
+  good_lost::bigint good_lost, toxic_lost::bigint toxic_lost, (sum(removed) over (partition by part, own))::bigint shapley from x
+"""
+
+
+def _round(i: int) -> str:
+    """Round i of k-means: assignment a, then centroids c of the next round by exact floored means."""
+    return f"""
+a{i} as materialized (select vec_id, row_no, v, arg_min(cluster, (d, cluster)) cluster, min(d) d from (
+    select x.vec_id, x.row_no, x.v, c.cluster, list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint d from x, c{i} c) group by all),
+m{i} as (select cluster, j, sum(v[j])::hugeint s, count(*)::hugeint n from a{i}, unnest(range(1, 65)) t(j) group by all),
+c{i + 1} as materialized (select c.cluster, coalesce(n.v, c.v) v from c{i} c left join (
+    select cluster, list(((s - ((s % n) + n) % n) // n)::bigint order by j) v from m{i} group by cluster) n using (cluster)),"""
+
+
+OP13 = f"""
+with e as (select vec_id, embedding, row_number() over () row_no from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0),
+x as materialized (select vec_id, row_no, list_transform(embedding, lambda y: floor(256 * y::double)::bigint) v from e),
+c0 as materialized (select (row_number() over (order by sha256('2:' || vec_id), v))::int - 1 cluster, v from x qualify cluster < 40),
+{"".join(_round(i) for i in range(6))}
+f as (select cluster, sha256(array_to_string(v, ',')) centroid_sha256 from c5)
+select vec_id, cluster, d distance, (sum(d) over (partition by cluster))::bigint cluster_inertia, (sum(d) over ())::bigint inertia, centroid_sha256
+from a5 join f using (cluster)
+"""
+
+ORACLES = {"op11_filter_audit": OP11, "op13_clustering": OP13, "op2_decontamination": OP2, "op3_embedding_dedup": OP3, "op5_substring_dedup": OP5, "op6_jaccard_join": OP6, "op9_mixing": OP9}

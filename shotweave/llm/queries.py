@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shotweave.llm.centroids import cluster_vectors
 from shotweave.llm.decontaminate import decontaminate
 from shotweave.llm.embedding_dedup import near_vectors
+from shotweave.llm.filter_audit import audit_filters
 from shotweave.llm.jaccard_join import jaccard_components
 from shotweave.llm.license_scan import scan_licenses
 from shotweave.llm.mixing import mix
 from shotweave.llm.pseudonyms import pseudonymize
 from shotweave.llm.quality import fit_quality, score_quality
+from shotweave.llm.sharding import shard_rows
 from shotweave.llm.substring_dedup import remove_repeats
 from shotweave.llm.token_counts import count_tokens
 from shotweave.llm.toxicity import fit_toxicity, score_toxicity
@@ -101,8 +104,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_rows(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_token_counts, op2_decontamination, op3_embedding_dedup, op4_quality, op5_substring_dedup, op6_jaccard_join, op7_pii, op8_license_scan, op9_mixing, op10_toxicity]
+    own = [op1_token_counts, op2_decontamination, op3_embedding_dedup, op4_quality, op5_substring_dedup, op6_jaccard_join, op7_pii, op8_license_scan, op9_mixing, op10_toxicity, op11_filter_audit, op12_sharding, op13_clustering]
     return {f.__name__: f for f in own}
 
 
