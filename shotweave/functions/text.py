@@ -45,13 +45,6 @@ def lexemes(s: Column) -> Column:
     return F.regexp_extract_all(fold_text(s), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def phrase_occurrences(tokens: Column, phrase: Column) -> Column:
-    """How often the words of a phrase stand next to each other in order."""
-    n = F.size(phrase)
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(n > 0, F.size(F.filter(starts, lambda i: F.slice(tokens, i, n) == phrase))).otherwise(0)
-
-
 def cover_rank(n: Column) -> Column:
     """r / (r + 1) with r = 0.1 per occurrence: 1 gives 0.0909, 2 give 0.1667."""
     return n * 0.1 / (n * 0.1 + 1)

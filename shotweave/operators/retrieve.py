@@ -11,20 +11,29 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotweave.functions.text import cover_rank, lexemes, phrase_occurrences, trigrams
+from shotweave.functions.text import lexemes, trigrams
 from shotweave.functions.vectors import binary_quantize, cosine_distance
+from shotweave.operators.codeindex import CodeIndex
 from shotweave.operators.ranking import rank_list, top_k
+from shotweave.operators.textindex import LISTED, TextIndex, adjacent, cover_score, listed, text_places, word_rows
+from shotweave.sources.scratch import stored
+
 
 def encode(vectors: DataFrame, key: str) -> DataFrame:
     """(key, model_id, code): the narrow table of phase one."""
     return vectors.select(key, "model_id", binary_quantize(F.col("embedding")).alias("code"))
 
 
-def ann_candidates(queries: DataFrame, codes: DataFrame, key: str, oversample: int) -> DataFrame:
+def ann_candidates(queries: DataFrame, codes: DataFrame, key: str, oversample: int, index: CodeIndex | None = None) -> DataFrame:
     """(query_id, model_id, key, bits): the `oversample` nearest codes of each query by Hamming distance, before any filter.
 
-    The cut loses neighbours as the table grows; `knn` lets it grow with the table, and `knn_exact` has no cut.
+    The cut loses neighbours as the table grows; `knn` lets it grow with the table, and `knn_exact` has no cut. With an index,
+    only codes that share a part with a query are read, as far as that pays.
     """
+    if index:
+        scan = lambda q, k: _scan(q.withColumnRenamed("code", "e"), index.codes.select(F.col("key").alias("k"), "model_id", F.col("code").alias("e")), k, "bits").select("query_id", "model_id", F.col("k").alias("key"), F.col("d").cast("int").alias("bits"))
+        found, _ = index.nearest(queries.select("query_id", "model_id", binary_quantize(F.col("embedding")).alias("code")), oversample, scan)
+        return found.select("query_id", "model_id", F.col("key").alias(key), "bits")
     q = queries.select("query_id", "model_id", binary_quantize(F.col("embedding")).alias("e"))
     near = _scan(q, codes.select(F.col(key).alias("k"), "model_id", F.col("code").alias("e")), oversample, "bits").withColumnRenamed("k", key)
     return top_k(near.withColumn("bits", F.col("d").cast("int")).drop("d"), ["query_id"], oversample, F.col("bits"), F.col(key)).drop("rank")
@@ -38,8 +47,9 @@ def exact_rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame,
     return rank_list(x, ["query_id"], F.col("distance"), F.col(key))
 
 
-#: So many queries are compared with all vectors in one pass; a task holds their vectors and one block of distances.
-BLOCK_QUERIES, BLOCK_PAIRS = 4096, 2_000_000
+#: So many queries, with so many exclusions in all, are compared with all vectors in one pass; a task holds their vectors and
+#: one block of distances.
+BLOCK_QUERIES, BLOCK_GONE, BLOCK_PAIRS = 4096, 4_000_000, 2_000_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -54,15 +64,52 @@ def _distances(q: np.ndarray, x: np.ndarray, kind: str) -> np.ndarray:
     return sum(np.bitwise_count(q[:, None, i] ^ x[None, :, i]).astype(np.float64) for i in range(q.shape[1]))
 
 
+class _Block:
+    """The queries of one model and width: ids, vectors, the collection each asks for, and the videos each excludes."""
+
+    def __init__(self, rows: list, kind: str) -> None:
+        self.kind, self.ids = kind, np.array([r["query_id"] for r in rows])
+        self.e = self.read(np.array([r["e"] for r in rows]))
+        gone = [(i, v) for i, r in enumerate(rows) for v in r["gone"]]
+        self.videos, code = np.unique(np.array([v for _, v in gone], dtype=str), return_inverse=True)
+        self.gone = np.array([i for i, _ in gone], dtype=np.int64), code.reshape(-1)
+        self.names, self.asked = np.unique(np.array([r["asked"] for r in rows], dtype=str), return_inverse=True)
+        self.filters = bool(gone) or any(self.names != "")
+
+    def read(self, x: np.ndarray) -> np.ndarray:
+        return _unit(x.astype(np.float64)) if self.kind == "cosine" else x.astype(np.int64)
+
+    def hidden(self, lo: int, hi: int, video: np.ndarray, collection: np.ndarray) -> np.ndarray:
+        """A bit per query of the range and vector: whether the query's filters hide it."""
+        own, at = np.unique(self._code(self.videos, video), return_inverse=True)
+        bits = np.zeros((hi - lo, len(own)), dtype=bool)
+        near = (self.gone[0] >= lo) & (self.gone[0] < hi) & np.isin(self.gone[1], own)
+        bits[self.gone[0][near] - lo, np.searchsorted(own, self.gone[1][near])] = True
+        asked = self.asked[lo:hi, None]
+        return bits[:, at.reshape(-1)] | ((self.names[asked] != "") & (asked != self._code(self.names, collection)[None, :]))
+
+    @staticmethod
+    def _code(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The place of each value among the sorted known ones, or -1."""
+        if not len(known):
+            return np.full(len(values), -1)
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        return np.where(known[at] == values, at, -1)
+
+
 def _scan(q: DataFrame, v: DataFrame, k: int, kind: str) -> DataFrame:
     """(query_id, k, model_id, d): per query and model the k nearest of each batch of rows, with all that are as near.
 
-    q: query_id, model_id, e; v: k, model_id, e. Nothing is left out: every row is compared with every query of its model,
-    the queries in blocks, so there is no shuffle of vectors and no join on the few model ids.
+    q: query_id, model_id, e, and optionally gone (excluded videos) and asked (a collection, '' for any), which hide rows before a batch's cut;
+    v: k, model_id, e, video_id and collection where a query has filters. Every row is compared with every query of its model, the
+    queries in blocks, so there is no shuffle of vectors and no join on the few model ids. Of several blocks, each is read by
+    the driver on its own, and its results are stored before the next.
     """
-    n = q.count()
-    blocks = max(1, -(-n // BLOCK_QUERIES))
-    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    for name, none in (("gone", F.array().cast("array<string>")), ("asked", F.lit(""))):
+        q = q.withColumn(name, F.coalesce(name, none) if name in q.columns else none)
+    for name in ("video_id", "collection"):
+        v = v.withColumn(name, F.coalesce(name, F.lit("")) if name in v.columns else F.lit(""))
+    v = v.select("k", "model_id", "e", "video_id", "collection")
     kinds = dict(q.dtypes)["query_id"], dict(v.dtypes)["k"], dict(v.dtypes)["model_id"]
     types = [{"int": pa.int32(), "bigint": pa.int64()}[x] for x in (kinds[0], kinds[2])]
     slack = 2e-6 if kind == "cosine" else 0.0
@@ -71,31 +118,37 @@ def _scan(q: DataFrame, v: DataFrame, k: int, kind: str) -> DataFrame:
         by: dict[tuple, list] = {}
         for r in rows:
             by.setdefault((r["model_id"], len(r["e"])), []).append(r)
-        read = (lambda x: _unit(x.astype(np.float64))) if kind == "cosine" else (lambda x: x.astype(np.int64))
-        sets = {m: (np.array([r["query_id"] for r in rs]), read(np.array([r["e"] for r in rs]))) for m, rs in by.items()}
+        sets = {m: _Block(rs, kind) for m, rs in by.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 model, size = batch.column(1).to_numpy(zero_copy_only=False), pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-                for (m, dims), (ids, qv) in sets.items():
+                for (m, dims), block in sets.items():
                     at = np.flatnonzero((model == m) & (size == dims))
                     if not len(at):
                         continue
-                    x = read(batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dims))
+                    x = block.read(batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dims))
                     good = ~np.isnan(x).any(axis=1)
                     at, x = at[good], x[good]
+                    text = [batch.column(i).take(pa.array(at)).to_numpy(zero_copy_only=False).astype(str) for i in (3, 4)] if block.filters else None
                     step = max(1, BLOCK_PAIRS // max(1, len(at)))
-                    for lo in range(0, len(ids) if len(at) else 0, step):
-                        d = _distances(qv[lo : lo + step], x, kind)
+                    for lo in range(0, len(block.ids) if len(at) else 0, step):
+                        d = _distances(block.e[lo : lo + step], x, kind)
+                        if block.filters:
+                            d[block.hidden(lo, lo + len(d), *text)] = np.inf
                         most = np.partition(d, k - 1, axis=1)[:, k - 1][:, None] + slack if k < len(at) else np.inf
-                        row, col = np.nonzero(d <= most)
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[lo + row]).cast(types[0]), batch.column(0).take(pa.array(at[col])), pa.array(np.full(len(row), m)).cast(types[1]), pa.array(d[row, col])], names=["query_id", "k", "model_id", "d"])
+                        row, col = np.nonzero((d <= most) & (d < np.inf))
+                        yield pa.RecordBatch.from_arrays([pa.array(block.ids[lo + row]).cast(types[0]), batch.column(0).take(pa.array(at[col])), pa.array(np.full(len(row), m)).cast(types[1]), pa.array(d[row, col])], names=["query_id", "k", "model_id", "d"])
 
         return run
 
     schema = f"query_id {kinds[0]}, k {kinds[1]}, model_id {kinds[2]}, d double"
-    parts = [v.mapInArrow(run_for(q.where(F.col("block") == b).collect()), schema) for b in range(blocks)]  # a block is bounded by BLOCK_QUERIES
-    return reduce(DataFrame.unionByName, parts)
+    n, gone = q.agg(F.count("*"), F.sum(F.size("gone"))).first()
+    blocks = max(1, -(-n // BLOCK_QUERIES), -(-(gone or 0) // BLOCK_GONE))
+    if blocks == 1:
+        return v.mapInArrow(run_for(q.collect()), schema)  # bounded by BLOCK_QUERIES
+    q = stored(q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+    return reduce(DataFrame.unionByName, [stored(v.mapInArrow(run_for(q.where(F.col("block") == b).collect()), schema)) for b in range(blocks)])
 
 
 def exact_candidates(queries: DataFrame, vectors: DataFrame, key: str, k: int) -> DataFrame:
@@ -103,14 +156,14 @@ def exact_candidates(queries: DataFrame, vectors: DataFrame, key: str, k: int) -
 
     Vectors of no length, and null ones, have no distance.
     """
-    wide = lambda df, name: df.select(name, "model_id", F.transform("embedding", lambda x: x.cast("double")).alias("e")).where("e is not null")
+    wide = lambda df, own: df.select(*[c for c in (own, "model_id", "gone", "asked", "video_id", "collection") if c in df.columns], F.transform("embedding", lambda x: x.cast("double")).alias("e")).where("e is not null")
     return _scan(wide(queries, "query_id"), wide(vectors, key).withColumnRenamed(key, "k"), k, "cosine").withColumnRenamed("k", key)
 
 
 def knn_exact(queries: DataFrame, vectors: DataFrame, key: str, k: int) -> DataFrame:
     """(query_id, key, distance, rank): the k nearest of all vectors by cosine distance, then key; no candidate cut."""
-    near = top_k(exact_candidates(queries, vectors, key, k), ["query_id"], k, F.round("d", 6), F.col(key)).drop("rank", "d")
-    return exact_rerank(near, queries, vectors, key)
+    near = exact_candidates(queries, vectors, key, k).select("query_id", key, F.round("d", 6).alias("distance"))
+    return top_k(near, ["query_id"], k, F.col("distance"), F.col(key))
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, key: str, k: int, oversample: int | None) -> DataFrame:
@@ -143,10 +196,23 @@ def resolve_scenes(ranked: DataFrame, keyframes: DataFrame, videos: DataFrame, l
     return top_k(x.withColumnRenamed("rank", "r"), ["query_id"], limit, F.col("r"), F.col("keyframe_id")).select("query_id", "rank", "scene_id", "keyframe_id")
 
 
+#: Intervals of a video are joined inside bins of this length.
+BIN_MS = 60_000
+
+
 def segment_scenes(segments: DataFrame, scenes: DataFrame) -> DataFrame:
-    """Interval overlap on the same video, both bounds strict."""
+    """Interval overlap on the same video, both bounds strict.
+
+    Both sides stand in every time bin that they touch, and a pair counts in the bin of its later start, so a long video is
+    many keys and a pair is found once.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / F.lit(BIN_MS)), F.floor(F.greatest(a, b) / F.lit(BIN_MS))))
     s = scenes.select("scene_id", F.col("video_id").alias("v"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b"))
-    return segments.join(s, (F.col("video_id") == F.col("v")) & (F.col("start_ms") < F.col("b")) & (F.col("end_ms") > F.col("a"))).drop("v", "a", "b")
+    s = s.withColumn("bin_", bins(F.col("a"), F.col("b")))
+    own = segments.withColumn("bin", bins(F.col("start_ms"), F.col("end_ms")))
+    later = F.floor(F.greatest("start_ms", "a") / F.lit(BIN_MS))
+    overlap = (F.col("start_ms") < F.col("b")) & (F.col("end_ms") > F.col("a")) & (later == F.col("bin"))
+    return own.join(s, (F.col("video_id") == F.col("v")) & (F.col("bin") == F.col("bin_")) & overlap).drop("v", "a", "b", "bin", "bin_")
 
 
 def expand_to_keyframes(scene_rank: DataFrame, keyframes: DataFrame, limit: int) -> DataFrame:
@@ -161,31 +227,23 @@ def first_hit_per_scene(hits: DataFrame, limit: int) -> DataFrame:
     return top_k(x, ["query_id"], limit, F.col("first"), F.col("scene_id")).select("query_id", "rank", "scene_id")
 
 
-def _filtered(queries: DataFrame, vectors: DataFrame, t: dict[str, DataFrame], depth: int, oversample: int | None, **filters) -> DataFrame:
-    """Keyframes by vector; an exact search takes as many more as a query's filters can remove."""
-    k = depth
-    if oversample is None:
+def _filtered(queries: DataFrame, vectors: DataFrame, t: dict, depth: int, oversample: int | None, **filters) -> DataFrame:
+    """Keyframes by vector. In an exact search the filters travel with the queries and hide vectors before any cut."""
+    if oversample is not None:
+        return resolve_scenes(nearest(queries, vectors, "keyframe_id", depth, oversample), t["keyframes"], t["videos"], depth, **filters)
+    collection, exclude, wanted = (filters.get(x) for x in ("collection", "exclude", "wanted"))
+    if (collection or "").strip() or exclude is not None or wanted is not None:
         own = t["keyframes"].select("keyframe_id", "video_id")
-        if (filters.get("collection") or "").strip():
-            vectors = vectors.join(allowed(own, t["videos"], filters["collection"]).select("keyframe_id"), "keyframe_id", "left_semi")
-        if filters.get("exclude") is not None:
-            gone = filters["exclude"].select("query_id", "video_id").distinct().join(own.groupBy("video_id").agg(F.count("*").alias("n")), "video_id").groupBy("query_id").agg(F.sum("n").alias("n"))
-            k += gone.agg(F.max("n")).first()[0] or 0
-        if filters.get("wanted") is not None:  # a query of one collection searches that collection's vectors only
-            return _by_collection(queries, vectors, t, depth, k, **filters)
-    return resolve_scenes(nearest(queries, vectors, "keyframe_id", k, oversample), t["keyframes"], t["videos"], depth, **filters)
-
-
-def _by_collection(queries: DataFrame, vectors: DataFrame, t: dict[str, DataFrame], depth: int, k: int, wanted: DataFrame, **filters) -> DataFrame:
-    """The exact search with model and collection as the scan's key, once for all videos and once for single collections."""
-    asked = queries.join(wanted.select("query_id", F.upper(F.trim("collection")).alias("asked")).where("asked <> ''"), "query_id", "left")
-    every = knn_exact(asked.where("asked is null"), vectors, "keyframe_id", k)
-    number = lambda model, name: F.hash(model, name)  # noqa: E731  equal for equal pairs; a rare clash is removed by `allowed`
-    held = vectors.join(t["keyframes"].select("keyframe_id", "video_id"), "keyframe_id").join(t["videos"].select("video_id", "collection"), "video_id")
-    held = held.select("keyframe_id", number(F.col("model_id"), F.col("collection")).alias("model_id"), "embedding")
-    own = asked.where("asked is not null").withColumn("model_id", number(F.col("model_id"), F.col("asked")))
-    ranked = every.unionByName(knn_exact(own, held, "keyframe_id", k))
-    return resolve_scenes(ranked, t["keyframes"], t["videos"], depth, wanted=wanted, **filters)
+        if (collection or "").strip():
+            own = allowed(own, t["videos"], collection)
+        vectors = vectors.join(own, "keyframe_id")
+    if exclude is not None:
+        gone = exclude.groupBy("query_id").agg(F.collect_set("video_id").alias("gone"))
+        queries = queries.join(gone, "query_id", "left")
+    if wanted is not None:
+        vectors = vectors.join(t["videos"].select("video_id", "collection"), "video_id")
+        queries = queries.join(wanted.select("query_id", F.upper(F.trim("collection")).alias("asked")), "query_id", "left")
+    return resolve_scenes(knn_exact(queries, vectors, "keyframe_id", depth), t["keyframes"], t["videos"], depth)
 
 
 def retrieve_visual(queries: DataFrame, t: dict[str, DataFrame], depth: int = 200, oversample: int | None = None, **filters) -> DataFrame:
@@ -206,61 +264,89 @@ def retrieve_transcript(queries: DataFrame, t: dict[str, DataFrame], depth: int
     return expand_to_keyframes(first_hit_per_scene(hits, depth), t["keyframes"], depth)
 
 
-def token_hits(queries: DataFrame, texts: DataFrame, text: str, key: str, phrase: bool = False, floor: float = 0.01) -> DataFrame:
+def token_hits(queries: DataFrame, texts: DataFrame, text: str, key: str, phrase: bool = False, floor: float = 0.01, index: TextIndex | None = None) -> DataFrame:
     """(tokens, key, score): OR of each distinct token list, or the adjacent phrase.
 
-    Texts meet queries by equal tokens only: a text's tokens are its postings, and a phrase is looked for in the texts that
-    hold its first word. Spark picks the join by the measured size of the queries.
+    With an index, the postings of the searched tokens are read. Without one, a text gives rows for searched tokens only; phrases
+    are found by a positional join in either case.
     """
-    q = queries.select("tokens").distinct()
-    t = texts.select(key, lexemes(F.col(text)).alias("lex"))
-    if phrase:
-        x = t.select(key, "lex", F.explode(F.array_distinct("lex")).alias("token")).join(q.withColumn("token", F.get("tokens", F.lit(0))), "token")
-        n = x.select("tokens", key, phrase_occurrences(F.col("lex"), F.col("tokens")).alias("n")).where("n > 0")
+    lists = queries.select("tokens").distinct()
+    if phrase and index:
+        n = index.phrases(lists)
+    elif phrase:
+        words = word_rows(lists)
+        places = text_places(texts, text, key, words)
+        n = adjacent(places, words, places.groupBy("token").agg(F.count("*").alias("n")))
     else:
-        words = q.select("tokens", F.explode(F.array_distinct("tokens")).alias("token"))
-        n = t.select(key, F.explode("lex").alias("token")).join(words, "token").groupBy("tokens", key).agg(F.count("*").alias("n"))
-    return n.select("tokens", key, F.round(cover_rank(F.col("n")), 6).alias("score")).where(F.col("score") >= floor)
+        words = stored(lists.select("tokens", F.explode(F.array_distinct("tokens")).alias("token")))
+        tokens = listed(words)
+        if index:
+            rows = index.postings(tokens).select("token", "key", "n")
+        else:
+            found = lexemes(F.col(text))
+            found = F.filter(found, lambda x: x.isin(tokens)) if tokens is not None else found
+            rows = texts.select(F.col(key).alias("key"), F.explode(found).alias("token"), F.lit(1).alias("n"))
+        near = F.broadcast(words) if tokens is not None and words.limit(LISTED + 1).count() <= LISTED else words.hint("merge")
+        n = rows.join(near, "token").groupBy("tokens", "key").agg(F.sum("n").alias("n"))
+    return n.select("tokens", F.col("key").alias(key), cover_score(F.col("n")).alias("score")).where(F.col("score") >= floor)
+
+
+#: Different grams beyond this number are ordered by a hash instead of by their frequency, which is as right, but slower.
+MOST_GRAMS = 2_000_000
 
 
 def similar_texts(queries: DataFrame, texts: DataFrame, text: str, key: str, least: float) -> DataFrame:
-    """(phrase, key, score): texts whose trigrams are similar to those of each distinct phrase, by trigram postings.
+    """(phrase, key, score): texts whose trigrams are similar to those of each distinct phrase, by a prefix-filtered set join.
 
-    Sets of n and m trigrams can only reach `least` if each is at least that share of the other, so texts that are too long
-    or short for all phrases end before their trigrams become rows.
+    Sets of n and m grams reach a Jaccard similarity of `least` only if each is that share of the other, and then they have
+    at least `least` / (1 + `least`) * (n + m) grams in common. With grams in one order, the rarest first, they share one among the
+    first n - ceil(least * n) + 1 and m - ceil(least * m) + 1. Only those are joined, so a frequent gram is no key while a set has rare
+    ones; a pair's places bound what can still be common, and only pairs that pass are compared.
     """
-    p = queries.select("phrase").distinct().select("phrase", trigrams(F.col("phrase")).alias("g")).select("phrase", F.size("g").alias("m"), F.explode("g").alias("gram"))
+    low_bound = least - 1e-6  # scores are rounded
+    p = stored(queries.select("phrase").distinct().select("phrase", trigrams(F.col("phrase")).alias("g")).where(F.size("g") > 0).withColumn("m", F.size("g")))
     low, high = p.agg(F.min("m"), F.max("m")).first()  # two numbers
-    sized = texts.select(key, trigrams(F.col(text)).alias("g")).where(F.size("g").between((low or 0) * least - 1e-6, (high or 0) / least + 1e-6))
-    t = sized.select(key, F.size("g").alias("n"), F.explode("g").alias("gram"))
-    near = (F.col("n") >= F.col("m") * least - 1e-6) & (F.col("m") >= F.col("n") * least - 1e-6)
-    both = t.join(p, "gram").where(near).groupBy("phrase", key, "n", "m").agg(F.count("*").alias("both"))
-    return both.select("phrase", key, F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("score")).where(F.col("score") >= least)
-
-
-def lexical_hits(queries: DataFrame, texts: DataFrame, text: str, key: str, phrase: bool = False, floor: float = 0.01) -> DataFrame:
+    sized = texts.select(F.col(key).alias("key"), trigrams(F.col(text)).alias("g")).withColumn("n", F.size("g"))
+    sized = stored(sized.where(F.col("n").between((low or 0) * low_bound, (high or 0) / low_bound)).where("n > 0"))
+    frequency = stored(sized.select(F.explode("g").alias("gram")).groupBy("gram").agg(F.count("*").alias("f")))
+    by_rarity = frequency.count() <= MOST_GRAMS
+
+    def prefix(df: DataFrame, own: str, size: str, place: str) -> DataFrame:
+        grams = df.select(own, size, F.explode("g").alias("gram"))
+        grams = grams.join(F.broadcast(frequency), "gram", "left").withColumn("f", F.coalesce("f", F.lit(0))) if by_rarity else grams.withColumn("f", F.xxhash64("gram"))
+        ordered = grams.groupBy(own, size).agg(F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("o"))  # a set of one text
+        first = F.slice("o", F.lit(1), (F.col(size) - F.ceil(F.col(size) * low_bound) + 1).cast("int"))
+        return ordered.select(own, size, F.posexplode(F.transform(first, lambda x: x["gram"])).alias(place, "gram"))
+
+    near = (F.col("n") >= F.col("m") * low_bound) & (F.col("m") >= F.col("n") * low_bound)
+    common = F.ceil((F.col("n") + F.col("m")) * (low_bound / (1 + low_bound)) - 1e-9)
+    open_ = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= common  # for the first common gram of a pair, this holds
+    pairs = prefix(sized, "key", "n", "i").join(prefix(p, "phrase", "m", "j"), "gram").where(near & open_)
+    pairs = pairs.select("phrase", "key").distinct()
+    both = pairs.join(sized, "key").join(p.select("phrase", F.col("g").alias("h"), "m"), "phrase").withColumn("both", F.size(F.array_intersect("g", "h")))
+    return both.select("phrase", F.col("key").alias(key), F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("score")).where(F.col("score") >= least)
+
+
+def lexical_hits(queries: DataFrame, texts: DataFrame, text: str, key: str, phrase: bool = False, floor: float = 0.01, index: TextIndex | None = None) -> DataFrame:
     """(query_id, key, score): the hits of each query's tokens."""
-    return token_hits(queries, texts, text, key, phrase, floor).join(queries.select("query_id", "tokens"), "tokens").select("query_id", key, "score")
+    return token_hits(queries, texts, text, key, phrase, floor, index).join(queries.select("query_id", "tokens"), "tokens").select("query_id", key, "score")
 
 
-def postings(texts: DataFrame, text: str, key: str) -> DataFrame:
-    """(token, key, positions): the inverted list as a table, to be written bucketed by token."""
-    return texts.select(key, F.posexplode(lexemes(F.col(text))).alias("pos", "token")).groupBy("token", key).agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+def _best_texts(queries: DataFrame, t: dict, depth: int, phrase: bool = False, floor: float = 0.01, **filters) -> DataFrame:
+    """The best `depth` texts of each query; queries with equal tokens and no filters of their own share one ranked list.
 
-
-def lexical_hits_indexed(queries: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    """The OR search as an equi-join with the postings: only lists of query tokens are read."""
-    q = queries.select("query_id", F.explode("tokens").alias("token"))
-    n = index.join(q, "token").groupBy("query_id", key).agg(F.sum(F.size("positions")).alias("n"))
-    return n.select("query_id", key, F.round(cover_rank(F.col("n")), 6).alias("score"))
-
-
-def _best_texts(queries: DataFrame, t: dict[str, DataFrame], depth: int, phrase: bool = False, floor: float = 0.01, **filters) -> DataFrame:
-    """The best `depth` texts of each query; queries with equal tokens and no exclusions of their own share one ranked list."""
-    shared = filters.get("exclude") is None
-    find, by = (token_hits, "tokens") if shared else (lexical_hits, "query_id")
-    hits = allowed(find(queries, t["keyframe_text"], "ocr_text", "keyframe_id", phrase=phrase, floor=floor).join(t["keyframes"], "keyframe_id"), t["videos"], **filters)
-    best = top_k(hits, [by], depth, F.col("score").desc(), F.col("keyframe_id"))
+    With `keyframe_text_index` in the tables, a search for words reads the postings that can still enter the list.
+    """
+    shared, index = filters.get("exclude") is None and filters.get("wanted") is None, t.get("keyframe_text_index")
+    by = "tokens" if shared else "query_id"
+    keep = lambda x: allowed(x.join(t["keyframes"], "keyframe_id"), t["videos"], **filters)
+    if index and not phrase:
+        words = queries.select(by, F.explode("tokens").alias("token"))
+        best = index.top(words, by, depth, lambda x: keep(x.withColumn("keyframe_id", F.col("key"))), floor).drop("key")
+    else:
+        find = token_hits if shared else lexical_hits
+        hits = keep(find(queries, t["keyframe_text"], "ocr_text", "keyframe_id", phrase=phrase, floor=floor, index=index))
+        best = top_k(hits, [by], depth, F.col("score").desc(), F.col("keyframe_id"))
     return best.join(queries.select("query_id", "tokens"), "tokens") if shared else best
 
 
@@ -286,7 +372,7 @@ def best_segment_per_scene(hits: DataFrame, depth: int) -> DataFrame:
 
 
 def retrieve_asr_phrase(queries: DataFrame, t: dict[str, DataFrame], depth: int = 200, **filters) -> DataFrame:
-    hits = lexical_hits(queries, t["transcript_segment"], "text", "segment_id", phrase=True, floor=0.0).join(t["transcript_segment"].drop("text"), "segment_id")
+    hits = lexical_hits(queries, t["transcript_segment"], "text", "segment_id", phrase=True, floor=0.0, index=t.get("transcript_segment_index")).join(t["transcript_segment"].drop("text"), "segment_id")
     hits = allowed(segment_scenes(hits, t["scenes"]), t["videos"], **filters)
     return expand_to_keyframes(best_segment_per_scene(hits, depth), t["keyframes"], depth)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shotweave.operators.textindex import TextIndex, index_name
 from shotweave.sources.corpus import read
+from shotweave.sources.scratch import shared_dir
 
 #: Keyframes of pages, which are not processed yet, have ids from here on.
 PAGES = 1_000_000
@@ -58,3 +60,22 @@ def derived_corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "job_events": events.select(_vid(F.col("user_id")).alias("video_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", pick(stages).alias("stage")),
         "query_vectors": emb.where(v % 20 == 0).select(v.cast("int").alias("query_id"), F.lit(1).alias("model_id"), "embedding"),
     }
+
+
+_INDEXES: dict[str, TextIndex] = {}
+
+
+def searchable(spark: SparkSession, sf_dir: str, speech: bool = False) -> dict:
+    """The corpus with the stored index of its recognised texts and, if asked for, that of its speech.
+
+    A session builds the index of a directory once, as long as the directory's files stay the same.
+    """
+    t = derived_corpus(spark, sf_dir)
+    for name, key, text, source in [("keyframe_text", "keyframe_id", "ocr_text", "documents"), ("transcript_segment", "segment_id", "text", "conversations")][: 1 + speech]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")
+        changed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+        own = index_name(spark.sparkContext.applicationId, sf_dir, name, str(changed))
+        if own not in _INDEXES:
+            _INDEXES[own] = TextIndex(spark, f"{shared_dir(spark)}/{own}").append(t[name], key, text)
+        t[f"{name}_index"] = _INDEXES[own]
+    return t

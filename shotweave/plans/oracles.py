@@ -196,7 +196,8 @@ _BODIES = {
     "retrieve_asr_phrase": PHRASE + """, scored as (select query_id, scene_id, max(score) score from phrases p join scenes s on s.video_id = p.video_id and s.start_ms < p.end_ms and s.end_ms > p.start_ms group by all),
 places as (select query_id, scene_id, row_number() over (partition by query_id order by score desc, scene_id) place from scored qualify place <= 50)""" + expand("found", "places", 50) + "select query_id, rank, scene_id, keyframe_id from found",
     "trigram_pairs": f"select keyframe_id, round({SIMILAR('ocr_text', "'of the and in that this'")}, 6) sim from keyframe_text",
-    "similar_transcripts": ASKED + f", said as (select segment_id, {GRAMS('text')} g from transcript_segment), p as (select query_id, {GRAMS("'can you explain ' || words[1]")} h from query_vectors join asked on query_id % 3 = k), both_ as (select distinct h from p), m as (select segment_id, h, round(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) score from said, both_) select distinct 'can you explain ' || words[1] phrase, segment_id, score from m join p using (h) join asked on query_id % 3 = k where score >= 0.2",
+    "similar_transcripts": f""", s as (select segment_id, {GRAMS('text')} g from transcript_segment), q as (select segment_id query_id, g h from s where segment_id % 20 = 0)
+select query_id, segment_id, round(len(list_intersect(g, h)) / len(list_distinct(list_concat(g, h))), 6) score from s, q where len(g) > 0 and len(h) > 0 and score >= 0.45""",
     "retrieve_ocr_phrase": f""", elex as (select keyframe_id, ocr_text, {LEX} w from keyframe_text),
 said(k, a) as (values (0, 'of'), (1, 'in'), (2, 'in')),
 en as (select *, len(list_filter(range(1, len(w)), lambda i: w[i] = a and w[i + 1] = 'the')) n from elex, said),
@@ -274,6 +275,7 @@ select query_id, stage, case stage when 0 then 'text:"open" the' else 'said:"no
     "keyframe_index": "select keyframe_id, cast(row_number() over (partition by scene_id order by ts_ms, keyframe_id) - 1 as integer) index from keyframes",
     "purge_eligible": "select video_id, exists (select 1 from scenes s where s.video_id = v.video_id) and not exists (select 1 from scenes s where s.video_id = v.video_id and not exists (select 1 from embedded k where k.scene_id = s.scene_id)) candidates, not has_audio or exists (select 1 from transcript_segment t where t.video_id = v.video_id) audio from videos v",
     "knn_hamming": near("", "keyframe_embedding", "keyframe_id", 1000) + "select query_id, keyframe_id, bits from cand",
+    "knn_codes": near("", "keyframe_embedding", "keyframe_id", 20) + "select query_id, keyframe_id, bits from cand",
     "knn_rerank": near("", "keyframe_embedding", "keyframe_id", 1000) + "select * from knn",
     "retrieve_ocr": OCR + "select query_id, rank, scene_id, keyframe_id from ocr where rank <= 50",
     "search_two_signal": FUSED + "select * from fused",

@@ -17,11 +17,12 @@ from shotweave.operators import retrieve as R
 from shotweave.operators import routing as T
 from shotweave.operators import rules as U
 from shotweave.operators import sessions as S
+from shotweave.operators.codeindex import CodeIndex
 from shotweave.operators.encode import embed_texts, hash_encoder
 from shotweave.operators.querylog import parse_log
 from shotweave.operators.ranking import merge_signal_labels, page, rank_list, rrf_fuse
 from shotweave.operators.search import enrich, filmstrip, link_chains, link_rows, search
-from shotweave.plans.fixtures import derived_corpus
+from shotweave.plans.fixtures import derived_corpus, searchable
 from shotweave.plans.oracles import ORACLES
 from shotweave.sources import corpus as C
 from shotweave.sources.scratch import stored
@@ -243,6 +244,15 @@ def knn_hamming(spark, d):
     return R.ann_candidates(t["query_vectors"], R.encode(t["keyframe_embedding"], "keyframe_id"), "keyframe_id", 1000).select("query_id", "keyframe_id", F.col("bits").cast("bigint").alias("bits"))
 
 
+@query
+def knn_codes(spark, d):
+    """The 20 nearest sign codes by the stored index of their parts."""
+    t = derived_corpus(spark, d)
+    codes = R.encode(t["keyframe_embedding"], "keyframe_id")
+    index = CodeIndex.build(spark, codes, "keyframe_id", words=2)
+    return R.ann_candidates(t["query_vectors"], codes, "keyframe_id", 20, index).select("query_id", "keyframe_id", F.col("bits").cast("bigint").alias("bits"))
+
+
 @query
 def knn_rerank(spark, d):
     t = derived_corpus(spark, d)
@@ -270,33 +280,33 @@ def retrieve_transcript(spark, d):
 
 @query
 def retrieve_ocr(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     return R.retrieve_ocr(request(t), t, 50)
 
 
 @query
 def retrieve_ocr_indexed(spark, d):
-    t = derived_corpus(spark, d)
-    return R.lexical_hits_indexed(request(t), R.postings(t["keyframe_text"], "ocr_text", "keyframe_id"), "keyframe_id")
+    t = searchable(spark, d)
+    return R.lexical_hits(request(t), t["keyframe_text"], "ocr_text", "keyframe_id", index=t["keyframe_text_index"])
 
 
 @query
 def phrase_in_transcripts(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d, speech=True)
     q = phrased(t)
-    return R.lexical_hits(q, t["transcript_segment"], "text", "segment_id", phrase=True, floor=0.0)
+    return R.lexical_hits(q, t["transcript_segment"], "text", "segment_id", phrase=True, floor=0.0, index=t["transcript_segment_index"])
 
 
 @query
 def retrieve_asr_phrase(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d, speech=True)
     q = phrased(t)
     return R.retrieve_asr_phrase(q, t, 50)
 
 
 @query
 def retrieve_ocr_phrase(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     q = phrased(t).withColumn("phrase", F.concat(F.get("tokens", F.lit(0)), F.lit(" the and in that this")))
     return R.retrieve_ocr_phrase(q, t, 50)
 
@@ -309,10 +319,10 @@ def trigram_pairs(spark, d):
 
 @query
 def similar_transcripts(spark, d):
-    """What is said like the first words of each query's list, by trigram postings."""
-    t = derived_corpus(spark, d)
-    q = request(t).withColumn("phrase", F.concat(F.lit("can you explain "), F.get("tokens", F.lit(0))))
-    return R.similar_texts(q, t["transcript_segment"], "text", "segment_id", 0.2)
+    """What is said like each segment whose number is divisible by 20, itself included."""
+    said = derived_corpus(spark, d)["transcript_segment"]
+    q = said.where("segment_id % 20 = 0").select(F.col("segment_id").alias("query_id"), F.col("text").alias("phrase"))
+    return R.similar_texts(q, said, "text", "segment_id", 0.45).join(q, "phrase").select("query_id", "segment_id", "score")
 
 
 @query
@@ -323,32 +333,32 @@ def similar_keyframes(spark, d):
 
 @query
 def search_two_signal(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     return flat(search(request(t), t, ["visual", "ocr"], depth=200))
 
 
 @query
 def search_full(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     return flat(search(request(t), t, ["visual", "ocr", "caption", "transcript"], depth=200))
 
 
 @query
 def search_enriched(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     x = enrich(search(request(t), t, ["visual", "ocr"], depth=200), t)
     return x.select("query_id", "rank", "keyframe_id", "scene_id", "video_id", "shot_index", "start_ms", "ts_ms", "score", F.size("keyframes").alias("strip"))
 
 
 @query
 def search_page(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     return page(flat(search(request(t), t, ["visual", "ocr"], depth=200)), 2, 10).drop("scene_id")
 
 
 @query
 def signal_labels(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     x = merge_signal_labels(search(request(t), t, ["visual", "ocr", "caption", "transcript"], depth=200))
     return x.withColumn("share", F.round("share", 6))
 
@@ -361,14 +371,14 @@ def stage_hits(t: dict[str, DataFrame], n: int) -> DataFrame:
 
 @query
 def link_two_stages(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     x = link_chains(stage_hits(t, 2), [9000], per_video=3)
     return x.select("query_id", "video_id", "keyframe_id", F.round("reached", 6).alias("score"), F.get("path.keyframe_id", F.lit(1)).alias("second"), F.get("gaps_ms", F.lit(0)).alias("gap"))
 
 
 @query
 def link_three_stages(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     x = link_chains(stage_hits(t, 3), [9000, 12000], limit=200, per_video=3)
     return x.select("query_id", "video_id", "keyframe_id", "rank", F.round("reached", 6).alias("score"), F.array_join(F.transform("path", lambda p: p["keyframe_id"].cast("string")), ",").alias("path"))
 
@@ -389,14 +399,14 @@ def recall_at_20(spark, d):
 
 @query
 def first_frame_share(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     return B.first_frame_share(search(request(t), t, ["visual", "ocr"], depth=200), t["keyframes"])
 
 
 @query
 def score_range(spark, d):
-    t = derived_corpus(spark, d)
-    ocr = R.lexical_hits(request(t), t["keyframe_text"], "ocr_text", "keyframe_id")
+    t = searchable(spark, d)
+    ocr = R.lexical_hits(request(t), t["keyframe_text"], "ocr_text", "keyframe_id", index=t["keyframe_text_index"])
     ocr = rank_list(ocr, ["query_id"], F.col("score").desc(), F.col("keyframe_id")).withColumn("retriever", F.lit("ocr"))
     return B.score_range(ocr)
 
@@ -418,7 +428,7 @@ def session_snapshots(spark, d):
 
 @query
 def hide_held(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     held = S.held_scenes(S.session_records(t["submissions"]))
     return S.hide_held(R.retrieve_ocr(request(t), t, 50), held, 3).drop("rank")
 
@@ -626,7 +636,7 @@ def permitted_retrievers(spark, d):
 
 @query
 def search_gated(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     q = request(t)
     ranked = R.retrieve_visual(q, t).withColumn("retriever", F.lit("visual")).unionByName(R.retrieve_ocr(q, t).withColumn("retriever", F.lit("ocr")))
     return flat(rrf_fuse(U.gate(ranked, U.gate_sources(sourced(t))), {"ocr": 4.0}, limit=48))
@@ -649,7 +659,7 @@ def models_with_rows(spark, d):
 @query
 def stage_summary(spark, d):
     """Stages and exclusions of a query log, with hits and chains of the stages of a linked search."""
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     log = t["query_vectors"].select("query_id", F.lit('the text:"open" >> (9) der said:"no way"').alias("raw"))
     hits = stage_hits(t, 2)
     return T.temporal_summary(parse_log(log)[0], hits, link_chains(hits, [9000], per_video=3))
@@ -657,7 +667,7 @@ def stage_summary(spark, d):
 
 @query
 def used_signals(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     q = request(t)
     return T.signals_used(R.retrieve_visual(q, t, 50).withColumn("retriever", F.lit("visual")).unionByName(R.retrieve_ocr(q, t, 50).withColumn("retriever", F.lit("ocr"))).withColumn("stage", F.col("query_id") % 2))
 
@@ -682,14 +692,14 @@ def session_list(spark, d):
 
 @query
 def chains_enriched(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     x = T.enrich_chains(link_chains(stage_hits(t, 2), [9000], limit=100, per_video=3), t)
     return x.select("query_id", "rank", F.round("score", 6).alias("score"), F.array_join(F.transform("scenes", lambda s: F.concat_ws("/", s["video_id"], s["shot_index"].cast("string"), s["keyframe_id"].cast("string"))), ",").alias("scenes"))
 
 
 @query
 def already_submitted(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     log = t["submissions"].where("status = 'CORRECT'").select("video_id", (F.col("scene_id") * 4 + F.col("event_id") % 4).alias("keyframe_id"))
     found = R.retrieve_ocr(request(t), t, 50).join(t["keyframes"].select("keyframe_id", "video_id"), "keyframe_id")
     return T.already_submitted(found, log).select("query_id", "keyframe_id", "submitted")
@@ -697,7 +707,7 @@ def already_submitted(spark, d):
 
 @query
 def stability(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d)
     run = lambda names: flat(search(request(t), t, names))  # noqa: E731  with another signal, to see what changes
     return T.stability_check(stored(run(["visual", "ocr"])), stored(run(["visual"])))
 

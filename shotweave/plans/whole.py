@@ -1,7 +1,4 @@
-"""Searches of a query log as requests ask for them, and the names under which whole-corpus queries were registered before.
-
-All queries run on the whole corpus; `whole_X` is X.
-"""
+"""Searches of a query log as requests ask for them, and chains of searched sequences."""
 
 from __future__ import annotations
 
@@ -14,17 +11,11 @@ from shotweave.operators.retrieve import knn_exact
 from shotweave.operators.routing import enrich_chains
 from shotweave.operators.search import prepared_stages, search_log, search_sequence
 from shotweave.plans import registry
-from shotweave.plans.fixtures import derived_corpus
-from shotweave.plans.oracles import ALL, GRAMS, ORACLES, VIEWS, near
+from shotweave.plans.fixtures import derived_corpus, searchable
+from shotweave.plans.oracles import ALL, GRAMS, VIEWS, near
 from shotweave.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
-NAMES = """
-retrieve_ocr retrieve_ocr_indexed retrieve_ocr_phrase retrieve_caption retrieve_visual retrieve_transcript similar_keyframes
-search_two_signal search_full search_enriched search_page lexeme_counts recognised_text caption_vectors query_words query_stages
-keyframe_index selection_report scene_counts video_cover videos_complete decode_worklist select_worklist keyframe_fallbacks
-enqueue_manifest
-""".split()
 
 
 def query(f: Query) -> Query:
@@ -64,7 +55,7 @@ def log_of(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def searched(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d, speech=True)
     models = spark.read.parquet(f"{d}/region.parquet").where("r_regionkey = 1").select(F.col("r_regionkey").cast("int").alias("model_id"), F.lit("base").alias("name"))
     return t, (log_of(t), t, embed, models, "MVK:base", "base")
 
@@ -106,21 +97,19 @@ def sequences(t: dict[str, DataFrame]) -> DataFrame:
 
 @query
 def whole_link_sequences(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d, speech=True)
     x = search_sequence(sequences(t), t, chains=200)
     return x.select("query_id", "video_id", "keyframe_id", "rank", F.round("reached", 6).alias("score"), F.array_join(F.transform("path", lambda p: p["keyframe_id"].cast("string")), ",").alias("path"))
 
 
 @query
 def whole_chains_enriched(spark, d):
-    t = derived_corpus(spark, d)
+    t = searchable(spark, d, speech=True)
     x = enrich_chains(search_sequence(sequences(t), t, chains=100), t)
     return x.select("query_id", "rank", F.round("score", 6).alias("score"), F.array_join(F.transform("scenes", lambda s: F.concat_ws("/", s["video_id"], s["shot_index"].cast("string"), s["keyframe_id"].cast("string"))), ",").alias("scenes"))
 
 
-QUERIES |= {f"whole_{n}": registry.QUERIES[n] for n in NAMES}
-
-WHOLE_ORACLES = {f"whole_{n}": ORACLES[n] for n in NAMES if n in ORACLES} | {
+WHOLE_ORACLES = {
     "whole_knn": VIEWS + near("", "keyframe_embedding", "keyframe_id", ALL) + "select * from knn where rank <= 200",
     "whole_trigram_pairs": VIEWS + f""", g as (select keyframe_id, {GRAMS('ocr_text')} g from keyframe_text)
 select a.keyframe_id, round(coalesce(len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 0), 6) sim from g a join g b on b.keyframe_id = a.keyframe_id + 1""",

@@ -66,11 +66,11 @@ def test_query_log_takes_long_strings(spark):
 
 
 def test_whole_queries_read_every_row(spark):
-    d, q = "/root/testdata/sf0.001", whole.QUERIES
+    d, q = "/root/testdata/sf0.001", registry.QUERIES
     t = derived_corpus(spark, d)
-    assert q["whole_query_words"](spark, d).count() == t["transcript_segment"].count()
-    assert q["whole_keyframe_index"](spark, d).count() == t["keyframes"].count()
-    assert q["whole_query_stages"](spark, d).select("query_id").distinct().count() == t["transcript_segment"].count()
+    assert q["query_words"](spark, d).count() == t["transcript_segment"].count()
+    assert q["keyframe_index"](spark, d).count() == t["keyframes"].count()
+    assert q["query_stages"](spark, d).select("query_id").distinct().count() == t["transcript_segment"].count()
     assert registry.QUERIES["scene_counts"](spark, d).agg(F.sum("scenes")).first()[0] == registry.embedded(t).select("scene_id").distinct().count()
 
 
