@@ -6,9 +6,10 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotweave.operators.ordered import with_previous
 from shotweave.operators.ranking import rank_list, top_k
 from shotweave.sources.corpus import STAGES
 
@@ -207,10 +208,14 @@ def keyframe_index(selected: DataFrame) -> DataFrame:
     return rank_list(selected, ["scene_id"], F.col("ts_ms"), F.col("keyframe_id")).withColumn("index", F.col("rank") - 1).drop("rank")
 
 
+#: Shots of a video that one task compares.
+SHOT_RANGE = 100_000
+
+
 def overlap_warnings(scenes: DataFrame) -> DataFrame:
-    """Shots that start before the previous one ends."""
-    before = F.lag("end_ms").over(Window.partitionBy("video_id").orderBy("shot_index"))
-    return scenes.withColumn("before", before).where("start_ms < before")
+    """Shots that start before the previous one ends; shots are compared in ranges of their index."""
+    place = F.floor(F.col("shot_index") / SHOT_RANGE)
+    return with_previous(scenes, ["video_id"], place, ["shot_index"], F.col("end_ms"), "before").where("start_ms < before")
 
 
 def query_history(log: DataFrame, n: int = 10) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotweave.functions.text import lexemes
@@ -60,12 +60,45 @@ def enrich(fused: DataFrame, t: dict[str, DataFrame]) -> DataFrame:
     return x.withColumn("score", F.round("score", 6))
 
 
+def best_successors(hits: DataFrame, then: DataFrame, gap: int | Column) -> DataFrame:
+    """`hits` with the best row of `then` (query_id, video_id, scene_id, keyframe_id, ts_ms, reached, path) as a struct `next`.
+
+    A successor lies in the same video and another scene, later by less than the gap; the best has the highest rounded score,
+    then the earliest time, then the smallest keyframe. Time is cut into bins as long as the gap: a successor is in the hit's
+    bin after it, or in the next one before the hit's time plus the gap, so both are running maxima in the order of time. To
+    leave the hit's own scene out, the best two of different scenes run along: whatever the running best displaces or outdoes is a loser,
+    and the best loser of another scene than the winner's is the second.
+    """
+    keys = ["query_id", "video_id"]
+    if not isinstance(gap, int):
+        then = then.join(hits.groupBy("query_id").agg(F.max(gap).alias("gap")), "query_id")
+    reach = F.lit(gap) if isinstance(gap, int) else F.col("gap")
+    value = F.struct(F.round("reached", 9).alias("r"), (-F.col("ts_ms")).alias("t"), (-F.col("keyframe_id")).alias("k"), "scene_id", "reached", "path")
+    bin_of = lambda x, g: F.floor(x / g).cast("bigint")
+    both = lambda one, two: F.explode(F.array(one, two))
+    at = lambda side, bin_, order: F.struct(F.lit(side).alias("side"), bin_.alias("bin"), order.cast("bigint").alias("at"))
+    t = F.col("ts_ms")
+    values = then.select(*keys, both(at(0, bin_of(t, reach), -t), at(1, bin_of(t, reach), t)).alias("e"), value.alias("value"), F.col("scene_id").alias("own"), F.lit(None).cast("bigint").alias("hit"))
+    own_gap = F.lit(gap) if isinstance(gap, int) else gap
+    probes = hits.select(*keys, both(at(0, bin_of(t, own_gap), -t), at(1, bin_of(t, own_gap) + 1, t + own_gap)).alias("e"), F.lit(None).cast(values.schema["value"].dataType).alias("value"), F.col("scene_id").alias("own"), F.col("keyframe_id").alias("hit"))
+    rows = values.unionByName(probes).where("e.bin is not null")  # a stage without a gap has no successors
+    # a hit stands before values at its place, as bounds are strict
+    order = Window.partitionBy(*keys, "e.side", "e.bin").orderBy("e.at", F.col("hit").isNull(), "value")
+    before, so_far = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("best", F.max("value").over(before))
+    loser = F.when(F.col("best.scene_id") != F.col("value.scene_id"), F.least("best", "value"))
+    rows = rows.withColumn("second", F.max(loser).over(so_far)).where("hit is not null")
+    found = F.when(F.col("best.scene_id") != F.col("own"), F.col("best")).otherwise(F.col("second"))
+    chosen = rows.groupBy(*keys, F.col("hit").alias("keyframe_id")).agg(F.max(found).alias("next")).where("next is not null")
+    return hits.join(chosen, [*keys, "keyframe_id"])
+
+
 def link_chains(hits: DataFrame, gaps: list[int | Column], limit: int | None = None, per_video: int = 3) -> DataFrame:
     """The best chain from each first-stage hit through all later stages, inside one video.
 
-    hits: query_id, stage, video_id, scene_id, keyframe_id, ts_ms, score. A successor lies in another scene, after the hit and
-    less than the stage's gap away; of several the one with the best reachable score, then the earliest, then the best placed.
-    Stages are joined from the last one back; videos that lack a stage are dropped first.
+    hits: query_id, stage, video_id, scene_id, keyframe_id, ts_ms, score; a stage has a keyframe once. A successor lies in another
+    scene, after the hit and less than the stage's gap away; of several the one with the best reachable score, then the
+    earliest, then the best placed. Stages are linked from the last one back; videos that lack a stage are dropped first.
     """
     stages = len(gaps) + 1
     every = hits.groupBy("query_id", "video_id").agg(F.count_distinct("stage").alias("n")).where(F.col("n") == stages)
@@ -73,10 +106,8 @@ def link_chains(hits: DataFrame, gaps: list[int | Column], limit: int | None = N
     step = F.array(F.struct("scene_id", "keyframe_id", "ts_ms"))
     best = hits.where(F.col("stage") == stages - 1).select("query_id", "video_id", "scene_id", "keyframe_id", "ts_ms", F.col("score").alias("reached"), step.alias("path"))
     for stage in range(stages - 2, -1, -1):
-        nxt = best.select("query_id", "video_id", F.col("scene_id").alias("s2"), F.col("keyframe_id").alias("k2"), F.col("ts_ms").alias("t2"), F.col("reached").alias("r2"), F.col("path").alias("p2"))
-        pair = hits.where(F.col("stage") == stage).join(nxt, ["query_id", "video_id"]).where((F.col("scene_id") != F.col("s2")) & (F.col("t2") > F.col("ts_ms")) & (F.col("t2") - F.col("ts_ms") < gaps[stage]))
-        pick = top_k(pair, ["query_id", "video_id", "keyframe_id"], 1, F.round("r2", 9).desc(), F.col("t2"), F.col("k2"))
-        best = pick.select("query_id", "video_id", "scene_id", "keyframe_id", "ts_ms", (F.col("score") + F.col("r2")).alias("reached"), F.concat(step, "p2").alias("path"))
+        pick = best_successors(hits.where(F.col("stage") == stage), best, gaps[stage])
+        best = pick.select("query_id", "video_id", "scene_id", "keyframe_id", "ts_ms", (F.col("score") + F.col("next.reached")).alias("reached"), F.concat(step, "next.path").alias("path"))
     own = rank_list(best, ["query_id", "video_id"], F.round("reached", 9).desc(), F.col("scene_id"), F.col("keyframe_id")).where(F.col("rank") <= per_video).drop("rank")
     out = rank_list(own, ["query_id"], F.round("reached", 9).desc(), F.col("scene_id"), F.col("video_id"), F.col("keyframe_id"))
     out = out.withColumn("gaps_ms", F.transform(F.sequence(F.lit(1), F.lit(stages - 1)), lambda i: F.get(F.col("path.ts_ms"), i) - F.get(F.col("path.ts_ms"), i - 1)))

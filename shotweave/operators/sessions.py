@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotweave.operators.ordered import with_previous, with_running_sum
+
 FINAL = ("CORRECT", "WRONG", "UNDECIDABLE")
 HOLDS = ("CORRECT", "INDETERMINATE")
 
@@ -23,10 +25,15 @@ def session_records(writes: DataFrame) -> DataFrame:
 
 
 def sessions_by_idle(writes: DataFrame, minutes: int = 120) -> DataFrame:
-    """(code, instance, started, ended, writes): a new instance begins after more than `minutes` without a write."""
-    w = Window.partitionBy("code").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("long") - F.lag(F.col("ts").cast("long")).over(w)
-    x = writes.withColumn("instance", F.sum(F.when(gap > minutes * 60, 1).otherwise(0)).over(w))
+    """(code, instance, first_event, last_event, writes): a new instance begins after more than `minutes` without a write.
+
+    Writes are scanned in hours of their time; what a session hands from hour to hour is a row each.
+    """
+    seconds = F.col("ts").cast("long")
+    hour, order = F.floor(seconds / 3600), ["ts", "event_id"]
+    x = with_previous(writes, ["code"], hour, order, seconds, "before")
+    begins = F.when(seconds - F.col("before") > minutes * 60, 1).otherwise(0)
+    x = with_running_sum(x, ["code"], hour, order, begins, "instance")
     return x.groupBy("code", "instance").agg(F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"), F.count("*").alias("writes"))
 
 
