@@ -3,7 +3,8 @@
 Codes are cut into parts; the stored index has a row per code and part, bucketed by part and value. By the pigeonhole rule, a
 code that differs from a query in less than m * (r + 1) bits differs in at most r bits in one of its m parts. So probing all
 values within r flips of each part finds every code up to m * (r + 1) - 1 bits away. Queries go from radius to radius until
-that holds k codes; those whose probes would outnumber the codes are compared with all codes, which is exact as well.
+that holds k codes. A query whose probes would cost more than to compare all codes is compared with them all, which is exact
+as well; so the index pays where the k nearest codes are near, or the codes are very many.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ from shotweave.operators.ranking import top_k
 from shotweave.sources.scratch import shared_dir, stored
 
 
+#: A probe, which is a row of a join, takes as long as so many comparisons of a scan.
+PROBE_COST = 4
+
+
 def widths(words: int, bits: int) -> list[tuple[int, int, int]]:
     """(word, shift, width) of the parts: every word is cut into pieces of about `bits`."""
     pieces = max(1, round(WORD / bits))
@@ -30,7 +35,7 @@ def widths(words: int, bits: int) -> list[tuple[int, int, int]]:
 
 
 def parts_of(code: Column, cuts: list[tuple[int, int, int]]) -> Column:
-    return F.array(*[F.shiftrightunsigned(F.get(code, F.lit(w)), s).bitwiseAND(F.lit((1 << n) - 1)).cast("int") for w, s, n in cuts])
+    return F.array(*[F.shiftrightunsigned(F.get(code, F.lit(w)), s).bitwiseAND(F.lit((1 << n) - 1).cast("bigint")) for w, s, n in cuts])
 
 
 @dataclass
@@ -48,7 +53,7 @@ class CodeIndex:
         log2(rows) bits, so that a value has about one code."""
         own = stored(codes.where(F.size("code") == words).select(F.col(key).alias("key"), "model_id", "code"))
         n = own.count()
-        cuts = widths(words, bits or min(16, max(8, n.bit_length())))
+        cuts = widths(words, bits or max(8, n.bit_length()))
         buckets = buckets or max(8, -(-n * len(cuts) // 4_000_000))
         rows = own.withColumn("parts", parts_of(F.col("code"), cuts)).select("model_id", "key", "code", "parts", F.posexplode("parts").alias("part", "value"))
         name = f"codes_{uuid.uuid4().hex}"
@@ -56,7 +61,7 @@ class CodeIndex:
         rows.repartition(deal).write.bucketBy(buckets, "part", "value").sortBy("part", "value").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
         return CodeIndex(spark.table(name), own, cuts, n)
 
-    def nearest(self, queries: DataFrame, k: int, scan) -> tuple[DataFrame, int]:
+    def nearest(self, queries: DataFrame, k: int, scan, probe_cost: int = PROBE_COST) -> tuple[DataFrame, int]:
         """((query_id, model_id, key, bits, rank), rows compared): exactly the k nearest codes of each query's model, ties by key.
 
         queries: (query_id, model_id, code). `scan(queries, k)` gives (query_id, model_id, key, bits) for queries that leave the index.
@@ -65,7 +70,8 @@ class CodeIndex:
         q = stored(queries.where("code is not null").select("query_id", "model_id", F.col("code").alias("own"), parts_of(F.col("code"), self.cuts).alias("own_parts")))
         left, found, read = q, [], 0
         for radius in range(widest + 1):
-            if m * sum(comb(widest, i) for i in range(radius + 1)) > self.rows:  # more probes than codes
+            probes = m * sum(comb(widest, i) for i in range(radius + 1))
+            if probes * probe_cost > self.rows:
                 break
             new = stored(self._met(left, radius))
             found.append(new)
@@ -86,12 +92,12 @@ class CodeIndex:
     def _met(self, q: DataFrame, radius: int) -> DataFrame:
         """(query_id, model_id, key, bits): codes whose nearest part is `radius` flips away; each code once, by its first such part."""
         widest = max(n for _, _, n in self.cuts)
-        masks = [sum(1 << i for i in c) for c in combinations(range(widest), radius)]
+        masks = [sum(1 << i for i in c) for c in combinations(range(widest), radius)]  # PROBE_COST bounds their number
         width = F.array(*[F.lit(n) for _, _, n in self.cuts])
-        probe = q.select("*", F.posexplode("own_parts").alias("part", "v")).withColumn("flip", F.explode(F.array(*map(F.lit, masks))))
-        probe = probe.where(F.col("flip") < F.call_function("shiftleft", F.lit(1), F.get(width, F.col("part"))))
+        probe = q.select("*", F.posexplode("own_parts").alias("part", "v")).withColumn("flip", F.explode(F.lit(masks).cast("array<bigint>")))
+        probe = probe.where(F.col("flip") < F.call_function("shiftleft", F.lit(1).cast("bigint"), F.get(width, F.col("part"))))
         probe = probe.select("query_id", "model_id", "own", "own_parts", "part", F.col("v").bitwiseXOR(F.col("flip")).alias("value"))
-        hits = self.table.join(probe, ["part", "value", "model_id"])
+        hits = self.table.join(probe.hint("merge"), ["part", "value", "model_id"])  # never broadcast: probes are many times the queries
         apart = F.zip_with("parts", "own_parts", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
         first = F.forall(F.transform(apart, lambda d, i: (d > radius) | ((d == radius) & (i >= F.col("part")))), lambda x: x)
         return hits.where(first).select("query_id", "model_id", "key", hamming(F.col("code"), F.col("own")).alias("bits"))

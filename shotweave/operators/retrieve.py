@@ -15,7 +15,7 @@ from shotweave.functions.text import lexemes, trigrams
 from shotweave.functions.vectors import binary_quantize, cosine_distance
 from shotweave.operators.codeindex import CodeIndex
 from shotweave.operators.ranking import rank_list, top_k
-from shotweave.operators.textindex import LISTED, TextIndex, adjacent, cover_score, listed, text_places, word_rows
+from shotweave.operators.textindex import TextIndex, adjacent, cover_score, looked_up, text_places, word_rows
 from shotweave.sources.scratch import stored
 
 
@@ -105,11 +105,11 @@ def _scan(q: DataFrame, v: DataFrame, k: int, kind: str) -> DataFrame:
     queries in blocks, so there is no shuffle of vectors and no join on the few model ids. Of several blocks, each is read by
     the driver on its own, and its results are stored before the next.
     """
+    filters = [c for c in ("gone", "asked") if c in q.columns]
     for name, none in (("gone", F.array().cast("array<string>")), ("asked", F.lit(""))):
-        q = q.withColumn(name, F.coalesce(name, none) if name in q.columns else none)
-    for name in ("video_id", "collection"):
-        v = v.withColumn(name, F.coalesce(name, F.lit("")) if name in v.columns else F.lit(""))
-    v = v.select("k", "model_id", "e", "video_id", "collection")
+        q = q.withColumn(name, F.coalesce(name, none) if name in filters else none)
+    shown = [F.coalesce(c, F.lit("")).alias(c) if c in v.columns else F.lit("").alias(c) for c in ("video_id", "collection")]
+    v = v.select("k", "model_id", "e", *(shown if filters else []))
     kinds = dict(q.dtypes)["query_id"], dict(v.dtypes)["k"], dict(v.dtypes)["model_id"]
     types = [{"int": pa.int32(), "bigint": pa.int64()}[x] for x in (kinds[0], kinds[2])]
     slack = 2e-6 if kind == "cosine" else 0.0
@@ -274,20 +274,18 @@ def token_hits(queries: DataFrame, texts: DataFrame, text: str, key: str, phrase
     if phrase and index:
         n = index.phrases(lists)
     elif phrase:
-        words = word_rows(lists)
-        places = text_places(texts, text, key, words)
+        words, tokens = looked_up(word_rows(lists))
+        places = text_places(texts, text, key, words, tokens)
         n = adjacent(places, words, places.groupBy("token").agg(F.count("*").alias("n")))
     else:
-        words = stored(lists.select("tokens", F.explode(F.array_distinct("tokens")).alias("token")))
-        tokens = listed(words)
+        words, tokens = looked_up(lists.select("tokens", F.explode(F.array_distinct("tokens")).alias("token")))
         if index:
             rows = index.postings(tokens).select("token", "key", "n")
         else:
             found = lexemes(F.col(text))
             found = F.filter(found, lambda x: x.isin(tokens)) if tokens is not None else found
             rows = texts.select(F.col(key).alias("key"), F.explode(found).alias("token"), F.lit(1).alias("n"))
-        near = F.broadcast(words) if tokens is not None and words.limit(LISTED + 1).count() <= LISTED else words.hint("merge")
-        n = rows.join(near, "token").groupBy("tokens", "key").agg(F.sum("n").alias("n"))
+        n = rows.join(words, "token").groupBy("tokens", "key").agg(F.sum("n").alias("n"))
     return n.select("tokens", F.col("key").alias(key), cover_score(F.col("n")).alias("score")).where(F.col("score") >= floor)
 
 

@@ -14,11 +14,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shotweave.functions.text import cover_rank, lexemes
-from shotweave.operators.ranking import top_k
+from shotweave.operators.ranking import rank_list, top_k
 from shotweave.sources.scratch import stored
 
 #: Texts per block, at most so on average; classes of length, each twice as long as the one below.
@@ -35,11 +35,11 @@ def cover_score(n: Column) -> Column:
 
 @dataclass
 class TextIndex:
-    """The index at `path`; opened anew it has the segments of the last version."""
+    """The index at `path`, with the segments of the version that was the last when it was opened, or of its own last change."""
 
     spark: SparkSession
     path: str
-    key: str = "key"
+    live: list[tuple] | None = None
 
     # ---- writing
 
@@ -48,8 +48,8 @@ class TextIndex:
         n = texts.count()
         blocks = -(-n // BLOCK_TEXTS) or 1
         buckets = buckets or max(8, n * 100 // BUCKET_ROWS)
-        words = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), lexemes(F.col(text)).alias("w")).where(F.size("w") > 0)
-        level = F.lit(CLASSES) - F.floor(F.log2(F.size("w"))).cast("int")
+        words = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), lexemes(F.col(text)).alias("w"))
+        level = F.lit(CLASSES) - F.floor(F.log2(F.greatest(F.size("w"), F.lit(1)))).cast("int")
         block = (level * F.lit(blocks) + F.pmod(F.xxhash64("key"), F.lit(blocks))).cast("bigint")
         rows = words.select("key", block.alias("block"), F.posexplode("w").alias("pos", "token"))
         rows = rows.withColumns({"bucket": F.pmod(F.hash("token"), F.lit(buckets)), "part": F.pmod(F.col("block"), F.lit(SPREAD))})
@@ -87,6 +87,7 @@ class TextIndex:
     def _commit(self, segments: list[tuple]) -> None:
         version = self._version() + 1
         self.spark.createDataFrame(segments, "name string, buckets int, postings string, blocks string").coalesce(1).write.parquet(f"{self.path}/versions/version={version}")
+        self.live = segments
 
     def _version(self) -> int:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/versions")
@@ -97,8 +98,10 @@ class TextIndex:
         return max([int(p.getName().split("=")[1]) for p in done], default=0)
 
     def _segments(self) -> list[tuple]:
-        version = self._version()
-        return [tuple(r) for r in self.spark.read.parquet(f"{self.path}/versions/version={version}").collect()] if version else []
+        if self.live is None:
+            version = self._version()
+            self.live = [tuple(r) for r in self.spark.read.parquet(f"{self.path}/versions/version={version}").collect()] if version else []
+        return self.live
 
     def _open(self, name: str, what: str, schema: str, buckets: int) -> DataFrame:
         """The bucketed table of a segment, registered anew if this session does not know it."""
@@ -133,18 +136,15 @@ class TextIndex:
 
         words: (by, token). `keep` takes (by, key, score) and may add columns; it is applied before the cut. Texts below `floor` have no place.
         """
-        words = stored(words.select(by, "token").distinct())
-        tokens = listed(words)
-        near = F.broadcast(words) if words.limit(LISTED + 1).count() <= LISTED else words.hint("merge")
-        bounds = self.blocks(tokens).join(near, "token").groupBy(by, "segment", "block").agg(F.sum("most").alias("most"), F.max("texts").alias("texts"))
+        words, tokens = looked_up(words.select(by, "token").distinct())
         place = ["segment", "block"]
+        bounds = self.blocks(tokens).join(words, "token").groupBy(by, *place).agg(F.sum("most").alias("most"), F.max("texts").alias("texts"))
         best = top_k(bounds, [by], 4 * k, F.col("most").desc(), *map(F.col, place)).withColumnRenamed("rank", "nth")
-        before = F.sum("texts").over(_order(by, "nth"))
-        first = stored(best.withColumn("before", before - F.col("texts")).where(F.col("before") < 4 * k).select(by, *place))
+        before = F.sum("texts").over(Window.partitionBy(by).orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+        first = best.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 4 * k).select(by, *place)
         found = stored(top_k(self._scored(words, first, tokens, by, keep, floor), [by], k, F.col("score").desc(), F.col("key")).drop("rank"))
         bar = found.groupBy(by).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(0.0)).alias("bar"))
         live = bounds.join(bar, by, "left").where(cover_score(F.col("most")) >= F.coalesce("bar", F.lit(0.0))).join(first, [by, *place], "left_anti").select(by, *place)
-        live = stored(live)
         last = {r["segment"]: r["m"] for r in live.groupBy("segment").agg(F.max("block").alias("m")).collect()}  # a row per segment
         if last:
             found = found.unionByName(self._scored(words, live, tokens, by, keep, floor, last))
@@ -158,38 +158,32 @@ class TextIndex:
 
     def phrases(self, lists: DataFrame) -> DataFrame:
         """(tokens, key, n): how often the words of each list (tokens) stand next to each other in a text."""
-        words = word_rows(lists)
-        tokens = listed(words)
+        words, tokens = looked_up(word_rows(lists))
         places = self.postings(tokens).select("token", "key", F.explode("positions").alias("pos"))
         return adjacent(places, words, self.blocks(tokens).groupBy("token").agg(F.sum("texts").alias("n")))
 
 
-def _order(by: str, column: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(by).orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def index_name(*parts: str) -> str:
     return "text-index-" + hashlib.sha256("\n".join(parts).encode()).hexdigest()[:24]
 
 
-def listed(words: DataFrame) -> list[str] | None:
-    """The different tokens of a table, or None where they are more than LISTED."""
-    rows = words.select("token").distinct().limit(LISTED + 1).collect()
-    return [r["token"] for r in rows] if len(rows) <= LISTED else None
+def looked_up(words: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """(words, tokens): a table of up to LISTED rows as a local one to broadcast, with its different tokens; a larger one stored,
+    to be joined by a shuffle, and None."""
+    rows = words.limit(LISTED + 1).collect()
+    if len(rows) > LISTED:
+        return stored(words).hint("merge"), None
+    return F.broadcast(words.sparkSession.createDataFrame(rows, words.schema)), sorted({r["token"] for r in rows if r["token"] is not None})
 
 
 def word_rows(lists: DataFrame) -> DataFrame:
     """(tokens, size, off, token): the words of each different list."""
-    own = lists.select("tokens").distinct()
-    return stored(own.select("tokens", F.size("tokens").alias("size"), F.posexplode("tokens").alias("off", "token")))
+    return lists.select("tokens").distinct().select("tokens", F.size("tokens").alias("size"), F.posexplode("tokens").alias("off", "token"))
 
 
-def text_places(texts: DataFrame, text: str, key: str, words: DataFrame) -> DataFrame:
+def text_places(texts: DataFrame, text: str, key: str, words: DataFrame, tokens: list[str] | None) -> DataFrame:
     """(token, key, pos): where searched tokens stand in texts that have no index; stored, as phrases read it often."""
     rows = texts.select(F.col(key).alias("key"), F.posexplode(lexemes(F.col(text))).alias("pos", "token"))
-    tokens = listed(words)
     rows = rows.where(F.col("token").isin(tokens)) if tokens is not None else rows.join(words.select("token").distinct().hint("merge"), "token", "left_semi")
     return stored(rows.select("token", "key", "pos"))
 
@@ -201,13 +195,12 @@ def adjacent(places: DataFrame, words: DataFrame, frequency: DataFrame) -> DataF
     of its places is a start, and every other word must stand at the start plus its offset. A word that no text holds ends its phrase.
     """
     counted = words.join(frequency, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ranked = stored(top_k(counted, ["tokens"], 1 << 30, F.col("n"), F.col("off")))  # a row per word of a phrase
-    lead = ranked.where("rank = 1 and n > 0")
-    few = ranked.limit(LISTED + 1).count() <= LISTED
-    lead = F.broadcast(lead) if few else lead.hint("merge")
-    starts = places.join(lead.select("tokens", "size", "off", "token"), "token").select("tokens", "size", "key", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
-    rest = ranked.where("rank > 1").select("tokens", "off", "token")
-    wanted = starts.where("size > 1").join(F.broadcast(rest) if few else rest.hint("merge"), "tokens").select("tokens", "size", "key", "start", "token", (F.col("start") + F.col("off")).alias("pos"))
+    ranked, tokens = looked_up(rank_list(counted, ["tokens"], F.col("n"), F.col("off")))  # a row per word of a phrase
+    how = F.broadcast if tokens is not None else lambda x: x.hint("merge")
+    lead = how(ranked.where("rank = 1 and n > 0").select("tokens", "size", "off", "token"))
+    starts = places.join(lead, "token").select("tokens", "size", "key", (F.col("pos") - F.col("off")).alias("start")).where("start >= 0")
+    rest = how(ranked.where("rank > 1").select("tokens", "off", "token"))
+    wanted = starts.where("size > 1").join(rest, "tokens").select("tokens", "size", "key", "start", "token", (F.col("start") + F.col("off")).alias("pos"))
     met = wanted.join(places.hint("merge"), ["key", "token", "pos"]).groupBy("tokens", "size", "key", "start").agg(F.count("*").alias("met")).where(F.col("met") == F.col("size") - 1)
     whole = starts.where("size = 1").select("tokens", "key").unionByName(met.select("tokens", "key"))
     return whole.groupBy("tokens", "key").agg(F.count("*").alias("n"))

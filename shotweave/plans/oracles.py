@@ -275,7 +275,7 @@ select query_id, stage, case stage when 0 then 'text:"open" the' else 'said:"no
     "keyframe_index": "select keyframe_id, cast(row_number() over (partition by scene_id order by ts_ms, keyframe_id) - 1 as integer) index from keyframes",
     "purge_eligible": "select video_id, exists (select 1 from scenes s where s.video_id = v.video_id) and not exists (select 1 from scenes s where s.video_id = v.video_id and not exists (select 1 from embedded k where k.scene_id = s.scene_id)) candidates, not has_audio or exists (select 1 from transcript_segment t where t.video_id = v.video_id) audio from videos v",
     "knn_hamming": near("", "keyframe_embedding", "keyframe_id", 1000) + "select query_id, keyframe_id, bits from cand",
-    "knn_codes": near("", "keyframe_embedding", "keyframe_id", 20) + "select query_id, keyframe_id, bits from cand",
+    "knn_codes": near("", "keyframe_embedding", "keyframe_id", 5) + "select query_id, keyframe_id, bits from cand",
     "knn_rerank": near("", "keyframe_embedding", "keyframe_id", 1000) + "select * from knn",
     "retrieve_ocr": OCR + "select query_id, rank, scene_id, keyframe_id from ocr where rank <= 50",
     "search_two_signal": FUSED + "select * from fused",

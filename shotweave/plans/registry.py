@@ -21,7 +21,7 @@ from shotweave.operators.codeindex import CodeIndex
 from shotweave.operators.encode import embed_texts, hash_encoder
 from shotweave.operators.querylog import parse_log
 from shotweave.operators.ranking import merge_signal_labels, page, rank_list, rrf_fuse
-from shotweave.operators.search import enrich, filmstrip, link_chains, link_rows, search
+from shotweave.operators.search import STAGES, enrich, filmstrip, link_chains, link_rows, search
 from shotweave.plans.fixtures import derived_corpus, searchable
 from shotweave.plans.oracles import ORACLES
 from shotweave.sources import corpus as C
@@ -246,11 +246,11 @@ def knn_hamming(spark, d):
 
 @query
 def knn_codes(spark, d):
-    """The 20 nearest sign codes by the stored index of their parts."""
+    """The 5 nearest sign codes by the stored index of their parts."""
     t = derived_corpus(spark, d)
     codes = R.encode(t["keyframe_embedding"], "keyframe_id")
     index = CodeIndex.build(spark, codes, "keyframe_id", words=2)
-    return R.ann_candidates(t["query_vectors"], codes, "keyframe_id", 20, index).select("query_id", "keyframe_id", F.col("bits").cast("bigint").alias("bits"))
+    return R.ann_candidates(t["query_vectors"], codes, "keyframe_id", 5, index).select("query_id", "keyframe_id", F.col("bits").cast("bigint").alias("bits"))
 
 
 @query
@@ -364,9 +364,11 @@ def signal_labels(spark, d):
 
 
 def stage_hits(t: dict[str, DataFrame], n: int) -> DataFrame:
-    """Hits of n stages: each stage of a query is a search with words of its own. Stored, as chains read them often."""
-    parts = [link_rows(search(request(t, s), t, ["visual", "ocr"], depth=500, limit=300), t["keyframes"], s) for s in range(n)]
-    return stored(reduce(DataFrame.unionByName, parts))
+    """Hits of n stages: each stage of a query is a search with words of its own, all in one pass. Stored, as chains read them often."""
+    number = lambda s: (F.col("query_id") * STAGES + s).cast("int")
+    q = reduce(DataFrame.unionByName, [request(t, s).withColumn("query_id", number(s)) for s in range(n)])
+    hits = link_rows(search(q, t, ["visual", "ocr"], depth=500, limit=300), t["keyframes"], 0)
+    return stored(hits.withColumn("stage", F.col("query_id") % STAGES).withColumn("query_id", F.floor(F.col("query_id") / STAGES).cast("int")))
 
 
 @query

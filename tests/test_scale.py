@@ -201,12 +201,12 @@ def test_code_index_gives_the_nearest_codes(spark, bits):
     index = CodeIndex.build(spark, codes.unionByName(other), "id", 2, bits)
     q = frame(asked, "query_id")
     far = ((asked[:, None, :] > 0) != (x[None, :, :] > 0)).sum(axis=2)
-    for k in (1, 20):
+    for k in (1, 20):  # queries end in the index or in the scan
         want = {(a, int(i), int(far[a, i])) for a in range(len(asked)) for i in np.lexsort((np.arange(len(x)), far[a]))[:k]}
         assert {(r.query_id, r.id, r.bits) for r in R.ann_candidates(q, codes, "id", k, index).collect()} == want
     narrow = q.where("query_id < 6").select("query_id", "model_id", binary_quantize(F.col("embedding")).alias("code"))
     scans = []
-    _, read = index.nearest(narrow, 20, lambda *a: scans.append(a))
+    _, read = index.nearest(narrow, 20, lambda *a: scans.append(a), probe_cost=1)
     assert not scans and read < 6 * len(x) / 4  # none left the index
 
 

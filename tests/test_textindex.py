@@ -133,7 +133,6 @@ def test_words_equal_brute_force_with_and_without_an_index(spark, indexed):
 def test_many_query_words_are_joined(spark, indexed, monkeypatch):
     texts, df, index = indexed
     monkeypatch.setattr(X, "LISTED", 2)
-    monkeypatch.setattr(R, "LISTED", 2)
     want = {(tuple(w), key) for w in LISTS for key, _ in brute(texts, w, 10**9)}
     for own in (None, index):
         assert {(tuple(r.tokens), r.id) for r in R.token_hits(asked(spark, LISTS), df, "text", "id", index=own).collect()} == want
