@@ -57,6 +57,11 @@ def session_snapshot(records: DataFrame) -> DataFrame:
     return records.groupBy("code").agg(F.count("*").alias("instances"), F.count_distinct("video_id").alias("distinct_videos"), F.count_distinct(F.when(F.col("status").isin(*HOLDS), F.col("video_id"))).alias("covered_videos"))
 
 
-def hide_held(results: DataFrame, held: DataFrame, code: int) -> DataFrame:
-    """Results without any keyframe of a scene that the session holds; an unknown session hides nothing."""
+def hide_held(results: DataFrame, held: DataFrame, code: int | None = None) -> DataFrame:
+    """Results without any keyframe of a scene that the session holds; an unknown session hides nothing.
+
+    With a column `code` in the results, every result is that of a session of its own; without one, all are those of `code`.
+    """
+    if code is None:
+        return results.join(held.select("code", "scene_id").distinct(), ["code", "scene_id"], "left_anti")
     return results.join(held.where(F.col("code") == code).select("scene_id"), "scene_id", "left_anti")

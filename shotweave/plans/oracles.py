@@ -133,8 +133,8 @@ g as (select * from f where cut is null or status in ('CORRECT', 'WRONG', 'UNDEC
 records as (select code, scene_id, arg_max(status, struct_pack(ts := ts, event_id := event_id)) status, any_value(video_id) video_id, max(event_id) last_event from g group by code, scene_id)
 """
 
-SOURCED = """, sourced as (select query_id, case query_id % 4 when 0 then [' ASR ', 'nowhere'] when 1 then ['ocr', 'visual'] when 2 then ['sound'] else [] end asked, case query_id % 3 when 0 then 'mvk' when 1 then 'V3C2' end collection from query_vectors),
-permitted as (select query_id, unnest(list_concat(case query_id % 4 when 0 then ['transcript'] when 1 then ['visual', 'ocr'] when 2 then [] else ['visual', 'ocr', 'transcript', 'caption'] end, ['ocr_phrase', 'asr_phrase'])) retriever from sourced)
+SOURCED = """, sourced as (select query_id, case query_id // 20 % 4 when 0 then [' ASR ', 'nowhere'] when 1 then ['ocr', 'visual'] when 2 then ['sound'] else [] end asked, case query_id // 20 % 3 when 0 then 'mvk' when 1 then 'V3C2' end collection from query_vectors),
+permitted as (select query_id, unnest(list_concat(case query_id // 20 % 4 when 0 then ['transcript'] when 1 then ['visual', 'ocr'] when 2 then [] else ['visual', 'ocr', 'transcript', 'caption'] end, ['ocr_phrase', 'asr_phrase'])) retriever from sourced)
 """
 
 WORDS_OF = r"regexp_extract_all(text, '[\p{L}]+|[0-9]+')"
@@ -245,12 +245,12 @@ union all select query_id, case when w = '' then 1 else 2 end, '', null, 'hello
     "recognised_text": "select keyframe_id, array_to_string(list_filter(list_transform(list_filter(string_split(ocr_text, ' '), lambda w: len(w) >= 5), lambda w: trim(w)), lambda w: w <> ''), ' ') \"text\" from keyframe_text",
     "enqueue_manifest": "select video_id, 'V3C1' collection, min(path) source_uri from named_files where folder in ('work/raw', 'data') and video_id not in (select video_id from job_events) group by video_id",
     "permitted_retrievers": SOURCED + "select * from permitted",
-    "search_gated": FUSED.replace(", ranked as (select *, 1.0 w from visual union all select *, 4.0 from ocr)", ", ranked as (select *, 1.0 w from visual where query_id % 4 in (1, 3) union all select *, 4.0 from ocr where query_id % 4 in (1, 3))") + "select * from fused",
-    "routed_models": "select query_id, case when query_id % 3 = 0 then 10 else 1 end model_id from query_vectors",
+    "search_gated": FUSED.replace(", ranked as (select *, 1.0 w from visual union all select *, 4.0 from ocr)", ", ranked as (select *, 1.0 w from visual where query_id // 20 % 4 in (1, 3) union all select *, 4.0 from ocr where query_id // 20 % 4 in (1, 3))") + "select * from fused",
+    "routed_models": "select query_id, case when query_id // 20 % 3 = 0 then 10 else 1 end model_id from query_vectors",
     "models_with_rows": "select cast(r_regionkey * 5 as integer) model_id from region where r_regionkey * 5 in (select model_id from transcript_embedding)",
     "stage_summary": LINKED + """, n as (select query_id, 0 stage, count(*) hits from hits0 group by query_id union all select query_id, 1, count(*) from hits1 group by query_id), c as (select query_id, count(*) chains from chains group by query_id)
 select query_id, stage, case stage when 0 then 'text:"open" the' else 'said:"no way" der' end label, cast(case stage when 1 then 9000 end as bigint) gap_ms, coalesce(hits, 0) hits, coalesce(chains, 0) chains from query_vectors cross join (values (0), (1)) v(stage) left join n using (query_id, stage) left join c using (query_id)""",
-    "used_signals": OCR + "select query_id, 's' || query_id % 2 || ':visual' signal from query_vectors union all select distinct query_id, 's' || query_id % 2 || ':ocr' from ocr",
+    "used_signals": OCR + "select query_id, 's' || query_id // 20 % 2 || ':visual' signal from query_vectors union all select distinct query_id, 's' || query_id // 20 % 2 || ':ocr' from ocr",
     "video_details": "select video_id, collection, 40 as seconds from videos where video_id in (select video_id from keyframes where keyframe_id in (select query_id from query_vectors))",
     "scene_details": "select s.scene_id, s.shot_index, k[cast(floor(len(k) / 2) as integer) + 1] keyframe_id from scenes s join (select scene_id, list(keyframe_id order by ts_ms, keyframe_id) k from keyframes group by scene_id) x using (scene_id) where s.scene_id in (select cast(floor(query_id / 4) as bigint) from query_vectors)",
     "session_list": "select code, count(distinct scene_id) instances, cast(greatest(0, 7200000 - (1706659200000 - cast(floor(epoch_us(max(ts)) / 1000) as bigint))) as bigint) expires_in_ms from submissions group by code",
@@ -283,6 +283,7 @@ select query_id, stage, case stage when 0 then 'text:"open" the' else 'said:"no
     "search_page": FUSED + "select query_id, keyframe_id, score, rank, total, total > 20 has_more from (select *, count(*) over (partition by query_id) total from fused) where rank between 11 and 20",
     "session_fold": RECORDS + "select * from records",
     "session_snapshots": RECORDS + "select code, count(*) instances, count(distinct video_id) distinct_videos, count(distinct case when status in ('CORRECT', 'INDETERMINATE') then video_id end) covered_videos from records group by code",
+    "hide_held_sessions": OCR + RECORDS + "select query_id, scene_id, keyframe_id, cast(query_id // 20 % 50 as integer) code from ocr o where rank <= 50 and not exists (select 1 from records r where r.code = query_id // 20 % 50 and r.scene_id = o.scene_id and status in ('CORRECT', 'INDETERMINATE'))",
     "hide_held": OCR + RECORDS + "select query_id, scene_id, keyframe_id from ocr where rank <= 50 and scene_id not in (select scene_id from records where code = 3 and status in ('CORRECT', 'INDETERMINATE'))",
     "job_state": "select video_id, arg_max(stage, struct_pack(ts := ts, event_id := event_id)) stage, count(*) filter (stage = 'FAILED') failures, max(event_id) last_event from job_events group by video_id",
     "query_history": "select user_id, query, cast(rank as integer) rank from (select user_id, event_type query, row_number() over (partition by user_id order by max(ts) desc, event_type) rank from events group by user_id, event_type) where rank <= 3",

@@ -36,11 +36,16 @@ def stored(df: DataFrame, by: str | None = None, instead: DataFrame | None = Non
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     if instead is not None:
-        _STORED.remove(instead.stored_at)
-        _delete(df.sparkSession, instead.stored_at)
+        drop(instead)
     return out
 
 
+def drop(table: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    _STORED.remove(table.stored_at)
+    _delete(table.sparkSession, table.stored_at)
+
+
 def _delete(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

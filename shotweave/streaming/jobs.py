@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from shotweave.operators.sessions import FINAL, HOLDS
-from shotweave.sources.corpus import STAGES, append_new
-
+from shotweave.operators.sessions import FINAL, HOLDS, session_records, session_snapshot
+from shotweave.sources.corpus import STAGES, latest
+from shotweave.sources.keyed import KeyedTable
+from shotweave.sources.scratch import stored
 
 IDLE_MS = 2 * 60 * 60 * 1000
 RECORD = "status string, video_id string, ts timestamp, event_id bigint"
@@ -60,7 +61,11 @@ class SessionFold(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for state in (self.final, self.open, self.video, self.active):
             state.clear()
-        yield self._records(key)
+        yield self._ended(key)
+
+    def _ended(self, key) -> pd.DataFrame:
+        """A row without a scene."""
+        return pd.DataFrame([(key[0], None, None, None)], columns=["code", "scene_id", "status", "video_id"]).astype({"scene_id": "Int64"})
 
     def _records(self, key) -> pd.DataFrame:
         held = {k[0]: v for k, v in self.open.iterator()} | {k[0]: v for k, v in self.final.iterator()}
@@ -79,23 +84,53 @@ def session_stream(writes: DataFrame, late: str = "2 hours") -> DataFrame:
     return own.withWatermark("ts", late).groupBy("code").transformWithStateInPandas(statefulProcessor=SessionFold(), outputStructType="code int, scene_id bigint, status string, video_id string", outputMode="Update", timeMode="EventTime")
 
 
-def live_snapshot(writes: DataFrame) -> DataFrame:
-    """(code, instances, distinct_videos, covered_videos) of every session that has scenes, kept up to date on a stream of writes.
+class SnapshotFold(SessionFold):
+    """The same state, but a row per session that a batch changed: its counts, or zeros once it has ended."""
+
+    def _records(self, key) -> pd.DataFrame:
+        held = {k[0]: v[0] for k, v in self.open.iterator()} | {k[0]: v[0] for k, v in self.final.iterator()}
+        video = {k[0]: v[1] for k, v in self.video.iterator()}
+        covered = {video[s] for s, status in held.items() if status in HOLDS and s in video}
+        return pd.DataFrame([(key[0], len(held), len({*video.values()}), len(covered))], columns=["code", "instances", "distinct_videos", "covered_videos"])
+
+    _ended = _records
+
 
-    Update mode gives the sessions that a batch changed. Sets of a session's scenes are its state, so they are as large as
-    what its members recorded. A scene counts with its last final status, else its last one.
+def live_snapshot(writes: DataFrame, late: str = "2 hours") -> DataFrame:
+    """(code, instances, distinct_videos, covered_videos) of every session, as session_snapshot counts them.
+
+    On a stream, a batch gives the sessions that it changed. State is the last record of each scene and ends with the session,
+    so it follows scenes, not writes.
     """
-    x = writes.where("scene_id is not null").withColumn("status", F.coalesce("status", F.lit("INDETERMINATE")))
-    order = F.struct("ts", "event_id")
-    row = F.struct(F.col("status").isin(*FINAL).alias("final"), order.alias("o"), "status", "video_id")
-    held = F.collect_list(F.struct("scene_id", row.alias("r")))
+    if not writes.isStreaming:
+        return session_snapshot(session_records(writes))
+    own = writes if "kind" in writes.columns else writes.withColumn("kind", F.lit("write"))
+    out = "code int, instances bigint, distinct_videos bigint, covered_videos bigint"
+    return own.withWatermark("ts", late).groupBy("code").transformWithStateInPandas(statefulProcessor=SnapshotFold(), outputStructType=out, outputMode="Update", timeMode="EventTime")
 
-    def last(rows: Column, scene: Column) -> Column:
-        return F.array_max(F.transform(F.filter(rows, lambda e: e["scene_id"] == scene), lambda e: e["r"]))
 
-    s = x.groupBy("code").agg(held.alias("rows")).withColumn("scenes", F.transform(F.array_distinct(F.transform("rows", lambda e: e["scene_id"])), lambda scene: last(F.col("rows"), scene)))
-    videos = lambda rows: F.size(F.array_distinct(F.filter(F.transform(rows, lambda e: e["video_id"]), lambda v: v.isNotNull()))).cast("bigint")
-    return s.select("code", F.size("scenes").cast("bigint").alias("instances"), videos(F.col("scenes")).alias("distinct_videos"), videos(F.filter("scenes", lambda e: e["status"].isin(*HOLDS))).alias("covered_videos"))
+def _tag(checkpoint: str, number: int) -> str:
+    """Names a micro-batch of one query."""
+    return f"{checkpoint.rstrip('/').rsplit('/', 1)[-1]}-{number}"
+
+
+HELD = "code int, scene_id bigint, status string, video_id string"
+
+
+def held_table(spark: SparkSession, path: str, parts: int = 64) -> KeyedTable:
+    """The records of live sessions, laid out by session."""
+    return KeyedTable(spark, path, spark.createDataFrame([], HELD).schema, ["code"], parts)
+
+
+def keep_held(writes: DataFrame, table: KeyedTable, checkpoint: str, late: str = "2 hours"):
+    """Keeps `table` up to date with a stream of writes: each batch replaces the records of the sessions that it changed, and
+    drops those that have ended. A batch that is run again changes nothing. Returns the query."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch = stored(batch)
+        table.replace_for(batch.where("scene_id is not null"), batch.select("code"), batch=_tag(checkpoint, number))
+
+    return session_stream(writes, late).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def job_state_stream(events: DataFrame) -> DataFrame:
@@ -119,18 +154,27 @@ def session_windows(events: DataFrame, gap: str = "2 hours", late: str = "2 hour
     return x.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select(F.col("session_window.start").alias("start"), "user_id", "n")
 
 
-def incremental_enrich(source: DataFrame, target: str, transform: Callable[[DataFrame], DataFrame], keys: list[str], checkpoint: str):
-    """A re-runnable enrichment: each micro-batch adds only rows that the Parquet target has not; returns the query."""
+def incremental_enrich(source: DataFrame, target: KeyedTable, transform: Callable[[DataFrame], DataFrame], keys: list[str], checkpoint: str, failures: KeyedTable | None = None, attempts: int = 3):
+    """A re-runnable enrichment: each micro-batch adds only rows of keys that the target has not; returns the query.
+
+    `transform` gives the target's columns and, where a row can fail, `error`: null for rows that are done, empty output included. A
+    row that fails goes with its error and the number of its attempts to `failures` (the source's columns, error, attempts), stays
+    pending, and is tried again with later batches, up to `attempts` times. Both tables are changed by partition under the
+    batch's id, so a batch that fails halfway and runs again repeats nothing.
+    """
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = transform(batch)
-        try:
-            done = spark.read.schema(new.schema).parquet(target)
-        except Exception as error:  # the target does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            done = spark.createDataFrame([], new.schema)
-        append_new(done, new, keys).write.mode("append").parquet(target)
+    def write(batch: DataFrame, number: int) -> None:
+        columns, tag = batch.columns, _tag(checkpoint, number)
+        todo = batch.withColumn("attempts", F.lit(0))
+        if failures is not None:
+            again = failures.read().where(F.col("attempts") < attempts)
+            todo = todo.unionByName(again.select(*columns, "attempts"))
+        todo = stored(latest(todo, keys, ["attempts"]).join(target.read().select(keys), keys, "left_anti"))
+        new = transform(todo.select(columns))
+        new = stored(new if "error" in new.columns else new.withColumn("error", F.lit(None).cast("string")))
+        if failures is not None:  # before the target: rows that are done there are not tried again
+            failed = new.where("error is not null").select(*keys, "error")
+            failures.replace_for(todo.join(failed, keys).withColumn("attempts", F.col("attempts") + 1), todo.select(keys), batch=tag)
+        target.append_new(new.where("error is null"), keys, batch=tag)
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
