@@ -159,7 +159,7 @@ def near_vectors(spark: SparkSession, df: DataFrame, cosine: float = 0.98, misse
     base = df.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("v"), F.col(label).cast("bigint").alias("label"))
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     rows = base.withColumn("good", good)
-    classes = stored(rows.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("size")).withColumns({"dim": F.size("v"), "rep": F.xxhash64("label", "v")}))
+    classes = stored(rows.where("good").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("size")).withColumns({"dim": F.size("v"), "rep": F.monotonically_increasing_id()}))  # stored, so a class keeps its number
     top = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = tuned(top, cosine, missed)
     # codes without vectors; buckets of one class end here
@@ -174,7 +174,7 @@ def near_vectors(spark: SparkSession, df: DataFrame, cosine: float = 0.98, misse
     dealt = dealt.select("label", "dim", "s.tab", "s.code", "s.one", "s.two", "s.own", "v", "rep", "size")
     found = stored(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(cosine, tables, bits, seed), "rep bigint, links bigint, reach bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    # classes are named by a hash, as ids may repeat; a component's id is the least one of its classes
+    # classes have numbers of their own, as ids may repeat; a component's id is the least one of its classes
     groups = components(spark, found.select(F.col("rep").alias("a"), F.col("reach").alias("b")))
     named = groups.join(classes.select(F.col("rep").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("first"))
     groups = groups.join(named, "component").select("node", "first")
