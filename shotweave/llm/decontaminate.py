@@ -10,6 +10,7 @@ the window are then compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -142,40 +143,48 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, window
     Null or empty texts have no words, items without words have no window, and a repeated row is reported as often as it
     occurs. Items with equal texts are all reported; the windows of items without an id count as hits but name no item. Long
     texts are searched whole, and other columns are not read. The benchmark is taken in blocks of at most `block_windows`
-    distinct windows (about 16 MB), so what a task holds is bounded. With one block, nothing is shuffled but counts; beyond
-    that the numbered input is stored once, each block is one more pass, and hits are merged by number. No windows: no hits.
+    distinct windows (about 16 MB), so what a task holds is bounded; windows have numbers, and the items that share one are
+    joined to the documents that hold it. With one block, only counts and hits are shuffled; beyond that the numbered input
+    is stored once, each block is one more pass, and hits are merged by number. No windows: no hits.
     """
-    own = item_windows(items, window, item_id, item_text)
-    windows = own.groupBy("words").agg(F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    own = stored(item_windows(items, window, item_id, item_text))
+    windows = stored(own.select("words").distinct().withColumn("window", F.monotonically_increasing_id()))  # stored, so a window keeps its number
     n = windows.count()
     blocks = max(1, -(-n // block_windows))
-    windows = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
+    numbered = windows.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__t")).withColumn("row", F.monotonically_increasing_id() if blocks > 1 else F.lit(0).cast("bigint"))
     base = stored(base) if blocks > 1 else base  # so that every pass sees the same numbers
     kind = base.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, row bigint, hits array<int>"
+    schema = f"doc_id {kind}, n_words bigint, n_hit bigint, windows array<bigint>, row bigint, hits array<int>"
     parts = []
     for b in range(blocks):
-        rows = windows.where(F.col("block") == b).orderBy("words").collect()  # bounded by block_windows
-        block, names = Block([r.words for r in rows]), [r["items"] for r in rows]
+        rows = numbered.where(F.col("block") == b).orderBy("words").collect()  # bounded by block_windows
+        block, numbers = Block([r["words"] for r in rows]), np.array([r["window"] for r in rows], dtype=np.int64)
         tokens = {s: block.all_tokens(s) for s in block.sizes}
         frequency = {r.token & (1 << 64) - 1: r.n for r in token_frequency(base.select("__t"), tokens).collect()} if rows else {}
-        parts.append(_hits(base, block, block.choose(frequency), names, schema, keep_hits=blocks > 1))
+        parts.append(_hits(base, block, block.choose(frequency), numbers, schema, keep_hits=blocks > 1))
+    found = reduce(DataFrame.unionByName, parts)
     if blocks == 1:
-        return parts[0].select("doc_id", "n_words", "n_hit", "items")
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    merged = all_.groupBy("row", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", F.size("h").cast("bigint").alias("n_hit"), "items")
-
-
-def _hits(base: DataFrame, block: Block, prefix: dict, names: list[list[str]], schema: str, keep_hits: bool) -> DataFrame:
+        found = found.withColumn("row", F.monotonically_increasing_id())
+    else:
+        merged = found.groupBy("row", "doc_id", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("h"), F.flatten(F.collect_list("windows")).alias("windows"))
+        found = merged.select("doc_id", "n_words", F.size("h").cast("bigint").alias("n_hit"), "windows", "row")
+    found = stored(found.select("doc_id", "n_words", "n_hit", "windows", "row"))
+    # names join after the probe: a window that very many items share is many rows, not a list
+    named = own.where("item is not null").join(windows, "words").select("window", F.col("item").cast("string").alias("item"))
+    hit = found.where(F.size("windows") > 0)
+    items_of = hit.select("row", F.explode("windows").alias("window")).join(named, "window").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    none = F.array().cast("array<string>")
+    hit = hit.join(items_of, "row", "left").select("doc_id", "n_words", "n_hit", F.coalesce("items", none).alias("items"))
+    return hit.unionByName(found.where(F.size("windows") == 0).select("doc_id", "n_words", "n_hit", none.alias("items")))
+
+
+def _hits(base: DataFrame, block: Block, prefix: dict, numbers: np.ndarray, schema: str, keep_hits: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             n_words, n_hit = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-            items: list[list[str]] = [[] for _ in range(n)]
+            met: list[list[int]] = [[] for _ in range(n)]
             places: list[list[int]] = [[] for _ in range(n)]
             for lo, hi, data, offsets in text_chunks(batch.column(1)):
                 w = find_words(data, offsets, ALNUM, lower=True)
@@ -192,12 +201,11 @@ def _hits(base: DataFrame, block: Block, prefix: dict, names: list[list[str]], s
                 n_hit[lo:hi] = run_sum[w.first[1:]] - run_sum[w.first[:-1]]
                 row = np.searchsorted(w.first, start, side="right") - 1
                 for r, k in {*zip(row.tolist(), win.tolist(), strict=True)}:
-                    items[lo + r] += names[k]
+                    met[lo + r].append(int(numbers[k]))
                 if keep_hits:
                     for r in np.unique(row):
                         places[lo + r] = np.flatnonzero(hit[w.first[r] : w.first[r + 1]]).tolist()
-            items = [sorted(set(x)) for x in items]
             row_id = batch.column(2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), row_id, pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "n_words", "n_hit", "items", "row", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_hit), pa.array(met, pa.list_(pa.int64())), row_id, pa.array(places, pa.list_(pa.int32()))], names=["doc_id", "n_words", "n_hit", "windows", "row", "hits"])
 
     return base.select("doc_id", "__t", "row").mapInArrow(run, schema)
