@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from secrets import token_hex
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +28,8 @@ LEVELS = ["domain", "lang", "source"]
 WEIGHTS = {"domain": {"web": 5.0, "books": 3.0, "forum": 2.0}, "lang": {"en": 4.0, "de": 2.0}}
 PART, EPOCHS, SEED = 0.5, 4, 13
 WORD = r"[^\x20\x09-\x0D]+"
-#: The setting that holds the secret of the pseudonyms, and what stands in where none is set, as in tests.
-KEY_SETTING, NO_KEY = "spark.shotweave.pseudonyms.key", "not a secret"
+#: The setting that holds the secret of the pseudonyms.
+KEY_SETTING = "spark.shotweave.pseudonyms.key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +43,21 @@ def domain() -> Column:
 
 
 def secret(spark: SparkSession) -> str:
-    return spark.conf.get(KEY_SETTING, NO_KEY)
+    """The key that is set, else one that the session draws once: nobody knows it, and other sessions give other pseudonyms.
+
+    The key is a literal of the plan, so plans and event logs are told to leave it out, unless the session has a rule of its own.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    if not spark.conf.get("spark.sql.redaction.string.regex", None):
+        spark.conf.set("spark.sql.redaction.string.regex", re.escape(key))
+    return key
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

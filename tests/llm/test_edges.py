@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from shotweave.llm import pseudonyms as P
 from shotweave.llm.decontaminate import decontaminate
 from shotweave.llm.embedding_dedup import near_vectors
+from shotweave.llm.graph import components
 from shotweave.llm.hashing import collect_features, labelled_rows, word_features
 from shotweave.llm.jaccard_join import all_overlaps, jaccard_components, keep_one, overlaps, row_key, seats_of
 from shotweave.llm.license_rules import BASE, rules
@@ -206,7 +207,42 @@ def test_pseudonym_edges(spark):
     assert spaced.replace(" ", "") == joined != "DE89370400440532013000" and int(value) % 97 == 1 and "DE00370400440532013000" in new and "мария" not in new
     assert re.search(r"mail \w{5}@example\.com", new) and len(new) == len(text)
     assert (None, None, 0) in got and (2, "", 0) in got and P.pseudonymize(df.limit(0), "k").count() == 0
-    assert secret(spark) and spark.conf.get(KEY_SETTING, None) is None
+
+
+def test_the_key_is_drawn_or_set_and_plans_leave_it_out(spark):
+    rule = "spark.sql.redaction.string.regex"
+    df = spark.createDataFrame([(1, "mail a.user@example.com")], "doc_id long, text string")
+    try:
+        spark.conf.unset(KEY_SETTING)
+        drawn = secret(spark)
+        assert len(drawn) == 64 and secret(spark) == drawn
+        shown = P.pseudonymize(df, drawn)._jdf.queryExecution().toString()
+        assert drawn not in shown and "redacted" in shown
+        spark.conf.unset(KEY_SETTING)
+        assert secret(spark) != drawn
+        spark.conf.set(KEY_SETTING, "own")
+        assert secret(spark) == "own"
+    finally:
+        spark.conf.unset(KEY_SETTING)
+        spark.conf.unset(rule)
+
+
+def test_a_window_of_very_many_items_and_rows_without_an_id(spark):
+    """Every item shares a window; names are rows of a join, and repeated documents keep their own."""
+    words = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(words[:10])) for i in range(3000)] + [(None, " ".join(words[2:12])), (7000, "w11")]
+    docs = [(1, " ".join(words)), (1, " ".join(words)), (None, " ".join(words[:11])), (2, "w11 w10"), (3, "w1"), (4, None)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string")
+    for block in (200_000, 1):
+        got = sorted(((r.doc_id or 0, r.n_hit, len(r["items"]), "7000" in r["items"]) for r in decontaminate(spark, frame(docs, "doc_id"), frame(items, "item_id"), block_windows=block).collect()))
+        assert got == [(0, 10, 3000, False), (1, 12, 3001, True), (1, 12, 3001, True), (2, 1, 1, True), (3, 0, 0, False), (4, 0, 0, False)]
+
+
+def test_a_star_is_one_component_and_its_centre_can_be_split(spark):
+    star = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    chain = spark.range(30_000, 30_040).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = components(spark, star.unionByName(chain))
+    assert {(r.component, r.n) for r in got.groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, 20_001), (30_000, 41)}
 
 
 def test_license_base_columns_equal_brute_force(spark):
