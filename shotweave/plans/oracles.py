@@ -1,6 +1,9 @@
 """DuckDB statements for the registered queries: the corpus views, then one statement per query."""
 
+import numpy as np
+
 from shotweave.functions.text import ACCENTED, PLAIN, STOP_WORDS
+from shotweave.operators.encode import QUERY, hash_encoder
 
 VIEWS = """with keyframes as (select vec_id keyframe_id, cast(floor(vec_id / 4) as bigint) scene_id, printf('%05d', cast(floor(vec_id / 20) as bigint)) video_id,
     cast(vec_id % 4 as integer) kf_index, cast((cast(floor(vec_id / 4) as bigint) % 5) * 8000 + (vec_id % 4) * 2000 as integer) ts_ms
@@ -31,10 +34,10 @@ embedded as (select * from keyframes semi join keyframe_embedding using (keyfram
 ALL = 1_000_000_000
 
 
-def near(p: str, table: str, key: str, n: int) -> str:
+def near(p: str, table: str, key: str, n: int, queries: str = "query_vectors") -> str:
     """Two-phase search: the n nearest sign codes, ranked by cosine distance, as <p>knn."""
     return f""", {p}bits as (select q.query_id, k.{key}, k.embedding e, q.embedding qe,
-    cast(list_sum(list_transform(range(1, 65), lambda i: case when (k.embedding[i] > 0) <> (q.embedding[i] > 0) then 1 else 0 end)) as bigint) bits from {table} k, query_vectors q),
+    cast(list_sum(list_transform(range(1, 65), lambda i: case when (k.embedding[i] > 0) <> (q.embedding[i] > 0) then 1 else 0 end)) as bigint) bits from {table} k, {queries} q),
 {p}cand as (select * from {p}bits qualify row_number() over (partition by query_id order by bits, {key}) <= {n}),
 {p}dist as (select query_id, {key}, round(1 - list_dot_product(cast(e as double[]), cast(qe as double[])) / sqrt(list_dot_product(cast(e as double[]), cast(e as double[])) * list_dot_product(cast(qe as double[]), cast(qe as double[]))), 6) distance from {p}cand),
 {p}knn as (select *, cast(row_number() over (partition by query_id order by distance, {key}) as integer) rank from {p}dist)
@@ -48,14 +51,14 @@ def expand(p: str, places: str, depth: int) -> str:
 """
 
 
-def caption(n: int, depth: int) -> str:
-    return near("c", "caption_embedding", "keyframe_id", n) + f""", cplace as (select query_id, scene_id, row_number() over (partition by query_id order by c.rank, keyframe_id) place from cknn c join keyframes using (keyframe_id)
+def caption(n: int, depth: int, queries: str = "query_vectors") -> str:
+    return near("c", "caption_embedding", "keyframe_id", n, queries) + f""", cplace as (select query_id, scene_id, row_number() over (partition by query_id order by c.rank, keyframe_id) place from cknn c join keyframes using (keyframe_id)
     qualify row_number() over (partition by query_id order by c.rank, keyframe_id) <= {depth})
 """ + expand("caption", "cplace", depth)
 
 
-def transcript(n: int, depth: int, segments: int = 500) -> str:
-    return near("t", "transcript_embedding", "segment_id", n) + f""", tfirst as (select query_id, scene_id, min(t.rank) hit from (select * from tknn where rank <= {segments}) t join transcript_segment x using (segment_id) join scenes s on s.video_id = x.video_id and s.start_ms < x.end_ms and s.end_ms > x.start_ms group by all),
+def transcript(n: int, depth: int, segments: int = 500, queries: str = "query_vectors") -> str:
+    return near("t", "transcript_embedding", "segment_id", n, queries) + f""", tfirst as (select query_id, scene_id, min(t.rank) hit from (select * from tknn where rank <= {segments}) t join transcript_segment x using (segment_id) join scenes s on s.video_id = x.video_id and s.start_ms < x.end_ms and s.end_ms > x.start_ms group by all),
 tplace as (select query_id, scene_id, row_number() over (partition by query_id order by hit, scene_id) place from tfirst qualify place <= {depth})
 """ + expand("transcript", "tplace", depth)
 
@@ -127,6 +130,53 @@ LINKED = staged(2) + ", " + ENDS.rsplit(", ends2", 1)[0] + f", pairs as ({joined
 LINKED3 = staged(3) + ", " + ENDS + f", later as ({joined('ends1', 'ends2', 12000)}), pairs as ({joined('ends0', 'later', 9000)}), " + BEST
 GRAMS = lambda s: f"list_distinct(flatten(list_transform({LEX.replace('ocr_text', s)}, lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 SIMILAR = lambda a, b: f"coalesce(len(list_intersect({GRAMS(a)}, {GRAMS(b)})) / nullif(len(list_distinct(list_concat({GRAMS(a)}, {GRAMS(b)}))), 0), 0)"
+
+def of_text(text: str) -> str:
+    """The vector of a query's text, as a literal."""
+    v = hash_encoder()([QUERY + text])[0]
+    return f"{(v / np.linalg.norm(v)).astype(np.float32).tolist()}::float[]"
+
+
+#: The stages of sequences by their kind: 0 'the' and 1 'der', each with the phrase in recognised text; 2 and 3 without it; 4 the spoken phrase.
+FREE = ["the", "der"]
+KINDS = f""", kinds(query_id, embedding) as (values {", ".join(f"({k}, {of_text(FREE[k % 2])})" for k in range(4))}),
+free(query_id, word) as (values {", ".join(f"({k}, '{FREE[k % 2]}')" for k in range(4))})
+""" + near("", "keyframe_embedding", "keyframe_id", ALL, "kinds") + f""", visual as (select query_id, keyframe_id, scene_id, row_number() over (partition by query_id order by k.rank, keyframe_id) rank
+    from knn k join keyframes using (keyframe_id) qualify rank <= 500)
+""" + caption(ALL, 500, "kinds") + transcript(ALL, 500, 500, "kinds") + f""", lex as (select keyframe_id, ocr_text, {LEX} w from keyframe_text),
+words_of as (select query_id, keyframe_id, len(list_filter(w, lambda x: x = word)) n from lex, free),
+ocr as (select query_id, keyframe_id, scene_id, row_number() over (partition by query_id order by round(n * 0.1 / (n * 0.1 + 1), 6) desc, keyframe_id) rank from words_of join keyframes using (keyframe_id) where n > 0 qualify rank <= 500),
+stood as (select keyframe_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' and w[i + 1] = 'the')) n from lex),
+exact as (select keyframe_id, scene_id, round(n * 0.1 / (n * 0.1 + 1), 6) score, 0 source from stood join keyframes using (keyframe_id) where n > 0 qualify row_number() over (order by score desc, keyframe_id) <= 500),
+alike as (select keyframe_id, scene_id, round({SIMILAR('ocr_text', "'of the'")}, 6) score, 1 source from keyframe_text join keyframes using (keyframe_id) where score >= 0.45 and scene_id not in (select scene_id from exact)),
+phrase_found as (select keyframe_id, scene_id, row_number() over (order by source, score desc, keyframe_id) rank from (select * from exact union all select * from alike) qualify rank <= 500),
+ocr_phrase as (select query_id, keyframe_id, scene_id, rank from phrase_found, (values (0), (1)) k(query_id)),
+plex as (select segment_id, video_id, start_ms, end_ms, {WORDS} w from transcript_segment),
+pn as (select *, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' and w[i + 1] = 'the')) n from plex),
+heard as (select 4 query_id, scene_id, max(round(n * 0.1 / (n * 0.1 + 1), 6)) score from pn p join scenes s on s.video_id = p.video_id and s.start_ms < p.end_ms and s.end_ms > p.start_ms where n > 0 group by scene_id),
+hplace as (select query_id, scene_id, row_number() over (order by score desc, scene_id) place from heard qualify place <= 500)
+""" + expand("asr_phrase", "hplace", 500) + """, ranked as (select query_id, keyframe_id, scene_id, rank, 1.0 w, 'visual' retriever from visual union all select query_id, keyframe_id, scene_id, rank, 4.0, 'ocr' from ocr
+    union all select query_id, keyframe_id, scene_id, rank, 1.0, 'caption' from caption union all select query_id, keyframe_id, scene_id, rank, 1.0, 'transcript' from transcript
+    union all select query_id, keyframe_id, scene_id, rank, 8.0, 'ocr_phrase' from ocr_phrase union all select query_id, keyframe_id, scene_id, rank, 8.0, 'asr_phrase' from asr_phrase),
+parts as (select query_id, keyframe_id, scene_id, retriever, sum(cast(w as double) / (60 + rank)) part from ranked group by all),
+sums as (select query_id kind, keyframe_id, min(scene_id) scene_id, list_sum(list(part order by retriever)) score from parts group by all),
+fused as (select * from sums qualify row_number() over (partition by kind order by round(score, 9) desc, keyframe_id) <= 1000),
+asked as (select query_id, case query_id % 3 when 1 then 1 else 0 end first_, case (query_id + 1) % 3 when 1 then 3 else 2 end then_ from query_vectors),
+hit as (select kind, keyframe_id, f.scene_id, score, video_id, ts_ms from fused f join keyframes using (keyframe_id)),
+hits0 as (select query_id, video_id, scene_id, keyframe_id, ts_ms, score from asked join hit on kind = first_),
+hits1 as (select query_id, video_id, scene_id, keyframe_id, ts_ms, score from asked join hit on kind = then_),
+hits2 as (select query_id, video_id, scene_id, keyframe_id, ts_ms, score from asked join hit on kind = 4 where query_id % 40 = 0),
+""" + ENDS + f""", later as ({joined('ends1', 'ends2', 12000)}),
+two as ({joined('ends0', 'ends1', 9000)}), three as ({joined('ends0', 'later', 9000)}),
+full_ as (select query_id, video_id from hits0 semi join hits2 using (query_id, video_id)),
+pairs as (select query_id, video_id, scene_id, keyframe_id, reached, path from two where query_id % 40 <> 0 union all select query_id, video_id, scene_id, keyframe_id, reached, path from three),
+""" + BEST
+LOG_STAGES = """, w(k, words) as (values (0, 'the der'), (1, 'der que'), (2, 'the que und')),
+s as (select query_id, 0 stage, a.words free_text, case when query_id % 7 = 0 then 'of the' else '' end ocr_phrase, '' asr_phrase, 0::bigint gap_ms from query_vectors join w a on a.k = query_id % 3
+    union all select query_id, 1, b.words, '', '', 9000 from query_vectors join w b on b.k = (query_id + 1) % 3 where query_id % 40 = 0
+    union all select query_id, 2, '', '', 'of the', 12000 from query_vectors where query_id % 40 = 0)
+select *, 1 model_id, case when query_id % 60 = 0 then '00001,00003' when query_id % 9 = 0 then '00003' else '' end excluded from s"""
+
 RECORDS = """, w as (select * replace (coalesce(status, 'INDETERMINATE') as status) from submissions),
 f as (select *, min(case when status in ('CORRECT', 'WRONG', 'UNDECIDABLE') then struct_pack(ts := ts, event_id := event_id) end) over (partition by code, scene_id) cut from w),
 g as (select * from f where cut is null or status in ('CORRECT', 'WRONG', 'UNDECIDABLE') or struct_pack(ts := ts, event_id := event_id) < cut),
@@ -246,6 +296,10 @@ union all select query_id, case when w = '' then 1 else 2 end, '', null, 'hello
     "enqueue_manifest": "select video_id, 'V3C1' collection, min(path) source_uri from named_files where folder in ('work/raw', 'data') and video_id not in (select video_id from job_events) group by video_id",
     "permitted_retrievers": SOURCED + "select * from permitted",
     "search_gated": FUSED.replace(", ranked as (select *, 1.0 w from visual union all select *, 4.0 from ocr)", ", ranked as (select *, 1.0 w from visual where query_id // 20 % 4 in (1, 3) union all select *, 4.0 from ocr where query_id // 20 % 4 in (1, 3))") + "select * from fused",
+    "query_stages": r""", f as (select segment_id query_id, array_to_string(regexp_extract_all(regexp_replace(text, '[">]', '', 'g'), '\S+'), ' ') free_text from transcript_segment)
+select query_id, 0 stage, free_text, 'shop' ocr_phrase, '' asr_phrase, 0::bigint gap_ms from f
+union all select query_id, 1, free_text, '', '', 30000 from f where free_text <> ''
+union all select query_id, case when free_text = '' then 1 else 2 end, '', '', 'hello there', 60000 from f where free_text is not null""",
     "routed_models": "select query_id, case when query_id // 20 % 3 = 0 then 10 else 1 end model_id from query_vectors",
     "models_with_rows": "select cast(r_regionkey * 5 as integer) model_id from region where r_regionkey * 5 in (select model_id from transcript_embedding)",
     "stage_summary": LINKED + """, n as (select query_id, 0 stage, count(*) hits from hits0 group by query_id union all select query_id, 1, count(*) from hits1 group by query_id), c as (select query_id, count(*) chains from chains group by query_id)

@@ -500,7 +500,8 @@ def query_words(spark, d):
 def query_stages(spark, d):
     text = derived_corpus(spark, d)["transcript_segment"].select("segment_id", F.trim(F.regexp_replace("text", '[">]', "")).alias("w"))
     log = text.select(F.col("segment_id").alias("query_id"), F.concat(F.col("w"), F.lit(' text:"shop" >> (30) '), F.col("w"), F.lit(" -video:00003 >> said:hello there")).alias("raw"))
-    return parse_log(log)[0].select("query_id", "stage", "free_text", "ocr_phrase", "asr_phrase", "gap_ms")
+    phrases = [F.coalesce(c, F.lit("")).alias(c) for c in ("ocr_phrase", "asr_phrase")]
+    return parse_log(log)[0].select("query_id", "stage", "free_text", *phrases, F.coalesce("gap_ms", F.lit(0)).alias("gap_ms"))
 
 
 @query

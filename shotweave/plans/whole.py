@@ -12,7 +12,7 @@ from shotweave.operators.routing import enrich_chains
 from shotweave.operators.search import prepared_stages, search_log, search_sequence
 from shotweave.plans import registry
 from shotweave.plans.fixtures import derived_corpus, searchable
-from shotweave.plans.oracles import ALL, GRAMS, VIEWS, near
+from shotweave.plans.oracles import ALL, GRAMS, KINDS, LOG_STAGES, VIEWS, near
 from shotweave.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -66,7 +66,8 @@ def log_stages(spark, d):
     _, (log, _, add, *models) = searched(spark, d)
     stages, filters = prepared_stages(log, add, *models)
     gone = filters["exclude"].groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("video_id")), ",").alias("excluded"))
-    return stages.join(gone, "query_id", "left").select("query_id", "stage", "free_text", "ocr_phrase", "asr_phrase", "gap_ms", "model_id", F.coalesce("excluded", F.lit("")).alias("excluded"))
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("ocr_phrase", "asr_phrase", "excluded")]
+    return stages.join(gone, "query_id", "left").select("query_id", "stage", "free_text", F.coalesce("gap_ms", F.lit(0)).alias("gap_ms"), "model_id", *text)
 
 
 @query
@@ -110,6 +111,10 @@ def whole_chains_enriched(spark, d):
 
 
 WHOLE_ORACLES = {
+    "log_stages": VIEWS + LOG_STAGES,
+    "whole_link_sequences": VIEWS + KINDS + "select query_id, video_id, keyframe_id, rank, round(reached, 6) score, path from placed where rank <= 200",
+    "whole_chains_enriched": VIEWS + KINDS + """, steps as (select query_id, rank, reached, unnest(string_split(path, ',')) kf, generate_subscripts(string_split(path, ','), 1) i from placed where rank <= 100)
+select query_id, rank, round(any_value(reached), 6) score, string_agg(video_id || '/' || scene_id % 5 || '/' || keyframe_id, ',' order by i) scenes from steps join keyframes on keyframe_id = kf::bigint group by query_id, rank""",
     "whole_knn": VIEWS + near("", "keyframe_embedding", "keyframe_id", ALL) + "select * from knn where rank <= 200",
     "whole_trigram_pairs": VIEWS + f""", g as (select keyframe_id, {GRAMS('ocr_text')} g from keyframe_text)
 select a.keyframe_id, round(coalesce(len(list_intersect(a.g, b.g)) / nullif(len(list_distinct(list_concat(a.g, b.g))), 0), 0), 6) sim from g a join g b on b.keyframe_id = a.keyframe_id + 1""",
