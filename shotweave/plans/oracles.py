@@ -142,7 +142,7 @@ FREE = ["the", "der"]
 KINDS = f""", kinds(query_id, embedding) as (values {", ".join(f"({k}, {of_text(FREE[k % 2])})" for k in range(4))}),
 free(query_id, word) as (values {", ".join(f"({k}, '{FREE[k % 2]}')" for k in range(4))})
 """ + near("", "keyframe_embedding", "keyframe_id", ALL, "kinds") + f""", visual as (select query_id, keyframe_id, scene_id, row_number() over (partition by query_id order by k.rank, keyframe_id) rank
-    from knn k join keyframes using (keyframe_id) qualify rank <= 500)
+    from knn k join keyframes using (keyframe_id) qualify row_number() over (partition by query_id order by k.rank, keyframe_id) <= 500)
 """ + caption(ALL, 500, "kinds") + transcript(ALL, 500, 500, "kinds") + f""", lex as (select keyframe_id, ocr_text, {LEX} w from keyframe_text),
 words_of as (select query_id, keyframe_id, len(list_filter(w, lambda x: x = word)) n from lex, free),
 ocr as (select query_id, keyframe_id, scene_id, row_number() over (partition by query_id order by round(n * 0.1 / (n * 0.1 + 1), 6) desc, keyframe_id) rank from words_of join keyframes using (keyframe_id) where n > 0 qualify rank <= 500),
@@ -177,6 +177,50 @@ s as (select query_id, 0 stage, a.words free_text, case when query_id % 7 = 0 th
     union all select query_id, 2, '', '', 'of the', 12000 from query_vectors where query_id % 40 = 0)
 select *, 1 model_id, case when query_id % 60 = 0 then '00001,00003' when query_id % 9 = 0 then '00003' else '' end excluded from s"""
 
+SAID = ["the der", "der que", "the que und"]
+
+
+def logged(chains: bool) -> str:
+    """Fused hits (query_id, stage, keyframe_id, scene_id, score, rank) of the log's requests with one stage, or with several."""
+    depth, limit = (500, 1000) if chains else (200, 48)
+    stages = """select query_id, 0 stage, query_id % 3 kind, query_id % 7 = 0 written, false spoken from query_vectors where query_id % 40 = 0
+    union all select query_id, 1, (query_id + 1) % 3, false, false from query_vectors where query_id % 40 = 0
+    union all select query_id, 2, null, false, true from query_vectors where query_id % 40 = 0"""
+    stages = stages if chains else "select query_id, 0 stage, query_id % 3 kind, query_id % 7 = 0 written, false spoken from query_vectors where query_id % 40 <> 0"
+    top = lambda order, name="pos": f"row_number() over (partition by s.query_id, stage order by {order}) {name}"
+    return f""", kinds(query_id, embedding, words) as (values {", ".join(f"({k}, {of_text(t)}, {t.split()})" for k, t in enumerate(SAID))}),
+stages as ({stages}),
+may as (select query_id, keyframe_id, scene_id, ts_ms, k.video_id from query_vectors q, keyframes k join videos v using (video_id)
+    where (q.query_id // 20 % 3 = 2 or v.collection = case q.query_id // 20 % 3 when 0 then 'MVK' else 'V3C2' end)
+    and not (q.query_id % 60 = 0 and k.video_id in ('00001', '00003')) and not (q.query_id % 9 = 0 and k.video_id = '00003')),
+""" + SOURCED[2:] + near("", "keyframe_embedding", "keyframe_id", ALL, "kinds") + near("c", "caption_embedding", "keyframe_id", ALL, "kinds") + near("t", "transcript_embedding", "segment_id", ALL, "kinds") + f""",
+visual as (select s.query_id, stage, m.keyframe_id, scene_id, {top('d.distance, m.keyframe_id')} from stages s join knn d on d.query_id = kind join may m on m.query_id = s.query_id and m.keyframe_id = d.keyframe_id qualify pos <= {depth}),
+cplace as (select s.query_id, stage, scene_id, {top('d.distance, m.keyframe_id', 'place')} from stages s join cknn d on d.query_id = kind join may m on m.query_id = s.query_id and m.keyframe_id = d.keyframe_id qualify place <= {depth}),
+caption as (select s.query_id, stage, k.keyframe_id, scene_id, {top('s.place, ts_ms, k.keyframe_id')} from cplace s join keyframes k using (scene_id) qualify pos <= {depth}),
+okay as (select distinct query_id, scene_id from may),
+tfirst as (select kind, scene_id, min(d.rank) hit from (select query_id kind, segment_id, rank from tknn where rank <= 500) d join transcript_segment x using (segment_id) join scenes c on c.video_id = x.video_id and c.start_ms < x.end_ms and c.end_ms > x.start_ms group by all),
+tplace as (select s.query_id, stage, scene_id, {top('hit, scene_id', 'place')} from stages s join tfirst using (kind) join okay o using (query_id, scene_id) qualify place <= {depth}),
+transcript as (select s.query_id, stage, k.keyframe_id, scene_id, {top('s.place, ts_ms, k.keyframe_id')} from tplace s join keyframes k using (scene_id) qualify pos <= {depth}),
+lex as (select keyframe_id, ocr_text, {LEX} w from keyframe_text),
+counted as (select query_id kind, keyframe_id, len(list_filter(w, lambda x: list_contains(words, x))) n from lex, kinds),
+ocr as (select s.query_id, stage, keyframe_id, scene_id, {top('round(n * 0.1 / (n * 0.1 + 1), 6) desc, keyframe_id')} from stages s join counted using (kind) join may m using (query_id, keyframe_id) where n > 0 qualify pos <= {depth}),
+stood as (select keyframe_id, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' and w[i + 1] = 'the')) n from lex),
+exact as (select s.query_id, stage, keyframe_id, scene_id, round(n * 0.1 / (n * 0.1 + 1), 6) score, 0 source, {top('round(n * 0.1 / (n * 0.1 + 1), 6) desc, keyframe_id')} from stages s join may m using (query_id) join stood using (keyframe_id) where written and n > 0 qualify pos <= {depth}),
+near_ as (select keyframe_id, round({SIMILAR('ocr_text', "'of the'")}, 6) score from keyframe_text where score >= 0.45),
+alike as (select s.query_id, stage, keyframe_id, scene_id, score, 1 source from stages s join may m using (query_id) join near_ using (keyframe_id) where written and not exists (select 1 from exact e where e.query_id = s.query_id and e.stage = s.stage and e.scene_id = m.scene_id)),
+ocr_phrase as (select s.query_id, stage, keyframe_id, scene_id, {top('source, score desc, keyframe_id')} from (select * exclude (pos) from exact union all select * from alike) s qualify pos <= {depth}),
+plex as (select segment_id, video_id, start_ms, end_ms, {WORDS} w from transcript_segment),
+pn as (select *, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' and w[i + 1] = 'the')) n from plex),
+heard as (select scene_id, max(round(n * 0.1 / (n * 0.1 + 1), 6)) score from pn p join scenes c on c.video_id = p.video_id and c.start_ms < p.end_ms and c.end_ms > p.start_ms where n > 0 group by scene_id),
+hplace as (select s.query_id, stage, scene_id, {top('score desc, scene_id', 'place')} from stages s join okay using (query_id) join heard using (scene_id) where spoken qualify place <= {depth}),
+asr_phrase as (select s.query_id, stage, k.keyframe_id, scene_id, {top('s.place, ts_ms, k.keyframe_id')} from hplace s join keyframes k using (scene_id) qualify pos <= {depth}),
+ranked as ({" union all ".join(f"select query_id, stage, keyframe_id, scene_id, pos rank, {w} w, '{r}' retriever from {r}" for r, w in (("visual", 1.0), ("ocr", 4.0), ("caption", 1.0), ("transcript", 1.0), ("ocr_phrase", 8.0), ("asr_phrase", 8.0)))}),
+parts as (select query_id, stage, keyframe_id, scene_id, retriever, sum(cast(w as double) / (60 + rank)) part from ranked semi join permitted using (query_id, retriever) group by all),
+sums as (select query_id, stage, keyframe_id, min(scene_id) scene_id, list_sum(list(part order by retriever)) score from parts group by all),
+fused as (select *, cast(row_number() over (partition by query_id, stage order by round(score, 9) desc, keyframe_id) as integer) rank from sums qualify rank <= {limit})
+"""
+
+
 RECORDS = """, w as (select * replace (coalesce(status, 'INDETERMINATE') as status) from submissions),
 f as (select *, min(case when status in ('CORRECT', 'WRONG', 'UNDECIDABLE') then struct_pack(ts := ts, event_id := event_id) end) over (partition by code, scene_id) cut from w),
 g as (select * from f where cut is null or status in ('CORRECT', 'WRONG', 'UNDECIDABLE') or struct_pack(ts := ts, event_id := event_id) < cut),
@@ -186,6 +230,9 @@ records as (select code, scene_id, arg_max(status, struct_pack(ts := ts, event_i
 SOURCED = """, sourced as (select query_id, case query_id // 20 % 4 when 0 then [' ASR ', 'nowhere'] when 1 then ['ocr', 'visual'] when 2 then ['sound'] else [] end asked, case query_id // 20 % 3 when 0 then 'mvk' when 1 then 'V3C2' end collection from query_vectors),
 permitted as (select query_id, unnest(list_concat(case query_id // 20 % 4 when 0 then ['transcript'] when 1 then ['visual', 'ocr'] when 2 then [] else ['visual', 'ocr', 'transcript', 'caption'] end, ['ocr_phrase', 'asr_phrase'])) retriever from sourced)
 """
+LOG_RESULTS = logged(False) + "select query_id, rank, keyframe_id, scene_id, video_id, round(score, 6) score from fused join keyframes using (keyframe_id, scene_id)"
+LOG_CHAINS = logged(True) + ", hit as (select query_id, stage, k.video_id, f.scene_id, keyframe_id, k.ts_ms, score from fused f join keyframes k using (keyframe_id)), " + ", ".join(f"hits{k} as (select * exclude (stage) from hit where stage = {k})" for k in range(3)) + ", " + ENDS + f""", later as ({joined('ends1', 'ends2', 12000)}), pairs as ({joined('ends0', 'later', 9000)}),
+""" + BEST + "select query_id, rank, video_id, round(reached, 6) score, path from placed where rank <= 48"
 
 WORDS_OF = r"regexp_extract_all(text, '[\p{L}]+|[0-9]+')"
 STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)

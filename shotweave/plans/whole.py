@@ -12,7 +12,7 @@ from shotweave.operators.routing import enrich_chains
 from shotweave.operators.search import prepared_stages, search_log, search_sequence
 from shotweave.plans import registry
 from shotweave.plans.fixtures import derived_corpus, searchable
-from shotweave.plans.oracles import ALL, GRAMS, KINDS, LOG_STAGES, VIEWS, near
+from shotweave.plans.oracles import ALL, GRAMS, KINDS, LOG_CHAINS, LOG_RESULTS, LOG_STAGES, VIEWS, near
 from shotweave.plans.registry import Query
 
 QUERIES: dict[str, Query] = {}
@@ -112,6 +112,8 @@ def whole_chains_enriched(spark, d):
 
 WHOLE_ORACLES = {
     "log_stages": VIEWS + LOG_STAGES,
+    "log_results": VIEWS + LOG_RESULTS,
+    "log_chains": VIEWS + LOG_CHAINS,
     "whole_link_sequences": VIEWS + KINDS + "select query_id, video_id, keyframe_id, rank, round(reached, 6) score, path from placed where rank <= 200",
     "whole_chains_enriched": VIEWS + KINDS + """, steps as (select query_id, rank, reached, unnest(string_split(path, ',')) kf, generate_subscripts(string_split(path, ','), 1) i from placed where rank <= 100)
 select query_id, rank, round(any_value(reached), 6) score, string_agg(video_id || '/' || scene_id % 5 || '/' || keyframe_id, ',' order by i) scenes from steps join keyframes on keyframe_id = kf::bigint group by query_id, rank""",
