@@ -146,7 +146,8 @@ def cluster_vectors(spark: SparkSession, df: DataFrame, k: int = 40, rounds: int
     Kept are vectors of `dims` components, none null, not finite, or beyond 2**27 as an integer, since squared distances of
     larger ones do not fit a long. The k kept vectors with the smallest sha256 of 'seed:vec_id' start, repeated and null ids
     (an empty text) in the order of their components; fewer vectors make fewer centroids. Ties go to the smaller number, and
-    empty clusters stay where they are. Repeated rows count each. No vectors, no rows. Other columns are not read.
+    empty clusters stay where they are. Repeated rows count each. A sum of distances beyond a long is given as the largest long.
+    No vectors, no rows. Other columns are not read.
     """
     kept = stored(integers(df, vec_id, vector, dims, scale))
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("vec_id").cast("string"), F.lit(""))), 256)
@@ -164,5 +165,6 @@ def cluster_vectors(spark: SparkSession, df: DataFrame, k: int = 40, rounds: int
             c, loose = new, loosening(c, new, radius)
     sums = {r["cluster"]: int(r["s"]) for r in state.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()}  # k rows
     names = [hashlib.sha256(",".join(map(str, row.tolist())).encode()).hexdigest() for row in c]
-    final = spark.createDataFrame([(i, s, sum(sums.values()), names[i]) for i, s in sums.items()], "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
+    most = np.iinfo(np.int64).max
+    final = spark.createDataFrame([(i, min(s, most), min(sum(sums.values()), most), names[i]) for i, s in sums.items()], "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
     return state.select("vec_id", "cluster", "distance").join(F.broadcast(final), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

@@ -156,7 +156,8 @@ def brute_clusters(rows, k=40, rounds=5, dims=64):
     for d, j in at:
         inertia[j] = inertia.get(j, 0) + d
     sha = [hashlib.sha256(",".join(map(str, y)).encode()).hexdigest() for y in c]
-    return sorted((i is None, i or 0, j, d, inertia[j], sum(inertia.values()), sha[j]) for (i, _), (d, j) in zip(kept, at, strict=True))
+    fit = lambda x: min(x, (1 << 63) - 1)
+    return sorted((i is None, i or 0, j, d, fit(inertia[j]), fit(sum(inertia.values())), sha[j]) for (i, _), (d, j) in zip(kept, at, strict=True))
 
 
 def clusters(spark, rows, **kwargs):
