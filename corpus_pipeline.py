@@ -76,7 +76,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = held = stored(stage(spark, docs, sf_dir), instead=held)  # a stage's input goes once its result is complete
     return STAGES[-1][1](spark, docs, sf_dir)
