@@ -361,6 +361,8 @@ select query_id, stage, case stage when 0 then 'text:"open" the' else 'said:"no
     "loaded_vectors": "select vec_id, round(cast(cast(embedding[64] as varchar) as double), 6) last, cast(len(embedding) as integer) dims from embeddings",
     "submission_checks": ", a as (select cast(floor(event_id / 3) as bigint) answer_set, event_id, case when event_type <> 'view' then event_type end media_item, user_id % 2 = 0 collected, case user_id % 3 when 0 then 'said' when 1 then ' ' end said from events qualify row_number() over (partition by cast(floor(event_id / 3) as bigint) order by event_id % 3) = 1), r as (select answer_set, case when media_item is null and said is null then 'no answer' when media_item is not null and not collected then 'no collection' when media_item is null and said = ' ' then 'empty text' else '' end reason from a) select answer_set, reason = '' valid, reason from r",
     "append_new": "select keyframe_id, 1 model_id from keyframes where keyframe_id not in (select vec_id from embeddings)",
+    "committed_scenes": "select scene_id, video_id, case when video_id = '00003' then end_ms - 1 when scene_id % 7 = 0 then end_ms + 1 else end_ms end end_ms from scenes where video_id <> '00004' and (video_id <> '00003' or shot_index < 2)",
+    "enriched_stream": "select doc_id, case when contains(coalesce(text, ''), '#') then -1 else length(coalesce(text, '')) end chars, case when contains(coalesce(text, ''), '#') then 'sign' else '' end error from (select any_value(text) as text, doc_id from documents where doc_id is not null group by doc_id)",
     "upsert_videos": "select video_id, duration_ms + case when damaged then 1 else 0 end duration_ms, damaged from videos",
     "replace_scenes": "select scene_id, video_id, end_ms from scenes where video_id not in ('00003', '00004') union all select scene_id, video_id, end_ms - 1 from scenes where video_id = '00003' and shot_index < 2",
     "collection_filter": "select keyframe_id, video_id from keyframes join videos using (video_id) where collection = 'V3C1' and video_id <> '00003'",

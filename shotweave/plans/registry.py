@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +26,9 @@ from shotweave.operators.search import STAGES, enrich, filmstrip, link_chains, l
 from shotweave.plans.fixtures import derived_corpus, searchable
 from shotweave.plans.oracles import ORACLES
 from shotweave.sources import corpus as C
-from shotweave.sources.scratch import stored
-from shotweave.streaming.jobs import event_windows, live_snapshot, session_windows
+from shotweave.sources.keyed import KeyedTable
+from shotweave.sources.scratch import shared_dir, stored
+from shotweave.streaming.jobs import event_windows, incremental_enrich, live_snapshot, session_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,6 +93,37 @@ def upsert_videos(spark, d):
     return C.upsert(v, v.where("damaged").withColumn("duration_ms", F.col("duration_ms") + 1), ["video_id"]).select("video_id", "duration_ms", "damaged")
 
 
+def keyed(spark: SparkSession, like: DataFrame, by: list[str]) -> KeyedTable:
+    """An empty table in the shared folder."""
+    return KeyedTable(spark, f"{shared_dir(spark)}/keyed-{uuid4().hex}", like.schema, by, 16)
+
+
+@query
+def committed_scenes(spark, d):
+    """Shots after three commits to a table on disk: loaded, some changed, those of two videos replaced."""
+    scenes = derived_corpus(spark, d)["scenes"]
+    table = keyed(spark, scenes, ["video_id"])
+    table.upsert(scenes, ["video_id", "scene_id"], batch="load")
+    table.upsert(scenes.where("scene_id % 7 = 0").withColumn("end_ms", F.col("end_ms") + 1), ["video_id", "scene_id"], batch="change")
+    table.upsert(scenes, ["video_id", "scene_id"], batch="load")  # a repeated batch changes nothing
+    gone = spark.createDataFrame([("00003",), ("00004",)], "video_id string")
+    table.replace_for(scenes.where("video_id = '00003' and shot_index < 2").withColumn("end_ms", F.col("end_ms") - 1), gone)
+    return table.read().select("scene_id", "video_id", "end_ms")
+
+
+@query
+def enriched_stream(spark, d):
+    """A stream of documents enriched by their length; texts with a '#' fail and stay pending."""
+    docs = C.read(spark, d, "documents").where("doc_id is not null").select("doc_id", "text")
+    source = f"{d}/documents.parque[t]"  # as a pattern, since the table can be one file, and streams read folders or patterns
+    stream = spark.readStream.schema(C.read(spark, d, "documents").schema).parquet(source).where("doc_id is not null").select("doc_id", "text")
+    measure = lambda x: x.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("chars"), F.when(F.contains("text", F.lit("#")), "sign").alias("error"))
+    done, failed = keyed(spark, measure(docs).drop("error"), ["doc_id"]), keyed(spark, docs.withColumn("error", F.lit("")).withColumn("attempts", F.lit(0)), ["doc_id"])
+    incremental_enrich(stream, done, measure, ["doc_id"], f"{shared_dir(spark)}/stream-{uuid4().hex}", failed).awaitTermination()
+    none = F.lit("")
+    return done.read().select("doc_id", "chars", none.alias("error")).unionByName(failed.read().select("doc_id", F.lit(-1).alias("chars"), "error"))
+
+
 @query
 def replace_scenes(spark, d):
     t = derived_corpus(spark, d)
