@@ -329,8 +329,11 @@ def in_cells(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(_cells(percent), SEATS)
 
 
-def next_cells(spark: SparkSession, measured: DataFrame, edges: DataFrame, percent: int, level: int) -> tuple[DataFrame, bool] | None:
-    """((cell, doc, label, grams), divided): who still has to meet in the cells of dealt ones; None if nobody has.
+def next_cells(spark: SparkSession, measured: DataFrame, edges: DataFrame, percent: int, level: int) -> tuple[DataFrame, bool, DataFrame] | None:
+    """((cell, doc, label, grams), divided, known): who still has to meet in the cells of dealt ones; None if nobody has.
+
+    `edges` connect what earlier levels have found; `known` connects the same with an edge from each document to its label,
+    so the next level's components start from there.
 
     A document's label is the least one that links reach so far. Where all of a cell have one label nothing is left to do.
     Otherwise those without the label of the cell's pivot stay, and those within the radius of them. If the windows hold so
@@ -342,6 +345,7 @@ def next_cells(spark: SparkSession, measured: DataFrame, edges: DataFrame, perce
     if not docs:
         return None
     label = components(spark, edges).select(F.col("node").alias("doc"), F.col("component").alias("label"))
+    known = label.where("doc <> label").select(F.col("doc").alias("a"), F.col("label").alias("b"))
     told = stored(seats.select("doc", "parent", "seats").join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc")))
     places = told.select("doc", "label", F.explode("seats").alias("s")).select("doc", "label", "s.cell", "s.d")
     cells = places.groupBy("cell").agg(F.min_by("label", F.struct("d", "label")).alias("own"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cell", "own")
@@ -355,10 +359,10 @@ def next_cells(spark: SparkSession, measured: DataFrame, edges: DataFrame, perce
     if total > GROWTH * docs or level == LEVELS:
         mixed = told.groupBy("parent").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("parent")
         whole = join_by_hot_key(told.select("doc", "label", "parent"), mixed, "parent", "doc").select("doc", "parent", "label")
-        return stored(seats.select("doc", "parent", "grams").join(whole, ["doc", "parent"]).select(F.col("parent").alias("cell"), "doc", "label", "grams")), False
+        return stored(seats.select("doc", "parent", "grams").join(whole, ["doc", "parent"]).select(F.col("parent").alias("cell"), "doc", "label", "grams")), False, known
     # a document of several parents is stored once in each; one copy of its set is enough
     sets = seats.select("doc", "grams").join(stay, "doc").dropDuplicates(["doc"])
-    return stored(sets.select(F.explode("cells").alias("cell"), "doc", "label", "grams")), True
+    return stored(sets.select(F.explode("cells").alias("cell"), "doc", "label", "grams")), True, known
 
 
 def between_blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -413,14 +417,15 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, size: int = 4, percent:
     by_doc = rows.groupBy("doc").agg(F.collect_list(F.struct("cell", "slot", "role", "blocks")).alias("s"))
     sets = base.join(by_doc, "doc").mapInArrow(_with_sets(size), "doc bigint, grams binary, s array<struct<cell:bigint,slot:int,role:int,blocks:int>>")
     level = sets.select(F.explode("s").alias("s"), "doc", F.col("doc").alias("label"), "grams").select("s.*", "doc", "label", "grams")
-    found = twins
+    found = known = twins
     for depth in range(1, LEVELS + 2):
         measured = stored(in_cells(level, percent))
-        found = found.unionByName(measured.where("a is not null").select("a", "b"))
-        left = next_cells(spark, measured, found, percent, depth)
+        new = measured.where("a is not null").select("a", "b")
+        found = found.unionByName(new)
+        left = next_cells(spark, measured, known.unionByName(new), percent, depth)
         if left is None:
             return found
-        rows, divided = left
+        rows, divided, known = left
         sizes = rows.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block)
         level = dealt(rows, sizes, block) if divided else between_blocks(rows, block)
     raise RuntimeError("cells did not close")
