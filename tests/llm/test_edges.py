@@ -6,9 +6,11 @@ import re
 from datetime import date, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from shotweave.llm import graph
 from shotweave.llm import pseudonyms as P
 from shotweave.llm.decontaminate import decontaminate
 from shotweave.llm.embedding_dedup import near_vectors
@@ -245,6 +247,45 @@ def test_a_star_is_one_component_and_its_centre_can_be_split(spark):
     assert {(r.component, r.n) for r in got.groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, 20_001), (30_000, 41)}
 
 
+@pytest.mark.parametrize("held", [4, 50, 1 << 20])
+def test_contracted_edges_connect_the_same_nodes(monkeypatch, held):
+    monkeypatch.setattr(graph, "HELD", held)
+    rng = np.random.default_rng(3)
+    for nodes, edges in ((1, 3), (40, 30), (300, 280), (300, 2000)):
+        a, b = rng.integers(-nodes, nodes, (2, edges)) * (1 << 40)
+        batches = [pa.RecordBatch.from_arrays([pa.array(a[i : i + 7]), pa.array(b[i : i + 7])], names=["a", "b"]) for i in range(0, edges, 7)]
+        out = [e for batch in graph._contract(iter(batches)) for e in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        want, got = _least(zip(a.tolist(), b.tolist(), strict=True)), _least(out)
+        assert {n: c for n, c in want.items() if n != c} == {n: c for n, c in got.items() if n != c}
+        assert all(x > y for x, y in out) and (held < edges or len(out) == sum(n != c for n, c in want.items()))
+    assert list(graph._contract(iter([]))) == []
+
+
+def _least(edges):
+    """The least node that each node reaches, by walking."""
+    near = {}
+    for x, y in edges:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    out = {}
+    for start in sorted(near):
+        todo = [start] if start not in out else []
+        while todo:
+            n = todo.pop()
+            if n not in out:
+                out[n] = start
+                todo += near[n]
+    return out
+
+
+def test_components_of_null_ends_loops_narrow_ids_and_no_edges(spark):
+    rows = [(1, None), (None, 2), (3, 3), (5, 4), (4, 5), (6, 5), (6, 5), (9, 8)]
+    for kind in ("int", "bigint"):
+        edges = spark.createDataFrame(rows, f"a {kind}, b {kind}").withColumn("node", F.lit(0))
+        assert {(r.node, r.component) for r in components(spark, edges).collect()} == {(5, 4), (6, 4), (4, 4), (9, 8), (8, 8)}
+    assert components(spark, edges.limit(0)).count() == 0
+
+
 def test_license_base_columns_equal_brute_force(spark):
     rng = random.Random(8)
     vocabulary = "cc by general public license all rights reserved the CC-BY Gnu é x".split()
