@@ -464,7 +464,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, size: int = 4, perc
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """What tells rows apart: a 64-bit hash of id and text. Rows that agree in both are one."""
+    """What names a row in links: a 64-bit hash of id and text. Rows that agree in both have one name."""
     return F.xxhash64(F.coalesce(doc_id.cast("string"), F.lit("")), doc_id.isNull(), text)
 
 
@@ -473,12 +473,13 @@ def keep_one(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int =
 
     A row is judged by its id and text together, so rows that share an id are told apart, and so are rows with a null id.
     One row of each group of linked texts stays (the one with the least hash of id and text), and one of rows that agree in
-    id and text. Null texts and such without words link with nothing. Long texts are taken whole; other columns may have
-    any name.
+    id and text, told by two hashes: rows whose names clash have each other's links, but are no repeats of each other. Null
+    texts and such without words link with nothing. Long texts are taken whole; other columns may have any name.
     """
-    key = "row_key"
-    while key in docs.columns:
-        key += "_"
-    own = docs.withColumn(key, row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    key, check = "row_key", "row_check"
+    while {key, check} & {c.lower() for c in docs.columns}:
+        key, check = key + "_", check + "_"
+    i, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    own = docs.withColumns({key: row_key(i, t), check: F.xxhash64(F.lit("check"), i.cast("string"), i.isNull(), t)})
     groups = components(spark, jaccard_links(spark, own, size, percent, key, text)).where("node <> component").select(F.col("node").alias(key))
-    return own.join(groups, key, "left_anti").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return own.join(groups, key, "left_anti").dropDuplicates([key, check]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shotweave.llm import graph
+from shotweave.llm import graph, jaccard_join
 from shotweave.llm import pseudonyms as P
 from shotweave.llm.decontaminate import decontaminate
 from shotweave.llm.embedding_dedup import near_vectors
@@ -286,6 +286,14 @@ def test_components_of_null_ends_loops_narrow_ids_and_no_edges(spark):
     assert components(spark, edges.limit(0)).count() == 0
 
 
+def test_rows_whose_names_clash_are_not_taken_for_repeats(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "row_key", lambda doc_id, text: F.xxhash64(F.length(text)))  # clashes for all texts of one length
+    texts = ["alpha beta gamma", "delta beta omega", "delta beta omega", None, "a b c d e f g h"]
+    df = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert sorted(r.text or "" for r in keep_one(spark, df).collect()) == ["", "a b c d e f g h", "alpha beta gamma", "delta beta omega", "delta beta omega"]
+    assert keep_one(spark, df.union(df)).count() == 5
+
+
 def test_license_base_columns_equal_brute_force(spark):
     rng = random.Random(8)
     vocabulary = "cc by general public license all rights reserved the CC-BY Gnu é x".split()
