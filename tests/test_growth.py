@@ -13,3 +13,30 @@ def test_words_are_grouped_where_a_text_is_read(spark, monkeypatch):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     rows = sorted((r.key, r.block, r.token, r.n, r.positions) for r in got.collect())
     assert rows == [(1, 5, "a", 1, [1]), (1, 5, "b", 2, [0, 2]), (4, 8, "a", 1, [0]), (5, 9, "a", 1, [4]), (5, 9, "c", 4, [0, 1, 2, 3])]
+
+
+def test_equal_requests_are_searched_once(spark):
+    from shotweave.operators.shared import once_by, once_by_rows
+
+    q = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", ["x"]), (4, "b", ["y"]), (5, None, ["x"]), (6, "b", ["x"])], "query_id int, raw string, sources array<string>")
+    asked = once_by(q, ["raw", "sources"])
+    assert sorted(r.query_id for r in asked.first.collect()) == [1, 3, 4, 5] and asked.count == 4
+    found = asked.first.select("query_id", F.lit(7).alias("hit"))
+    for each in (None, 1, 10**9):
+        assert sorted(map(tuple, asked.given(found, each).collect())) == [(i, 7) for i in range(1, 7)]
+    steps = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 1, "b"), (2, 0, "a"), (3, 0, "a")], "query_id int, stage int, w string")
+    asked = once_by_rows(steps, "stage")
+    assert sorted(map(tuple, asked.first.collect())) == [(1, 0, "a"), (1, 1, "b"), (3, 0, "a")]
+    assert sorted(map(tuple, asked.members.collect())) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_score_range_ranks_a_shared_list_once(spark, monkeypatch):
+    """Rows of hits and queries never meet before the cut."""
+    from shotweave.operators import retrieve as R
+    from shotweave.plans import registry
+
+    def pairs(*_, **__):
+        raise AssertionError("hits of every query")
+
+    monkeypatch.setattr(R, "lexical_hits", pairs)
+    assert registry.queries()["score_range"](spark, "/root/testdata/sf0.001").count() == 1
