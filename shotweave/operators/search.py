@@ -14,6 +14,7 @@ from shotweave.operators import retrieve as R
 from shotweave.operators.querylog import MOST_STAGES, merged_exclusions, parse_log
 from shotweave.operators.ranking import rank_list, rrf_fuse, top_k
 from shotweave.operators.rules import gate_sources, route_model
+from shotweave.operators.shared import once_by, once_by_rows
 from shotweave.sources.scratch import stored
 
 # Default fusion weights.
@@ -160,14 +161,17 @@ def search_log(log: DataFrame, t: dict[str, DataFrame], embed: Callable[[DataFra
     """(results, chains) of a query log as requests ask for them: parse, gate, route, retrieve, fuse, link.
 
     Queries of one stage give fused results (query_id, rank, keyframe_id, scene_id, video_id, ts_ms, score); queries of
-    several stages give chains. Both can be enriched.
+    several stages give chains. Both can be enriched. A log repeats itself: requests that are equal in all but their id are
+    searched once, so the search grows with the different requests, and only its results with all of them.
     """
-    stages, filters = prepared_stages(log, embed, models, routes, default, config)
+    requests = once_by(log, [c for c in ("raw", "sources", "collection", "exclude") if c in log.columns])
+    stages, filters = prepared_stages(requests.first, embed, models, routes, default, config)
     count = stages.groupBy("query_id").agg(F.count("*").alias("n"))
     single, several = (stages.join(count.where(c).select("query_id"), "query_id", "left_semi") for c in ("n = 1", "n > 1"))
     hits = stage_results(single, t, config.depth, config.limit, **filters)
     results = rank_list(hits.drop("stage"), ["query_id"], F.round("score", 9).desc(), F.col("keyframe_id"))
-    return results, search_sequence(several, t, config.limit, config.per_video, depth=config.chain_depth, limit=config.chain_limit, **filters)
+    chains = search_sequence(several, t, config.limit, config.per_video, depth=config.chain_depth, limit=config.chain_limit, **filters)
+    return requests.given(results, config.limit), requests.given(chains, config.limit)
 
 
 def link_stages(hits: DataFrame, stages: DataFrame, limit: int | None = None, per_video: int = 3) -> DataFrame:
@@ -182,10 +186,14 @@ def link_stages(hits: DataFrame, stages: DataFrame, limit: int | None = None, pe
 def search_sequence(stages: DataFrame, t: dict[str, DataFrame], chains: int | None = None, per_video: int = 3, **kwargs) -> DataFrame:
     """Ordered chains of queries that have a search for each stage, 500 deep and 1000 fused; the anchor's score is the chain's.
 
-    Stages and hits are used often, so they are stored once in the shared scratch folder.
+    Stages and hits are used often, so they are stored once in the shared scratch folder. Without filters of their own, queries
+    whose stages are all equal are searched and linked once.
     """
     stages = stored(stages)
-    return link_stages(stored(stage_results(stages, t, **kwargs)), stages, chains, per_video)
+    if any(kwargs.get(x) is not None for x in ("exclude", "permitted", "wanted")):
+        return link_stages(stored(stage_results(stages, t, **kwargs)), stages, chains, per_video)
+    asked = once_by_rows(stages, "stage")
+    return asked.given(link_stages(stored(stage_results(asked.first, t, **kwargs)), asked.first, chains, per_video), chains)
 
 
 def link_rows(fused: DataFrame, keyframes: DataFrame, stage: int) -> DataFrame:
