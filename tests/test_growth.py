@@ -40,3 +40,30 @@ def test_score_range_ranks_a_shared_list_once(spark, monkeypatch):
 
     monkeypatch.setattr(R, "lexical_hits", pairs)
     assert registry.queries()["score_range"](spark, "/root/testdata/sf0.001").count() == 1
+
+
+def test_scan_keeps_the_nearest_of_a_task_not_of_a_batch(spark):
+    """Ten batches of one task, with many copies: k rows a query leave it, and they are the right ones."""
+    from shotweave.operators import retrieve as R
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8)).astype(np.float32)[rng.integers(0, 60, 400)]
+    v = spark.createDataFrame([(int(i), 1, [float(c) for c in x[i]]) for i in rng.permutation(400)], "key bigint, model_id int, embedding array<float>").coalesce(1)
+    q = spark.createDataFrame([(i, 1, [float(c) for c in x[i]]) for i in range(9)], "query_id int, model_id int, embedding array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        near = R.exact_candidates(q, v, "key", 7).groupBy("query_id").count().collect()
+        got = {i: [] for i in range(9)}
+        for r in R.knn_exact(q, v, "key", 7).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.key)
+        bits = R.ann_candidates(q, R.encode(v, "key"), "key", 7).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("bits", "key"))).alias("b")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(r["count"] < 14 for r in near)
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(axis=1, keepdims=True))
+    for i in range(9):
+        d = np.round(1 - unit @ unit[i], 6)
+        assert got[i] == sorted(range(400), key=lambda j: (d[j], j))[:7]
+    for r in bits:
+        apart = ((x > 0) != (x[r.query_id] > 0)).sum(axis=1)
+        assert [(b["bits"], b["key"]) for b in r.b] == sorted((int(apart[j]), j) for j in range(400))[:7]
