@@ -67,3 +67,22 @@ def test_scan_keeps_the_nearest_of_a_task_not_of_a_batch(spark):
     for r in bits:
         apart = ((x > 0) != (x[r.query_id] > 0)).sum(axis=1)
         assert [(b["bits"], b["key"]) for b in r.b] == sorted((int(apart[j]), j) for j in range(400))[:7]
+
+
+def test_similar_texts_move_no_pairs_but_similar_ones(spark, monkeypatch):
+    """Several blocks, tables and lists, texts of many words and short phrases: as a comparison of all pairs."""
+    from shotweave.functions.text import trigram_similarity
+    from shotweave.operators import retrieve as R
+
+    words = ["of the and", "of the", "the", "of the and in that this", " ".join(f"word{i} of the" for i in range(90)), "", None, "Of THE", "été of the"]
+    df = spark.createDataFrame(list(enumerate(words)), "id long, text string")
+    for picked in (words[:3], words):
+        q = spark.createDataFrame([(w,) for w in picked], "phrase string")
+        every = q.crossJoin(df).select("phrase", "id", F.round(trigram_similarity("phrase", "text"), 6).alias("score")).where("score >= 0.45")
+        wanted = sorted(map(tuple, every.collect()))
+        for block, most in ((4096, R.MOST_GRAMS), (2, 1)):
+            monkeypatch.setattr(R, "BLOCK_PHRASES", block)
+            monkeypatch.setattr(R, "MOST_GRAMS", most)
+            got = R.similar_texts(q, df, "text", "id", 0.45)
+            plan = got._jdf.queryExecution().optimizedPlan().toString()
+            assert "gram#" not in plan and sorted(map(tuple, got.collect())) == wanted
