@@ -86,3 +86,13 @@ def test_similar_texts_move_no_pairs_but_similar_ones(spark, monkeypatch):
             got = R.similar_texts(q, df, "text", "id", 0.45)
             plan = got._jdf.queryExecution().optimizedPlan().toString()
             assert "gram#" not in plan and sorted(map(tuple, got.collect())) == wanted
+
+
+def test_hits_are_dealt_before_they_meet_the_queries(spark):
+    """Two lists with many queries are not two tasks."""
+    from shotweave.operators import retrieve as R
+
+    df = spark.createDataFrame([(i, "a b") for i in range(40)], "id long, text string")
+    q = spark.range(30).select(F.col("id").alias("query_id"), F.array(F.when(F.col("id") % 2 == 0, "a").otherwise("b")).alias("tokens"))
+    got = R.lexical_hits(q, df, "text", "id")
+    assert got.count() == 1200 and got.select(F.spark_partition_id().alias("p")).distinct().count() > 8
