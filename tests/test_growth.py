@@ -96,3 +96,26 @@ def test_hits_are_dealt_before_they_meet_the_queries(spark):
     q = spark.range(30).select(F.col("id").alias("query_id"), F.array(F.when(F.col("id") % 2 == 0, "a").otherwise("b")).alias("tokens"))
     got = R.lexical_hits(q, df, "text", "id")
     assert got.count() == 1200 and got.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+
+
+def test_trigrams_cut_a_repeated_word_once(spark):
+    from shotweave.functions.text import trigram_similarity, trigrams
+
+    rows = [("aa b aa AA b", "b aa"), ("a", None), ("", ""), ("été ab", "ete abc"), ("𝐀𝐀 x", "𝐀𝐀")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(trigrams(F.col("a")).alias("g"), F.round(trigram_similarity(F.col("a"), F.col("b")), 6).alias("s"))
+    assert [r.g for r in got.collect()] == [["  a", " aa", "aa ", "  b", " b "], ["  a", " a "], [], ["  e", " et", "ete", "te ", "  a", " ab", "ab "], ["  𝐀", " 𝐀𝐀", "𝐀𝐀 ", "  x", " x "]]
+    assert [r.s for r in got.collect()] == [1.0, 0.0, 0.0, 0.666667, 0.6]
+    cut = df.select(trigrams(F.col("a")))._jdf.queryExecution().analyzed().toString()
+    assert "transform(array_distinct(regexp_extract_all" in cut
+
+
+def test_texts_are_judged_by_their_heads_before_they_are_cut(spark):
+    """No filter on a whole text's grams stands where the texts are read."""
+    from shotweave.operators import retrieve as R
+
+    df = spark.createDataFrame([(1, "of the"), (2, None), (3, "of the " + " ".join(map(str, range(10**4, 10**4 + 200))))], "id long, text string")
+    got = R.similar_texts(spark.createDataFrame([("of the",)], "phrase string"), df, "text", "id", 0.45)
+    assert [tuple(r) for r in got.collect()] == [("of the", 1, 1.0)]
+    read = got._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[-1]
+    assert "substring(text" in read and read.count("array_distinct(flatten(") == 1
