@@ -103,12 +103,13 @@ def link_chains(hits: DataFrame, gaps: list[int | Column], limit: int | None = N
     """
     stages = len(gaps) + 1
     every = hits.groupBy("query_id", "video_id").agg(F.count_distinct("stage").alias("n")).where(F.col("n") == stages)
-    hits = hits.join(every, ["query_id", "video_id"], "left_semi")
+    # steps are stored: all have the same keys, so they would be one stage, whose tasks hold the sorts of all steps at once
+    hits = stored(hits.join(every, ["query_id", "video_id"], "left_semi"))
     step = F.array(F.struct("scene_id", "keyframe_id", "ts_ms"))
     best = hits.where(F.col("stage") == stages - 1).select("query_id", "video_id", "scene_id", "keyframe_id", "ts_ms", F.col("score").alias("reached"), step.alias("path"))
     for stage in range(stages - 2, -1, -1):
         pick = best_successors(hits.where(F.col("stage") == stage), best, gaps[stage])
-        best = pick.select("query_id", "video_id", "scene_id", "keyframe_id", "ts_ms", (F.col("score") + F.col("next.reached")).alias("reached"), F.concat(step, "next.path").alias("path"))
+        best = stored(pick.select("query_id", "video_id", "scene_id", "keyframe_id", "ts_ms", (F.col("score") + F.col("next.reached")).alias("reached"), F.concat(step, "next.path").alias("path")))
     own = rank_list(best, ["query_id", "video_id"], F.round("reached", 9).desc(), F.col("scene_id"), F.col("keyframe_id")).where(F.col("rank") <= per_video).drop("rank")
     out = rank_list(own, ["query_id"], F.round("reached", 9).desc(), F.col("scene_id"), F.col("video_id"), F.col("keyframe_id"))
     out = out.withColumn("gaps_ms", F.transform(F.sequence(F.lit(1), F.lit(stages - 1)), lambda i: F.get(F.col("path.ts_ms"), i) - F.get(F.col("path.ts_ms"), i - 1)))
@@ -179,7 +180,8 @@ def link_stages(hits: DataFrame, stages: DataFrame, limit: int | None = None, pe
     gap = stages.select("query_id", (F.col("stage") - 1).alias("stage"), F.col("gap_ms").alias("reach"))
     count = stages.groupBy("query_id").agg(F.count("*").alias("stages"))
     x = hits.join(gap, ["query_id", "stage"], "left").join(count, "query_id")
-    parts = [link_chains(x.where(F.col("stages") == n).drop("stages"), [F.col("reach")] * (n - 1), limit, per_video) for n in range(2, MOST_STAGES + 1)]
+    asked = {r["stages"] for r in count.where(F.col("stages").between(2, MOST_STAGES)).select("stages").distinct().collect()} or {2}  # few numbers
+    parts = [link_chains(x.where(F.col("stages") == n).drop("stages"), [F.col("reach")] * (n - 1), limit, per_video) for n in sorted(asked)]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -119,3 +119,18 @@ def test_texts_are_judged_by_their_heads_before_they_are_cut(spark):
     assert [tuple(r) for r in got.collect()] == [("of the", 1, 1.0)]
     read = got._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[-1]
     assert "substring(text" in read and read.count("array_distinct(flatten(") == 1
+
+
+def test_chains_are_linked_step_by_step_and_for_the_lengths_that_queries_have(spark, monkeypatch):
+    """A task holds the sorts of one step: what the last step gives is read from a stored table."""
+    from shotweave.operators import search as S
+
+    rows = [(q, s, "v", 10 * s + q, 10 * s + q, 5 * s, 1.0) for q in (1, 2) for s in range(3)]
+    hits = spark.createDataFrame(rows, "query_id int, stage int, video_id string, scene_id long, keyframe_id long, ts_ms int, score double")
+    stages = spark.createDataFrame([(q, s, 10 if s else None) for q in (1, 2) for s in range(3)] + [(3, 0, None)], "query_id int, stage int, gap_ms int")
+    asked, link = [], S.link_chains
+    monkeypatch.setattr(S, "link_chains", lambda x, gaps, *more: asked.append(len(gaps)) or link(x, gaps, *more))
+    got = S.link_stages(hits, stages)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and asked == [2]
+    assert sorted((r.query_id, r.reached, [p.keyframe_id for p in r.path]) for r in got.collect()) == [(1, 3.0, [1, 11, 21]), (2, 3.0, [2, 12, 22])]
+    assert S.link_stages(hits, stages.where("query_id = 3")).count() == 0
