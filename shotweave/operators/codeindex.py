@@ -25,6 +25,8 @@ from shotweave.sources.scratch import shared_dir, stored
 
 #: A probe, which is a row of a join, takes as long as so many comparisons of a scan.
 PROBE_COST = 4
+#: A task of the join sorts about so many probes, or rows of the table; their number of tasks grows with them.
+TASK_ROWS = 500_000
 
 
 def widths(words: int, bits: int) -> list[tuple[int, int, int]]:
@@ -97,7 +99,9 @@ class CodeIndex:
         probe = q.select("*", F.posexplode("own_parts").alias("part", "v")).withColumn("flip", F.explode(F.lit(masks).cast("array<bigint>")))
         probe = probe.where(F.col("flip") < F.call_function("shiftleft", F.lit(1).cast("bigint"), F.get(width, F.col("part"))))
         probe = probe.select("query_id", "model_id", "own", "own_parts", "part", F.col("v").bitwiseXOR(F.col("flip")).alias("value"))
-        hits = self.table.join(probe.hint("merge"), ["part", "value", "model_id"])  # never broadcast: probes are many times the queries
+        tasks = -(-max(q.count() * len(self.cuts) * len(masks), self.rows * len(self.cuts)) // TASK_ROWS) or 1
+        deal = lambda df: df.repartition(tasks, "part", "value", "model_id")
+        hits = deal(self.table).join(deal(probe).hint("merge"), ["part", "value", "model_id"])  # never broadcast: probes are many times the queries
         apart = F.zip_with("parts", "own_parts", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
         first = F.forall(F.transform(apart, lambda d, i: (d > radius) | ((d == radius) & (i >= F.col("part")))), lambda x: x)
         return hits.where(first).select("query_id", "model_id", "key", hamming(F.col("code"), F.col("own")).alias("bits"))

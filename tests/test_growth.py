@@ -134,3 +134,21 @@ def test_chains_are_linked_step_by_step_and_for_the_lengths_that_queries_have(sp
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() and asked == [2]
     assert sorted((r.query_id, r.reached, [p.keyframe_id for p in r.path]) for r in got.collect()) == [(1, 3.0, [1, 11, 21]), (2, 3.0, [2, 12, 22])]
     assert S.link_stages(hits, stages.where("query_id = 3")).count() == 0
+
+
+def test_tasks_of_the_code_join_grow_in_number_with_its_rows(spark, monkeypatch):
+    from shotweave.operators import codeindex as C
+
+    rng = np.random.default_rng(3)
+    codes = spark.createDataFrame([(i, 1, [int(x) for x in rng.integers(0, 2**31, 2)]) for i in range(60)], "key long, model_id int, code array<long>")
+    index = C.CodeIndex.build(spark, codes, "key", 2, bits=8)
+    q = codes.where("key < 9").select(F.col("key").alias("query_id"), "model_id", F.col("code").alias("own"), C.parts_of(F.col("code"), index.cuts).alias("own_parts"))
+    met = []
+    for rows in (10**6, 50):
+        monkeypatch.setattr(C, "TASK_ROWS", rows)
+        found = index._met(q, 1)
+        tasks = -(-9 * len(index.cuts) * max(n for _, _, n in index.cuts) // rows)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("RepartitionByExpression" in x and x.endswith(f"], {tasks}") for x in plan.splitlines()) == 2
+        met.append(sorted(map(tuple, found.collect())))
+    assert met[0] == met[1] and tasks > 4
