@@ -152,3 +152,32 @@ def test_tasks_of_the_code_join_grow_in_number_with_its_rows(spark, monkeypatch)
         assert sum("RepartitionByExpression" in x and x.endswith(f"], {tasks}") for x in plan.splitlines()) == 2
         met.append(sorted(map(tuple, found.collect())))
     assert met[0] == met[1] and tasks > 4
+
+
+def test_similar_pairs_are_numbers_until_they_are_results(spark, monkeypatch):
+    """No phrase stands in a pair, and no pair is moved or written on its way, with one block and with several."""
+    from shotweave.operators import retrieve as R
+    from shotweave.plans import registry
+    from shotweave.sources.scratch import stored
+
+    kept, got = [], []
+    monkeypatch.setattr(R, "stored", lambda df: kept.extend(df.columns) or stored(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for block in (4096, 2):
+            monkeypatch.setattr(R, "BLOCK_PHRASES", block)
+            df = registry.QUERIES["similar_transcripts"](spark, "/root/testdata/sf0.001")
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "phrase#" not in plan and "SortMergeJoin" not in plan and "both" not in kept
+            got.append(sorted(map(tuple, df.collect())))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got[0] == got[1] and len(got[0]) > 4
+
+
+def test_queries_with_equal_phrases_share_similar_texts(spark):
+    from shotweave.operators import retrieve as R
+
+    df = spark.createDataFrame([(1, "of the"), (2, "zzz"), (3, None)], "id long, text string")
+    q = spark.createDataFrame([(7, "of the"), (8, "of the"), (9, "Of THE"), (10, None), (11, "")], "query_id int, phrase string")
+    assert sorted(map(tuple, R.similar_texts(q, df, "text", "id", 0.45, "query_id").collect())) == [(7, 1, 1.0), (8, 1, 1.0), (9, 1, 1.0)]
