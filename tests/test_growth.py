@@ -181,3 +181,27 @@ def test_queries_with_equal_phrases_share_similar_texts(spark):
     df = spark.createDataFrame([(1, "of the"), (2, "zzz"), (3, None)], "id long, text string")
     q = spark.createDataFrame([(7, "of the"), (8, "of the"), (9, "Of THE"), (10, None), (11, "")], "query_id int, phrase string")
     assert sorted(map(tuple, R.similar_texts(q, df, "text", "id", 0.45, "query_id").collect())) == [(7, 1, 1.0), (8, 1, 1.0), (9, 1, 1.0)]
+
+
+def test_rows_of_hits_and_queries_repeat_each_other(spark):
+    """A query's hits of a short list stand together, and then the next query's: files hold such rows in few bits."""
+    from shotweave.operators import retrieve as R
+
+    df = spark.createDataFrame([(i, "a b a" if i % 3 else "a") for i in range(640)], "id long, text string")
+    q = spark.range(50).select(F.col("id").alias("query_id"), F.array(F.lit("a")).alias("tokens"))
+    got = R.lexical_hits(q, df, "text", "id").collect()
+    assert sorted(map(tuple, got)) == [(j, i, 0.166667 if i % 3 else 0.090909) for j in range(50) for i in range(640)]
+    changes = sum(a.query_id != b.query_id for a, b in zip(got, got[1:]))
+    assert changes < len(got) / 10
+    assert R.lexical_hits(q, df.where("false"), "text", "id").count() == 0
+
+
+def test_large_files_are_dealt_before_their_words_are_grouped(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i if i % 9 else None, f"word{i} " * 8) for i in range(60)], "id long, text string").coalesce(1)
+    group, tasks, found = X.grouped_words, [], []
+    monkeypatch.setattr(X, "grouped_words", lambda words: tasks.append(words.rdd.getNumPartitions()) or group(words))
+    for chars in (X.READ_CHARS, 200):
+        monkeypatch.setattr(X, "READ_CHARS", chars)
+        index = X.TextIndex(spark, f"{tmp_path}/{chars}").append(df, "id", "text")
+        found.append(sorted((r.token, r.block, r.key, r.n, r.positions) for r in index.postings().collect()))
+    assert tasks[0] == 1 and tasks[1] > 10 and found[0] == found[1] and len(found[0]) == 53
