@@ -205,3 +205,16 @@ def test_large_files_are_dealt_before_their_words_are_grouped(spark, tmp_path, m
         index = X.TextIndex(spark, f"{tmp_path}/{chars}").append(df, "id", "text")
         found.append(sorted((r.token, r.block, r.key, r.n, r.positions) for r in index.postings().collect()))
     assert tasks[0] == 1 and tasks[1] > 10 and found[0] == found[1] and len(found[0]) == 53
+
+
+def test_a_task_holds_the_product_of_two_short_lists(spark):
+    """Spark's generated code keeps all rows that one row of a join gives: the product is unfolded behind it."""
+    from shotweave.operators import retrieve as R
+
+    df = spark.createDataFrame([(i, "a b") for i in range(40)], "id long, text string")
+    q = spark.createDataFrame([(i if i else None, [["a"], ["b"], ["c"]][i % 3]) for i in range(300)] + [(7, ["b"])], "query_id int, tokens array<string>")
+    got = R.lexical_hits(q, df, "text", "id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("inline(asked") < plan.index("Coalesce") < plan.index("BroadcastHashJoin")
+    wanted = [(i, k, 0.090909) for i in [-1, *(i for i in range(300) if i and i % 3 < 2), 7] for k in range(40)]
+    assert sorted((-1 if r.query_id is None else r.query_id, r.id, r.score) for r in got.collect()) == sorted(wanted)
